@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from webloom.llm.jaccard import op9_ngram_jaccard_join
 from webloom.llm.substring import op6_substring_dedup
 from webloom.llm.suffix_array import op2_suffix_array_dedup
 
@@ -10,6 +11,7 @@ def queries() -> dict:
     return {
         "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op6_substring_dedup": op6_substring_dedup,
+        "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     }
 
 
