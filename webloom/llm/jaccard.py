@@ -1,10 +1,13 @@
 """Set-similarity join on word shingles with several global token orders (operator 9).
 
 Two sets with Jaccard similarity of at least t share a token among the first
-``n - ceil(t n) + 1`` tokens of each, under *any* order of all tokens.  One order serves as
-the index: very frequent tokens last, else by hash.  Pairs that meet there must also share a
-prefix token under every other order (each by another hash) before they are verified on the
-whole sets.
+``p = n - ceil(t n) + 1`` tokens of each, under *any* order of all tokens.  More than that: let
+x be the set whose prefix ends first in the order.  Every token that both sets have and x has
+in its prefix lies in y's prefix too, so the sets have at most ``c + n_x - p_x`` tokens in
+common, c being the tokens their prefixes share.  Pairs that can't reach the overlap which t
+asks for are dropped, first under the order that serves as the index (very frequent tokens
+last, else by hash), then under every other order (other hashes); what passes all of them is
+verified on the whole sets.
 
 Hot groups: documents with equal sets are one class from the start.  Within a token's list
 every class is first compared with one centre only (the class with most copies), which joins
@@ -28,7 +31,8 @@ from webloom.shared import ship_package, written
 #: Null ids take this value inside the plan, so they are never the least of a component.
 _NO_ID = (1 << 63) - 1
 _U = np.uint64
-_LAST = _U(1 << 63)
+#: Ranks stay below 2**63, so they compare alike as signed integers.
+_LAST = _U(1 << 62)
 _FEW = 8
 
 
@@ -62,7 +66,7 @@ def _prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _rank(hashes: np.ndarray, order: int, frequent: np.ndarray | None = None) -> np.ndarray:
-    ranked = K.mix(hashes + _U(order)) & ~_LAST
+    ranked = K.mix(hashes + _U(order)) & (_LAST - _U(1))
     if frequent is not None and len(frequent):
         at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
         ranked |= np.where(frequent[at] == hashes, _LAST, _U(0))
@@ -95,7 +99,9 @@ def _arrays(values: np.ndarray, take: np.ndarray, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(take))).astype(np.int32)), pa.array(values.view(kind)))
 
 
-def _prefixes(shingle: int, percent: int, orders: int, frequent: np.ndarray) -> Callable:
+def _prefixes(shingle: int, percent: int, frequent: np.ndarray) -> Callable:
+    """Prefixes under the index order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc").to_numpy(zero_copy_only=False)
@@ -104,25 +110,30 @@ def _prefixes(shingle: int, percent: int, orders: int, frequent: np.ndarray) ->
                 take = _prefix_sizes(np.diff(rows_at), percent)
                 one = K.Prefix(hashes).spans(rows_at[:-1], rows_at[1:])
                 index = _heads(_rank(hashes, 1, frequent), rows_at, take)
-                others = [_arrays(_heads(_rank(hashes, 2 + i), rows_at, take).astype(np.uint32), take, np.int32) for i in range(orders - 1)]
-                yield pa.record_batch([pa.array(ids[r0:r1]), pa.array(one.view(np.int64)), _arrays(index, take, np.int64), *others], ["doc", "s1", "index", *(f"o{i}" for i in range(orders - 1))])
+                yield pa.record_batch([pa.array(ids[r0:r1]), pa.array(one.view(np.int64)), _arrays(index, take, np.int64)], ["doc", "s1", "index"])
 
     return run
 
 
-def _full(shingle: int) -> Callable:
-    """Whole sets of the nodes that each text is asked for (more than one only where ids repeat)."""
+def _full(shingle: int, percent: int, orders: int) -> Callable:
+    """Whole sets, and prefixes under the other orders, of the nodes that each text is asked for.
+
+    A text is asked for more than one node only where ids repeat.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             asked = batch.column("asked").to_pylist()
             for r0, r1, data, at in K.chunks(batch.column("text")):
                 hashes, rows_at = _sets(data, at, shingle)
+                n = np.diff(rows_at)
+                take = _prefix_sizes(n, percent)
                 one = K.Prefix(hashes).spans(rows_at[:-1], rows_at[1:]).view(np.int64)
                 nodes = np.array([next((x["node"] for x in asked[r0 + r] if x["s1"] == one[r]), -1) for r in range(r1 - r0)])
-                items = _arrays(hashes, np.diff(rows_at), np.int64)
+                columns = [pa.array(nodes), pa.array(n), _arrays(hashes, n, np.int64)]
+                columns += [_arrays(_heads(_rank(hashes, 2 + i), rows_at, take), take, np.int64) for i in range(orders - 1)]
                 keep = pa.array(nodes >= 0)
-                yield pa.record_batch([pa.array(nodes).filter(keep), items.filter(keep)], ["node", "items"])
+                yield pa.record_batch([c.filter(keep) for c in columns], ["node", "n", "items", *(f"o{i}" for i in range(orders - 1))])
 
     return run
 
@@ -139,36 +150,51 @@ class _Join:
         # Written before any use, so the numbers stay as they are.
         self.classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
 
-    def lists(self) -> tuple[DataFrame, DataFrame]:
-        """Token lists with at least two classes and their centres; and the other prefixes of classes."""
-        others = [f"o{i}" for i in range(self.orders - 1)]
-        schema = "doc long, s1 long, index array<long>" + "".join(f", {o} array<int>" for o in others)
-        rows = self.texts.mapInArrow(_prefixes(self.shingle, self.percent, self.orders, self.frequent), schema)
-        # A repeated row brings one row more for its class; pairs are distinct later.
+    def lists(self) -> DataFrame:
+        """Token lists with at least two classes: token, node, and the node's n, copies, p and the end of its prefix."""
+        rows = self.texts.mapInArrow(_prefixes(self.shingle, self.percent, self.frequent), "doc long, s1 long, index array<long>")
+        # A repeated row brings one row more for its class; lists are distinct.
         rows = rows.join(self.classes.select("doc", "s1", "node", "n", "copies").hint("merge"), ["doc", "s1"])
-        rows = written(rows.select("node", "n", "copies", "index", *others), "jaccard-prefixes")
-        tokens = rows.select("node", "n", "copies", F.explode("index").alias("token"))
-        centre = tokens.groupBy("token").agg(F.max(F.struct("copies", (-F.col("node")).alias("least"), "n")).alias("centre"), F.count("*").alias("size")).where("size > 1")
-        lists = tokens.join(centre.hint("merge"), "token").select("token", "node", "n", (-F.col("centre.least")).alias("centre"), F.col("centre.n").alias("centre_n"))
-        return written(lists, "jaccard-lists"), rows.select("node", *others)
+        rows = written(rows.select("node", "n", "copies", "index"), "jaccard-prefixes")
+        tokens = rows.select("node", F.explode("index").alias("token"))
+        shared = written(tokens.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token"), "jaccard-shared")
+        lists = tokens.join(shared.hint("merge"), "token").distinct()
+        ends = rows.select("node", "n", "copies", F.size("index").alias("p"), F.element_at("index", -1).alias("last")).dropDuplicates(["node"])
+        return written(lists.join(ends.hint("merge"), "node").select("token", "node", "n", "copies", "p", "last"), "jaccard-lists")
 
     def fits(self, a: str, b: str):
         """Sizes that allow the threshold."""
         return F.expr(f"100 * least({a}, {b}) >= {self.percent} * greatest({a}, {b})")
 
-    def links(self, pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
-        """The pairs (x, y) that link: filtered under the other orders, then verified on whole sets."""
+    def enough(self, shared: str, a: str, b: str):
+        """Whether sets of a and b tokens, of which at most ``shared`` are common, can reach the threshold."""
+        return F.expr(f"{100 + self.percent} * ({shared}) >= {self.percent} * ({a} + {b})")
+
+    def candidates(self, met: DataFrame) -> DataFrame:
+        """Rows (one for each shared prefix token) of node, n, p, last and node2, n2, p2, last2 to pairs within the bound."""
+        flip = "node > node2"
+        sides = [F.expr(f"if({flip}, {a}, {b})").alias(c) for a, b, c in (("node2", "node", "x"), ("node", "node2", "y"))]
+        room = F.when(F.col("last") <= F.col("last2"), F.col("n") - F.col("p")).otherwise(F.col("n2") - F.col("p2")).alias("room")
+        pairs = met.where(self.fits("n", "n2")).select(*sides, F.least("n", "n2").alias("low"), F.greatest("n", "n2").alias("high"), room)
+        pairs = pairs.groupBy("x", "y", "low", "high", "room").agg(F.count("*").alias("c"))
+        return pairs.where(self.enough("c + room", "low", "high")).select("x", "y")
+
+    def links(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (x, y), written before, that link: filtered under the other orders, then verified on whole sets."""
         others = [f"o{i}" for i in range(self.orders - 1)]
-        for side in "xy":
-            pairs = pairs.join(prefixes.select(F.col("node").alias(side), *(F.col(o).alias(f"{side}_{o}") for o in others)).hint("merge"), side)
-        for o in others:
-            pairs = pairs.where(F.arrays_overlap(f"x_{o}", f"y_{o}"))
-        pairs = written(pairs.select("x", "y").distinct(), "jaccard-candidates")
         asked = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
         asked = self.classes.join(asked.hint("merge"), "node", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("s1", "node")).alias("asked"))
-        sets = written(self.texts.join(asked.hint("merge"), "doc").mapInArrow(_full(self.shingle), "node long, items array<long>"), "jaccard-items")
+        schema = "node long, n long, items array<long>" + "".join(f", {o} array<long>" for o in others)
+        sets = written(self.texts.join(asked.hint("merge"), "doc").mapInArrow(_full(self.shingle, self.percent, self.orders), schema), "jaccard-items")
         for side in "xy":
-            pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("items").alias(f"{side}_items")), side)
+            pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), *(F.col(o).alias(f"{side}_{o}") for o in others)).hint("merge"), side)
+        for o in others:
+            c, x, y = f"size(array_intersect(x_{o}, y_{o}))", f"x_{o}", f"y_{o}"
+            room = f"if(element_at({x}, -1) <= element_at({y}, -1), x_n - size({x}), y_n - size({y}))"
+            pairs = pairs.where(F.arrays_overlap(x, y) & self.enough(f"{c} + {room}", "x_n", "y_n"))
+        pairs = pairs.select("x", "y").distinct()
+        for side in "xy":
+            pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("items").alias(f"{side}_items")).hint("merge"), side)
         both = F.size(F.array_intersect("x_items", "y_items"))
         either = F.size("x_items") + F.size("y_items") - both
         return written(pairs.where(100 * both >= self.percent * either).select(F.col("x").alias("u"), F.col("y").alias("v")).distinct(), "jaccard-links")
@@ -188,23 +214,25 @@ def similar_documents(docs: DataFrame, percent: int = 85, shingle: int = 4, orde
     ship_package(docs.sparkSession)
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     join = _Join(texts, percent, shingle, orders, wide)
-    lists, prefixes = join.lists()
-
-    def pairs(found: DataFrame, a: str, b: str) -> DataFrame:
-        return found.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).distinct()
+    lists = join.lists()
 
-    stars = pairs(lists.where("node <> centre").where(join.fits("n", "centre_n")), "node", "centre")
-    links = join.links(stars, prefixes)
-    roots = components(links)
+    side = ["node", "n", "p", "last"]
+    twin = [F.col(c).alias(f"{c}2") for c in side]
+    centre = lists.groupBy("token").agg(F.max(F.struct("copies", (-F.col("node")).alias("least"), "n", "p", "last")).alias("c"))
+    centre = centre.select("token", (-F.col("c.least")).alias("node2"), *(F.col(f"c.{c}").alias(f"{c}2") for c in side[1:]))
+    # A pair with a centre sees only the lists that share this centre, so the bound may drop
+    # it here; it comes back below unless its sides were joined otherwise.
+    stars = written(join.candidates(lists.join(centre.hint("merge"), "token").where("node <> node2")), "jaccard-stars")
+    roots = components(join.links(stars))
 
     # What the stars left apart: lists that still hold more than one component.
-    placed = lists.join(roots.withColumnRenamed("root", "top").hint("merge"), "node", "left").select("token", "node", "n", F.coalesce("top", "node").alias("top"))
+    placed = lists.join(roots.withColumnRenamed("root", "top").hint("merge"), "node", "left").select("token", *side, F.coalesce("top", "node").alias("top"))
     split = placed.groupBy("token").agg(F.min("top").alias("low"), F.max("top").alias("high")).where("low < high").select("token")
     apart = written(placed.join(split.hint("merge"), "token"), "jaccard-apart")
-    other = apart.select("token", F.col("node").alias("node2"), F.col("n").alias("n2"), F.col("top").alias("top2"))
-    rest = apart.join(other.hint("merge"), "token").where("node < node2 and top <> top2").where(join.fits("n", "n2"))
-    rest = pairs(rest, "node", "node2").join(stars, ["x", "y"], "left_anti")
-    more = join.links(rest, prefixes)
+    # Each token of a pair in different components shows here, so its count is whole.
+    rest = apart.join(apart.select("token", *twin, F.col("top").alias("top2")).hint("merge"), "token").where("node < node2 and top <> top2")
+    rest = written(join.candidates(rest).join(stars.hint("merge"), ["x", "y"], "left_anti"), "jaccard-rest")
+    more = join.links(rest)
     roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
 
     placed = join.classes.join(roots.hint("merge"), "node", "left").select("s1", "s2", "n", "doc", F.coalesce("root", "node").alias("top"))
