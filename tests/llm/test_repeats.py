@@ -98,7 +98,7 @@ def test_radix_repeats_is_exact():
     r = random.Random(5)
     bodies = [bytes(r.choices(b"ab", k=r.randint(0, 40))) for _ in range(30)]
     seen = Counter(b[i : i + 9] for b in bodies for i in range(len(b) - 8))
-    for body, spans in zip(bodies, radix_repeats(bodies, 9)):
+    for body, spans in zip(bodies, radix_repeats(bodies, [0] * len(bodies), 9)):
         want = {j for i in range(len(body) - 8) if seen[body[i : i + 9]] > 1 for j in range(i, i + 9)}
         assert {j for a, b in spans for j in range(a, b)} == want
 

@@ -159,32 +159,41 @@ def _windows(unit: Unit) -> Callable:
     return run
 
 
+#: Shards are handed to a kernel in groups of about this many bytes.
+_SHARD_BYTES = 2_000_000
+
+
 def by_shard(kernel: Callable, window: int) -> Callable:
     """Feeds whole shards (rows of one key, in order of document and start) to ``kernel``.
 
-    ``kernel(bodies) -> list of [start, end) arrays``: the tokens of each body that repeated windows cover.
+    ``kernel(bodies, shards, window)`` gets the bodies of some whole shards with their shard
+    numbers, ascending, and gives for each body the [start, end) tokens that repeated windows
+    of its shard cover.
     """
 
-    def flush(key: int, rows: list[tuple[int, bytes]], out: list) -> None:
-        for (content, _), spans in zip(rows, kernel([b for _, b in rows], window), strict=True):
-            out.extend((key, content, int(a), int(b)) for a, b in spans)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, out = None, [], []
+        last, shard, size = None, -1, 0
+        keys, contents, shards, bodies = [], [], [], []
+
+        def judged() -> pa.RecordBatch | None:
+            out = [(k, c, int(a), int(b)) for k, c, spans in zip(keys, contents, kernel(bodies, shards, window), strict=True) for a, b in spans]
+            return _verdicts(out) if out else None
+
         for batch in batches:
-            for k, content, body in zip(*(batch.column(n).to_pylist() for n in ("key", "content", "body")), strict=True):
-                if k != key:
-                    if len(rows) > 1:
-                        flush(key, rows, out)
-                    key, rows = k, []
-                rows.append((content, body))
-            if len(out) > 10_000:
-                yield _verdicts(out)
-                out = []
-        if len(rows) > 1:
-            flush(key, rows, out)
-        if out:
-            yield _verdicts(out)
+            for key, content, body in zip(*(batch.column(n).to_pylist() for n in ("key", "content", "body")), strict=True):
+                if key != last:
+                    if size > _SHARD_BYTES:
+                        if (found := judged()) is not None:
+                            yield found
+                        keys, contents, shards, bodies, size = [], [], [], [], 0
+                    last, shard = key, shard + 1
+                keys.append(key)
+                contents.append(content)
+                shards.append(shard)
+                bodies.append(body)
+                size += len(body)
+        if bodies and (found := judged()) is not None:
+            yield found
 
     return run
 
@@ -207,7 +216,8 @@ def repeated_spans(docs: DataFrame, unit: Unit, kernel: Callable, *, keep_first:
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
 
     runs = texts.select("doc", "text").mapInArrow(_fingerprint(unit), "key long, doc long, run int")
-    shared = runs.select("key").groupBy("key").count().where("count > 1").select("key")
+    # Written sides make joins that AQE can split: both children are plain shuffles.
+    shared = written(runs.select("key").groupBy("key").count().where("count > 1").select("key"), "repeats-shared")
     wanted = runs.join(shared.hint("merge"), "key").groupBy("doc").agg(F.collect_list("run").alias("runs"))
     pieces = written(
         texts.join(wanted, "doc").select("doc", "mark", "text", "runs").mapInArrow(_cut(unit), "key long, content long, doc long, mark long, start int, size int"),
@@ -237,6 +247,7 @@ def repeated_spans(docs: DataFrame, unit: Unit, kernel: Callable, *, keep_first:
 
     judged = classes.join(verdicts.groupBy("key", "content").agg(F.collect_list(F.struct("a", "b")).alias("parts")), ["key", "content"], "left")
     judged = judged.where("n > 1 or parts is not null").select("key", "content", "n", "parts", F.struct("first.doc", "first.start").alias("head"))
+    judged = written(judged, "repeats-judged")
     whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("size") + unit.window - 1).alias("b")))
     if keep_first:
         parts = F.when(F.struct("doc", "start") != F.col("head"), whole).otherwise(F.col("parts"))

@@ -91,17 +91,18 @@ def _cover(statistics: list[int], window: int) -> np.ndarray:
     return union(np.column_stack((ends - window, ends)))
 
 
-def automaton_repeats(bodies: list[bytes], window: int) -> list[np.ndarray]:
-    """Words of each body covered by a window that an earlier place in the bodies holds too."""
-    automaton = SuffixAutomaton()
-    found = []
-    for body in bodies:
+def automaton_repeats(bodies: list[bytes], shards: list[int], window: int) -> list[np.ndarray]:
+    """Words of each body covered by a window that an earlier place in its shard holds too."""
+    found, shard, automaton = [], None, SuffixAutomaton()
+    for body, number in zip(bodies, shards, strict=True):
+        if number != shard:
+            shard, automaton = number, SuffixAutomaton()
         found.append(_cover([automaton.add(w) for w in body.split(b" ")], window))
         automaton.end_text()
     return found
 
 
-def dedup_words(docs: DataFrame, window: int = 20, gram: int = 8, hot: int = 256) -> DataFrame:
+def dedup_words(docs: DataFrame, window: int = 20, gram: int = 8, hot: int = 8192) -> DataFrame:
     """Removes every word covered by a ``window``-word sequence that also starts earlier.
 
     ``docs``: doc_id, text; more columns are ignored.  Words lie between ASCII white space.

@@ -19,15 +19,18 @@ from webloom.llm.repeats import Unit, apply_spans, repeated_spans
 _DIGIT = 8
 
 
-def radix_repeats(bodies: list[bytes], window: int) -> list[np.ndarray]:
-    """Bytes of each body that are covered by a window which starts anywhere else in the bodies."""
+def radix_repeats(bodies: list[bytes], shards: list[int], window: int) -> list[np.ndarray]:
+    """Bytes of each body that are covered by a window which starts anywhere else in its shard.
+
+    The shard number is the first digit, so many small shards share the passes.
+    """
     data = np.frombuffer(b"".join(bodies) + bytes(window + _DIGIT), np.uint8)
     sizes = np.array([len(b) for b in bodies])
     base = np.cumsum(sizes) - sizes
     count = np.maximum(sizes - window + 1, 0)
     owner = np.repeat(np.arange(len(bodies)), count)
     places = np.repeat(base - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    group = np.zeros(len(places), np.int64)
+    group = np.asarray(shards, np.int64)[owner]
     for depth in range(0, window, _DIGIT):
         if not len(places):
             break
@@ -53,7 +56,7 @@ def radix_repeats(bodies: list[bytes], window: int) -> list[np.ndarray]:
     return found
 
 
-def dedup_bytes(docs: DataFrame, window: int = 200, gram: int = 64, hot: int = 256) -> DataFrame:
+def dedup_bytes(docs: DataFrame, window: int = 200, gram: int = 64, hot: int = 8192) -> DataFrame:
     """Removes every byte covered by a ``window``-byte string that starts anywhere else too.
 
     ``docs``: doc_id, text; more columns are ignored.  Returns doc_id, n (bytes), n_removed,
