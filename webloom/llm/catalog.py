@@ -3,23 +3,29 @@
 from __future__ import annotations
 
 from webloom.llm.bpe import op3_bpe_encoding
+from webloom.llm.chroma import op1_chroma_fingerprints
 from webloom.llm.jaccard import op9_ngram_jaccard_join
 from webloom.llm.rules import op8_quality_classifier
 from webloom.llm.secrets import op7_secret_scans
 from webloom.llm.substring import op6_substring_dedup
 from webloom.llm.suffix_array import op2_suffix_array_dedup
+from webloom.llm.token_counts import op10_token_counts
+from webloom.llm.warc import op4_warc_derivatives
 from webloom.llm.winnowing import OP5_SQL, op5_benchmark_decontamination
 
 
 def queries() -> dict:
     return {
+        "op1_chroma_fingerprints": op1_chroma_fingerprints,
         "op2_suffix_array_dedup": op2_suffix_array_dedup,
         "op3_bpe_encoding": op3_bpe_encoding,
+        "op4_warc_derivatives": op4_warc_derivatives,
         "op5_benchmark_decontamination": op5_benchmark_decontamination,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_secret_scans": op7_secret_scans,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+        "op10_token_counts": op10_token_counts,
     }
 
 
