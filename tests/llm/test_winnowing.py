@@ -56,3 +56,12 @@ def test_empty_tables(spark):
     b = spark.createDataFrame([], "item_id long, text string")
     assert [tuple(x) for x in decontaminate(d, b).collect()] == [(1, 2, 0, [], False)]
     assert decontaminate(d.limit(0), b).count() == 0
+
+
+def test_long_text(spark):
+    r = random.Random(5)
+    passage = " ".join(f"p{i}" for i in range(30))
+    text = " ".join(r.choices([f"w{i}" for i in range(500)], k=60_000)) + " " + passage
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    b = spark.createDataFrame([(4, passage)], "item_id long, text string")
+    assert [tuple(x) for x in decontaminate(d, b).collect()] == [(1, 60_030, 30, ["4"], False)]

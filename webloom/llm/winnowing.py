@@ -22,20 +22,20 @@ def word_array(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower()), F.lit(WORD), F.lit(0))
 
 
-def _hashed(words: Column) -> Column:
-    return F.transform(words, lambda w: F.xxhash64(w))
+def _fingerprinted(frame: DataFrame, words: str, gram: int, group: int) -> DataFrame:
+    """Adds ``least``: for each window, the least hash of its ``group`` consecutive k-grams.
 
+    Every step is a column of its own.  Inside a lambda a column is a reference, while a nested
+    expression would be evaluated again for each element.
+    """
 
-def _gram_hashes(hashes: Column, gram: int) -> Column:
-    """Hashes of all k-grams, from the hashes of their words."""
-    starts = F.when(F.size(hashes) >= gram, F.sequence(F.lit(1), F.size(hashes) - gram + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.xxhash64(*(F.element_at(hashes, i + j) for j in range(gram))))
-
+    def starts(c: str, n: int) -> Column:
+        return F.when(F.size(c) >= n, F.sequence(F.lit(1), F.size(c) - n + 1)).otherwise(F.array().cast("array<int>"))
 
-def _winnowed(grams: Column, group: int) -> Column:
-    """The least hash of every ``group`` consecutive k-grams: the fingerprint of each window."""
-    starts = F.when(F.size(grams) >= group, F.sequence(F.lit(1), F.size(grams) - group + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_min(F.slice(grams, i, group)))
+    frame = frame.withColumn("_hash", F.transform(words, lambda w: F.xxhash64(w)))
+    frame = frame.withColumn("_grams", F.transform(starts("_hash", gram), lambda i: F.xxhash64(*(F.element_at("_hash", i + j) for j in range(gram)))))
+    frame = frame.withColumn("least", F.transform(starts("_grams", group), lambda i: F.array_min(F.slice("_grams", i, group))))
+    return frame.drop("_hash", "_grams")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram: int = 7, percent: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
@@ -63,11 +63,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram:
     fit = F.broadcast if small else (lambda side: side.hint("merge"))
     n_short = windows.where(F.col("size") < window).limit(1).count()
     passages = fit(windows.where(F.col("size") == window).select("passage", "owners"))
-    hashes = _gram_hashes(_hashed(F.col("passage")), gram)
-    prints = fit(windows.where(F.col("size") == window).select(F.array_min(hashes).alias("print")).distinct())
+    prints = fit(_fingerprinted(windows.where(F.col("size") == window), "passage", gram, group).select(F.col("least")[0].alias("print")).distinct())
 
     base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), word_array(F.col("text")).alias("words"))
-    rows = base.withColumn("least", _winnowed(_gram_hashes(_hashed(F.col("words")), gram), group))
+    rows = _fingerprinted(base, "words", gram, group)
     # One entry a window; entry 0 stands for the document, which so stays in the stream without hits.
     entries = F.concat(F.array(F.struct(F.lit(0).alias("at"), F.lit(None).cast("long").alias("print"))), F.transform("least", lambda h, i: F.struct((i + 1).alias("at"), h.alias("print"))))
     passage = F.when(F.col("at") > 0, F.slice("words", F.col("at"), window)).alias("passage")
