@@ -50,15 +50,15 @@ def match_spans(text: Column, pattern: str) -> Column:
     totals = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda a, p: a + p["gap"] + p["len"]))
     heads = F.aggregate(totals, F.array(F.lit(0)), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + t)))
 
-    def block(b: Column, i: Column) -> Column:
-        begin = F.struct(F.element_at(heads, i + 1).alias("at"), F.array().cast(_SPAN).alias("out"))
+    def block(b: Column, head: Column) -> Column:
+        begin = F.struct(head.alias("at"), F.array().cast(_SPAN).alias("out"))
         step = lambda a, p: F.struct(
             (a["at"] + p["gap"] + p["len"]).alias("at"),
             F.concat(a["out"], F.array(F.struct((a["at"] + p["gap"]).alias("start"), (a["at"] + p["gap"] + p["len"]).alias("end")))).alias("out"),
         )
         return F.aggregate(b, begin, step)["out"]
 
-    return F.flatten(F.transform(blocks, block))
+    return F.flatten(F.zip_with(blocks, F.slice(heads, 1, F.size(blocks)), block))
 
 
 def _tail(z: Column) -> Column:
