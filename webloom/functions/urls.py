@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from webloom.functions import url_kernel
 
@@ -15,7 +16,7 @@ _ORIGIN = r"^(https?://[^/?#]+)"
 ASSET_ENDINGS = r"\.(css|js|mjs|png|jpe?g|gif|webp|avif|svg|pdf|zip|gz|tar|tgz|woff2?|ttf|otf|eot|mp4|webm|mp3|wav|ogg)$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normalize_url(raw: pd.Series, base: pd.Series) -> pd.Series:
     """Resolves and normalises; null where the text is no http(s) URL without credentials."""
     return pd.Series([url_kernel.normalize(r, b) for r, b in zip(raw, base, strict=True)], dtype=object)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from webloom.plans import crawl_queries, page_queries, record_queries  # noqa: F401  they register themselves
+from webloom.plans.registry import ORACLES, QUERIES
+
 FLAGSHIP = "link_edges"
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
