@@ -5,8 +5,8 @@ Two sets with Jaccard similarity of at least t share a token among the first
 x be the set whose prefix ends first in the order.  Every token that both sets have and x has
 in its prefix lies in y's prefix too, so the sets have at most ``c + n_x - p_x`` tokens in
 common, c being the tokens their prefixes share.  Pairs that can't reach the overlap which t
-asks for are dropped, first under the order that serves as the index (very frequent tokens
-last, else by hash), then under every other order (other hashes); what passes all of them is
+asks for are dropped, first under the order that serves as the index (frequent tokens last,
+as counted over the plain prefixes of all documents; else by hash), then under every other order (other hashes); what passes all of them is
 verified on the whole sets.
 
 Hot groups: documents with equal sets are one class from the start.  Within a token's list
@@ -33,7 +33,8 @@ _NO_ID = (1 << 63) - 1
 _U = np.uint64
 #: Ranks stay below 2**63, so they compare alike as signed integers.
 _LAST = _U(1 << 62)
-_FEW = 8
+#: A token in more prefixes than this counts as frequent.
+_FEW = 16
 
 
 def _sets(data: np.ndarray, at: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,24 +74,29 @@ def _rank(hashes: np.ndarray, order: int, frequent: np.ndarray | None = None) ->
     return ranked
 
 
-def _describe(shingle: int, percent: int) -> Callable:
-    """Per document: set size and set hash.  Per batch (id null): tokens that several prefixes share."""
+def _describe(shingle: int) -> Callable:
+    """Per document: set size and two hashes of its set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc").to_numpy(zero_copy_only=False)
-            heads = []
             for r0, r1, data, at in K.chunks(batch.column("text")):
                 hashes, rows_at = _sets(data, at, shingle)
-                n = np.diff(rows_at)
                 one = K.Prefix(hashes).spans(rows_at[:-1], rows_at[1:])
                 two = K.Prefix(K.mix(hashes)).spans(rows_at[:-1], rows_at[1:])
-                heads.append(_heads(hashes, rows_at, _prefix_sizes(n, percent), ordered=True))
-                yield pa.record_batch([pa.array(ids[r0:r1]), pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.nulls(r1 - r0, pa.int64())], ["doc", "n", "s1", "s2", "frequent"])
-            values, counts = np.unique(np.concatenate(heads) if heads else np.zeros(0, _U), return_counts=True)
-            values = values[counts >= _FEW]
-            none = pa.nulls(len(values), pa.int64())
-            yield pa.record_batch([none, pa.array(counts[counts >= _FEW]), none, none, pa.array(values.view(np.int64))], ["doc", "n", "s1", "s2", "frequent"])
+                yield pa.record_batch([batch.column("doc")[r0:r1], pa.array(np.diff(rows_at)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["doc", "n", "s1", "s2"])
+
+    return run
+
+
+def _least(shingle: int, percent: int) -> Callable:
+    """The tokens of all prefixes under plain hash order, repeats counted within a chunk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, at in K.chunks(batch.column("text")):
+                hashes, rows_at = _sets(data, at, shingle)
+                values, counts = np.unique(_heads(hashes, rows_at, _prefix_sizes(np.diff(rows_at), percent), ordered=True), return_counts=True)
+                yield pa.record_batch([pa.array(values.view(np.int64)), pa.array(counts)], ["token", "n"])
 
     return run
 
@@ -141,11 +147,11 @@ def _full(shingle: int, percent: int, orders: int) -> Callable:
 class _Join:
     def __init__(self, texts: DataFrame, percent: int, shingle: int, orders: int, wide: int):
         self.texts, self.percent, self.shingle, self.orders = texts, percent, shingle, orders
-        described = written(texts.mapInArrow(_describe(shingle, percent), "doc long, n long, s1 long, s2 long, frequent long"), "jaccard-sets")
-        self.members = described.where("doc is not null").drop("frequent")
+        self.members = written(texts.mapInArrow(_describe(shingle), "doc long, n long, s1 long, s2 long"), "jaccard-sets")
         # Only the speed of the index depends on this set, so its bound loses nothing.
-        often = described.where("frequent is not null").groupBy("frequent").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "frequent").limit(wide)
-        self.frequent = np.sort(np.array([r[0] for r in often.select("frequent").collect()], np.int64).view(_U))
+        often = texts.select("text").mapInArrow(_least(shingle, percent), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > _FEW)
+        often = often.orderBy(F.desc("n"), "token").limit(wide).select("token")
+        self.frequent = np.sort(np.array([r[0] for r in often.collect()], np.int64).view(_U))
         classes = self.members.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"))
         # Written before any use, so the numbers stay as they are.
         self.classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
@@ -200,7 +206,7 @@ class _Join:
         return written(pairs.where(100 * both >= self.percent * either).select(F.col("x").alias("u"), F.col("y").alias("v")).distinct(), "jaccard-links")
 
 
-def similar_documents(docs: DataFrame, percent: int = 85, shingle: int = 4, orders: int = 3, wide: int = 200_000) -> DataFrame:
+def similar_documents(docs: DataFrame, percent: int = 85, shingle: int = 4, orders: int = 3, wide: int = 500_000) -> DataFrame:
     """Links documents whose sets of ``shingle``-word shingles have Jaccard similarity of ``percent``/100 or more.
 
     ``docs``: doc_id, text; more columns are ignored.  Words lie between ASCII white space,
