@@ -56,8 +56,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Makes this package importable on executors, whatever their PYTHONPATH is."""
+    """Makes this package importable on executors, whatever their PYTHONPATH is.
+
+    Rows here are whole texts, so Arrow batches of Spark's default of 10,000 rows would take
+    much memory off the heap; the default, and no other setting, is lowered.
+    """
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, "1000")
     sc = spark.sparkContext
     if getattr(sc, "_webloom_shipped", False):
         return
