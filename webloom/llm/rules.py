@@ -75,19 +75,25 @@ def _repetition(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarra
     return np.bincount(r[heads], minlength=n).astype(float), most
 
 
-def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for r0, r1, data, at in K.chunks(batch.column("_text")):
-            values = statistics(data, at)
-            yield pa.record_batch([*(c[r0:r1] for c in batch.columns[:-1]), *(pa.array(v) for v in values.T)], [*batch.schema.names[:-1], *(f"_{s}" for s in STATISTICS)])
+def _measure(text: int, kept: int) -> Callable:
+    """Statistics of column number ``text``; the first ``kept`` columns pass through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r0, r1, data, at in K.chunks(batch.column(text)):
+                values = statistics(data, at)
+                yield pa.record_batch([*(c[r0:r1] for c in batch.columns[:kept]), *(pa.array(v) for v in values.T)], [*batch.schema.names[:kept], *(f"_{s}" for s in STATISTICS)])
+
+    return run
 
 
 def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The kept columns and the statistics of each text, in columns that begin with an underscore."""
     ship_package(docs.sparkSession)
-    frame = docs.select(*keep, F.col("text").alias("_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1]] + [f"_{s} double" for s in STATISTICS]
-    return frame.mapInArrow(_measure, ", ".join(fields))
+    columns = keep if "text" in keep else [*keep, "text"]
+    frame = docs.select(*columns)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[: len(keep)]] + [f"_{s} double" for s in STATISTICS]
+    return frame.mapInArrow(_measure(columns.index("text"), len(keep)), ", ".join(fields))
 
 
 def held_out(doc_id: Column) -> Column:
