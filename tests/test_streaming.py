@@ -12,8 +12,11 @@ def run(spark, df, transform, tmp_path, parts=3, mode="update"):
     for i in range(parts):
         df.where(F.col("_part") == i).drop("_part").coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(df.drop("_part").schema).option("maxFilesPerTrigger", 1).parquet(source)
-    q = transform(stream).writeStream.outputMode(mode).option("checkpointLocation", str(tmp_path / "check")).foreachBatch(lambda b, _: out.extend(b.collect())).trigger(availableNow=True).start()
-    q.awaitTermination()
+    q = transform(stream).writeStream.outputMode(mode).option("checkpointLocation", str(tmp_path / "check")).foreachBatch(lambda b, _: out.extend(b.collect())).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
     return out
 
 
@@ -35,7 +38,7 @@ def test_permits_and_leases(spark, tmp_path):
     assert got == {1: True, 2: True, 3: False, 4: True, 5: True, 6: True, 7: False}
     rows = [(1, 1, "enqueued", None, 0), (1, 2, "leased", 9, 0), (2, 1, "leased", 9, 0), (1, 2, "handled", None, 1), (1, 3, "handled", None, 1), (3, 1, "enqueued", None, 2)]
     df = spark.createDataFrame(rows, "request_id long, sequence long, type string, expires_at long, _part int")
-    last = {r.request_id: (r.state, r.sequence, r.rejected) for r in run(spark, df, S.leases, tmp_path / "l")}
+    last = {r.request_id: (r.state, r.sequence, r.rejected) for r in run(spark, df, lambda s: S.leases(s, None), tmp_path / "l")}
     assert last == {1: ("terminal", 3, 1), 2: ("unknown", 0, 1), 3: ("pending", 1, 0)}
 
 

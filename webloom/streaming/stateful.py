@@ -44,14 +44,17 @@ def throttled(stream: DataFrame, *, start: float = 100, low: float = 0, high: fl
     return stream.groupBy("origin").applyInPandasWithState(run, "origin string, outcomes long, delay_ms long", "delay double, seen long", "update", GroupStateTimeout.NoTimeout)
 
 
-def leases(stream: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
+def leases(stream: DataFrame, timeout_ms: int | None = 60_000) -> DataFrame:
     """State of each request after journal rows (request_id, sequence, type, at, expires_at).
 
     Rows that may not follow the state, or come with an old sequence, are rejected as stale.
-    A leased request that no row touches for ``timeout_ms`` goes back to pending by a timer.
+    A leased request that no row touches for ``timeout_ms`` goes back to pending by a timer;
+    with timers the query runs batches without data too, so it never becomes idle.
     """
     ship_package(stream.sparkSession)
 
+    timeout = GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+
     def run(key: tuple[Any, ...], frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last, sequence, rejected, expires = state.get if state.exists else ("", 0, 0, 0)
         if state.hasTimedOut:
@@ -65,11 +68,11 @@ def leases(stream: DataFrame, timeout_ms: int = 60_000) -> DataFrame:
                 expires = int(r.expires_at) if r.expires_at == r.expires_at and r.expires_at is not None else 0
         kind = "terminal" if last in TERMINAL else "in_progress" if last in ("leased", "renewed") else "pending" if last else "unknown"
         state.update((last, sequence, rejected, expires))
-        if kind == "in_progress":
+        if kind == "in_progress" and timeout_ms is not None:
             state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame({"request_id": [key[0]], "state": [kind], "sequence": [sequence], "rejected": [rejected]})
 
-    return stream.groupBy("request_id").applyInPandasWithState(run, "request_id long, state string, sequence long, rejected long", "last string, sequence long, rejected long, expires long", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return stream.groupBy("request_id").applyInPandasWithState(run, "request_id long, state string, sequence long, rejected long", "last string, sequence long, rejected long, expires long", "update", timeout)
 
 
 def permits(stream: DataFrame, limit: int = 2, ttl: int = 60) -> DataFrame:
