@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 
 from webloom.shared import ship_package
 
-_CACHED_WORDS = 300_000
-_BATCH_CHARS = 4_000_000
+# Bounds of what a worker keeps between batches; reaching one only costs time.
+_CACHED_WORDS = 100_000
+_CACHED_PAIRS = 150_000
+_BATCH_CHARS = 1_000_000
 
 
 def byte_alphabet() -> list[str]:
@@ -57,7 +59,7 @@ class WordBpe:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
-        self.apart = lru_cache(maxsize=500_000)(self._apart)
+        self.apart = lru_cache(maxsize=_CACHED_PAIRS)(self._apart)
         self.cache: dict[str, tuple[bytes, str]] = {t: (np.array([i], "<u4").tobytes(), t) for t, i in self.special.items()}
 
     def merged(self, symbols: list[str]) -> list[str]:
@@ -106,7 +108,7 @@ class WordBpe:
                 return token
         raise ValueError(f"no token for {word!r}")
 
-    @lru_cache(maxsize=200_000)  # noqa: B019  one encoder lives as long as its worker
+    @lru_cache(maxsize=50_000)  # noqa: B019  one encoder lives as long as its worker
     def whole(self, token: str, last: bool) -> bool:
         return self.merged(self._symbols(token, last)) == [token + self.end if last else token]
 
