@@ -5,8 +5,10 @@ Two sets with Jaccard similarity of at least t share a token among the first
 x be the set whose prefix ends first in the order.  Every token that both sets have and x has
 in its prefix lies in y's prefix too, so the sets have at most ``c + n_x - p_x`` tokens in
 common, c being the tokens their prefixes share.  Pairs that can't reach the overlap which t
-asks for are dropped, first under the order that serves as the index (frequent tokens last,
-as counted over the plain prefixes of all documents; else by hash), then under every other order (other hashes); what passes all of them is
+asks for are dropped.  Under the order that serves as the index (frequent tokens last, as
+counted over the plain prefixes of all documents; else by hash) this happens before a pair is
+made: only the rarest tokens of x's prefix may bring it, see ``candidates``.  Under every other
+order (other hashes) the bound is computed from both prefixes; what passes all of them is
 verified on the whole sets.
 
 Hot groups: documents with equal sets are one class from the start.  Within a token's list
@@ -23,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from webloom.llm import kernels as K
 from webloom.llm.components import components
@@ -157,16 +160,19 @@ class _Join:
         self.classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
 
     def lists(self) -> DataFrame:
-        """Token lists with at least two classes: token, node, and the node's n, copies, p and the end of its prefix."""
+        """Token lists with at least two classes: token, node, n, copies, the end of the node's prefix, and the token's place by rarity in it."""
         rows = self.texts.mapInArrow(_prefixes(self.shingle, self.percent, self.frequent), "doc long, s1 long, index array<long>")
         # A repeated row brings one row more for its class; lists are distinct.
         rows = rows.join(self.classes.select("doc", "s1", "node", "n", "copies").hint("merge"), ["doc", "s1"])
         rows = written(rows.select("node", "n", "copies", "index"), "jaccard-prefixes")
         tokens = rows.select("node", F.explode("index").alias("token"))
-        shared = written(tokens.groupBy("token").agg(F.count("*").alias("size")).where("size > 1").select("token"), "jaccard-shared")
-        lists = tokens.join(shared.hint("merge"), "token").distinct()
+        shared = written(tokens.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "jaccard-shared")
+        lists = tokens.join(shared.hint("merge"), "token").dropDuplicates(["node", "token"])
         ends = rows.select("node", "n", "copies", F.size("index").alias("p"), F.element_at("index", -1).alias("last")).dropDuplicates(["node"])
-        return written(lists.join(ends.hint("merge"), "node").select("token", "node", "n", "copies", "p", "last"), "jaccard-lists")
+        own = Window.partitionBy("node")
+        # Tokens that no other class has are the rarest; they take the first places without a list.
+        rare = F.col("p") - F.count("*").over(own) + F.row_number().over(own.orderBy("size", "token"))
+        return written(lists.join(ends.hint("merge"), "node").select("token", "node", "n", "copies", "last", rare.alias("rare")), "jaccard-lists")
 
     def fits(self, a: str, b: str):
         """Sizes that allow the threshold."""
@@ -177,13 +183,17 @@ class _Join:
         return F.expr(f"{100 + self.percent} * ({shared}) >= {self.percent} * ({a} + {b})")
 
     def candidates(self, met: DataFrame) -> DataFrame:
-        """Rows (one for each shared prefix token) of node, n, p, last and node2, n2, p2, last2 to pairs within the bound."""
+        """Distinct pairs from rows of a shared token: node, n, last, rare and node2, n2, last2, rare2.
+
+        Let x be the side whose prefix ends first.  A link leaves at most n - overlap tokens of x
+        out of y, so of the n - overlap + 1 rarest tokens of its prefix one is shared: a token of
+        a later place by rarity needn't bring the pair.
+        """
         flip = "node > node2"
         sides = [F.expr(f"if({flip}, {a}, {b})").alias(c) for a, b, c in (("node2", "node", "x"), ("node", "node2", "y"))]
-        room = F.when(F.col("last") <= F.col("last2"), F.col("n") - F.col("p")).otherwise(F.col("n2") - F.col("p2")).alias("room")
-        pairs = met.where(self.fits("n", "n2")).select(*sides, F.least("n", "n2").alias("low"), F.greatest("n", "n2").alias("high"), room)
-        pairs = pairs.groupBy("x", "y", "low", "high", "room").agg(F.count("*").alias("c"))
-        return pairs.where(self.enough("c + room", "low", "high")).select("x", "y")
+        early = F.when(F.col("last") <= F.col("last2"), F.col("n") - F.col("rare") + 1).otherwise(F.col("n2") - F.col("rare2") + 1)
+        needed = (100 + self.percent) * early >= self.percent * (F.col("n") + F.col("n2"))
+        return met.where(self.fits("n", "n2") & needed).select(*sides).distinct()
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (x, y), written before, that link: filtered under the other orders, then verified on whole sets."""
@@ -222,12 +232,12 @@ def similar_documents(docs: DataFrame, percent: int = 85, shingle: int = 4, orde
     join = _Join(texts, percent, shingle, orders, wide)
     lists = join.lists()
 
-    side = ["node", "n", "p", "last"]
+    side = ["node", "n", "last", "rare"]
     twin = [F.col(c).alias(f"{c}2") for c in side]
-    centre = lists.groupBy("token").agg(F.max(F.struct("copies", (-F.col("node")).alias("least"), "n", "p", "last")).alias("c"))
+    centre = lists.groupBy("token").agg(F.max(F.struct("copies", (-F.col("node")).alias("least"), "n", "last", "rare")).alias("c"))
     centre = centre.select("token", (-F.col("c.least")).alias("node2"), *(F.col(f"c.{c}").alias(f"{c}2") for c in side[1:]))
-    # A pair with a centre sees only the lists that share this centre, so the bound may drop
-    # it here; it comes back below unless its sides were joined otherwise.
+    # A pair with a centre sees only the lists that share this centre and may be missed here;
+    # it comes back below unless its sides were joined otherwise.
     stars = written(join.candidates(lists.join(centre.hint("merge"), "token").where("node <> node2")), "jaccard-stars")
     roots = components(join.links(stars))
 
@@ -235,7 +245,6 @@ def similar_documents(docs: DataFrame, percent: int = 85, shingle: int = 4, orde
     placed = lists.join(roots.withColumnRenamed("root", "top").hint("merge"), "node", "left").select("token", *side, F.coalesce("top", "node").alias("top"))
     split = placed.groupBy("token").agg(F.min("top").alias("low"), F.max("top").alias("high")).where("low < high").select("token")
     apart = written(placed.join(split.hint("merge"), "token"), "jaccard-apart")
-    # Each token of a pair in different components shows here, so its count is whole.
     rest = apart.join(apart.select("token", *twin, F.col("top").alias("top2")).hint("merge"), "token").where("node < node2 and top <> top2")
     rest = written(join.candidates(rest).join(stars.hint("merge"), ["x", "y"], "left_anti"), "jaccard-rest")
     more = join.links(rest)
@@ -255,3 +264,15 @@ def similar_documents(docs: DataFrame, percent: int = 85, shingle: int = 4, orde
 
 def op9_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return similar_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 85 * (a.n + b.n - i)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS t FROM w UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.t)
+SELECT w.doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.t) AS component_id FROM w JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY 1
+"""
