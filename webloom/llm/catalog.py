@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from webloom.llm.bpe import op3_bpe_encoding
 from webloom.llm.chroma import op1_chroma_fingerprints
-from webloom.llm.jaccard import op9_ngram_jaccard_join
+from webloom.llm.jaccard import OP9_SQL, op9_ngram_jaccard_join
 from webloom.llm.rules import op8_quality_classifier
 from webloom.llm.secrets import op7_secret_scans
-from webloom.llm.substring import op6_substring_dedup
-from webloom.llm.suffix_array import op2_suffix_array_dedup
+from webloom.llm.substring import OP6_SQL, op6_substring_dedup
+from webloom.llm.suffix_array import OP2_SQL, op2_suffix_array_dedup
 from webloom.llm.token_counts import op10_token_counts
 from webloom.llm.warc import op4_warc_derivatives
 from webloom.llm.winnowing import OP5_SQL, op5_benchmark_decontamination
@@ -30,4 +30,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_benchmark_decontamination": OP5_SQL}
+    return {
+        "op2_suffix_array_dedup": OP2_SQL,
+        "op5_benchmark_decontamination": OP5_SQL,
+        "op6_substring_dedup": OP6_SQL,
+        "op9_ngram_jaccard_join": OP9_SQL,
+    }

@@ -75,3 +75,18 @@ def dedup_bytes(docs: DataFrame, window: int = 200, gram: int = 64, hot: int = 8
 def op2_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
     out = dedup_bytes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.col("n").alias("n_bytes"), "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+i AS (SELECT doc_id, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d WHERE octet_length(b) >= 200),
+h AS (SELECT doc_id, i, md5(hex(array_slice(b, i, i + 199))) AS h FROM i),
+r AS (SELECT doc_id, i FROM h QUALIFY count(*) OVER (PARTITION BY h) > 1),
+s AS (SELECT doc_id, i, i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 AS gap FROM r),
+t AS (SELECT doc_id, i, sum(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM s),
+u AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM t GROUP BY doc_id, island),
+v AS (SELECT u.doc_id, a, z, hex(array_slice(b, coalesce(lag(z) OVER (PARTITION BY u.doc_id ORDER BY a), 1), a - 1)) AS before FROM u JOIN d ON d.doc_id = u.doc_id),
+k AS (SELECT doc_id, count(*) AS n, sum(z - a) AS removed, max(z) AS z, string_agg(before, '' ORDER BY a) AS before FROM v GROUP BY doc_id)
+SELECT d.doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(k.n, 0) AS BIGINT) AS n_spans,
+ sha256(unhex(coalesce(before, '') || hex(array_slice(b, coalesce(k.z, 1), octet_length(b))))) AS kept_sha256 FROM d LEFT JOIN k ON k.doc_id = d.doc_id
+"""
