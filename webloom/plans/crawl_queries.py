@@ -212,3 +212,50 @@ def stale_workers(spark, d):
     last = events.groupBy("user_id").agg(F.max("ts").alias("last"))
     cut = last.agg((F.max("last") - F.expr("interval 1 day")).alias("cut"))
     return last.join(F.broadcast(cut)).select("user_id", (F.col("last") < F.col("cut")).alias("stale"))
+
+
+@query("""WITH c AS (SELECT user_id % 6 AS run, user_id AS ordinal, count(*) AS entries FROM events GROUP BY 1, 2), b AS (SELECT *, coalesce(sum(entries) OVER (PARTITION BY run ORDER BY ordinal ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
+SELECT run, ordinal, entries, CAST(greatest(0, least(entries, 50 - before)) AS BIGINT) AS taken FROM b""")
+def sitemap_entry_cap(spark, d):
+    from webloom.operators.sitemaps import running_cap
+
+    counts = table(spark, d, "events").groupBy((F.col("user_id") % 6).alias("run"), F.col("user_id").alias("ordinal")).agg(F.count("*").alias("entries"))
+    return running_cap(counts, 50).select("run", "ordinal", "entries", F.col("taken").cast("long").alias("taken"))
+
+
+@query(f"""WITH p AS ({P}), s AS (SELECT regexp_extract(u, '^(https?://[^/?#]+)', 1) AS key, min(page_id) AS m FROM p GROUP BY 1)
+SELECT 'robots' AS entity, key, CASE WHEN m % 4 = 0 THEN 'appeared' WHEN m % 4 = 1 THEN 'disappeared' ELSE 'robots-changed' END AS kind FROM s WHERE m % 4 < 3""")
+def diff_robots(spark, d):
+    from webloom.operators.diff import compare
+
+    u = U.without_fragment(F.col("url"))
+    origins = table(spark, d, "pages").groupBy(U.origin(u).alias("origin")).agg(F.min("page_id").alias("m"))
+    rules = origins.withColumn("groups", F.lit(1)).withColumn("sitemaps", F.array(F.lit("a")))
+    base, target = rules.where("m % 4 <> 0"), rules.where("m % 4 <> 1").withColumn("groups", F.when(F.col("m") % 4 == 2, 2).otherwise(F.col("groups")))
+    return compare(base, target, "robots", "origin", {"robots": F.struct("groups", "sitemaps")})
+
+
+@query("""SELECT event_id, s BETWEEN 200 AND 399 AS ok, s IN (301, 302, 303, 307, 308) AS redirect, s IN (429, 500, 502, 503, 504) AS retryable FROM (SELECT event_id, list_extract([200, 204, 301, 304, 308, 404, 429, 503], CAST(event_id % 8 + 1 AS BIGINT)) AS s FROM events)""")
+def status_predicates(spark, d):
+    from webloom.operators import classify as C
+
+    status = F.element_at(F.array(*(F.lit(x) for x in (200, 204, 301, 304, 308, 404, 429, 503))), (F.col("event_id") % 8 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", C.ok(status).alias("ok"), C.is_redirect(status).alias("redirect"), C.is_retryable(status).alias("retryable"))
+
+
+@query(f"""WITH p AS ({P}), h AS (SELECT page_id, regexp_extract(u, '^https?://([^/?#:]+)', 1) AS h, regexp_extract(u, '^(https?://[^/?#]+)', 1) AS o FROM p)
+SELECT page_id, o = 'https://example.com' AS by_origin, h = 'example.com' AS by_host, h = 'example.com' OR h LIKE '%.example.com' AS by_domain FROM h""")
+def scope_modes(spark, d):
+    u, seed = U.without_fragment(F.col("url")), F.lit("https://example.com/x")
+    return table(spark, d, "pages").select("page_id", *(Sc.in_mode(u, seed, m).alias(f"by_{m}") for m in ("origin", "host", "domain")))
+
+
+@query(f"""WITH {SEEDS} SELECT origin, ordinal, seed_url FROM o""")
+def seeds(spark, d):
+    return _seeds(table(spark, d, "pages")).select("origin", "ordinal", "seed_url")
+
+
+@query(f"""WITH {INPUTS}, g AS (SELECT seed_url, url, count(*) OVER (PARTITION BY url) AS c FROM i) SELECT coalesce(seed_url, '-') AS seed_url, count(*) AS discovered, count(DISTINCT url) AS distinct_urls FROM g GROUP BY 1""")
+def discovery_counts(spark, d):
+    rows = _inputs(spark, d)
+    return rows.groupBy(F.coalesce("seed_url", F.lit("-")).alias("seed_url")).agg(F.count("*").alias("discovered"), F.countDistinct("url").alias("distinct_urls"))
