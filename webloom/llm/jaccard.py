@@ -29,7 +29,7 @@ from pyspark.sql.window import Window
 
 from webloom.llm import kernels as K
 from webloom.llm.components import components
-from webloom.shared import ship_package, written
+from webloom.shared import discard, ship_package, written
 
 #: Null ids take this value inside the plan, so they are never the least of a component.
 _NO_ID = (1 << 63) - 1
@@ -124,8 +124,8 @@ def _prefixes(shingle: int, percent: int, frequent: np.ndarray) -> Callable:
     return run
 
 
-def _full(shingle: int, percent: int, orders: int) -> Callable:
-    """Whole sets, and prefixes under the other orders, of the nodes that each text is asked for.
+def _asked(shingle: int, describe: Callable) -> Callable:
+    """Sets of the nodes that each text is asked for, as ``describe(hashes, row offsets)`` has them.
 
     A text is asked for more than one node only where ids repeat.
     """
@@ -135,18 +135,41 @@ def _full(shingle: int, percent: int, orders: int) -> Callable:
             asked = batch.column("asked").to_pylist()
             for r0, r1, data, at in K.chunks(batch.column("text")):
                 hashes, rows_at = _sets(data, at, shingle)
-                n = np.diff(rows_at)
-                take = _prefix_sizes(n, percent)
                 one = K.Prefix(hashes).spans(rows_at[:-1], rows_at[1:]).view(np.int64)
                 nodes = np.array([next((x["node"] for x in asked[r0 + r] if x["s1"] == one[r]), -1) for r in range(r1 - r0)])
-                columns = [pa.array(nodes), pa.array(n), _arrays(hashes, n, np.int64)]
-                columns += [_arrays(_heads(_rank(hashes, 2 + i), rows_at, take), take, np.int64) for i in range(orders - 1)]
+                columns = {"node": pa.array(nodes)} | describe(hashes, rows_at)
                 keep = pa.array(nodes >= 0)
-                yield pa.record_batch([c.filter(keep) for c in columns], ["node", "n", "items", *(f"o{i}" for i in range(orders - 1))])
+                yield pa.record_batch([c.filter(keep) for c in columns.values()], list(columns))
 
     return run
 
 
+def _whole(hashes: np.ndarray, rows_at: np.ndarray) -> dict[str, pa.Array]:
+    return {"items": _arrays(hashes, np.diff(rows_at), np.int64)}
+
+
+def _other_orders(percent: int, orders: int) -> Callable:
+    """Prefixes under the other orders, tokens cut to 32 bits; ``slack`` counts tokens that this makes equal."""
+
+    def describe(hashes: np.ndarray, rows_at: np.ndarray) -> dict[str, pa.Array]:
+        n = np.diff(rows_at)
+        take = _prefix_sizes(n, percent)
+        ends = np.cumsum(take)
+        out = {"n": pa.array(n), "p": pa.array(take)}
+        for i in range(orders - 1):
+            ranks = _heads(_rank(hashes, 2 + i), rows_at, take)
+            short = (ranks & _U(0xFFFFFFFF)).astype(np.uint32)
+            rows = np.repeat(np.arange(len(take)), take)
+            order = np.lexsort((short, rows))
+            same = (np.diff(short[order]) == 0) & (np.diff(rows[order]) == 0)
+            last = np.zeros(len(take), np.int64)
+            last[take > 0] = ranks[ends[take > 0] - 1].view(np.int64)
+            out |= {f"o{i}": _arrays(short, take, np.int32), f"last{i}": pa.array(last), f"slack{i}": pa.array(np.bincount(rows[order][1:][same], minlength=len(take)))}
+        return out
+
+    return describe
+
+
 class _Join:
     def __init__(self, texts: DataFrame, percent: int, shingle: int, orders: int, wide: int):
         self.texts, self.percent, self.shingle, self.orders = texts, percent, shingle, orders
@@ -172,7 +195,9 @@ class _Join:
         own = Window.partitionBy("node")
         # Tokens that no other class has are the rarest; they take the first places without a list.
         rare = F.col("p") - F.count("*").over(own) + F.row_number().over(own.orderBy("size", "token"))
-        return written(lists.join(ends.hint("merge"), "node").select("token", "node", "n", "copies", "last", rare.alias("rare")), "jaccard-lists")
+        out = written(lists.join(ends.hint("merge"), "node").select("token", "node", "n", "copies", "last", rare.alias("rare")), "jaccard-lists")
+        discard(rows, shared)
+        return out
 
     def fits(self, a: str, b: str):
         """Sizes that allow the threshold."""
@@ -195,25 +220,35 @@ class _Join:
         needed = (100 + self.percent) * early >= self.percent * (F.col("n") + F.col("n2"))
         return met.where(self.fits("n", "n2") & needed).select(*sides).distinct()
 
+    def asked(self, pairs: DataFrame, describe: Callable, schema: str, name: str) -> DataFrame:
+        nodes = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
+        asked = self.classes.join(nodes.hint("merge"), "node", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("s1", "node")).alias("asked"))
+        return written(self.texts.join(asked.hint("merge"), "doc").mapInArrow(_asked(self.shingle, describe), f"node long, {schema}"), name)
+
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (x, y), written before, that link: filtered under the other orders, then verified on whole sets."""
-        others = [f"o{i}" for i in range(self.orders - 1)]
-        asked = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
-        asked = self.classes.join(asked.hint("merge"), "node", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("s1", "node")).alias("asked"))
-        schema = "node long, n long, items array<long>" + "".join(f", {o} array<long>" for o in others)
-        sets = written(self.texts.join(asked.hint("merge"), "doc").mapInArrow(_full(self.shingle, self.percent, self.orders), schema), "jaccard-items")
+        numbers = range(self.orders - 1)
+        fields = ["n long", "p long", *(f"o{i} array<int>, last{i} long, slack{i} long" for i in numbers)]
+        prefixes = self.asked(pairs, _other_orders(self.percent, self.orders), ", ".join(fields), "jaccard-orders")
+        names = [c for c in prefixes.columns if c != "node"]
+        both = pairs
         for side in "xy":
-            pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), *(F.col(o).alias(f"{side}_{o}") for o in others)).hint("merge"), side)
-        for o in others:
-            c, x, y = f"size(array_intersect(x_{o}, y_{o}))", f"x_{o}", f"y_{o}"
-            room = f"if(element_at({x}, -1) <= element_at({y}, -1), x_n - size({x}), y_n - size({y}))"
-            pairs = pairs.where(F.arrays_overlap(x, y) & self.enough(f"{c} + {room}", "x_n", "y_n"))
-        pairs = pairs.select("x", "y").distinct()
+            both = both.join(prefixes.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in names)).hint("merge"), side)
+        for i in numbers:
+            shared = f"size(array_intersect(x_o{i}, y_o{i})) + x_slack{i}"
+            room = f"if(x_last{i} <= y_last{i}, x_n - x_p, y_n - y_p)"
+            both = both.where(F.arrays_overlap(f"x_o{i}", f"y_o{i}") & self.enough(f"{shared} + {room}", "x_n", "y_n"))
+        few = written(both.select("x", "y").distinct(), "jaccard-candidates")
+        discard(prefixes)
+        sets = self.asked(few, _whole, "items array<long>", "jaccard-items")
+        both = few
         for side in "xy":
-            pairs = pairs.join(sets.select(F.col("node").alias(side), F.col("items").alias(f"{side}_items")).hint("merge"), side)
-        both = F.size(F.array_intersect("x_items", "y_items"))
-        either = F.size("x_items") + F.size("y_items") - both
-        return written(pairs.where(100 * both >= self.percent * either).select(F.col("x").alias("u"), F.col("y").alias("v")).distinct(), "jaccard-links")
+            both = both.join(sets.select(F.col("node").alias(side), F.col("items").alias(f"{side}_items")).hint("merge"), side)
+        common = F.size(F.array_intersect("x_items", "y_items"))
+        either = F.size("x_items") + F.size("y_items") - common
+        found = written(both.where(100 * common >= self.percent * either).select(F.col("x").alias("u"), F.col("y").alias("v")).distinct(), "jaccard-links")
+        discard(sets, few)
+        return found
 
 
 def similar_documents(docs: DataFrame, percent: int = 85, shingle: int = 4, orders: int = 3, wide: int = 500_000) -> DataFrame:
@@ -247,6 +282,7 @@ def similar_documents(docs: DataFrame, percent: int = 85, shingle: int = 4, orde
     apart = written(placed.join(split.hint("merge"), "token"), "jaccard-apart")
     rest = apart.join(apart.select("token", *twin, F.col("top").alias("top2")).hint("merge"), "token").where("node < node2 and top <> top2")
     rest = written(join.candidates(rest).join(stars.hint("merge"), ["x", "y"], "left_anti"), "jaccard-rest")
+    discard(lists, apart)
     more = join.links(rest)
     roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
 
