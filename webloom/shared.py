@@ -53,7 +53,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     del df
     gc.collect()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that no plan reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
