@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15 | 1
