@@ -12,8 +12,8 @@ order (other hashes) the bound is computed from both prefixes; what passes all o
 verified on the whole sets.
 
 Hot groups: documents with equal sets are one class from the start.  Within a token's list
-every class is first compared with one centre only (the class with most copies), which joins
-groups of thousands of near copies in linear work; what is then still in different components
+every class is first compared with one centre only, the class with the least share of tokens
+of its own (what copies were made from has none, each edit adds some), which joins groups of thousands of near copies in linear work; what is then still in different components
 of a list is compared in full, so no link that joins two components is missed.
 """
 
@@ -183,7 +183,7 @@ class _Join:
         self.classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
 
     def lists(self) -> DataFrame:
-        """Token lists with at least two classes: token, node, n, copies, the end of the node's prefix, and the token's place by rarity in it."""
+        """Token lists with at least two classes: token, node, n, copies, the end of the node's prefix, the token's place by rarity in it, and the share of tokens that no other class has."""
         rows = self.texts.mapInArrow(_prefixes(self.shingle, self.percent, self.frequent), "doc long, s1 long, index array<long>")
         # A repeated row brings one row more for its class; lists are distinct.
         rows = rows.join(self.classes.select("doc", "s1", "node", "n", "copies").hint("merge"), ["doc", "s1"])
@@ -194,8 +194,9 @@ class _Join:
         ends = rows.select("node", "n", "copies", F.size("index").alias("p"), F.element_at("index", -1).alias("last")).dropDuplicates(["node"])
         own = Window.partitionBy("node")
         # Tokens that no other class has are the rarest; they take the first places without a list.
-        rare = F.col("p") - F.count("*").over(own) + F.row_number().over(own.orderBy("size", "token"))
-        out = written(lists.join(ends.hint("merge"), "node").select("token", "node", "n", "copies", "last", rare.alias("rare")), "jaccard-lists")
+        lone = F.col("p") - F.count("*").over(own)
+        rare = lone + F.row_number().over(own.orderBy("size", "token"))
+        out = written(lists.join(ends.hint("merge"), "node").select("token", "node", "n", "copies", "last", rare.alias("rare"), (lone / F.col("p")).alias("lone")), "jaccard-lists")
         discard(rows, shared)
         return out
 
@@ -269,7 +270,7 @@ def similar_documents(docs: DataFrame, percent: int = 85, shingle: int = 4, orde
 
     side = ["node", "n", "last", "rare"]
     twin = [F.col(c).alias(f"{c}2") for c in side]
-    centre = lists.groupBy("token").agg(F.max(F.struct("copies", (-F.col("node")).alias("least"), "n", "last", "rare")).alias("c"))
+    centre = lists.groupBy("token").agg(F.max(F.struct((-F.col("lone")).alias("common"), "copies", (-F.col("node")).alias("least"), "n", "last", "rare")).alias("c"))
     centre = centre.select("token", (-F.col("c.least")).alias("node2"), *(F.col(f"c.{c}").alias(f"{c}2") for c in side[1:]))
     # A pair with a centre sees only the lists that share this centre and may be missed here;
     # it comes back below unless its sides were joined otherwise.
