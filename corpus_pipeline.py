@@ -46,8 +46,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 7: secrets are replaced by a mark in the text; every document stays."""
     found = scan_secrets(docs, keep=docs.columns)
     marked = F.size("spans") > 0
-    text = redacted(F.col("text"), F.col("spans"))
-    new = {"text": text, "n_chars": F.when(marked, F.length(text).cast("long")).otherwise(F.col("n_chars"))}
+    # A column of its own: its length must not evaluate the replacement a second time.
+    found = found.withColumn("_new", redacted(F.col("text"), F.col("spans")))
+    new = {"text": F.col("_new"), "n_chars": F.when(marked, F.length("_new").cast("long")).otherwise(F.col("n_chars"))}
     return found.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
 
 
