@@ -1,9 +1,13 @@
+import os
 import random
 
 import numpy as np
+import pytest
 
 from webloom.llm.chroma import Audio, align, chroma, fingerprint, fingerprints
 
+DATA = "/root/testdata/sf0.001"
+
 
 def sounds(seed=1, n=120):
     r = random.Random(seed)
@@ -75,3 +79,42 @@ def test_kernel_basics():
 
 def test_empty_table(spark):
     assert align(fingerprints(spark.createDataFrame([], "doc_id long, text string"))).count() == 0
+
+
+def edited(sound, places):
+    out = bytearray(sound)
+    for i in places:
+        out[i : i + 6] = bytes(x ^ 31 for x in out[i : i + 6])
+    return bytes(out)
+
+
+def found_and_wanted(spark, rows, every):
+    prints = fingerprints(spark.createDataFrame(rows, "doc_id long, sound binary"), sound_column="sound")
+    raw = [(r.doc, np.array(r.print, np.int32).view(np.uint32)) for r in prints.collect()]
+    found = {(r.class_id, r.match_class) for r in align(prints, every=every).collect() if r.match_class is not None}
+    return found, brute(raw, every, 8, 0.2)
+
+
+def test_edits_in_every_stretch_and_short_overlaps(spark):
+    r = np.random.default_rng(3)
+    size = 704 + 64 * 176  # 177 integers
+    rows = []
+    for i in range(4):
+        whole = r.integers(0, 256, size, np.uint8).tobytes()
+        rest = r.integers(0, 256, size, np.uint8).tobytes()
+        rows += [(10 * i, whole), (10 * i + 1, edited(whole, range(size // 16, size, size // 8))), (10 * i + 2, whole[64 * 130 : 64 * 130 + 704 + 64 * 9] + rest)]
+        rows.append((10 * i + 3, whole[64 * (150 + i) :]))
+    found, want = found_and_wanted(spark, rows, 10)
+    assert {(10 * i, 10 * i + k) for i in range(4) for k in (1, 3)} <= want
+    assert found == want
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_real_documents_with_edits(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").where("octet_length(text) between 2000 and 9000").orderBy("doc_id").limit(20).collect()
+    sounds = [r.text.encode() for r in docs]
+    rows = [(10 * i, s) for i, s in enumerate(sounds)] + [(10 * i + 1, edited(s, range(len(s) // 16, len(s), max(900, len(s) // 8)))) for i, s in enumerate(sounds)]
+    found, want = found_and_wanted(spark, rows, 10)
+    planted = {(10 * i, 10 * i + 1) for i in range(len(sounds))} & want
+    assert len(planted) >= 5
+    assert planted <= found <= want

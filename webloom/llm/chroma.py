@@ -20,7 +20,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from webloom.llm import kernels as K
 from webloom.shared import ship_package, written
@@ -124,14 +123,14 @@ def _overlap(a: str, b: str, offset: str) -> tuple:
     return F.expr(f"slice({a}, greatest(0, -{offset}) + 1, {size})"), F.expr(f"slice({b}, greatest(0, {offset}) + 1, {size})")
 
 
-def align(prints: DataFrame, every: int = 50, parts: int = 8, least_overlap: int = 8, error_rate: float = 0.2) -> DataFrame:
+def align(prints: DataFrame, every: int = 50, least_overlap: int = 8, error_rate: float = 0.2) -> DataFrame:
     """Searches all recordings for material of the queries (ids divisible by ``every``).
 
     ``prints``: doc, print (see ``fingerprints``).  Recordings with equal prints are one class.
-    A class with a query looks up the rarest integer (over the whole corpus) of each of its
-    ``parts`` equal stretches: neighbouring integers rest on the same frames, so spread ones
-    survive a local difference better than the rarest of all.  Every class that shares one is
-    aligned at the offset most shared integers agree on.  Returns
+    A class with a query looks up every integer of it that another class holds too, at every
+    place.  The offsets at which a class meets it are counted, and the bit errors are taken under
+    each of them; of those that match, the one most shared integers agree on is returned.  So
+    each match whose overlap shares one integer is found, however many differ.  Returns
     a row per recording (doc_id, class_id, n_frames, and nulls), and for each match of a query
     class a row of its first recording with match_class, offset, overlap and bit_errors; a match
     has at least ``least_overlap`` common frames and at most ``error_rate`` wrong bits.  Copies
@@ -143,21 +142,20 @@ def align(prints: DataFrame, every: int = 50, parts: int = 8, least_overlap: int
     classes = known.groupBy("mark").agg(F.min("doc").alias("class"), F.first("print").alias("print"), F.max(F.coalesce(F.col("doc") % every == 0, F.lit(False))).alias("asked"))
     classes = written(classes.where("class is not null"), "chroma-classes")
     postings = classes.select("class", F.posexplode("print").alias("at", "value"))
-    asked = classes.where("asked").select(F.col("class").alias("query"), F.size("print").alias("size"), F.posexplode("print").alias("at", "value")).groupBy("query", "size", "value").agg(F.min("at").alias("query_at"))
-    often = postings.groupBy("value").agg(F.count("*").alias("n"))
-    ranked = asked.join(often.hint("merge"), "value").withColumn("part", F.floor(F.col("query_at") * parts / F.col("size")))
-    ranked = ranked.withColumn("no", F.row_number().over(Window.partitionBy("query", "part").orderBy("n", "value")))
-    lookups = written(ranked.where("no = 1").select("value", "query", "query_at"), "chroma-lookups")
+    asked = classes.where("asked").select(F.col("class").alias("query"), F.posexplode("print").alias("query_at", "value"))
+    shared = postings.groupBy("value").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("value")
+    lookups = written(asked.join(shared.hint("merge"), "value"), "chroma-lookups")
     met = lookups.join(postings.hint("merge"), "value").where("query <> class").groupBy("query", "class", (F.col("at") - F.col("query_at")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = met.groupBy("query", "class").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset")).alias("best")).select("query", "class", "best.offset")
-    best = best.join(classes.select(F.col("class").alias("query"), F.col("print").alias("a")).hint("merge"), "query").join(classes.select("class", F.col("print").alias("b")).hint("merge"), "class")
+    met = met.join(classes.select(F.col("class").alias("query"), F.col("print").alias("a")).hint("merge"), "query").join(classes.select("class", F.col("print").alias("b")).hint("merge"), "class")
     a, b = _overlap("a", "b", "offset")
-    matches = best.withColumn("overlap", F.size(a)).withColumn("bit_errors", F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x))
+    matches = met.withColumn("overlap", F.size(a)).withColumn("bit_errors", F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x))
     matches = matches.where((F.col("overlap") >= least_overlap) & (F.col("bit_errors") <= error_rate * 32 * F.col("overlap")))
+    best = F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset", "overlap", "bit_errors", F.size("a").alias("n_frames"))).alias("best")
+    matches = matches.groupBy("query", "class").agg(best).select("query", "class", "best.*")
     members = prints.withColumn("mark", F.when(F.size("print") > 0, F.sha2(F.array_join("print", ",").cast("binary"), 256))).join(classes.select("mark", "class").hint("merge"), "mark", "left")
     none = F.lit(None)
     rows = members.select(F.col("doc").alias("doc_id"), F.coalesce("class", "doc").alias("class_id"), F.size("print").alias("n_frames"), none.cast("long").alias("match_class"), none.cast("int").alias("offset"), none.cast("int").alias("overlap"), none.cast("int").alias("bit_errors"))
-    return rows.unionByName(matches.select(F.col("query").alias("doc_id"), F.col("query").alias("class_id"), F.size("a").alias("n_frames"), F.col("class").alias("match_class"), "offset", "overlap", "bit_errors"))
+    return rows.unionByName(matches.select(F.col("query").alias("doc_id"), F.col("query").alias("class_id"), "n_frames", F.col("class").alias("match_class"), "offset", "overlap", "bit_errors"))
 
 
 def op1_chroma_fingerprints(spark, sf_dir: str) -> DataFrame:
