@@ -1,7 +1,10 @@
 import os
+import random
 
 import pytest
 
+from test_jaccard import brute
+
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 DATA = "/root/testdata/sf0.001"
 
@@ -34,3 +37,22 @@ def test_edge_rows(spark):
     for _, stage in corpus_pipeline.STAGES[1:]:
         docs = corpus_pipeline.written(stage(spark, docs, DATA), "test-edge")
     assert sorted(docs.select("doc_id").toPandas().doc_id.fillna(-1).tolist()) == [-1, 1, 2, 3]
+
+
+def test_near_duplicates_against_brute_force(spark):
+    r = random.Random(5)
+    vocab = [f"w{i}" for i in range(2000)]
+    rows = []
+    for i in range(12):
+        words = r.choices(vocab, k=200)
+        # 196/236 of the 5-word shingles and 197/237 of the 4-word ones: between 0.8 and 0.85.
+        rows += [(10 * i, " ".join(words)), (10 * i + 1, " ".join(words + r.choices(vocab, k=40))), (10 * i + 2, " ".join(words + r.choices(vocab, k=60)))]
+        for j in range(3, 7):
+            copy = list(words)
+            for _ in range(j):
+                copy[r.randrange(200)] = r.choice(vocab)
+            rows.append((10 * i + j, " ".join(copy)))
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, DATA).collect())
+    assert got == sorted(d for d, _, least in brute(rows, 80, 5) if d == least)
+    assert not {10 * i + 1 for i in range(12)} & set(got)
