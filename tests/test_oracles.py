@@ -24,3 +24,12 @@ def test_query(spark, con, name):
 
 def test_every_oracle_has_a_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_adjacency_of_all_pages(spark, con):
+    rows = catalog.queries()["link_adjacency_all"](spark, DATA).collect()
+    anchors = con.execute("SELECT sum(len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1))) FROM pages").fetchone()[0]
+    urls = dict(con.execute("SELECT page_id, regexp_replace(url, '#.*$', '') FROM pages").fetchall())
+    assert len(rows) == anchors > 100
+    order = [(urls[r.page_id], r.position, r.page_id) for r in rows]
+    assert order == sorted(order)

@@ -83,6 +83,12 @@ def link_adjacency(spark, d):
     return root_relative_links(pages).join(first, "from_url", "left_semi").orderBy("from_url", "position").limit(100).select("page_id", F.col("position").cast("long").alias("position"), "to_url")
 
 
+@query(f"WITH {A} SELECT page_id, position, to_url FROM e ORDER BY from_url, position, page_id")
+def link_adjacency_all(spark, d):
+    """Links of all pages, in the order of their URL and place."""
+    return root_relative_links(table(spark, d, "pages")).orderBy("from_url", "position", "page_id").select("page_id", F.col("position").cast("long").alias("position"), "to_url")
+
+
 @query(f"""WITH {A}, l AS (SELECT CASE WHEN page_id % 2 = 0 THEN 'sitemap' ELSE 'html' END AS s, regexp_extract(to_url, '/[^/]*$') AS url FROM e)
 SELECT DISTINCT url FROM l x WHERE s = 'sitemap' AND NOT EXISTS (SELECT 1 FROM l y WHERE y.s = 'html' AND y.url = x.url) ORDER BY url LIMIT 10000""")
 def urls_only_in_sitemap(spark, d):
