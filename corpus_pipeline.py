@@ -7,7 +7,7 @@ Parquet and read again as the next one's ``docs``.  All but the last keep the co
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm.bpe import encode_documents, vocabulary
@@ -18,6 +18,10 @@ from webloom.llm.winnowing import decontaminate
 from webloom.shared import written
 
 
+def _digest() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: rows that the quality rules reject go."""
     return keep_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -29,17 +33,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Rows that repeat an id and its text are one document.  Null ids stay if nothing with an id
     is linked with them.
     """
-    groups = similar_documents(docs, percent=80, shingle=5)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    left = docs.join(kept.hint("merge"), docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    groups = similar_documents(docs, percent=80, shingle=5, mark=_digest())
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_kept"), "mark").distinct()
+    left = docs.withColumn("_digest", _digest()).join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")) & (F.col("_digest") == F.col("mark")), "left_semi")
     return left.dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: contaminated documents go."""
-    found = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Operator 5: contaminated documents go.  The verdict is on a text, whatever ids it has."""
+    found = decontaminate(docs.select(_digest().alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     bad = found.where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad.hint("merge"), docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti").select(*docs.columns)
+    return docs.join(bad.hint("merge"), _digest() == F.col("_bad"), "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,3 +56,19 @@ def test_near_duplicates_against_brute_force(spark):
     got = sorted(x.doc_id for x in corpus_pipeline.near_duplicates(spark, docs, DATA).collect())
     assert got == sorted(d for d, _, least in brute(rows, 80, 5) if d == least)
     assert not {10 * i + 1 for i in range(12)} & set(got)
+
+
+def test_verdicts_by_row(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    words = lambda k: " ".join(f"{k}w{i}" for i in range(40))
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").where("length(text) > 200").orderBy("item_id").first().text
+    texts = [(None, item), (None, words("a")), (7, item), (7, words("b")), (8, words("c"))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts], schema)
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.decontamination(spark, docs, DATA).collect()}
+    assert got == {x for x in texts if x[1] != item}
+
+    # A lone null id, a null id that copies a document, and two texts of one id, one a copy of a lesser id.
+    texts = [(None, words("n")), (None, words("d")), (1, words("d")), (3, words("e")), (5, words("e")), (5, words("f"))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in texts], schema)
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, docs, DATA).collect()}
+    assert got == {texts[0], texts[2], texts[3], texts[5]}

@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -77,8 +77,8 @@ def _rank(hashes: np.ndarray, order: int, frequent: np.ndarray | None = None) ->
     return ranked
 
 
-def _describe(shingle: int) -> Callable:
-    """Per document: set size and two hashes of its set."""
+def _describe(shingle: int, keep: list[str]) -> Callable:
+    """Per document: set size and two hashes of its set, and the columns ``keep``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,7 +86,7 @@ def _describe(shingle: int) -> Callable:
                 hashes, rows_at = _sets(data, at, shingle)
                 one = K.Prefix(hashes).spans(rows_at[:-1], rows_at[1:])
                 two = K.Prefix(K.mix(hashes)).spans(rows_at[:-1], rows_at[1:])
-                yield pa.record_batch([batch.column("doc")[r0:r1], pa.array(np.diff(rows_at)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64))], ["doc", "n", "s1", "s2"])
+                yield pa.record_batch([batch.column("doc")[r0:r1], pa.array(np.diff(rows_at)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *(batch.column(c)[r0:r1] for c in keep)], ["doc", "n", "s1", "s2", *keep])
 
     return run
 
@@ -171,9 +171,10 @@ def _other_orders(percent: int, orders: int) -> Callable:
 
 
 class _Join:
-    def __init__(self, texts: DataFrame, percent: int, shingle: int, orders: int, wide: int):
+    def __init__(self, texts: DataFrame, percent: int, shingle: int, orders: int, wide: int, described: DataFrame, keep: list[str]):
         self.texts, self.percent, self.shingle, self.orders = texts, percent, shingle, orders
-        self.members = written(texts.mapInArrow(_describe(shingle), "doc long, n long, s1 long, s2 long"), "jaccard-sets")
+        kept = "".join(f", {c} {described.schema[c].dataType.simpleString()}" for c in keep)
+        self.members = written(described.mapInArrow(_describe(shingle, keep), f"doc long, n long, s1 long, s2 long{kept}"), "jaccard-sets")
         # Only the speed of the index depends on this set, so its bound loses nothing.
         often = texts.select("text").mapInArrow(_least(shingle, percent), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > _FEW)
         often = often.orderBy(F.desc("n"), "token").limit(wide).select("token")
@@ -252,7 +253,7 @@ class _Join:
         return found
 
 
-def similar_documents(docs: DataFrame, percent: int = 85, shingle: int = 4, orders: int = 3, wide: int = 500_000) -> DataFrame:
+def similar_documents(docs: DataFrame, percent: int = 85, shingle: int = 4, orders: int = 3, wide: int = 500_000, mark: Column | None = None) -> DataFrame:
     """Links documents whose sets of ``shingle``-word shingles have Jaccard similarity of ``percent``/100 or more.
 
     ``docs``: doc_id, text; more columns are ignored.  Words lie between ASCII white space,
@@ -262,10 +263,14 @@ def similar_documents(docs: DataFrame, percent: int = 85, shingle: int = 4, orde
     each give a row.  A null doc_id is never the least; it is returned as null, and so is the
     component of rows that link with null ids only.  An empty table gives an empty result.
     ``wide`` bounds the set of frequent tokens that is sent to tasks; it changes no result.
+    ``mark``, an expression over docs, is returned as one more column of each row.
     """
     ship_package(docs.sparkSession)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    join = _Join(texts, percent, shingle, orders, wide)
+    keep = [] if mark is None else ["mark"]
+    columns = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")]
+    texts = docs.select(*columns)
+    described = texts if mark is None else docs.select(*columns, mark.alias("mark"))
+    join = _Join(texts, percent, shingle, orders, wide, described, keep)
     lists = join.lists()
 
     side = ["node", "n", "last", "rare"]
@@ -296,6 +301,7 @@ def similar_documents(docs: DataFrame, percent: int = 85, shingle: int = 4, orde
         F.nullif("doc", missing).alias("doc_id"),
         F.col("n").alias("n_shingles"),
         F.nullif(F.coalesce("component", "doc"), missing).alias("component_id"),
+        *keep,
     )
 
 

@@ -241,14 +241,23 @@ def network_safety(spark, d):
     return table(spark, d, "customer").select("c_custkey", public_address(address).alias("public"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'a b' ELSE 'é' END AS text FROM orders WHERE o_orderkey < 500")
-def gzip_bodies(spark, d):
-    """Inflation of gzip bodies within a budget."""
-
+def _gzip_bodies(orders):
     @F.udf("string")
     def pack_and_inflate(text):
         import gzip
 
         return xml_kernel.inflate(gzip.compress(text.encode()), 100).decode()
 
-    return table(spark, d, "orders").where("o_orderkey < 500").select("o_orderkey", pack_and_inflate(F.when(F.col("o_orderkey") % 2 == 0, "a b").otherwise("é")).alias("text"))
+    return orders.select("o_orderkey", pack_and_inflate(F.when(F.col("o_orderkey") % 2 == 0, "a b").otherwise("é")).alias("text"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'a b' ELSE 'é' END AS text FROM orders WHERE o_orderkey < 500")
+def gzip_bodies(spark, d):
+    """Inflation of gzip bodies within a budget."""
+    return _gzip_bodies(table(spark, d, "orders").where("o_orderkey < 500"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'a b' ELSE 'é' END AS text FROM orders")
+def gzip_bodies_all(spark, d):
+    """Inflation of the gzip bodies of all orders."""
+    return _gzip_bodies(table(spark, d, "orders"))
