@@ -33,3 +33,7 @@ def test_adjacency_of_all_pages(spark, con):
     assert len(rows) == anchors > 100
     order = [(urls[r.page_id], r.position, r.page_id) for r in rows]
     assert order == sorted(order)
+
+
+def test_gzip_bodies_of_all_orders(spark, con):
+    assert catalog.queries()["gzip_bodies_all"](spark, DATA).count() == con.execute("SELECT count(*) FROM orders").fetchone()[0] > 500
