@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from webloom.shared import written
+from webloom.shared import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,10 +31,15 @@ def components(edges: DataFrame) -> DataFrame:
     component size, and each is written, so lineage stays short.
     """
     now = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    before = None
+    before = last = None
     while True:
         now = written(_star(_star(now, large=True), large=False), "components")
+        if last is not None:
+            discard(last)
+        last = now
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before or not state[0]:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            roots._scratch = now._scratch  # so that ``discard`` knows the table
+            return roots
         before = state

@@ -1,20 +1,27 @@
 """Set-similarity join on word shingles with several global token orders (operator 9).
 
 Two sets with Jaccard similarity of at least t share a token among the first
-``p = n - ceil(t n) + 1`` tokens of each, under *any* order of all tokens.  More than that: let
-x be the set whose prefix ends first in the order.  Every token that both sets have and x has
-in its prefix lies in y's prefix too, so the sets have at most ``c + n_x - p_x`` tokens in
-common, c being the tokens their prefixes share.  Pairs that can't reach the overlap which t
-asks for are dropped.  Under the order that serves as the index (frequent tokens last, as
-counted over the plain prefixes of all documents; else by hash) this happens before a pair is
-made: only the rarest tokens of x's prefix may bring it, see ``candidates``.  Under every other
-order (other hashes) the bound is computed from both prefixes; what passes all of them is
-verified on the whole sets.
-
-Hot groups: documents with equal sets are one class from the start.  Within a token's list
-every class is first compared with one centre only, the class with the least share of tokens
-of its own (what copies were made from has none, each edit adds some), which joins groups of thousands of near copies in linear work; what is then still in different components
-of a list is compared in full, so no link that joins two components is missed.
+``p = n - ceil(t n) + 1`` tokens of each, under *any* order of all tokens.
+
+1. **Lone tokens.**  A set that links with another has at most ``n - ceil(t n)`` tokens that no
+   other set has.  Those are counted on a fixed share of the token space (every token with a
+   hash below a bound, of all documents), which already rules out most sets; no partner of a
+   set that is left is ever ruled out.
+2. **First order.**  Among the sets that are left, tokens are ordered by document frequency,
+   counted over all of them.  A token at place i of a set leaves ``n - i + 1`` tokens for an
+   intersection that starts there, which bounds the size of a partner: the entry's *reach*.
+   Every link is found at the first token that its two sets have in common, where each size is
+   within the other's reach; entries whose reach allows no partner are not in the lists at all.
+3. **Stars.**  Within a token's list every set is compared with one centre, the entry with the
+   earliest place (what copies were made from has no lone tokens, each edit adds some), so
+   groups of thousands of near copies are joined in linear work.
+4. **The rest.**  Lists that still hold several components compare the entries outside the
+   list's largest component with the list, keyed by token *and size*, so that a row is made only
+   for sizes within reach.  Nothing is compared inside one component, and no list is cut.
+5. **Other orders.**  Candidates must also share enough of their prefixes under hash orders of
+   all tokens; what passes every order is verified on the whole sets.
+
+Documents with equal sets are one class from the start.
 """
 
 from __future__ import annotations
@@ -34,10 +41,8 @@ from webloom.shared import discard, ship_package, written
 #: Null ids take this value inside the plan, so they are never the least of a component.
 _NO_ID = (1 << 63) - 1
 _U = np.uint64
-#: Ranks stay below 2**63, so they compare alike as signed integers.
-_LAST = _U(1 << 62)
-#: A token in more prefixes than this counts as frequent.
-_FEW = 16
+#: Pairs of one set that are verified in one place; beyond it they are spread.
+_SPREAD = 256
 
 
 def _sets(data: np.ndarray, at: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -57,24 +62,11 @@ def _sets(data: np.ndarray, at: np.ndarray, shingle: int) -> tuple[np.ndarray, n
     return hashes[new], np.searchsorted(rows[new], np.arange(len(at)))
 
 
-def _heads(values: np.ndarray, at: np.ndarray, take: np.ndarray, ordered: bool = False) -> np.ndarray:
-    """The ``take`` least values of each row, ascending."""
-    if not ordered:
-        rows = np.repeat(np.arange(len(take)), np.diff(at))
-        values = values[np.lexsort((values, rows))]
-    return values[np.repeat(at[:-1] - (np.cumsum(take) - take), take) + np.arange(take.sum())]
-
-
-def _prefix_sizes(n: np.ndarray, percent: int) -> np.ndarray:
-    return np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
-
-
-def _rank(hashes: np.ndarray, order: int, frequent: np.ndarray | None = None) -> np.ndarray:
-    ranked = K.mix(hashes + _U(order)) & (_LAST - _U(1))
-    if frequent is not None and len(frequent):
-        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-        ranked |= np.where(frequent[at] == hashes, _LAST, _U(0))
-    return ranked
+def _marks(hashes: np.ndarray, rows_at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set."""
+    one = K.Prefix(hashes).spans(rows_at[:-1], rows_at[1:])
+    two = K.Prefix(K.mix(hashes)).spans(rows_at[:-1], rows_at[1:])
+    return one.view(np.int64), two.view(np.int64)
 
 
 def _describe(shingle: int, keep: list[str]) -> Callable:
@@ -84,176 +76,156 @@ def _describe(shingle: int, keep: list[str]) -> Callable:
         for batch in batches:
             for r0, r1, data, at in K.chunks(batch.column("text")):
                 hashes, rows_at = _sets(data, at, shingle)
-                one = K.Prefix(hashes).spans(rows_at[:-1], rows_at[1:])
-                two = K.Prefix(K.mix(hashes)).spans(rows_at[:-1], rows_at[1:])
-                yield pa.record_batch([batch.column("doc")[r0:r1], pa.array(np.diff(rows_at)), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), *(batch.column(c)[r0:r1] for c in keep)], ["doc", "n", "s1", "s2", *keep])
+                one, two = _marks(hashes, rows_at)
+                yield pa.record_batch([batch.column("doc")[r0:r1], pa.array(np.diff(rows_at)), pa.array(one), pa.array(two), *(batch.column(c)[r0:r1] for c in keep)], ["doc", "n", "s1", "s2", *keep])
 
     return run
 
 
-def _least(shingle: int, percent: int) -> Callable:
-    """The tokens of all prefixes under plain hash order, repeats counted within a chunk."""
+def _tokens(shingle: int, below: int | None = None) -> Callable:
+    """(token, node) of every set; with ``below`` only tokens whose scrambled hash is less."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, data, at in K.chunks(batch.column("text")):
+            nodes = batch.column("node").to_numpy(zero_copy_only=False)
+            for r0, _, data, at in K.chunks(batch.column("text")):
                 hashes, rows_at = _sets(data, at, shingle)
-                values, counts = np.unique(_heads(hashes, rows_at, _prefix_sizes(np.diff(rows_at), percent), ordered=True), return_counts=True)
-                yield pa.record_batch([pa.array(values.view(np.int64)), pa.array(counts)], ["token", "n"])
+                owner = np.repeat(nodes[r0 : r0 + len(rows_at) - 1], np.diff(rows_at))
+                if below is not None:
+                    inside = K.mix(hashes) < _U(below)
+                    hashes, owner = hashes[inside], owner[inside]
+                for i in range(0, len(hashes), 1 << 16):
+                    part = slice(i, i + (1 << 16))
+                    yield pa.record_batch([pa.array(hashes[part].view(np.int64)), pa.array(owner[part])], ["token", "node"])
 
     return run
 
 
-def _arrays(values: np.ndarray, take: np.ndarray, kind) -> pa.Array:
+def _lists(values: np.ndarray, take: np.ndarray, kind) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(take))).astype(np.int32)), pa.array(values.view(kind)))
 
 
-def _prefixes(shingle: int, percent: int, frequent: np.ndarray) -> Callable:
-    """Prefixes under the index order."""
+def _in_full(shingle: int, percent: int, orders: int) -> Callable:
+    """Each node's whole set, and its prefix and last place under every further order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc").to_numpy(zero_copy_only=False)
-            for r0, r1, data, at in K.chunks(batch.column("text")):
+            for r0, r1, data, at in K.chunks(batch.column("text"), K.CHUNK // 4):
                 hashes, rows_at = _sets(data, at, shingle)
-                take = _prefix_sizes(np.diff(rows_at), percent)
-                one = K.Prefix(hashes).spans(rows_at[:-1], rows_at[1:])
-                index = _heads(_rank(hashes, 1, frequent), rows_at, take)
-                yield pa.record_batch([pa.array(ids[r0:r1]), pa.array(one.view(np.int64)), _arrays(index, take, np.int64)], ["doc", "s1", "index"])
+                n = np.diff(rows_at)
+                take = n - (percent * n + 99) // 100 + 1
+                rows = np.repeat(np.arange(len(n)), n)
+                out = {"node": batch.column("node")[r0:r1], "items": _lists(hashes, n, np.int64), "p": pa.array(take)}
+                for i in range(orders - 1):
+                    ranks = K.mix(hashes + _U(2 + i)) >> _U(1)
+                    ranks = ranks[np.lexsort((ranks, rows))]
+                    ranks = ranks[np.repeat(rows_at[:-1] - (np.cumsum(take) - take), take) + np.arange(take.sum())]
+                    out |= {f"o{i}": _lists(ranks, take, np.int64), f"last{i}": pa.array(ranks[np.cumsum(take) - 1].view(np.int64))}
+                yield pa.record_batch(list(out.values()), list(out))
 
     return run
 
 
-def _asked(shingle: int, describe: Callable) -> Callable:
-    """Sets of the nodes that each text is asked for, as ``describe(hashes, row offsets)`` has them.
-
-    A text is asked for more than one node only where ids repeat.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            asked = batch.column("asked").to_pylist()
-            for r0, r1, data, at in K.chunks(batch.column("text")):
-                hashes, rows_at = _sets(data, at, shingle)
-                one = K.Prefix(hashes).spans(rows_at[:-1], rows_at[1:]).view(np.int64)
-                nodes = np.array([next((x["node"] for x in asked[r0 + r] if x["s1"] == one[r]), -1) for r in range(r1 - r0)])
-                columns = {"node": pa.array(nodes)} | describe(hashes, rows_at)
-                keep = pa.array(nodes >= 0)
-                yield pa.record_batch([c.filter(keep) for c in columns.values()], list(columns))
-
-    return run
-
-
-def _whole(hashes: np.ndarray, rows_at: np.ndarray) -> dict[str, pa.Array]:
-    return {"items": _arrays(hashes, np.diff(rows_at), np.int64)}
-
-
-def _other_orders(percent: int, orders: int) -> Callable:
-    """Prefixes under the other orders, tokens cut to 32 bits; ``slack`` counts tokens that this makes equal."""
-
-    def describe(hashes: np.ndarray, rows_at: np.ndarray) -> dict[str, pa.Array]:
-        n = np.diff(rows_at)
-        take = _prefix_sizes(n, percent)
-        ends = np.cumsum(take)
-        out = {"n": pa.array(n), "p": pa.array(take)}
-        for i in range(orders - 1):
-            ranks = _heads(_rank(hashes, 2 + i), rows_at, take)
-            short = (ranks & _U(0xFFFFFFFF)).astype(np.uint32)
-            rows = np.repeat(np.arange(len(take)), take)
-            order = np.lexsort((short, rows))
-            same = (np.diff(short[order]) == 0) & (np.diff(rows[order]) == 0)
-            last = np.zeros(len(take), np.int64)
-            last[take > 0] = ranks[ends[take > 0] - 1].view(np.int64)
-            out |= {f"o{i}": _arrays(short, take, np.int32), f"last{i}": pa.array(last), f"slack{i}": pa.array(np.bincount(rows[order][1:][same], minlength=len(take)))}
-        return out
-
-    return describe
-
-
 class _Join:
-    def __init__(self, texts: DataFrame, percent: int, shingle: int, orders: int, wide: int, described: DataFrame, keep: list[str]):
+    def __init__(self, texts: DataFrame, percent: int, shingle: int, orders: int):
         self.texts, self.percent, self.shingle, self.orders = texts, percent, shingle, orders
-        kept = "".join(f", {c} {described.schema[c].dataType.simpleString()}" for c in keep)
-        self.members = written(described.mapInArrow(_describe(shingle, keep), f"doc long, n long, s1 long, s2 long{kept}"), "jaccard-sets")
-        # Only the speed of the index depends on this set, so its bound loses nothing.
-        often = texts.select("text").mapInArrow(_least(shingle, percent), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > _FEW)
-        often = often.orderBy(F.desc("n"), "token").limit(wide).select("token")
-        self.frequent = np.sort(np.array([r[0] for r in often.collect()], np.int64).view(_U))
-        classes = self.members.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"))
-        # Written before any use, so the numbers stay as they are.
-        self.classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
-
-    def lists(self) -> DataFrame:
-        """Token lists with at least two classes: token, node, n, copies, the end of the node's prefix, the token's place by rarity in it, and the share of tokens that no other class has."""
-        rows = self.texts.mapInArrow(_prefixes(self.shingle, self.percent, self.frequent), "doc long, s1 long, index array<long>")
-        # A repeated row brings one row more for its class; lists are distinct.
-        rows = rows.join(self.classes.select("doc", "s1", "node", "n", "copies").hint("merge"), ["doc", "s1"])
-        rows = written(rows.select("node", "n", "copies", "index"), "jaccard-prefixes")
-        tokens = rows.select("node", F.explode("index").alias("token"))
-        shared = written(tokens.groupBy("token").agg(F.count("*").alias("size")).where("size > 1"), "jaccard-shared")
-        lists = tokens.join(shared.hint("merge"), "token").dropDuplicates(["node", "token"])
-        ends = rows.select("node", "n", "copies", F.size("index").alias("p"), F.element_at("index", -1).alias("last")).dropDuplicates(["node"])
-        own = Window.partitionBy("node")
-        # Tokens that no other class has are the rarest; they take the first places without a list.
-        lone = F.col("p") - F.count("*").over(own)
-        rare = lone + F.row_number().over(own.orderBy("size", "token"))
-        out = written(lists.join(ends.hint("merge"), "node").select("token", "node", "n", "copies", "last", rare.alias("rare"), (lone / F.col("p")).alias("lone")), "jaccard-lists")
-        discard(rows, shared)
-        return out
 
-    def fits(self, a: str, b: str):
-        """Sizes that allow the threshold."""
-        return F.expr(f"100 * least({a}, {b}) >= {self.percent} * greatest({a}, {b})")
+    def classes(self) -> DataFrame:
+        """node, s1, s2, n, doc, copies, text: one row for all documents with one set.
 
-    def enough(self, shared: str, a: str, b: str):
-        """Whether sets of a and b tokens, of which at most ``shared`` are common, can reach the threshold."""
-        return F.expr(f"{100 + self.percent} * ({shared}) >= {self.percent} * ({a} + {b})")
-
-    def candidates(self, met: DataFrame) -> DataFrame:
-        """Distinct pairs from rows of a shared token: node, n, last, rare and node2, n2, last2, rare2.
-
-        Let x be the side whose prefix ends first.  A link leaves at most n - overlap tokens of x
-        out of y, so of the n - overlap + 1 rarest tokens of its prefix one is shared: a token of
-        a later place by rarity needn't bring the pair.
+        Partial aggregation leaves one text of a class in each task; numbers are given once,
+        in the table that is written here.
         """
-        flip = "node > node2"
-        sides = [F.expr(f"if({flip}, {a}, {b})").alias(c) for a, b, c in (("node2", "node", "x"), ("node", "node2", "y"))]
-        early = F.when(F.col("last") <= F.col("last2"), F.col("n") - F.col("rare") + 1).otherwise(F.col("n2") - F.col("rare2") + 1)
-        needed = (100 + self.percent) * early >= self.percent * (F.col("n") + F.col("n2"))
-        return met.where(self.fits("n", "n2") & needed).select(*sides).distinct()
+        rows = self.texts.mapInArrow(_describe(self.shingle, ["text"]), "doc long, n long, s1 long, s2 long, text string")
+        rows = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.first("text").alias("text"))
+        return written(rows.withColumn("node", F.monotonically_increasing_id()), "jaccard-classes")
+
+    def alive(self, classes: DataFrame) -> DataFrame:
+        """node, n, copies, text of the classes that their lone tokens don't rule out."""
+        share = min(100, 2 * (100 - self.percent))  # of the token space, in percent
+        below = None if share == 100 else (share << 64) // 100
+        seen = classes.select("node", "text").mapInArrow(_tokens(self.shingle, below), "token long, node long")
+        lone = seen.groupBy("token").agg(F.count("*").alias("m"), F.min("node").alias("node")).where("m = 1")
+        lone = written(lone.groupBy("node").agg(F.count("*").alias("lone")), "jaccard-lone")
+        rows = classes.select("node", "n", "copies", "text").join(lone.hint("merge"), "node", "left")
+        rows = rows.where(F.expr(f"100 * (n - coalesce(lone, 0)) >= {self.percent} * n")).drop("lone")
+        rows = written(rows, "jaccard-alive")
+        discard(lone)
+        return rows
+
+    def entries(self, alive: DataFrame) -> DataFrame:
+        """token, node, n, copies, place, reach: the lists of the first order, without tokens that only one class has."""
+        tokens = written(alive.select("node", "text").mapInArrow(_tokens(self.shingle), "token long, node long"), "jaccard-tokens")
+        often = written(tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"), "jaccard-often")
+        shared = tokens.join(often.hint("merge"), "token").join(alive.select("node", "n", "copies").hint("merge"), "node")
+        own = Window.partitionBy("node")
+        place = F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "token"))
+        t = self.percent
+        shared = shared.withColumn("place", place).withColumn("reach", F.expr(f"least((100 * n) div {t}, ({100 + t} * (n - place + 1)) div {t} - n)"))
+        out = written(shared.where(f"100 * reach >= {t} * n").select("token", "node", "n", "copies", "place", "reach"), "jaccard-entries")
+        discard(tokens, often)
+        return out
 
-    def asked(self, pairs: DataFrame, describe: Callable, schema: str, name: str) -> DataFrame:
+    def stars(self, entries: DataFrame) -> DataFrame:
+        """Pairs (x, y), x the larger node, of every entry and its list's centre."""
+        rank = F.struct((-F.col("place") / F.col("n")).alias("early"), "copies", (-F.col("node")).alias("least"), "n", "reach")
+        centre = entries.groupBy("token").agg(F.max(rank).alias("c"), F.count("*").alias("size")).where("size > 1")
+        centre = written(centre.select("token", (-F.col("c.least")).alias("node2"), F.col("c.n").alias("n2"), F.col("c.reach").alias("reach2")), "jaccard-centres")
+        met = entries.join(centre.hint("merge"), "token").where("node <> node2 and n2 <= reach and n <= reach2")
+        pairs = written(met.select(F.greatest("node", "node2").alias("x"), F.least("node", "node2").alias("y")).distinct(), "jaccard-stars")
+        discard(centre)
+        return pairs
+
+    def rest(self, entries: DataFrame, roots: DataFrame, done: DataFrame) -> DataFrame:
+        """Pairs across the components that one list still holds, apart from the pairs ``done``."""
+        placed = entries.join(roots.withColumnRenamed("root", "top").hint("merge"), "node", "left").withColumn("top", F.coalesce("top", "node"))
+        split = placed.groupBy("token").agg(F.min("top").alias("low"), F.max("top").alias("high")).where("low < high").select("token")
+        apart = written(placed.join(split.hint("merge"), "token").select("token", "node", "n", "reach", "top"), "jaccard-apart")
+        main = apart.groupBy("token", "top").agg(F.count("*").alias("size")).groupBy("token").agg(F.max_by("top", F.struct("size", "top")).alias("main"))
+        main = written(main, "jaccard-main")
+        sizes = written(apart.groupBy("token", F.col("n").alias("size")).agg(F.max("reach").alias("furthest")), "jaccard-sizes")
+        others = apart.join(main.hint("merge"), "token").where("top <> main").drop("main")
+        within = F.expr(f"100 * size >= {self.percent} * n and size <= reach and n <= furthest")
+        others = written(others.join(sizes.hint("merge"), "token").where(within).drop("furthest"), "jaccard-others")
+        twin = apart.select("token", F.col("n").alias("size"), F.col("node").alias("node2"), F.col("reach").alias("reach2"), F.col("top").alias("top2"))
+        met = others.join(twin.hint("merge"), ["token", "size"]).where("n <= reach2 and top <> top2")
+        pairs = met.select(F.greatest("node", "node2").alias("x"), F.least("node", "node2").alias("y")).distinct()
+        pairs = written(pairs.join(done.hint("merge"), ["x", "y"], "left_anti"), "jaccard-rest")
+        discard(apart, main, sizes, others)
+        return pairs
+
+    def links(self, pairs: DataFrame, alive: DataFrame) -> DataFrame:
+        """The pairs that link, as (u, v): filtered under every further order, then verified on whole sets.
+
+        A set with very many pairs, a centre, is handed out several times and its pairs are
+        spread over these, so no task holds them all.
+        """
         nodes = pairs.select(F.col("x").alias("node")).union(pairs.select("y")).distinct()
-        asked = self.classes.join(nodes.hint("merge"), "node", "left_semi").groupBy("doc").agg(F.collect_list(F.struct("s1", "node")).alias("asked"))
-        return written(self.texts.join(asked.hint("merge"), "doc").mapInArrow(_asked(self.shingle, describe), f"node long, {schema}"), name)
-
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (x, y), written before, that link: filtered under the other orders, then verified on whole sets."""
-        numbers = range(self.orders - 1)
-        fields = ["n long", "p long", *(f"o{i} array<int>, last{i} long, slack{i} long" for i in numbers)]
-        prefixes = self.asked(pairs, _other_orders(self.percent, self.orders), ", ".join(fields), "jaccard-orders")
-        names = [c for c in prefixes.columns if c != "node"]
+        fields = ", ".join(["node long", "items array<long>", "p long", *(f"o{i} array<long>, last{i} long" for i in range(self.orders - 1))])
+        texts = alive.select("node", "text").join(nodes.hint("merge"), "node", "left_semi")
+        sets = written(texts.mapInArrow(_in_full(self.shingle, self.percent, self.orders), fields), "jaccard-sets")
         both = pairs
+        tables = []
         for side in "xy":
-            both = both.join(prefixes.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in names)).hint("merge"), side)
-        for i in numbers:
-            shared = f"size(array_intersect(x_o{i}, y_o{i})) + x_slack{i}"
-            room = f"if(x_last{i} <= y_last{i}, x_n - x_p, y_n - y_p)"
-            both = both.where(F.arrays_overlap(f"x_o{i}", f"y_o{i}") & self.enough(f"{shared} + {room}", "x_n", "y_n"))
-        few = written(both.select("x", "y").distinct(), "jaccard-candidates")
-        discard(prefixes)
-        sets = self.asked(few, _whole, "items array<long>", "jaccard-items")
-        both = few
-        for side in "xy":
-            both = both.join(sets.select(F.col("node").alias(side), F.col("items").alias(f"{side}_items")).hint("merge"), side)
+            parts = written(pairs.groupBy(side).agg(F.ceil(F.count("*") / _SPREAD).cast("int").alias("parts")), "jaccard-parts")
+            other = "y" if side == "x" else "x"
+            both = both.join(parts.hint("merge"), side).withColumn("salt", F.pmod(F.hash(other), "parts")).drop("parts")
+            named = sets.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in sets.columns if c != "node"))
+            named = named.join(parts.hint("merge"), side).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+            both = both.join(named.hint("merge"), [side, "salt"]).drop("salt")
+            tables.append(parts)
+        t = self.percent
+        for i in range(self.orders - 1):
+            room = f"if(x_last{i} <= y_last{i}, size(x_items) - x_p, size(y_items) - y_p)"
+            both = both.where(f"{100 + t} * (size(array_intersect(x_o{i}, y_o{i})) + {room}) >= {t} * (size(x_items) + size(y_items))")
         common = F.size(F.array_intersect("x_items", "y_items"))
         either = F.size("x_items") + F.size("y_items") - common
-        found = written(both.where(100 * common >= self.percent * either).select(F.col("x").alias("u"), F.col("y").alias("v")).distinct(), "jaccard-links")
-        discard(sets, few)
+        found = written(both.where(100 * common >= t * either).select(F.col("x").alias("u"), F.col("y").alias("v")), "jaccard-links")
+        discard(sets, *tables)
         return found
 
 
-def similar_documents(docs: DataFrame, percent: int = 85, shingle: int = 4, orders: int = 3, wide: int = 500_000, mark: Column | None = None) -> DataFrame:
+def similar_documents(docs: DataFrame, percent: int = 85, shingle: int = 4, orders: int = 3, mark: Column | None = None) -> DataFrame:
     """Links documents whose sets of ``shingle``-word shingles have Jaccard similarity of ``percent``/100 or more.
 
     ``docs``: doc_id, text; more columns are ignored.  Words lie between ASCII white space,
@@ -262,40 +234,33 @@ def similar_documents(docs: DataFrame, percent: int = 85, shingle: int = 4, orde
     Null texts and texts without words have empty sets and link with nothing.  Repeated rows
     each give a row.  A null doc_id is never the least; it is returned as null, and so is the
     component of rows that link with null ids only.  An empty table gives an empty result.
-    ``wide`` bounds the set of frequent tokens that is sent to tasks; it changes no result.
-    ``mark``, an expression over docs, is returned as one more column of each row.
+    Very long texts are taken whole, one at a time in a task.  Ties in the order of tokens are
+    broken by their hashes, which changes no result.  ``mark``, an expression over docs, is
+    returned as one more column of each row.
     """
     ship_package(docs.sparkSession)
     keep = [] if mark is None else ["mark"]
-    columns = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")]
+    columns = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")]
     texts = docs.select(*columns)
-    described = texts if mark is None else docs.select(*columns, mark.alias("mark"))
-    join = _Join(texts, percent, shingle, orders, wide, described, keep)
-    lists = join.lists()
-
-    side = ["node", "n", "last", "rare"]
-    twin = [F.col(c).alias(f"{c}2") for c in side]
-    centre = lists.groupBy("token").agg(F.max(F.struct((-F.col("lone")).alias("common"), "copies", (-F.col("node")).alias("least"), "n", "last", "rare")).alias("c"))
-    centre = centre.select("token", (-F.col("c.least")).alias("node2"), *(F.col(f"c.{c}").alias(f"{c}2") for c in side[1:]))
-    # A pair with a centre sees only the lists that share this centre and may be missed here;
-    # it comes back below unless its sides were joined otherwise.
-    stars = written(join.candidates(lists.join(centre.hint("merge"), "token").where("node <> node2")), "jaccard-stars")
-    roots = components(join.links(stars))
-
-    # What the stars left apart: lists that still hold more than one component.
-    placed = lists.join(roots.withColumnRenamed("root", "top").hint("merge"), "node", "left").select("token", *side, F.coalesce("top", "node").alias("top"))
-    split = placed.groupBy("token").agg(F.min("top").alias("low"), F.max("top").alias("high")).where("low < high").select("token")
-    apart = written(placed.join(split.hint("merge"), "token"), "jaccard-apart")
-    rest = apart.join(apart.select("token", *twin, F.col("top").alias("top2")).hint("merge"), "token").where("node < node2 and top <> top2")
-    rest = written(join.candidates(rest).join(stars.hint("merge"), ["x", "y"], "left_anti"), "jaccard-rest")
-    discard(lists, apart)
-    more = join.links(rest)
-    roots = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
-
-    placed = join.classes.join(roots.hint("merge"), "node", "left").select("s1", "s2", "n", "doc", F.coalesce("root", "node").alias("top"))
+    join = _Join(texts, percent, shingle, orders)
+    classes = join.classes()
+    alive = join.alive(classes)
+    entries = join.entries(alive)
+    stars = join.stars(entries)
+    first = join.links(stars, alive)
+    roots = components(first)
+    rest = join.rest(entries, roots, stars)
+    more = join.links(rest, alive)
+    tops = components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
+
+    placed = classes.join(tops.hint("merge"), "node", "left").select("s1", "s2", "n", "doc", F.coalesce("root", "node").alias("top"))
     least = placed.groupBy("top").agg(F.min("doc").alias("component"))
-    named = placed.join(least.hint("merge"), "top").select("s1", "s2", "n", "component")
-    full = join.members.join(named.hint("merge"), ["s1", "s2", "n"], "left")
+    named = written(placed.join(least.hint("merge"), "top").select("s1", "s2", "n", "component"), "jaccard-named")
+    described = texts if mark is None else docs.select(*columns, mark.alias("mark"))
+    kept = "".join(f", {c} {described.schema[c].dataType.simpleString()}" for c in keep)
+    members = written(described.mapInArrow(_describe(shingle, keep), f"doc long, n long, s1 long, s2 long{kept}"), "jaccard-members")
+    discard(classes, alive, entries, stars, first, roots, rest, more, tops)
+    full = members.join(named.hint("merge"), ["s1", "s2", "n"], "left")
     missing = F.lit(_NO_ID)
     return full.select(
         F.nullif("doc", missing).alias("doc_id"),
