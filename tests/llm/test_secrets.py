@@ -2,9 +2,11 @@ import random
 import re
 import string
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from webloom.llm.secrets import redacted, scan_secrets
+from webloom.llm.secrets import ALPHABETS, CELLS, battery, made_of_words, redacted, scan_secrets
 
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -55,3 +57,76 @@ def test_redaction(spark):
 
 def test_empty_table(spark):
     assert scan_secrets(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def shuffled(encoding, token, rounds=20_000):
+    """p-values of the three tests by drawing tokens of the same length at random (runs: by shuffling the token)."""
+    m, n = len(ALPHABETS[encoding]), len(token)
+    rng = np.random.default_rng(5)
+    own = np.array([ALPHABETS[encoding].index(c) for c in token])
+    drawn = rng.integers(0, m, (rounds, n))
+    cell = np.array([next(i for i, c in enumerate(CELLS[encoding]) if x in c) for x in ALPHABETS[encoding]])
+    share = np.array([len(c) / m for c in CELLS[encoding]])
+    if n >= 5 * m:
+        cell, share = np.arange(m), np.full(m, 1 / m)
+
+    def chi(x):
+        counts = np.stack([(cell[x] == i).sum(-1) for i in range(len(share))], -1)
+        return ((counts - share * n) ** 2 / (share * n)).sum(-1)
+
+    def runs(x):
+        high = x > (m - 1) / 2
+        return 1 + (high[..., 1:] != high[..., :-1]).sum(-1)
+
+    def serial(x):
+        y = x - (m - 1) / 2
+        return np.abs((y[..., 1:] * y[..., :-1]).sum(-1) / (y * y).sum(-1))
+
+    mixed = rng.permuted(np.tile(own, (rounds, 1)), axis=1)
+    centre = 2 * (own > (m - 1) / 2).sum() * (own <= (m - 1) / 2).sum() / n + 1
+    far = abs(runs(own) - centre)
+    return (chi(drawn) >= chi(own) - 1e-9).mean(), (np.abs(runs(mixed) - centre) >= far - 1e-9).mean(), (serial(drawn) >= serial(own)).mean()
+
+
+@pytest.mark.parametrize("encoding", list(ALPHABETS))
+def test_p_values_against_simulation(spark, encoding):
+    r = random.Random(6)
+    tokens = ["".join(r.choices(ALPHABETS[encoding], k=n)) for n in (20, 24, 32, 48, 80, 100, 340)]
+    rows = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", battery(F.col("t"), encoding).alias("b")).collect()
+    for row in rows:
+        want = shuffled(encoding, row.t)
+        got = (row.b.p_chi, row.b.p_runs, row.b.p_serial)
+        assert all(abs(g - w) <= (0.08 if w < 0.3 else 0.15) for g, w in zip(got, want, strict=True)), (row.t, got, want)
+        assert abs(row.b.p - min(1, 3 * min(got))) < 1e-9
+
+
+def test_identifiers_are_not_secrets(spark):
+    names = ["loadConfigFromDisk42", "docs/UserGuide2024/Chapter07Intro", "src/main/java/ReportBuilder", "MAX_RETRY_COUNT_PER_HOST", "getUserProfileById2Async", "2024-01-01-2024-12-31"]
+    r = random.Random(8)
+    random_one = lambda: "".join(r.choices(ALPHABETS["base64"][:62], k=40))
+    # Few rows: no decoys, so nothing is discovered; many: the names are still left alone.
+    for more in ([], [(100 + i, "use " + "".join(r.choice(["Read", "Write", "Open", "Close", "Table", "Index", "Value"]) for _ in range(9)) + " or " + random_one()) for i in range(120)]):
+        rows = [(i, f"call {n} here") for i, n in enumerate(names)] + more
+        got = {x.doc_id: x.spans for x in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert all(not got[i] for i in range(len(names)))
+        if more:
+            assert sum(len(got[100 + i]) == 1 for i in range(120)) >= 100
+        else:
+            assert not any(got.values())
+
+
+def test_words_are_decoys_however_long(spark):
+    rows = [("load" * 30_000, True), ("aB" * 30_000, False), ("UserGuide2024/Intro", True), ("A1B2C3D4E5F6A7B8C9D0", False), ("0123456789" * 3, True)]
+    got = spark.createDataFrame(rows, "t string, want boolean").select("want", made_of_words(F.col("t")).alias("got")).collect()
+    assert all(r.want == r.got for r in got)
+
+
+def test_clashing_names_long_texts_and_repeats(spark):
+    text = "word " * 40_000 + "token=abcdefgh12 " + "x" * 300_000
+    df = spark.createDataFrame([(1, text, "a", "b", "c"), (1, text, "a", "b", "c")], "doc_id long, text string, spans string, row string, more string")
+    out = scan_secrets(df, keep=df.columns, spans_as="_spans")
+    assert out.columns == [*df.columns, "_spans"]
+    for r in out.collect():
+        assert (r.spans, r.row, r.more) == ("a", "b", "c") and [tuple(s) for s in r._spans] == [("assign", 200_000, 200_016)]
+    with pytest.raises(ValueError):
+        scan_secrets(df, keep=["spans"])

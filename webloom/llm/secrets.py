@@ -3,14 +3,17 @@
 Base kinds are found by pattern.  Beyond them, every run of at least 20 token characters is a
 candidate.  Its encoding is inferred (hexadecimal, base 32 or base 64), its characters become
 numbers in that alphabet, and three tests ask whether they look drawn at random: chi-squared
-uniformity over the alphabet, runs above and below the middle, and serial correlation at lag
-one.  The p-values are combined by Bonferroni's rule.
-
-False discoveries are controlled by length: candidates of letters in one case (ordinary words
-run together) serve as decoys.  Within each stratum of encoding and length, the least p-value
-bar is taken at which the decoys' pass rate, carried over to the other candidates, explains at
-most ``fdr`` of those that pass.  All rows are counted; the table of counts has a fixed size
-(strata x bins), so it alone goes to the driver.
+uniformity, runs above and below the middle, and serial correlation at lag one.  Short tokens
+can't fill a cell for every character, so uniformity is taken over a few cells of the alphabet,
+chosen where text departs from chance (common letters, other letters, capitals, digits), until
+each character may be expected five times.  The p-values are combined by Bonferroni's rule.
+
+False discoveries are controlled by length: candidates made of words (of letters in one case, or
+identifiers and paths of words and short numbers) serve as decoys.  Within each stratum of
+encoding and length, the least p-value bar is taken at which the decoys' pass rate, carried over
+to the other candidates, explains at most ``fdr`` of those that pass.  A stratum of few decoys
+uses those of all lengths of its encoding; without enough decoys nothing is discovered.  All rows
+are counted; the table of counts has a fixed size (strata x bins), so it alone goes to the driver.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.llm.names import free_name
 from webloom.shared import written
 
 # The patterns of the base kinds.
@@ -30,10 +34,19 @@ ALPHABETS = {
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
+CELLS = {
+    "hex": ["01234", "56789", "abc", "def"],
+    "base32": ["ETAOINSHR", "BCDFGJKLMPQUVWXYZ", "234567"],
+    "base64": ["etaoinshr", "bcdfgjklmpquvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789+/"],
+}
+#: What decoys are made of: words with a short number, or words in capitals.
+WORDS = [r"[A-Z]?[a-z]{2,}[0-9]{0,4}[-_/=+]*", r"[A-Z]{2,}[-_/=+]*"]
 KINDS = ["assign", "access", "hex", "random"]
 _BLOCK = 256
 _BINS = 24
 _LENGTHS = [32, 48, 80]
+#: Decoys without which a stratum has no rate of its own.
+_DECOYS = 20
 _SPAN = "array<struct<start:int,end:int>>"
 
 
@@ -67,21 +80,27 @@ def _tail(z: Column) -> Column:
     return 1 / (1 + F.exp(z * 1.5976 + F.pow(z, F.lit(3.0)) * 0.07056))
 
 
-def battery(token: Column, alphabet: str) -> Column:
-    """Combined p-value of the three tests for a token over an alphabet; padding '=' doesn't count."""
+def _chi_tail(chi: Column, df: int) -> Column:
+    """Upper tail of chi-squared, by the cube root of it that is close to normal."""
+    return _tail((F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5)
+
+
+def battery(token: Column, encoding: str) -> Column:
+    """p_chi, p_runs, p_serial and the combined p of a token; padding '=' doesn't count."""
+    alphabet = ALPHABETS[encoding]
     m = len(alphabet)
     clean = F.translate(F.rtrim(token, F.lit("=")), "-_", "+/") if m == 64 else F.rtrim(F.lower(token) if m == 16 else token, F.lit("="))
     values = F.transform(F.filter(F.split(clean, ""), lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
-    size = F.size(values).cast("double")
+    size = F.length(clean).cast("double")
 
-    runs = F.aggregate(
+    cells = [(len(c) / m, F.length(clean) - F.length(F.translate(clean, c, ""))) for c in CELLS[encoding]]
+    p_cells = _chi_tail(sum(((n - share * size) * (n - share * size) / (share * size) for share, n in cells), F.lit(0.0)), len(cells) - 1)
+    same = F.aggregate(
         F.array_sort(values),
         F.struct(F.lit(-2).alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("squares")),
         lambda a, v: F.struct(v.alias("last"), F.when(v == a["last"], a["run"] + 1).otherwise(1.0).alias("run"), (a["squares"] + F.when(v == a["last"], 2 * a["run"] + 1).otherwise(1.0)).alias("squares")),
     )
-    chi = runs["squares"] * m / size - size
-    df = m - 1
-    z_chi = (F.pow(F.greatest(chi, F.lit(0.0)) / df, F.lit(1 / 3)) - (1 - 2 / (9 * df))) / (2 / (9 * df)) ** 0.5
+    p_chi = F.when(size >= 5 * m, _chi_tail(same["squares"] * m / size - size, m - 1)).otherwise(p_cells)
 
     middle = (m - 1) / 2
     zero = F.lit(0.0)
@@ -98,9 +117,17 @@ def battery(token: Column, alphabet: str) -> Column:
     )
     mean = walk["high"] * 2 * (size - walk["high"]) / size + 1
     spread = (mean - 1) * (mean - 2) / (size - 1)
-    z_runs = F.when(spread > 0, F.abs(walk["runs"] - mean) / F.sqrt(spread)).otherwise(20.0)
+    # Runs are whole numbers: the correction by a half keeps short tokens' p-values honest.
+    z_runs = F.when(spread > 0, F.greatest(F.lit(0.0), F.abs(walk["runs"] - mean) - 0.5) / F.sqrt(spread)).otherwise(20.0)
     z_serial = F.when(walk["power"] > 0, F.abs(walk["cross"] / walk["power"]) * F.sqrt(size)).otherwise(20.0)
-    return F.least(F.lit(1.0), 3 * F.least(_tail(z_chi), 2 * _tail(z_runs), 2 * _tail(z_serial)))
+    p_runs, p_serial = F.least(F.lit(1.0), 2 * _tail(z_runs)), F.least(F.lit(1.0), 2 * _tail(z_serial))
+    return F.struct(p_chi.alias("p_chi"), p_runs.alias("p_runs"), p_serial.alias("p_serial"), F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial)).alias("p"))
+
+
+def made_of_words(token: Column) -> Column:
+    """Whether nothing is left of a token without its words; as replacement, which no long token can overflow."""
+    bare = [F.regexp_replace(token, F.lit(p), F.lit("")) == "" for p in WORDS]
+    return bare[0] | bare[1] | token.rlike("^[-_=+/]+$") | token.rlike("^[0-9]+$")
 
 
 def _judged(text: Column, base: Column) -> Column:
@@ -113,28 +140,34 @@ def _judged(text: Column, base: Column) -> Column:
         token = t["token"]
         hexa, upper = token.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$"), token.rlike("^[A-Z2-7]+=*$")
         kind = F.when(hexa, 0).when(upper, 1).otherwise(2)
-        p = F.when(hexa, battery(token, ALPHABETS["hex"])).when(upper, battery(token, ALPHABETS["base32"])).otherwise(battery(token, ALPHABETS["base64"]))
+        p = F.when(hexa, battery(token, "hex")["p"]).when(upper, battery(token, "base32")["p"]).otherwise(battery(token, "base64")["p"])
         size = t["end"] - t["start"]
         length = sum((F.when(size >= n, 1).otherwise(0) for n in _LENGTHS), F.lit(0))
         place = F.least(F.lit(_BINS - 1), F.floor(-F.log2(F.greatest(p, F.lit(1e-12)))).cast("int"))
-        decoy = token.rlike("^[A-Z]?[a-z]+(?:[-_/=+][A-Z]?[a-z]+)*[-_/=+]*$|^[A-Z]+$|^[-_=+/]+$|^[0-9]+$")
-        return F.struct(t["start"].alias("start"), t["end"].alias("end"), (kind * 10 + length).alias("stratum"), place.alias("bin"), decoy.alias("decoy"))
+        return F.struct(t["start"].alias("start"), t["end"].alias("end"), (kind * 10 + length).alias("stratum"), place.alias("bin"), made_of_words(token).alias("decoy"))
 
     return F.transform(free, judge)
 
 
 def _bars(counts: list, fdr: float, level_bin: int) -> dict[int, int]:
-    """For each stratum the highest bin (least p-value) that still counts as random."""
+    """For each stratum the highest bin (least p-value) that still counts as random, -1 for none."""
     by: dict[int, dict[tuple[bool, int], int]] = {}
     for r in counts:
-        by.setdefault(r["stratum"], {})[(r["decoy"], r["bin"])] = r["n"]
+        for stratum in (r["stratum"], -1 - r["stratum"] // 10):  # negative: all lengths of an encoding
+            have = by.setdefault(stratum, {})
+            have[r["decoy"], r["bin"]] = have.get((r["decoy"], r["bin"]), 0) + r["n"]
     bars = {}
     for stratum, have in by.items():
-        decoys = max(1, sum(n for (d, _), n in have.items() if d))
+        if stratum < 0:
+            continue
+        decoys = have
+        if sum(n for (d, _), n in have.items() if d) < _DECOYS:
+            decoys = by[-1 - stratum // 10]
+        known = sum(n for (d, _), n in decoys.items() if d)
         others = sum(n for (d, _), n in have.items() if not d)
         bar = -1
-        for b in range(level_bin + 1):
-            wrong = sum(have.get((True, i), 0) for i in range(b + 1)) / decoys * others
+        for b in range(level_bin + 1 if known >= _DECOYS else 0):
+            wrong = (1 + sum(decoys.get((True, i), 0) for i in range(b + 1))) / known * others
             right = sum(have.get((False, i), 0) for i in range(b + 1))
             if right and wrong <= fdr * right:
                 bar = b
@@ -142,35 +175,39 @@ def _bars(counts: list, fdr: float, level_bin: int) -> dict[int, int]:
     return bars
 
 
-def scan_secrets(docs: DataFrame, fdr: float = 0.05, level: float = 0.01, keep: list[str] | None = None) -> DataFrame:
+def scan_secrets(docs: DataFrame, fdr: float = 0.05, level: float = 0.01, keep: list[str] | None = None, spans_as: str = "spans") -> DataFrame:
     """Finds secrets in every text.
 
     ``docs``: doc_id, text; more columns are ignored unless named in ``keep``.  Returns a row
-    per row of docs: doc_id, the kept columns, and ``spans``, an array of (kind, start, end) in
+    per row of docs: doc_id, the kept columns, and ``spans_as``, an array of (kind, start, end) in
     code points, end exclusive, by start and then kind (assign, access, hex, random).  Null
     texts are empty and have no spans; repeated rows each give a row with the same spans; an
-    empty table gives an empty result.
+    empty table gives an empty result.  Very long texts are scanned whole.  Spans with the same
+    start are ordered by kind.  Kept columns may have any names but that of ``spans_as``.
     """
-    kept = [c for c in (keep or []) if c != "doc_id"]
-    raw = docs.select("doc_id", *kept, F.coalesce("text", F.lit("")).alias("_text"))
-    text, none = F.col("_text"), F.array().cast(_SPAN)
+    kept = ["doc_id", *(c for c in (keep or []) if c != "doc_id")]
+    if free_name(kept, spans_as) != spans_as:
+        raise ValueError(f"{spans_as} is the name of a kept column")
+    # Kept columns travel in one struct, so none of their names meets a name used here.
+    raw = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept)).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text, none = F.col("text"), F.array().cast(_SPAN)
 
     maybe = (F.contains(text, F.lit("=")) | F.contains(text, F.lit(":"))) & text.rlike(ASSIGN)
     passes = F.transform(F.regexp_extract_all(text, F.lit(ASSIGN), F.lit(2)), lambda g: F.length(g) >= 8)
     assign = F.filter(F.zip_with(match_spans(text, ASSIGN), passes, lambda s, ok: F.struct(s["start"].alias("start"), s["end"].alias("end"), ok.alias("ok"))), lambda s: s["ok"])
     base = raw.select(
         "*",
-        F.when(maybe, F.transform(assign, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).otherwise(none).alias("_assign"),
-        F.when(F.contains(text, F.lit("AKIA")) & text.rlike(ACCESS), match_spans(text, ACCESS)).otherwise(none).alias("_access"),
-        F.when(text.rlike(HEX), match_spans(text, HEX)).otherwise(none).alias("_hex"),
+        F.when(maybe, F.transform(assign, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))).otherwise(none).alias("assign"),
+        F.when(F.contains(text, F.lit("AKIA")) & text.rlike(ACCESS), match_spans(text, ACCESS)).otherwise(none).alias("access"),
+        F.when(text.rlike(HEX), match_spans(text, HEX)).otherwise(none).alias("hex"),
     )
-    joined = F.concat("_assign", "_access", "_hex")
+    joined = F.concat("assign", "access", "hex")
     found = base.select(
-        "doc_id", *kept, "_assign", "_access", "_hex",
-        F.when(text.rlike(CANDIDATE), _judged(text, joined)).otherwise(F.array().cast("array<struct<start:int,end:int,stratum:int,bin:int,decoy:boolean>>")).alias("_more"),
+        "row", "assign", "access", "hex",
+        F.when(text.rlike(CANDIDATE), _judged(text, joined)).otherwise(F.array().cast("array<struct<start:int,end:int,stratum:int,bin:int,decoy:boolean>>")).alias("more"),
     )
     found = written(found, "secrets-found")
-    counts = found.select(F.inline("_more")).groupBy("stratum", "decoy", "bin").agg(F.count("*").alias("n")).collect()
+    counts = found.select(F.inline("more")).groupBy("stratum", "decoy", "bin").agg(F.count("*").alias("n")).collect()
     level_bin = next(b for b in range(_BINS) if 2.0 ** -(b + 1) < level)
     bars = _bars(counts, fdr, level_bin)
 
@@ -183,9 +220,10 @@ def scan_secrets(docs: DataFrame, fdr: float = 0.05, level: float = 0.01, keep:
     def tagged(spans: Column, kind: int) -> Column:
         return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(kind).alias("kind"), s["end"].alias("end")))
 
-    everything = F.concat(tagged(F.col("_assign"), 0), tagged(F.col("_access"), 1), tagged(F.col("_hex"), 2), tagged(F.filter("_more", passes_bar), 3))
+    everything = F.concat(tagged(F.col("assign"), 0), tagged(F.col("access"), 1), tagged(F.col("hex"), 2), tagged(F.filter("more", passes_bar), 3))
     names = F.array(*(F.lit(k) for k in KINDS))
-    return found.select("doc_id", *kept, F.transform(F.array_sort(everything), lambda s: F.struct(F.element_at(names, s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
+    spans = F.transform(F.array_sort(everything), lambda s: F.struct(F.element_at(names, s["kind"] + 1).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
+    return found.select(*(F.col("row").getField(c).alias(c) for c in kept), spans.alias(spans_as))
 
 
 def redacted(text: Column, spans: Column, mark: str = "[secret]") -> Column:
