@@ -28,7 +28,7 @@ def brute(docs, items, window=13):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("limit", [500_000, 5])
+@pytest.mark.parametrize("limit", [64 << 20, 5])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_against_brute_force(spark, seed, limit):
     r = random.Random(seed)
@@ -47,7 +47,7 @@ def test_against_brute_force(spark, seed, limit):
     docs += [(100, None), (101, ""), (102, "..."), (3, docs[3][1]), (None, items[6][1]), (103, "the " * 40)]
     d = spark.createDataFrame([(a, b, "x") for a, b in docs], "doc_id long, text string, item_id string")
     b = spark.createDataFrame([(a, t, 1) for a, t in items], "item_id long, text string, doc_id int")
-    got = sorted(((x.doc_id, x.n_words, x.n_hit, x["items"], x.contaminated) for x in decontaminate(d, b, broadcast_rows=limit).collect()), key=str)
+    got = sorted(((x.doc_id, x.n_words, x.n_hit, x["items"], x.contaminated) for x in decontaminate(d, b, broadcast_bytes=limit).collect()), key=str)
     assert got == brute(docs, items)
 
 
@@ -58,6 +58,19 @@ def test_empty_tables(spark):
     assert decontaminate(d.limit(0), b).count() == 0
 
 
+@pytest.mark.parametrize("limit", [64 << 20, 5])
+def test_long_items_only_and_many_copies(spark, limit):
+    r = random.Random(9)
+    vocab = [f"v{i}" for i in range(40)]
+    items = [(i, " ".join(r.choices(vocab, k=r.randint(13, 40)))) for i in range(10)] + [(50, "v1 " * 30)]
+    docs = [(i % 7, " ".join(r.choices(vocab, k=r.randint(0, 9))) + " " + r.choice(items)[1] + " v1" * r.randint(0, 30)) for i in range(60)]
+    docs += [(1, items[0][1])] * 40 + [(2, None)] * 3
+    d = spark.createDataFrame([(a, b, 1) for a, b in docs], "doc_id long, text string, k1 int")
+    b = spark.createDataFrame([(a, t, 1) for a, t in items], "item_id long, text string, words int")
+    got = sorted(((x.doc_id, x.n_words, x.n_hit, x["items"], x.contaminated) for x in decontaminate(d, b, broadcast_bytes=limit).collect()), key=str)
+    assert got == brute(docs, items)
+
+
 def test_long_text(spark):
     r = random.Random(5)
     passage = " ".join(f"p{i}" for i in range(30))

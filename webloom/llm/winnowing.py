@@ -2,10 +2,12 @@
 
 Every ``window``-word passage holds ``window - gram + 1`` k-grams; both sides keep the
 minimum k-gram hash of every such group, so a document and a benchmark item that share a
-passage share a kept fingerprint at the same place in it.  Document fingerprints stream past
-the benchmark's (broadcast below a checked size, shuffled beyond it), hits are extended to the
-whole windows around them, and only windows whose words are equal count.  The texts of
-documents are read once and never shuffled.
+passage share a kept fingerprint at the same place in it.  Consecutive windows of a document
+that keep the same minimum are one entry, with just the words that these windows need; entries
+stream past the benchmark's fingerprints, hits are extended to all windows of the entry, and only
+windows whose words are equal count.  The benchmark's side is broadcast below a checked size in
+bytes and shuffled beyond it, by the same plan.  The texts of documents are read once and never
+shuffled.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from webloom.shared import written
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -38,7 +42,22 @@ def _fingerprinted(frame: DataFrame, words: str, gram: int, group: int) -> DataF
     return frame.drop("_hash", "_grams")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram: int = 7, percent: int = 5, broadcast_rows: int = 500_000) -> DataFrame:
+def _entries(window: int, short: bool) -> tuple[Column, Column]:
+    """Where the runs of windows with one minimum in ``least`` start, and (at, print, part) of each run.
+
+    With ``short`` every word has an entry too.  Entry 0 stands for the document, which so stays in the stream without hits; its print and
+    part are as good as random, so that none of the joins gathers these rows in one task.
+    """
+    same = lambda i: F.get("least", i - 1).eqNullSafe(F.get("least", i - 2))
+    starts = F.when(F.size("least") > 0, F.filter(F.sequence(F.lit(1), F.size("least")), lambda i: ~same(i))).otherwise(F.array().cast("array<int>"))
+    end = lambda j: F.coalesce(F.get("_starts", j + 1), F.size("least") + 1)
+    runs = F.transform("_starts", lambda s, j: F.struct(s.alias("at"), F.get("least", s - 1).alias("print"), F.slice("words", s, end(j) - s + window - 1).alias("part")))
+    head = F.array(F.struct(F.lit(0).alias("at"), F.col("k1").alias("print"), F.array(F.col("k2").cast("string")).alias("part")))
+    each = F.transform("words", lambda w, i: F.struct((i + 1).alias("at"), F.xxhash64(F.lit("first"), w).alias("print"), F.slice("words", i + 1, window - 1).alias("part")))
+    return starts, (F.concat(head, runs, each) if short else F.concat(head, runs))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram: int = 7, percent: int = 5, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """Finds the benchmark passages in documents.
 
     ``docs``: doc_id, text.  ``benchmark``: item_id, text.  More columns are ignored.  A window
@@ -47,7 +66,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram:
     of docs: doc_id, n_words, n_hit, items (ids as strings, sorted), contaminated
     (n_hit > 0 and n_hit is at least ``percent`` of n_words).  Null texts have no words; null
     item ids count as no item but their windows hit; repeated rows each give a row; an empty
-    benchmark contaminates nothing.
+    benchmark contaminates nothing.  A very long text is one row until its entries are made,
+    in time and memory linear in its words.  ``broadcast_bytes`` changes no result.
     """
     if not 1 <= gram <= window:
         raise ValueError("gram must lie between 1 and window")
@@ -56,36 +76,36 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram:
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), word_array(F.col("text")).alias("words")).where("size(words) > 0")
     length = F.least(F.size("words"), F.lit(window))
     windows = items.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - length + 1), lambda i: F.slice("words", i, length))).alias("passage"))
-    windows = windows.groupBy("passage").agg(F.collect_set("item").alias("owners")).withColumn("size", F.size("passage")).persist()
-
-    # Checked once: the number of distinct benchmark windows bounds every broadcast below.
-    small = windows.limit(broadcast_rows + 1).count() <= broadcast_rows
-    fit = F.broadcast if small else (lambda side: side.hint("merge"))
-    n_short = windows.where(F.col("size") < window).limit(1).count()
-    passages = fit(windows.where(F.col("size") == window).select("passage", "owners"))
-    prints = fit(_fingerprinted(windows.where(F.col("size") == window), "passage", gram, group).select(F.col("least")[0].alias("print")).distinct())
-
-    base = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id"), word_array(F.col("text")).alias("words"))
+    windows = windows.groupBy("passage").agg(F.collect_set("item").alias("owners")).withColumn("size", F.size("passage"))
+    windows = written(windows, "winnowing-windows")
+
+    weight = 64 + 24 * F.col("size") + F.length(F.array_join("passage", "")) + F.aggregate("owners", F.lit(0), lambda a, x: a + F.length(x) + 24)
+    total, short = windows.agg(F.coalesce(F.sum(weight), F.lit(0)), F.coalesce(F.max(F.col("size") < window), F.lit(False))).first()
+    fit = F.broadcast if total <= broadcast_bytes else (lambda side: side.hint("merge"))
+    prints = _fingerprinted(windows.where(F.col("size") == window), "passage", gram, group).select(F.col("least")[0].alias("print"), "size")
+    if short:  # too short for the guarantee: found by their first words
+        prints = prints.unionByName(windows.where(F.col("size") < window).select(F.xxhash64(F.lit("first"), F.col("passage")[0]).alias("print"), "size"))
+
+    # Rows are named by their content, which no repeated task changes.
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    base = docs.select(F.col("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), word_array(text).alias("words"))
     rows = _fingerprinted(base, "words", gram, group)
-    # One entry a window; entry 0 stands for the document, which so stays in the stream without hits.
-    entries = F.concat(F.array(F.struct(F.lit(0).alias("at"), F.lit(None).cast("long").alias("print"))), F.transform("least", lambda h, i: F.struct((i + 1).alias("at"), h.alias("print"))))
-    passage = F.when(F.col("at") > 0, F.slice("words", F.col("at"), window)).alias("passage")
-    stream = rows.select("row", "doc_id", F.size("words").alias("n_words"), "words", F.inline(entries))
-    if not small:  # a shuffled join moves a window's words and not the document's
-        stream = stream.select("row", "doc_id", "n_words", "at", "print", passage)
-    met = stream.join(prints.withColumn("met", F.lit(True)), "print", "left").where("met or at = 0")
-    met = met.select("row", "doc_id", "n_words", "at", passage if small else "passage")
-    hits = met.join(passages, "passage", "left").where("owners is not null or at = 0").select("row", "doc_id", "n_words", "at", F.lit(window).alias("len"), "owners")
-
-    if n_short:
-        # Too short for the guarantee: found by their first word and compared in whole.
-        brief = windows.where(F.col("size") < window).select(F.col("passage")[0].alias("word"), F.col("passage").alias("brief"), "size", "owners")
-        places = base.select("row", "doc_id", F.size("words").alias("n_words"), "words", F.posexplode("words").alias("pos", "word"))
-        brief = places.join(fit(brief), "word").where(F.slice("words", F.col("pos") + 1, F.col("size")) == F.col("brief"))
-        hits = hits.unionByName(brief.select("row", "doc_id", "n_words", (F.col("pos") + 1).alias("at"), F.col("size").alias("len"), "owners"))
-
-    spans = F.array_sort(F.filter(F.collect_list(F.struct("at", "len")), lambda s: s["at"] > 0))
-    found = hits.groupBy("row", "doc_id", "n_words").agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("owners")))).alias("items"))
+    starts, entries = _entries(window, short)
+    rows = rows.withColumn("_starts", starts)
+    key = ["doc_id", "k1", "k2", "n_words"]
+    stream = rows.select("doc_id", "k1", "k2", F.size("words").alias("n_words"), F.inline(entries))
+    met = stream.join(fit(prints.distinct()), "print", "left").where("size is not null or at = 0")
+    spots = (
+        F.when(F.col("at") == 0, F.array(F.struct(F.col("at"), F.col("part").alias("passage"))))
+        .when(F.size("part") < F.col("size"), F.array().cast("array<struct<at:int,passage:array<string>>>"))
+        .when(F.col("size") == window, F.transform(F.sequence(F.lit(1), F.size("part") - window + 1), lambda i: F.struct((F.col("at") + i - 1).alias("at"), F.slice("part", i, window).alias("passage"))))
+        .otherwise(F.array(F.struct(F.col("at"), F.slice("part", 1, F.col("size")).alias("passage"))))
+    )
+    hits = met.select(*key, F.inline(spots)).join(fit(windows), "passage", "left").where("owners is not null or at = 0")
+
+    spans = F.array_sort(F.filter(F.collect_set(F.struct("at", F.col("size").alias("len"))), lambda s: s["at"] > 0))
+    owners = F.when(F.col("at") > 0, F.col("owners"))
+    found = hits.groupBy(*key).agg(spans.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(owners)))).alias("items"), F.count_if(F.col("at") == 0).alias("copies"))
     start = F.struct(F.lit(1).alias("free"), F.lit(0).alias("hit"))
     covered = F.aggregate(
         "spans",
@@ -95,8 +115,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram:
             (acc["hit"] + F.greatest(F.lit(0), s["at"] + s["len"] - F.greatest(acc["free"], s["at"]))).alias("hit"),
         ),
     )["hit"].cast("long")
-    out = found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), covered.alias("n_hit"), "items")
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
+    out = found.select("doc_id", F.col("n_words").cast("long").alias("n_words"), covered.alias("n_hit"), "items", "copies")
+    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (100 * F.col("n_hit") >= percent * F.col("n_words")))
+    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies", "copy")
 
 
 def op5_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
