@@ -46,3 +46,11 @@ def test_held_out_accuracy(spark):
     assert (scored.predicted == scored.quality).mean() >= 0.95
     kept = keep_quality(docs, labels)
     assert kept.columns == docs.columns and 0.8 * docs.count() < kept.count() < docs.count()
+
+
+def test_repeated_ids_and_clashing_names(spark):
+    docs = spark.createDataFrame([(i % 4, f"a b c {i}", "u") for i in range(8)], "doc_id long, text string, _upper string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (1, 1), (2, 0)], "doc_id long, quality int")
+    assert sorted(r.doc_id for r in score_documents(docs, labels).collect()) == sorted(i % 4 for i in range(8))
+    kept = keep_quality(docs, labels)
+    assert kept.columns == docs.columns and {r._upper for r in kept.collect()} <= {"u"}

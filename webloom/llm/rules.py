@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm import kernels as K
-from webloom.shared import ship_package, written
+from webloom.llm.names import free_name
+from webloom.shared import ship_package
 
 _ENDS = K.byte_class((10, 10))
 _CLASSES = {
@@ -75,25 +76,33 @@ def _repetition(hashes: np.ndarray, rows: np.ndarray, n: int) -> tuple[np.ndarra
     return np.bincount(r[heads], minlength=n).astype(float), most
 
 
-def _measure(text: int, kept: int) -> Callable:
+def _measure(text: int, kept: int, names: list[str]) -> Callable:
     """Statistics of column number ``text``; the first ``kept`` columns pass through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r0, r1, data, at in K.chunks(batch.column(text)):
                 values = statistics(data, at)
-                yield pa.record_batch([*(c[r0:r1] for c in batch.columns[:kept]), *(pa.array(v) for v in values.T)], [*batch.schema.names[:kept], *(f"_{s}" for s in STATISTICS)])
+                yield pa.record_batch([*(c[r0:r1] for c in batch.columns[:kept]), *(pa.array(v) for v in values.T)], [*batch.schema.names[:kept], *names])
 
     return run
 
 
+def statistic_names(taken: list[str]) -> list[str]:
+    """Column names of the statistics: with underscores before them until none is taken."""
+    prefix = "_"
+    while any(free_name(taken, prefix + s) != prefix + s for s in STATISTICS):
+        prefix += "_"
+    return [prefix + s for s in STATISTICS]
+
+
 def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The kept columns and the statistics of each text, in columns that begin with an underscore."""
+    """The kept columns and the statistics of each text, in columns named by ``statistic_names(keep)``."""
     ship_package(docs.sparkSession)
     columns = keep if "text" in keep else [*keep, "text"]
-    frame = docs.select(*columns)
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[: len(keep)]] + [f"_{s} double" for s in STATISTICS]
-    return frame.mapInArrow(_measure(columns.index("text"), len(keep)), ", ".join(fields))
+    frame, names = docs.select(*(F.col(f"`{c}`") for c in columns)), statistic_names(keep)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[: len(keep)]] + [f"`{n}` double" for n in names]
+    return frame.mapInArrow(_measure(columns.index("text"), len(keep), names), ", ".join(fields))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -110,24 +119,24 @@ class RuleModel:
     weights: list[float]
     bias: float
 
-    def margin(self) -> Column:
+    def margin(self, names: list[str]) -> Column:
         total = F.lit(float(self.bias))
         for rule, w in zip(self.rules, self.weights, strict=True):
-            total = total + F.when(_condition(rule), float(w)).otherwise(0.0)
+            total = total + F.when(_condition(rule, names), float(w)).otherwise(0.0)
         return total
 
-    def score(self) -> Column:
-        """Probability of label 1, over the columns of ``measured``."""
-        return 1 / (1 + F.exp(-self.margin()))
+    def score(self, names: list[str]) -> Column:
+        """Probability of label 1, over the statistics' columns of ``measured``."""
+        return 1 / (1 + F.exp(-self.margin(names)))
 
     def explain(self) -> list[str]:
         return [f"{w:+.3f}  " + " and ".join(f"{STATISTICS[s]} {'>' if up else '<='} {t:.4g}" for s, up, t in rule) for rule, w in zip(self.rules, self.weights, strict=True)]
 
 
-def _condition(rule: tuple[Condition, ...]) -> Column:
+def _condition(rule: tuple[Condition, ...], names: list[str]) -> Column:
     out = F.lit(True)
     for s, up, t in rule:
-        c = F.col(f"_{STATISTICS[s]}")
+        c = F.col(names[s])
         out = out & ((c > t) if up else (c <= t))
     return out
 
@@ -182,6 +191,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, penalty:
             for n in range(1, len(rule) + 1):
                 paths[tuple(sorted(set(rule[:n])))] = None
     rules = list(paths)
+    if not rules:  # too few rows to split
+        return RuleModel([], [], base)
     z = np.column_stack([_holds(x, r) for r in rules]).astype(np.float64)
     mean, spread = z.mean(0), z.std(0)
     rules, z = [r for r, s in zip(rules, spread, strict=True) if s > 1e-3], z[:, spread > 1e-3]
@@ -202,19 +213,22 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, penalty:
     return RuleModel([rules[i] for i in kept], [float(r) for r in real], float(bias - (real * mean[kept]).sum()))
 
 
-def train(stats: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 20_000) -> RuleModel:
-    """Fits on at most ``sample`` labelled rows that aren't held out, chosen by a hash of the id.
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = 20_000) -> RuleModel:
+    """Fits on at most about ``sample`` labelled documents that aren't held out, chosen by a hash of the id.
 
-    ``stats``: doc_id and the columns of ``measured``.  ``labels``: doc_id and the label; null
-    labels are skipped.  Only the sample goes to the driver: rows whose hash falls below a share
-    that leads to 95 % of the bound, so that no task sends more than its part of it.
+    ``docs``: doc_id, text.  ``labels``: doc_id and the label; null labels are skipped, of several
+    the largest counts, as the least statistics do where an id repeats.  The ids are chosen first
+    (those whose hash falls below a share that leads to 95 % of the bound; so few that they are
+    broadcast), and only their texts are measured.  Only the sample goes to the driver.
     """
-    known = labels.where(~held_out(F.col("doc_id")) & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("double").alias("_label"))
+    known = labels.where(~held_out(F.col("doc_id")) & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("double")).alias("label"))
     n = known.count()
     if n > sample:
         known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(0.95 * sample / n * (1 << 40)))
-    rows = known.join(stats, "doc_id").limit(sample).select("doc_id", "_label", *(f"_{s}" for s in STATISTICS))
-    got = rows.toPandas().sort_values(["doc_id", "_label", *(f"_{s}" for s in STATISTICS)]).to_numpy(dtype=np.float64).reshape(-1, len(STATISTICS) + 2)
+    chosen = docs.select("doc_id", "text").join(F.broadcast(known.select("doc_id")), "doc_id", "left_semi")
+    names = statistic_names(["doc_id", "label"])
+    stats = measured(chosen, ["doc_id"]).groupBy("doc_id").agg(F.min(F.struct(*names)).alias("s"))
+    got = known.join(stats, "doc_id").select("doc_id", "label", "s.*").toPandas().sort_values("doc_id").to_numpy(dtype=np.float64).reshape(-1, len(STATISTICS) + 2)
     return fit(got[:, 2:], got[:, 1])
 
 
@@ -224,17 +238,17 @@ def score_documents(docs: DataFrame, labels: DataFrame, label: str = "quality",
     ``docs``: doc_id, text; ``labels``: doc_id and the label; more columns are ignored.  Null
     and empty texts have the statistics of no words and get a score too; null ids are held
     out; repeated rows each give a row; without usable labels every score is 0.5; an empty
-    table gives an empty result.
+    table gives an empty result.  Very long texts are measured whole.
     """
-    stats = written(measured(docs, ["doc_id"]), "quality-statistics")
-    score = train(stats, labels, label, sample).score()
-    return stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    model, names = train(docs, labels, label, sample), statistic_names(["doc_id"])
+    stats = measured(docs, ["doc_id"])
+    return stats.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), model.score(names).alias("score")).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample: int = 20_000) -> DataFrame:
-    """The rows of docs whose score reaches the threshold, with their columns."""
-    model = train(measured(docs, ["doc_id"]), labels, sample=sample)
-    return measured(docs, docs.columns).where(model.score() >= threshold).select(*docs.columns)
+    """The rows of docs whose score reaches the threshold, with their columns, whatever those are named."""
+    model, names = train(docs, labels, sample=sample), statistic_names(docs.columns)
+    return measured(docs, docs.columns).where(model.score(names) >= threshold).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op8_quality_classifier(spark, sf_dir: str) -> DataFrame:
