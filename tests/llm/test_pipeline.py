@@ -39,6 +39,29 @@ def test_edge_rows(spark):
     assert sorted(docs.select("doc_id").toPandas().doc_id.fillna(-1).tolist()) == [-1, 1, 2, 3]
 
 
+def test_clashing_names_long_texts_and_empty_tables(spark):
+    extra = ["spans", "_text", "_upper", "_kept", "kept", "_bad", "bad", "digest", "_digest", "mark", "row", "redacted", "id", "k1", "of_kept", "_new"]
+    r = random.Random(3)
+    prose = " ".join(r.choices([f"word{i}" for i in range(3000)], k=60_000))
+    rows = [(1, "token: abcdefgh12 end " + " ".join(f"t{i}" for i in range(30)), "en", "s", 21), (2, prose, "en", "s", len(prose)), (None, None, None, None, None), (3, "x y z w v", "en", "s", 9), (3, "x y z w v", "en", "s", 9)]
+    rows = [(*row, *extra) for row in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)
+    full = spark.createDataFrame(rows, schema)
+    for docs in (full, full.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, DATA)
+            if name == "encoding":
+                assert out.count() == docs.count()
+                break
+            assert out.columns == docs.columns
+            got = out.collect()
+            assert all(tuple(x)[5:] == tuple(extra) for x in got)
+            if name == "quality":
+                assert {x.text for x in got} <= {x.text for x in docs.collect()}
+            elif docs is full:
+                assert {(x.doc_id, (x.text or "")[:8]) for x in got} == {(1, "[secret]" if name == "secrets" else "token: a"), (2, prose[:8]), (None, ""), (3, "x y z w ")}
+
+
 def test_near_duplicates_against_brute_force(spark):
     r = random.Random(5)
     vocab = [f"w{i}" for i in range(2000)]
