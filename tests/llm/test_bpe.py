@@ -44,3 +44,30 @@ def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a")], "doc_id long, text string")
     assert encode_documents(df, vocabulary()).count() == 3
     assert encode_documents(df.limit(0), vocabulary()).count() == 0
+
+
+def test_every_code_point_and_marks():
+    r = random.Random(3)
+    every = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    low = [c for c in every if c < 0x3000]
+    texts = ["".join("a" + chr(c) + " " for c in every[i : i + 64]) for i in range(0, len(every), 64)]
+    texts += ["".join(chr(r.choice(low)) for _ in range(r.randint(1, 12))) for _ in range(8000)]
+    texts.append("α᳣࡙͍ᫌ")
+    got = ((list(memoryview(ids).cast("I")), text) for ids, text in WordBpe(vocabulary()).encode(texts))
+    assert all(g == w for g, w in zip(got, expected(texts), strict=True))
+
+
+def test_cache_keeps_its_younger_half(monkeypatch):
+    monkeypatch.setattr("webloom.llm.bpe._CACHED_WORDS", 50)
+    bpe = WordBpe(vocabulary())
+    batches = [[f"word{i} same <|endoftext|> x{i}" for i in range(a, a + 10)] for a in range(0, 100, 10)]
+    for batch in batches:
+        assert [(list(memoryview(ids).cast("I")), text) for ids, text in bpe.encode(batch)] == list(expected(batch))
+    assert 0 < len(bpe.cache) <= 100
+
+
+def test_long_text_and_result_names(spark):
+    df = spark.createDataFrame([(1, "long words " * 200_000)], "doc_id long, text string")
+    assert len(encode_documents(df, vocabulary()).first().ids) == 4 * 400_000
+    with pytest.raises(ValueError):
+        encode_documents(df.selectExpr("*", "1 as ids"), vocabulary(), keep=["ids"])

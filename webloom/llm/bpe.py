@@ -14,11 +14,12 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import pairwise
+from itertools import islice, pairwise
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,23 @@ def byte_alphabet() -> list[str]:
     return [table.get(b) or chr(next(extra)) for b in range(256)]
 
 
+@lru_cache(maxsize=1)
+def _settled() -> re.Pattern:
+    """Texts of characters that Unicode 3.2 had assigned.
+
+    Their normal forms are stable by Unicode's policy, so every library reads them alike, whatever
+    version its tables have.
+    """
+    old, spans = unicodedata.ucd_3_2_0, []
+    for c in range(0x110000):
+        if old.category(chr(c)) not in ("Cn", "Cs", "Co"):
+            if spans and spans[-1][1] == c - 1:
+                spans[-1][1] = c
+            else:
+                spans.append([c, c])
+    return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in spans) + "]*")
+
+
 class WordBpe:
     """Encoder for word-level BPE files: normalisation, word pattern, merges and word ends as the file states them."""
 
@@ -58,6 +76,9 @@ class WordBpe:
         self.longest = max(map(len, self.inner | self.final))
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
+        # The library's own normaliser and splitter, for texts that the tables here may read otherwise.
+        self.normalizer = tokenizers.Tokenizer.from_str(json.dumps(spec | {"model": {"type": "BPE", "vocab": {}, "merges": []}, "added_tokens": []})).normalizer
+        self.splitter = tokenizers.pre_tokenizers.Split(tokenizers.Regex(split["pattern"]["Regex"]), split["behavior"].lower(), split["invert"])
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.apart = lru_cache(maxsize=_CACHED_PAIRS)(self._apart)
         self.cache: dict[str, tuple[bytes, str]] = {t: (np.array([i], "<u4").tobytes(), t) for t, i in self.special.items()}
@@ -114,7 +135,7 @@ class WordBpe:
 
     def words(self, text: str) -> list[str]:
         """The words of a text after normalisation, special tokens among them."""
-        if "<|" not in text:
+        if not any(t in text for t in self.special):
             return self._plain(text)
         out, at = [], 0
         for m in self.specials.finditer(text):
@@ -124,6 +145,8 @@ class WordBpe:
         return out + self._plain(text[at:])
 
     def _plain(self, text: str) -> list[str]:
+        if not text.isascii() and not _settled().fullmatch(text):
+            return [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
         # One character at a time: a final sigma is lower-cased like any other.
         text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
         return self.pattern.findall(text)
@@ -133,7 +156,10 @@ class WordBpe:
         split = [self.words(t or "") for t in texts]
         missing = {w for words in split for w in words if w not in self.cache}
         if len(self.cache) + len(missing) > _CACHED_WORDS:
-            self.cache = {t: self.cache[t] for t in self.special}
+            # The older half goes; what the batch needs of it is encoded again.
+            for w in list(islice(self.cache, len(self.cache) // 2)):
+                if w not in self.special:
+                    del self.cache[w]
             missing = {w for words in split for w in words if w not in self.cache}
         shown = sorted(("".join([self.alphabet[b] for b in w.encode()]), w) for w in missing)
         for tokens, (_, word) in zip(self.encode_words([s for s, _ in shown]), shown, strict=True):
@@ -153,7 +179,7 @@ def _encode(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = encoder(path)
         for batch in batches:
-            texts = batch.column("_text").to_pylist()
+            texts = batch.column(batch.num_columns - 1).to_pylist()
             begin = size = 0
             for i, t in enumerate(texts, 1):
                 size += len(t or "")
@@ -173,11 +199,14 @@ def encode_documents(docs: DataFrame, path: str, keep: list[str] | None = None)
     per row of docs: doc_id, the kept columns, ids (binary: little-endian unsigned 32-bit
     integers) and decoded (the token strings joined by spaces, as the file has no decoder).
     Special-token strings in texts become their ids.  Null texts are empty: no ids, empty
-    decoded text.  Repeated rows each give a row; an empty table gives an empty result.
+    decoded text.  Repeated rows each give a row; an empty table gives an empty result.  A very
+    long text is encoded whole, alone in its batch; merges of one rank go leftmost first.
     """
     ship_package(docs.sparkSession)
     kept = [c for c in (keep or []) if c != "doc_id"]
-    frame = docs.select("doc_id", *kept, F.col("text").alias("_text"))
+    if {c.lower() for c in kept} & {"ids", "decoded"}:
+        raise ValueError("ids and decoded are columns of the result")
+    frame = docs.select("doc_id", *(F.col(f"`{c}`") for c in kept), F.col("text").cast("string").alias("_text"))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema.fields[:-1])
     return frame.mapInArrow(_encode(path), f"{fields}, ids binary, decoded string")
 
