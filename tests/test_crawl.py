@@ -1,11 +1,12 @@
 import json
+import random
 import sqlite3
 
 import pytest
 
 from webloom import cli, config, ops
 from webloom.operators.records import CrawlIndex, envelope
-from webloom.operators.scope import Scope
+from webloom.operators.scope import SITEMAP_FILES, Scope, admit
 from webloom.plans.crawl import crawl
 from webloom.sources.runs import import_sqlite, open_run, read_ndjson, read_records, write_ndjson, write_records
 from pyspark.sql import functions as F
@@ -25,6 +26,53 @@ def test_rounds_against_a_simulator(spark):
     assert crawl(fetches, seeds, Scope(), max_depth=5, run_cap=4).requests.count() == 4
 
 
+def one_by_one(rows, known, caps, max_depth=3):
+    """Decisions taken in order, with counts of what was enqueued."""
+    seen = [u for u, _ in known]
+    counts = {}
+
+    def keys(url, seed):
+        path = url[len("http://h") :]
+        return {"seed": seed, "place": (seed, path.rsplit("/", 1)[0]), "shape": (seed, "".join("n" if p.isdigit() else p for p in path.split("/")))}
+
+    def add(url, seed):
+        for k in keys(url, seed).items():
+            counts[k] = counts.get(k, 0) + 1
+
+    for u, s in known:
+        add(u, s)
+    files, out = 0, {}
+    for seq, url, depth, seed, source in sorted(rows):
+        full = lambda k: counts.get((k, keys(url, seed)[k]), 0) >= caps[k]  # noqa: B023, E731
+        file = source in SITEMAP_FILES
+        status = (
+            "rejected_scope" if seed is None else "invalid_url" if url is None else "already_seen" if url in seen else "trap_guard" if file and files >= caps["files"] else "queue_limit" if len(seen) >= caps["run"] else "rejected_scope" if not url.startswith("http://h/")
+            else "queue_limit" if full("seed") else "trap_guard" if full("place") or full("shape") else "max_depth" if depth > max_depth else "queue_limit" if len(seen) >= caps["queue"] else "enqueued"
+        )
+        out[seq] = status
+        if status == "enqueued":
+            seen.append(url)
+            add(url, seed)
+            files += file
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_admission_one_by_one(spark, seed):
+    r = random.Random(seed)
+    seeds = ["http://h/", "http://h/s", None]
+    rows = [(i, r.choice([None, "http://x/"] + [f"http://h/{r.choice('abc')}/{r.randrange(12)}" for _ in range(12)]), r.choice([0, 1, 9]), r.choice(seeds[:2] * 3 + seeds), r.choice(["html-link", "sitemap-index", "robots-sitemap"])) for i in range(300)]
+    known = [("http://h/a/1", "http://h/"), ("http://h/k/1", "http://h/s")]
+    schema = "seq long, url string, depth int, seed_url string, source string"
+    # The depth-9 sighting leaves no trace: the later one is enqueued.
+    first = admit(spark.createDataFrame([(0, "http://h/a", 9, "http://h/", ""), (1, "http://h/a", 1, "http://h/", "")], schema), Scope())
+    assert [x.status for x in first.orderBy("seq").collect()] == ["max_depth", "enqueued"]
+    caps = {"files": 7, "run": r.choice([15, 100]), "seed": 14, "place": 5, "shape": 6, "queue": r.choice([11, 100])}
+    scope = Scope(max_per_directory=caps["place"], max_per_pattern=caps["shape"])
+    got = admit(spark.createDataFrame(rows, schema), scope, known=spark.createDataFrame(known, "url string, seed_url string"), max_depth=3, run_cap=caps["run"], seed_cap=caps["seed"], sitemap_cap=caps["files"], queue_cap=caps["queue"])
+    assert {x.seq: x.status for x in got.collect()} == one_by_one(rows, known, caps)
+
+
 def records(spark):
     rows = spark.createDataFrame([(1, "http://a/", 200, "html"), (2, "http://b/", 404, "feed")], "id long, url string, status int, resource_type string")
     return envelope(rows, "resource", F.col("id"), url=F.col("url"), status_code=F.col("status"), created_at=F.timestamp_seconds("id"))

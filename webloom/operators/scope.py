@@ -12,7 +12,7 @@ from pyspark.sql.window import Window
 
 from webloom.functions import robots_kernel
 from webloom.functions import urls as U
-from webloom.shared import ship_package
+from webloom.shared import discard, ship_package, written
 
 
 @dataclass(frozen=True)
@@ -108,36 +108,89 @@ def robots_decisions(urls: DataFrame, robots: DataFrame, token: str = "robot") -
     return joined.select(*urls.columns, allowed.alias("allowed"), F.when(~failed & ~missing, F.col("_robots.crawl_delay")).alias("crawl_delay"))
 
 
-def admit(candidates: DataFrame, scope: Scope, *, known: DataFrame | None = None, max_depth: int = 5, run_cap: int = 1000, seed_cap: int | None = None) -> DataFrame:
-    """Decisions for candidates (seq, url, depth, seed_url), in order of seq; adds status.
+#: Sources of requests for sitemap files.
+SITEMAP_FILES = ("robots-sitemap", "sitemap-index")
+#: Beyond every sequence number.
+_OPEN = (1 << 63) - 1
 
-    Order: no seed, invalid URL, seen before, scope, directory cap, pattern cap, depth, run cap.
-    Rows rejected for other reasons use up no cap, so each cap is a running count over the rows
-    that reach it; with caps far above the counts the windows decide nothing, as usual.
+
+def _last_place(members: DataFrame, key: str | None, cap: int) -> DataFrame | int:
+    """The ``seq`` of the cap-th member (of each key, or of all): later rows find the cap reached.
+
+    Ranking stops at the cap in every task before the shuffle, so one key with very many rows
+    sends ``cap`` of them at most; keys below their cap have no row.
+    """
+    if key is None:
+        if cap <= 0:
+            return -1
+        if members.limit(cap).count() < cap:
+            return _OPEN
+        return members.select("seq").orderBy("seq").limit(cap).agg(F.max("seq")).first()[0]
+    nth = F.row_number().over(Window.partitionBy(key).orderBy("seq"))
+    return members.select(key, "seq").withColumn("_n", nth).where(F.col("_n") <= max(cap, 1)).where(F.col("_n") == max(cap, 1)).select(key, (F.col("seq") if cap > 0 else F.lit(-1)).alias(f"_{key}"))
+
+
+def admit(
+    candidates: DataFrame, scope: Scope, *, known: DataFrame | None = None, max_depth: int = 5, run_cap: int = 1000, seed_cap: int | None = None, seed_max_depth: int | None = None, sitemap_cap: int | None = None, queue_cap: int | None = None
+) -> DataFrame:
+    """Decisions for candidates (seq, url, depth, seed_url), as if taken one by one in order of seq; adds status.
+
+    The first rule that applies decides: no seed (rejected_scope), no valid URL (invalid_url), a
+    URL that was enqueued before (already_seen; a rejected sighting leaves no trace), sitemap-file
+    cap (trap_guard; needs a column ``source``), run cap (queue_limit), scope and the seed's depth
+    (rejected_scope), seed cap (queue_limit), directory and pattern caps (trap_guard), depth
+    (max_depth), queue size (queue_limit), else enqueued.  Every cap counts enqueued rows only,
+    ``known`` (url, seed_url) among them.  ``seq`` is unique and not negative.
+
+    Whether a row is enqueued depends on earlier rows through these counts.  Counting all open
+    rows gives a set that is too large or too small; counting that set's members again gives the
+    opposite, and the rows settle in order of seq, so this is repeated until nothing changes
+    (two or three times, unless caps of several kinds interlock).
     """
-    rows = candidates.withColumn("_reason", scope_reason(F.col("url"), F.col("depth"), F.col("seed_url"), scope))
-    first = Window.partitionBy("url").orderBy("seq")
-    rows = rows.withColumn("_nth", F.row_number().over(first))
+    url, seed = F.col("url"), F.col("seed_url")
+    place = F.concat_ws("\x00", "seed_url", U.origin(url), U.directory(url))
+    shape = F.concat_ws("\x00", "seed_url", U.origin(url), U.path_pattern(url), U.query_pattern(url))
+    reason = F.coalesce(scope_reason(url, F.col("depth"), seed, scope), F.when(F.col("depth") > seed_max_depth, "seed-depth") if seed_max_depth is not None else F.lit(None))
+    sitemap = F.col("source").isin(*SITEMAP_FILES) if sitemap_cap is not None else F.lit(False)
+    rows = candidates.select("*", reason.alias("_reason"), place.alias("place"), shape.alias("shape"), sitemap.alias("_sitemap"))
+    rows = written(rows, "admission-rows")
+    before = None
     if known is not None:
-        rows = rows.join(known.select(F.col("url"), F.lit(True).alias("_known")).distinct(), "url", "left")
-    else:
-        rows = rows.withColumn("_known", F.lit(None).cast("boolean"))
-    early = (
-        F.when(F.col("seed_url").isNull(), "rejected_scope").when(F.col("url").isNull(), "invalid_url").when(F.col("_known") | (F.col("_nth") > 1), "already_seen").when(F.col("_reason").isNotNull(), "rejected_scope")
-    )
-    rows = rows.withColumn("status", early).withColumn("_place", F.concat_ws("\x00", "seed_url", U.origin(F.col("url")), U.directory(F.col("url")))).withColumn("_shape", F.concat_ws("\x00", "seed_url", U.origin(F.col("url")), U.path_pattern(F.col("url")), U.query_pattern(F.col("url"))))
-    deep = F.when(F.col("status").isNull() & (F.col("depth") > max_depth), 1).otherwise(0)
-    rows = rows.withColumn("_deep", deep)
-    for column, cap in (("_place", scope.max_per_directory), ("_shape", scope.max_per_pattern)):
-        open_rows = F.col("status").isNull() & (F.col("_deep") == 0)
-        count = F.sum(F.when(open_rows, 1).otherwise(0)).over(Window.partitionBy(column).orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-        rows = rows.withColumn("status", F.when(open_rows & (count > cap), "trap_guard").otherwise(F.col("status")))
-    rows = rows.withColumn("status", F.when(F.col("status").isNull() & (F.col("_deep") == 1), "max_depth").otherwise(F.col("status")))
+        before = known.select(F.lit(-1).cast("long").alias("seq"), "url", "seed_url", place.alias("place"), shape.alias("shape"), F.lit(False).alias("_sitemap"))
+
+    caps = {"url": 1, "seed_url": seed_cap, "place": scope.max_per_directory, "shape": scope.max_per_pattern}
+    caps = {k: c for k, c in caps.items() if c is not None}
+    slim = ["seq", "url", "seed_url", "place", "shape", "_sitemap"]
+    able = rows.where(seed.isNotNull() & url.isNotNull() & F.col("_reason").isNull() & (F.col("depth") <= max_depth)).select(*slim)
+    able = written(able.where("_sitemap = false") if sitemap_cap is not None and sitemap_cap <= 0 else able, "admission-able")
+    members = able
+    while True:
+        counted = members if before is None else members.unionByName(before)
+        ends = [_last_place(counted, k, c) for k, c in caps.items()]
+        run = _last_place(counted, None, run_cap)
+        whole = run if queue_cap is None else min(run, _last_place(counted, None, queue_cap))
+        files = _last_place(counted.where("_sitemap"), None, sitemap_cap) if sitemap_cap is not None else _OPEN
+        now = able
+        for (k, _), end in zip(caps.items(), ends, strict=True):
+            now = now.join(end, k, "left").where(F.col("seq") <= F.coalesce(F.col(f"_{k}"), F.lit(_OPEN))).drop(f"_{k}")
+        now = now.where((F.col("seq") <= whole) & (~F.col("_sitemap") | (F.col("seq") <= files)))
+        now = written(now.select(*slim), "admission-members")
+        same = now.count() == members.count() and now.join(members.select("seq"), "seq", "left_anti").limit(1).count() == 0
+        if same:  # ``ends`` read the members of the last round, which are these
+            discard(now)
+            break
+        if members is not able:
+            discard(members)
+        members = now
+
+    status = F.when(seed.isNull(), "rejected_scope").when(url.isNull(), "invalid_url")
+    for k, end in zip(caps, ends, strict=True):
+        rows = rows.join(end, k, "left")
+    over = lambda k: F.col("seq") > F.coalesce(F.col(f"_{k}"), F.lit(_OPEN))
+    status = status.when(over("url"), "already_seen").when(F.col("_sitemap") & (F.col("seq") > files), "trap_guard").when(F.col("seq") > run, "queue_limit").when(F.col("_reason").isNotNull(), "rejected_scope")
     if seed_cap is not None:
-        count = F.sum(F.when(F.col("status").isNull(), 1).otherwise(0)).over(Window.partitionBy("seed_url").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
-        rows = rows.withColumn("status", F.when(F.col("status").isNull() & (count > seed_cap), "queue_limit").otherwise(F.col("status")))
-    # The run-wide cap is a top-k of the open rows, not a window over one partition.
-    winners = rows.where("status is null").orderBy("seq").limit(run_cap).select(F.col("seq").alias("_seq"))
-    rows = rows.join(winners, rows["seq"] == winners["_seq"], "left")
-    status = F.coalesce("status", F.when(F.col("_seq").isNotNull(), "enqueued").otherwise("queue_limit"))
-    return rows.withColumn("status", status).select(*candidates.columns, "status")
+        status = status.when(over("seed_url"), "queue_limit")
+    status = status.when(over("place") | over("shape"), "trap_guard").when(F.col("depth") > max_depth, "max_depth")
+    if queue_cap is not None:
+        status = status.when(F.col("seq") > whole, "queue_limit")
+    return rows.withColumn("status", status.otherwise("enqueued")).select(*candidates.columns, "status")

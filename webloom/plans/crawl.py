@@ -44,7 +44,7 @@ def crawl(fetches: DataFrame, seeds: DataFrame, scope: Scope = Scope(), *, max_d
             break
         links = capped(found.where("kind = 'navigation'"), links_per_page).where(U.is_navigation(F.col("to_url")))
         candidates = resolve_seeds(links.select((F.col("page_id") * 100_000 + F.col("position")).alias("seq"), F.col("to_url").alias("url"), F.lit(depth + 1).alias("depth")), seeds)
-        decided = written(admit(candidates, scope, known=known, max_depth=max_depth, run_cap=left), "crawl-round")
+        decided = written(admit(candidates, scope, known=known, max_depth=max_depth, run_cap=run_cap), "crawl-round")
         decisions = decided if decisions is None else decisions.unionByName(decided)
         new = decided.where("status = 'enqueued'").select("url", "depth", "seed_url")
         count = new.count()

@@ -43,17 +43,20 @@ def scope_decision(spark, d):
     return table(spark, d, "pages").select("page_id", Sc.scope_reason(u, F.lit(0), F.lit("http://example.com/"), scope).alias("reason"))
 
 
-def _admission_sql(directory: int, pattern: int, seed: int, run: int) -> str:
+def _admission_sql(directory: int, pattern: int, seed: int, run: int, files: int = 1_000_000, queue: int = 1_000_000, source: str = "'html-link'") -> str:
+    """Decides row by row: each step of the recursion takes the next candidate and carries what was enqueued so far."""
     path = PATHQ.replace("extract(u,", "extract(url,")
-    return f"""WITH {INPUTS},
-x AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY seq) AS nth, regexp_extract({path}, '^(.*/)', 1) AS dir, array_to_string(list_transform(string_split({path}, '/'), lambda s: CASE WHEN regexp_full_match(s, '[0-9]+') THEN ':number' WHEN length(s) > 24 THEN ':long' ELSE s END), '/') AS shape FROM i),
-y AS (SELECT *, CASE WHEN seed_url IS NULL THEN 'rejected_scope' WHEN nth > 1 THEN 'already_seen' END AS s0 FROM x),
-z AS (SELECT *, CASE WHEN s0 IS NULL AND depth <= 5 AND sum(CASE WHEN s0 IS NULL AND depth <= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY seed_url, dir ORDER BY seq) > {directory} THEN 'trap_guard' ELSE s0 END AS s1 FROM y),
-v AS (SELECT *, CASE WHEN s1 IS NULL AND depth <= 5 AND sum(CASE WHEN s1 IS NULL AND depth <= 5 THEN 1 ELSE 0 END) OVER (PARTITION BY seed_url, shape ORDER BY seq) > {pattern} THEN 'trap_guard' ELSE s1 END AS s2 FROM z),
-t AS (SELECT *, CASE WHEN s2 IS NULL AND depth > 5 THEN 'max_depth' ELSE s2 END AS s3 FROM v),
-r AS (SELECT *, CASE WHEN s3 IS NULL AND sum(CASE WHEN s3 IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY seed_url ORDER BY seq) > {seed} THEN 'queue_limit' ELSE s3 END AS s4 FROM t),
-k AS (SELECT *, sum(CASE WHEN s4 IS NULL THEN 1 ELSE 0 END) OVER (ORDER BY seq) AS n FROM r)
-SELECT seq, url, coalesce(s4, CASE WHEN n > {run} THEN 'queue_limit' ELSE 'enqueued' END) AS status FROM k"""
+    return f"""WITH RECURSIVE {INPUTS},
+x AS (SELECT row_number() OVER (ORDER BY seq) AS i, *, hash(url) AS ku, hash(seed_url) AS ks, hash(seed_url, regexp_extract({path}, '^(.*/)', 1)) AS kd,
+ hash(seed_url, array_to_string(list_transform(string_split({path}, '/'), lambda s: CASE WHEN regexp_full_match(s, '[0-9]+') THEN ':number' WHEN length(s) > 24 THEN ':long' ELSE s END), '/')) AS kp, {source} IN ('robots-sitemap', 'sitemap-index') AS file FROM i),
+g(i, seq, url, status, us, ss, ds, ps, fs) AS (
+ SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), '', CAST([] AS UBIGINT[]), CAST([] AS UBIGINT[]), CAST([] AS UBIGINT[]), CAST([] AS UBIGINT[]), CAST(0 AS BIGINT)
+ UNION ALL SELECT i, seq, url, status, CASE WHEN status = 'enqueued' THEN list_append(us, ku) ELSE us END, CASE WHEN status = 'enqueued' THEN list_append(ss, ks) ELSE ss END,
+ CASE WHEN status = 'enqueued' THEN list_append(ds, kd) ELSE ds END, CASE WHEN status = 'enqueued' THEN list_append(ps, kp) ELSE ps END, CASE WHEN status = 'enqueued' AND file THEN fs + 1 ELSE fs END
+ FROM (SELECT x.i, x.seq, x.url, ku, ks, kd, kp, file, us, ss, ds, ps, fs, CASE WHEN x.seed_url IS NULL THEN 'rejected_scope' WHEN list_contains(us, ku) THEN 'already_seen' WHEN file AND fs >= {files} THEN 'trap_guard' WHEN len(us) >= {run} THEN 'queue_limit'
+ WHEN len(list_filter(ss, lambda y: y = ks)) >= {seed} THEN 'queue_limit' WHEN len(list_filter(ds, lambda y: y = kd)) >= {directory} THEN 'trap_guard' WHEN len(list_filter(ps, lambda y: y = kp)) >= {pattern} THEN 'trap_guard'
+ WHEN depth > 5 THEN 'max_depth' WHEN len(us) >= {queue} THEN 'queue_limit' ELSE 'enqueued' END AS status FROM g JOIN x ON x.i = g.i + 1))
+SELECT seq, url, status FROM g WHERE i > 0"""
 
 
 @query(_admission_sql(10_000, 10_000, 1_000_000, 1000))
@@ -76,6 +79,15 @@ def admission_seed_and_run_caps(spark, d):
     return Sc.admit(_inputs(spark, d), Sc.Scope(), seed_cap=5, run_cap=40).select("seq", "url", "status")
 
 
+SOURCES = "CASE seq % 4 WHEN 0 THEN 'robots-sitemap' WHEN 1 THEN 'sitemap-index' ELSE 'html-link' END"
+
+
+@query(_admission_sql(4, 10_000, 1_000_000, 1_000_000, 30, 90, SOURCES))
+def admission_sitemap_and_queue_caps(spark, d):
+    rows = _inputs(spark, d).withColumn("source", F.expr(SOURCES))
+    return Sc.admit(rows, Sc.Scope(max_per_directory=4), run_cap=1_000_000, sitemap_cap=30, queue_cap=90).select("seq", "url", "status")
+
+
 def _requests(spark, d):
     k = F.col("page_id") % 4
     source = F.when(k == 0, "seed").when(k == 1, "sitemap").when(k == 2, "html-link").otherwise("feed")
