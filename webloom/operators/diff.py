@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from webloom.functions import urls as U
+
 
 def last_wins(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key; rows with a null in their key are left out."""
@@ -44,6 +46,55 @@ def summary(changes: DataFrame) -> DataFrame:
     )
 
 
+# Compared fields of each entity, by the name of the change.
+RESOURCE = {"status": "status", "redirect": "final_url", "content-type": "content_type", "body": "body_hash"}
+PAGE = {"title": "title", "canonical": "canonical", "meta-description": "meta_description", "headings": "headings", "text": "visible_text"}
+
+
+def compare_runs(base: dict[str, DataFrame], target: dict[str, DataFrame]) -> DataFrame:
+    """All changes between two runs: id, entity, kind, key.
+
+    Each run names some of resource (url, RESOURCE's columns), html-page (url, PAGE's columns),
+    link (from_url, to_url, kind), sitemap (sitemap_url, url, kind) and robots (origin and any
+    columns that count), with one row per key (see ``last_wins``).  Long facts are compared by
+    hash, so no text is shuffled.
+    """
+    parts = []
+    if "resource" in base:
+        parts.append(compare(base["resource"], target["resource"], "resource", "url", RESOURCE))
+    if "html-page" in base:
+        parts.append(compare(base["html-page"], target["html-page"], "html-page", "url", {k: stable_hash(c) for k, c in PAGE.items()}))
+    for entity, keys in (("link", ["from_url", "to_url", "kind"]), ("sitemap", ["sitemap_url", "url", "kind"])):
+        if entity in base:
+            parts.append(membership(base[entity], target[entity], entity, keys).withColumn("kind", F.concat_ws("-", "entity", "kind")))
+    if "robots" in base:
+        fields = [c for c in base["robots"].columns if c != "origin"]
+        parts.append(compare(base["robots"], target["robots"], "robots", "origin", {"robots": stable_hash(*fields)}))
+    changes = parts[0]
+    for p in parts[1:]:
+        changes = changes.unionByName(p)
+    return changes.select(U.make_id("change", F.concat_ws(":", "entity", "kind", "key")).alias("id"), "entity", "kind", "key")
+
+
+def report_summary(changes: DataFrame) -> DataFrame:
+    """One row: appeared, disappeared, modified, links_added, links_removed, sitemap_added, sitemap_removed."""
+    kind = F.col("kind")
+    names = {"appeared": "appeared", "disappeared": "disappeared", "links_added": "link-added", "links_removed": "link-removed", "sitemap_added": "sitemap-added", "sitemap_removed": "sitemap-removed"}
+    return changes.agg(*(F.count_if(kind == v).alias(k) for k, v in names.items()), F.count_if(~kind.isin(*names.values())).alias("modified"))
+
+
+def write_report(changes: DataFrame, folder: str) -> None:
+    """Writes the changes as JSON lines ordered by entity, key and kind, and the summary beside them."""
+    changes.orderBy("entity", "key", "kind").write.mode("overwrite").json(f"{folder}/changes")
+    report_summary(changes).coalesce(1).write.mode("overwrite").json(f"{folder}/summary")
+
+
+def replay_counts(items: DataFrame) -> DataFrame:
+    """One row: matched, changed, missing_evidence, failed."""
+    status = F.col("status")
+    return items.agg(*(F.count_if(status == s).alias(s.replace("-", "_")) for s in ("matched", "changed", "missing-evidence", "failed")))
+
+
 def stable_hash(*columns: Column | str) -> Column:
     """Hash of values as JSON with nulls kept, so equal content hashes alike."""
     return F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}).cast("binary"), 256)

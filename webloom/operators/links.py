@@ -18,6 +18,7 @@ base_href string, robots array<string>, headings array<struct<level:int,text:str
 images int, iframes int, scripts int, stylesheets int, forms int, hreflang array<string>, open_graph map<string,string>, social map<string,string>, json_ld array<string>, microdata array<string>,
 refresh struct<seconds:double,url:string>, robots_header array<struct<agent:string,directive:string>>,
 visible_text struct<text:string,total_bytes:long,truncated:boolean>, text_content struct<text:string,total_bytes:long,truncated:boolean>, warnings array<string>,
+alternates array<struct<type:string,url:string>>,
 links array<struct<source:string,kind:string,raw:string,url:string,rel:array<string>,text:string>>"""
 
 
@@ -32,6 +33,7 @@ def _facts(page_id: int, url: str, html: str | None, header: str | None, max_tex
         "scripts": len(p.scripts), "stylesheets": sum("stylesheet" in a.get("rel", "").lower().split() for a in p.link_tags), "forms": len(p.forms), "hreflang": [a["hreflang"] for a in p.link_tags if "hreflang" in a],
         "open_graph": {k: v for k, v in metas if k.startswith("og:")}, "social": {k: v for k, v in metas if k.startswith("twitter:")}, "json_ld": p.json_ld, "microdata": [m for m in p.microdata if m],
         "refresh": {"seconds": refresh[0], "url": p.resolve(refresh[1])} if refresh else None, "robots_header": robots_header(header or ""), "visible_text": p.visible_text, "text_content": p.text_content, "warnings": p.warnings,
+        "alternates": [{"type": a.get("type", ""), "url": p.resolve(a["href"])} for a in p.link_tags if "alternate" in a.get("rel", "").lower().split() and "href" in a],
         "links": [link | {"url": p.resolve(link["raw"])} for link in p.links()],
     }
 

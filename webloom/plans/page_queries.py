@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from webloom.functions import discovery_kernel, html_kernel
 from webloom.functions import urls as U
 from webloom.operators import classify as C
 from webloom.operators import links as L
+from webloom.operators import resources as Re
 from webloom.plans.registry import query
 from webloom.sources.tables import fetches, root_relative_links, table
 
@@ -163,13 +163,12 @@ def page_text_bounds(spark, d):
 
 @query("""WITH t AS (SELECT page_id, page_id % 4 AS k FROM pages) SELECT page_id, CAST(CASE WHEN k = 0 THEN 5.0 WHEN k = 1 THEN 0.5 ELSE NULL END AS DOUBLE) AS seconds, CASE WHEN k = 0 THEN '/next' WHEN k = 1 THEN '/q x' END AS target FROM t""")
 def meta_refresh(spark, d):
-    content = F.when(F.col("page_id") % 4 == 0, "5; URL=/next").when(F.col("page_id") % 4 == 1, ".5;url='/q x'").when(F.col("page_id") % 4 == 2, "soon")
-
-    @F.udf("seconds double, target string")
-    def parse(text):
-        return html_kernel.meta_refresh(text or "")
-
-    return table(spark, d, "pages").select("page_id", parse(content).alias("r")).select("page_id", "r.seconds", "r.target")
+    k = F.col("page_id") % 4
+    content = F.when(k == 0, "5; URL=/next").when(k == 1, ".5;url='/q x'").when(k == 2, "soon").otherwise("")
+    tag = F.concat(F.lit('<head><META http-equiv=Refresh content="'), content, F.lit('">'))
+    pages = table(spark, d, "pages").withColumn("url", F.lit("http://h/")).withColumn("html", F.replace("html", F.lit("<head>"), tag))
+    target = F.replace(F.replace("refresh.url", F.lit("http://h"), F.lit("")), F.lit("%20"), F.lit(" "))
+    return L.extract_pages(pages).select("page_id", "refresh.seconds", target.alias("target"))
 
 
 @query("SELECT page_id, regexp_extract(url, '[^/]*$') || '.css' AS url, 'import' AS method FROM (SELECT page_id, regexp_replace(url, '[?#].*$', '') AS url FROM pages) UNION ALL SELECT page_id, '/i/' || page_id || '.png', 'url' FROM pages UNION ALL SELECT page_id, 'm.map', 'source-map' FROM pages")
@@ -177,11 +176,8 @@ def css_discovery(spark, d):
     name = F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), "[^/]*$", 0)
     sheet = F.concat(F.lit('/* x */ @\\69mport "'), name, F.lit('.css"; a{background:u\\72l( /i/'), F.col("page_id").cast("string"), F.lit(".png )} b{c:url(data:image/png,x)} /*# sourceMappingURL=m.map */"))
 
-    @F.udf("array<struct<url:string,method:string>>")
-    def scan(text):
-        return [(f.url, f.method) for f in discovery_kernel.css_urls(text)]
-
-    return table(spark, d, "pages").select("page_id", F.explode(scan(sheet)).alias("f")).select("page_id", "f.url", "f.method")
+    assets = table(spark, d, "pages").select(F.col("page_id").alias("request_id"), F.lit("http://h/").alias("final_url"), sheet.alias("text"))
+    return Re.asset_links(assets, "css").select(F.col("request_id").alias("page_id"), F.col("raw").alias("url"), "method")
 
 
 @query("SELECT page_id, '/api/' || page_id AS url, 'fetch' AS method FROM pages UNION ALL SELECT page_id, '/lit', 'relative' FROM pages UNION ALL SELECT page_id, '/x', 'xhr' FROM pages WHERE page_id % 2 = 0 UNION ALL SELECT page_id, '/x', 'relative' FROM pages WHERE page_id % 2 = 1")
@@ -189,11 +185,8 @@ def js_discovery(spark, d):
     call = F.when(F.col("page_id") % 2 == 0, "var r = new XMLHttpRequest(); r.open('GET', '/x');").otherwise("var r = other(); r.open('GET', '/x');")
     script = F.concat(F.lit("fetch('/api/"), F.col("page_id").cast("string"), F.lit("'); var a = '/lit'; "), call)
 
-    @F.udf("array<struct<url:string,method:string>>")
-    def scan(text):
-        return [(f.url, f.method) for f in discovery_kernel.js_urls(text)]
-
-    return table(spark, d, "pages").select("page_id", F.explode(scan(script)).alias("f")).select("page_id", "f.url", "f.method")
+    assets = table(spark, d, "pages").select(F.col("page_id").alias("request_id"), F.lit("http://h/").alias("final_url"), script.alias("text"))
+    return Re.asset_links(assets, "javascript").select(F.col("request_id").alias("page_id"), F.col("raw").alias("url"), "method")
 
 
 @query("SELECT page_id, '/c/' || page_id AS url, CASE WHEN page_id % 3 = 0 THEN 'canonical' WHEN page_id % 3 = 1 THEN 'preload' ELSE 'asset' END AS kind FROM pages UNION ALL SELECT page_id, '/n', 'navigation' FROM pages")
@@ -201,11 +194,8 @@ def link_headers(spark, d):
     rel = F.when(F.col("page_id") % 3 == 0, "alternate canonical").when(F.col("page_id") % 3 == 1, "preload").otherwise("author")
     header = F.concat(F.lit("</c/"), F.col("page_id").cast("string"), F.lit('>; title="a, b"; rel="'), rel, F.lit('", </n>; rel=next'))
 
-    @F.udf("array<struct<url:string,kind:string>>")
-    def split(text):
-        return [(x["url"], x["kind"]) for x in discovery_kernel.link_header(text)]
-
-    return table(spark, d, "pages").select("page_id", F.explode(split(header)).alias("f")).select("page_id", "f.url", "f.kind")
+    responses = table(spark, d, "pages").select(F.col("page_id").alias("request_id"), F.lit("http://h/").alias("final_url"), header.alias("link_header"))
+    return Re.header_links(responses).select(F.col("request_id").alias("page_id"), F.col("raw").alias("url"), "kind")
 
 
 @query(f"WITH {A}, n AS (SELECT page_id, count(*) AS k FROM e GROUP BY 1) SELECT p.page_id, strlen(html) < 3000 OR coalesce(k, 0) = 0 AS render FROM p LEFT JOIN n USING (page_id)")
