@@ -5,6 +5,7 @@ import sqlite3
 import pytest
 
 from webloom import cli, config, ops
+from webloom.extensions import Extensions, decide
 from webloom.operators.records import CrawlIndex, envelope
 from webloom.operators.scope import SITEMAP_FILES, Scope, admit
 from webloom.plans.crawl import crawl
@@ -26,6 +27,18 @@ def test_rounds_against_a_simulator(spark):
     assert crawl(fetches, seeds, Scope(), max_depth=5, run_cap=4).requests.count() == 4
 
 
+def test_robots_and_extensions(spark):
+    rows = [(i, f"http://h/{i}", "".join(f'<a href="/{(i * 2 + k) % 12}">t</a>' for k in range(3))) for i in range(12)]
+    fetches = spark.createDataFrame(rows, "page_id long, url string, html string")
+    seeds = spark.createDataFrame([(0, "http://h/1")], "ordinal int, seed_url string")
+    robots = spark.createDataFrame([("http://h", 200, "User-agent: *\nDisallow: /3", None)], "origin string, status int, text string, error string")
+    seen = []
+    ext = Extensions(before_request=[lambda r: F.when(F.col("url").endswith("/4"), decide("skip", "closed"))], hooks={"onHtmlParsed": lambda t: seen.extend(x.page_id for x in t.select("page_id").collect()), "onRunFinish": lambda r: seen.append("end")})
+    got = crawl(fetches, seeds, max_depth=2, robots=robots, extensions=ext)
+    assert {tuple(x) for x in got.skipped.collect()} == {("http://h/3", "ROBOTS_DISALLOWED"), ("http://h/4", "closed")}
+    assert seen[0] == 1 and seen[-1] == "end" and not {3, 4} & set(seen)
+
+
 def one_by_one(rows, known, caps, max_depth=3):
     """Decisions taken in order, with counts of what was enqueued."""
     seen = [u for u, _ in known]

@@ -81,6 +81,32 @@ def crawl_stats(fetches: DataFrame, edges: DataFrame) -> DataFrame:
     return a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k").withColumn("mean_body_bytes", F.when(F.col("fetched") > 0, F.floor(F.col("body_bytes") / F.col("fetched"))).otherwise(0).cast("long"))
 
 
+#: Counters by table: name, and the condition or sum over the table's rows.
+COUNTERS = {
+    "requests": {"requestsScheduled": "true", "requestsAttempted": "attempts > 0", "requestsFetched": "state = 'handled'", "requestsTransportFailed": "error = 'transport'", "requestsPolicySkipped": "state = 'skipped'", "requestsCancelled": "state = 'cancelled'", "requestsFailed": "state = 'failed'"},
+    "skipped": {"urlsSkipped": "true", "robotsDisallowedUrls": "reason = 'ROBOTS_DISALLOWED'", "scopeRejectedUrls": "reason = 'SCOPE_REJECTED'", "networkSafetyRejectedUrls": "reason = 'NETWORK_SAFETY_REJECTED'"},
+    "resources": {"resourcesRecorded": "true", "htmlPagesParsed": "resource_type = 'html'", "xmlResourcesParsed": "resource_type in ('xml', 'sitemap', 'sitemap-index', 'feed')", "sitemapsFetched": "resource_type in ('sitemap', 'sitemap-index')", "feedsFetched": "resource_type = 'feed'", "javascriptResourcesParsed": "resource_type = 'javascript'", "cssStylesheetsParsed": "resource_type = 'css'", "decodeErrors": "replaced", "responseCount": "status is not null"},
+    "links": {"linksExtracted": "true", "internalLinksExtracted": "internal", "externalLinksExtracted": "not internal", "javascriptLinksExtracted": "source = 'javascript'", "cssLinksExtracted": "source = 'css'"},
+    "entries": {"sitemapEntriesDiscovered": "source = 'sitemap'", "feedEntriesDiscovered": "source = 'feed'", "sitemapFilesDiscovered": "source in ('robots-sitemap', 'sitemap-index')"},
+    "redirects": {"redirectsFollowed": "allowed", "redirectsBlocked": "not allowed"},
+    "robots": {"robotsFilesFetched": "true"},
+    "leases": {"recoveredLeases": "type = 'recovered'", "renewedLeases": "type = 'renewed'", "releasedLeases": "type = 'released'"},
+    "errors": {"parserErrors": "code = 'parser'"},
+}
+SUMS = {"requests": {"retries": "greatest(attempts - 1, 0)"}, "resources": {"bytesDownloaded": "body_bytes", "responseTimeMsTotal": "response_time_ms"}}
+
+
+def run_counters(tables: dict[str, DataFrame]) -> DataFrame:
+    """counter, value: the counters of every table of a run that is given, each table read once."""
+    out = []
+    for name, rows in tables.items():
+        sums = {k: F.coalesce(F.sum(F.expr(e)), F.lit(0)).cast("long") for k, e in SUMS.get(name, {}).items()}
+        one = rows.agg(*(F.count_if(F.expr(e)).alias(k) for k, e in COUNTERS[name].items()), *(c.alias(k) for k, c in sums.items()))
+        pairs = F.array(*(F.struct(F.lit(k).alias("counter"), F.col(k).alias("value")) for k in one.columns))
+        out.append(one.select(F.inline(pairs)))
+    return union(*out)
+
+
 def run_status(fatal: Column, aborted: Column, limited: Column, failed: Column) -> Column:
     return F.when(fatal, "failed").when(aborted, "aborted").when(limited, "stopped_by_limit").when(failed > 0, "partial").otherwise("completed")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from webloom import contracts as Ct
+from webloom.extensions import Extensions, decide
 from webloom.functions import urls as U
 from webloom.operators import diff as D
 from webloom.operators import links as L
@@ -182,3 +184,50 @@ def replay_xml(spark, d):
     later = pages.select(F.col("page_id").alias("key"), F.concat("o", F.lit("/map.xml")).alias("url"), F.when(k == 1, F.lit("<urlset>")).when(k == 2, doc("b")).otherwise(doc("a")).cast("binary").alias("body")).where("key % 9 <> 0")
     again = S.extract(later).withColumn("failed", F.col("error").isNotNull())
     return D.replay_counts(D.replay(S.extract(rows), again, "key"))
+
+
+_STATES = "CASE page_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'skipped' WHEN 2 THEN 'cancelled' ELSE 'handled' END"
+
+
+@query(f"""WITH p AS (SELECT *, {_STATES} AS state, page_id % 4 AS attempts FROM pages), r AS (SELECT c_custkey AS k FROM customer),
+c AS (SELECT 'requestsScheduled' AS counter, count(*) AS value FROM p UNION ALL SELECT 'requestsAttempted', count(*) FILTER (attempts > 0) FROM p UNION ALL SELECT 'requestsFetched', count(*) FILTER (page_id % 5 > 2) FROM p
+ UNION ALL SELECT 'requestsTransportFailed', count(*) FILTER (page_id % 10 = 0) FROM p UNION ALL SELECT 'requestsPolicySkipped', count(*) FILTER (page_id % 5 = 1) FROM p UNION ALL SELECT 'requestsCancelled', count(*) FILTER (page_id % 5 = 2) FROM p
+ UNION ALL SELECT 'requestsFailed', count(*) FILTER (page_id % 5 = 0) FROM p UNION ALL SELECT 'retries', CAST(sum(greatest(attempts - 1, 0)) AS BIGINT) FROM p
+ UNION ALL SELECT 'urlsSkipped', count(*) FROM r UNION ALL SELECT 'robotsDisallowedUrls', count(*) FILTER (k % 4 = 0) FROM r UNION ALL SELECT 'scopeRejectedUrls', count(*) FILTER (k % 4 = 1) FROM r UNION ALL SELECT 'networkSafetyRejectedUrls', count(*) FILTER (k % 4 = 2) FROM r)
+SELECT * FROM c""")
+def run_counters(spark, d):
+    k = F.col("page_id")
+    requests = table(spark, d, "pages").select(F.expr(_STATES).alias("state"), (k % 4).alias("attempts"), F.when(k % 10 == 0, "transport").alias("error"))
+    n = F.col("c_custkey") % 4
+    skipped = table(spark, d, "customer").select(F.when(n == 0, "ROBOTS_DISALLOWED").when(n == 1, "SCOPE_REJECTED").when(n == 2, "NETWORK_SAFETY_REJECTED").otherwise("INVALID_URL").alias("reason"))
+    return R.run_counters({"requests": requests, "skipped": skipped})
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN [] WHEN 1 THEN ['missing url', 'wrong type of status'] WHEN 2 THEN ['unknown extra', 'wrong schema'] ELSE ['not JSON'] END AS faults FROM orders""")
+def record_contracts(spark, d):
+    contract = Ct.Contract("example.fetch", 2, {"url": "string", "status": "integer?", "price": "number"})
+    key = F.col("o_orderkey").cast("string")
+    price = F.concat(F.lit(',"price":'), F.col("o_totalprice").cast("string"))
+    text = (
+        F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit('{"schemaId":"example.fetch","schemaVersion":2,"url":"u'), key, F.lit('","status":null'), price, F.lit("}")))
+        .when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit('{"schemaId":"example.fetch","schemaVersion":2,"status":"200"'), price, F.lit("}")))
+        .when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit('{"schemaId":"example.fetch","schemaVersion":1,"url":"","extra":1,"status":'), key, price, F.lit("}")))
+        .otherwise(F.concat(F.lit("{"), key))
+    )
+    return Ct.checked(table(spark, d, "orders").select("o_orderkey", text.alias("json")), "json", [contract]).select("o_orderkey", "faults")
+
+
+@query("""SELECT l_orderkey, l_linenumber, CASE l_linenumber % 5 WHEN 0 THEN 'digest' WHEN 1 THEN CASE WHEN l_partkey % 2 = 0 THEN 'complete length' END WHEN 2 THEN CASE WHEN l_partkey % 2 = 1 THEN 'truncated length' END WHEN 3 THEN 'length' ELSE 'capture' END AS fault FROM lineitem""")
+def evidence_references(spark, d):
+    k, odd = F.col("l_linenumber") % 5, F.col("l_partkey") % 2
+    digest = F.sha2(F.concat_ws(":", "l_orderkey", "l_linenumber").cast("binary"), 256)
+    fault = Ct.evidence_fault(F.when(k == 0, F.upper(F.concat(F.lit("x"), digest))).otherwise(digest), F.when(k == 3, -1).otherwise(10), F.when(k == 1, "complete").when(k == 2, "truncated").when(k == 3, "complete").otherwise("partial"), F.lit(11) - F.when((k == 1) | (k == 2), (odd == 1).cast("int")).otherwise(0))
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", fault.alias("fault"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 6 = 0 THEN 'skip' WHEN c_custkey % 6 = 1 THEN 'fail' ELSE 'continue' END AS decision, CASE WHEN c_custkey % 6 = 0 THEN 'closed' WHEN c_custkey % 6 = 1 THEN 'invalid decision delay' END AS reason, CAST(CASE WHEN c_custkey % 6 = 2 THEN 50 ELSE 0 END AS BIGINT) AS delay_ms FROM customer""")
+def middleware_decisions(spark, d):
+    k = F.col("c_custkey") % 6
+    ext = Extensions(before_request=[lambda rows: F.when(k == 0, decide("skip", "closed")), lambda rows: F.when(k == 2, decide("delay", "slow", 50)).when(k == 1, decide("delay", "bad", -1)), lambda rows: rows["missing"]])
+    out = ext.apply(table(spark, d, "customer").select("c_custkey"), "before_request")
+    return out.select("c_custkey", "decision", "reason", "delay_ms")

@@ -17,9 +17,14 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` when the cluster names one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, which a cluster must name.
+
+    Only where all tasks run in the driver's process may a temporary folder stand for it.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = f"file://{tempfile.gettempdir()}/webloom-scratch"
         spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
