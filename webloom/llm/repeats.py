@@ -11,8 +11,12 @@ Shared by the byte-level and the word-level substring deduplication.  All window
    row a class whatever the number of copies.
 3. Only classes that share a minimizer and differ (the rims of copied passages) are
    compared token by token, one shard a minimizer, in the kernel that the caller names
-   (radix passes or a suffix automaton).  A shard with more than ``hot`` classes is split:
-   its windows are grouped by their own hash and pre-aggregated, with no shard at all.
+   (radix passes or a suffix automaton).  A shard of more than ``hot`` classes is dealt out
+   once more, by a longer digit: its windows are taken by where the minimizer lies in them, a
+   range of places at a time, and the tokens that all windows of a range hold around the
+   minimizer make the new shard.  The pieces of classes in a new shard are classed again, by
+   content, and judged in the same way, with ranges that narrow to one place, where the digit is
+   the whole window.  So no shard grows with the corpus and every one ends in the same kernel.
 4. Verdicts go back to all occurrences with a join that AQE may split, and one join by
    document applies them.
 
@@ -31,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm import kernels as K
-from webloom.shared import ship_package, written
+from webloom.shared import discard, ship_package, written
 
 #: Null ids take this value inside the plan, so they sort first.
 _NO_ID = -(1 << 63)
@@ -44,7 +48,7 @@ class Unit:
     kind: str  # "bytes" or "words"
     window: int
     gram: int
-    hot: int  # classes in a shard beyond which it is split
+    hot: int  # classes in a shard beyond which it is dealt out by a longer digit
 
     def tokens(self, data: np.ndarray, at: np.ndarray):
         """Token symbols, row offsets in them, and the byte spans of tokens."""
@@ -116,7 +120,7 @@ def _slices(unit: Unit) -> Callable:
             list_at, runs = _lists(batch.column("runs"))
             start = runs.field("start").to_numpy(zero_copy_only=False)
             size = runs.field("size").to_numpy(zero_copy_only=False)
-            doc = batch.column("doc").to_numpy(zero_copy_only=False)
+            doc, marks = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("doc", "mark"))
             owner = np.repeat(np.arange(len(doc)), np.diff(list_at))
             out: list[bytes] = []
             for r0, r1, data, at in K.chunks(batch.column("text")):
@@ -129,31 +133,47 @@ def _slices(unit: Unit) -> Callable:
             for i in range(0, len(out), 4096):
                 part = slice(i, i + 4096)
                 yield pa.record_batch(
-                    [runs.field("key")[part], runs.field("content")[part], pa.array(doc[owner[part]]), pa.array(start[part]), pa.array(out[part], pa.binary())],
-                    ["key", "content", "doc", "start", "body"],
+                    [*(runs.field(n)[part] for n in ("key", "content", "weight")), pa.array(doc[owner[part]]), pa.array(marks[owner[part]]), pa.array(start[part]), pa.array(out[part], pa.binary())],
+                    ["key", "content", "weight", "doc", "mark", "start", "body"],
                 )
 
     return run
 
 
-def _windows(unit: Unit) -> Callable:
-    """Every window of the given slices with a 128-bit hash of its own."""
+def _redealt(unit: Unit, width: int) -> Callable:
+    """Pieces of slices whose windows have their minimizer within ``width`` places, with the tokens around it as key."""
+    places = unit.window - unit.gram + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "content", "doc", "start")]
-            for r0, _, data, at in K.chunks(batch.column("body"), K.CHUNK // 8):
+            outer = [batch.column(n).to_numpy(zero_copy_only=False) for n in ("key", "content", "doc", "mark", "start", "weight")]
+            for r0, r1, data, at in K.chunks(batch.column("body"), K.CHUNK // 8):
                 symbols, rows_at, _, _ = unit.tokens(data, at)
-                count = np.maximum(np.diff(rows_at) - unit.window + 1, 0)
-                rows = np.repeat(np.arange(len(count)), count)
-                no = np.arange(len(rows)) - np.repeat(np.cumsum(count) - count, count)
-                begin = rows_at[rows] + no
-                one = K.Prefix(symbols).spans(begin, begin + unit.window)
-                two = K.Prefix(K.mix(symbols)).spans(begin, begin + unit.window)
-                key, content, doc, start = (x[r0 + rows] for x in names)
+                prefix = K.Prefix(symbols)
+                grams = prefix.grams(unit.gram) & K._HIGH
+                row, first, size, key_a, key_b, low = [], [], [], [], [], []
+                for r in range(r1 - r0):
+                    begin, count = rows_at[r], rows_at[r + 1] - rows_at[r] - unit.window + 1
+                    m = int(grams[begin : begin + places].argmin())  # windows 0 .. count - 1 have it at m, m - 1, ...
+                    for lo in range((m - count + 1) // width * width, m + 1, width):
+                        hi = min(lo + width, places)
+                        a, b = max(0, m - hi + 1), min(count, m - lo + 1)
+                        row.append(r)
+                        first.append(a)
+                        size.append(b - a)
+                        low.append(lo)
+                        key_a.append(begin + m - lo)
+                        key_b.append(begin + m - hi + 1 + unit.window)
+                if not row:
+                    continue
+                row, first, size = np.array(row), np.array(first), np.array(size)
+                key, content, doc, mark, start, weight = (x[r0 + row] for x in outer)
+                near = K.mix(prefix.spans(np.array(key_a), np.array(key_b)) ^ K.mix(np.array(low).astype(np.uint64)) ^ key.view(np.uint64))
+                own = rows_at[row] + first
+                inner = prefix.spans(own, own + size + unit.window - 1)
                 yield pa.record_batch(
-                    [pa.array(key), pa.array(content), pa.array(doc), pa.array((start + no).astype(np.int32)), pa.array(no.astype(np.int32)), _signed(one), _signed(two)],
-                    ["key", "content", "doc", "at", "no", "h1", "h2"],
+                    [_signed(near), _signed(inner), pa.array(doc), pa.array(mark), pa.array((start + first).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(weight), pa.array(key), pa.array(content), pa.array(first.astype(np.int32))],
+                    ["key", "content", "doc", "mark", "start", "size", "weight", "outer_key", "outer_content", "first"],
                 )
 
     return run
@@ -203,6 +223,55 @@ def _verdicts(out: list) -> pa.RecordBatch:
     return pa.record_batch([pa.array(key, pa.int64()), pa.array(content, pa.int64()), pa.array(a, pa.int32()), pa.array(b, pa.int32())], ["key", "content", "a", "b"])
 
 
+_BODIES = "key long, content long, weight long, doc long, mark long, start int, body binary"
+_PIECES = "key long, content long, doc long, mark long, start int, size int"
+
+
+class _Judge:
+    """Which tokens of pieces (key, content, doc, mark, start, size, weight) repeated windows cover."""
+
+    def __init__(self, texts: DataFrame, unit: Unit, kernel: Callable, keep_first: bool):
+        self.texts, self.unit, self.kernel, self.keep_first = texts, unit, kernel, keep_first
+
+    def _bodies(self, classes: DataFrame) -> DataFrame:
+        by_doc = classes.groupBy("doc", "mark").agg(F.collect_list(F.struct("key", "content", "weight", "start", "size")).alias("runs"))
+        return self.texts.join(by_doc, ["doc", "mark"]).select("doc", "mark", "text", "runs").mapInArrow(_slices(self.unit), _BODIES)
+
+    def judged(self, pieces: DataFrame, width: int) -> DataFrame:
+        """key, content, n, head (doc, start of the first occurrence) and parts (spans in it) of classes with repeats.
+
+        ``width`` is the range of places for shards that are too large; 0: no shard of several classes is left.
+        """
+        unit = self.unit
+        classes = pieces.groupBy("key", "content").agg(F.min(F.struct("doc", "start", "mark", "size")).alias("first"), F.sum("weight").alias("n"))
+        classes = written(classes, "repeats-classes")
+        crowd = classes.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1")
+        rims = written(classes.join(crowd.hint("merge"), "key").select("key", "content", "crowd", F.col("n").alias("weight"), "first.*"), "repeats-rims")
+
+        shards = self._bodies(rims.where(F.col("crowd") <= unit.hot)).repartition("key").sortWithinPartitions("key", "doc", "start")
+        verdicts = shards.select("key", "content", "body").mapInArrow(by_shard(self.kernel, unit.window), "key long, content long, a int, b int")
+        hot = rims.where(F.col("crowd") > unit.hot)
+        if width and hot.limit(1).count():
+            inner = written(self._bodies(hot).mapInArrow(_redealt(unit, width), f"{_PIECES}, weight long, outer_key long, outer_content long, first int"), "repeats-redealt")
+            found = inner.join(self.judged(inner, max(1, width // 4) if width > 1 else 0).hint("merge"), ["key", "content"])
+            spans = F.explode(self.parts()).alias("p")
+            found = found.select("outer_key", "outer_content", "first", spans).select(F.col("outer_key").alias("key"), F.col("outer_content").alias("content"), (F.col("first") + F.col("p.a")).alias("a"), (F.col("first") + F.col("p.b")).alias("b"))
+            verdicts = verdicts.unionByName(found)
+
+        judged = classes.join(verdicts.groupBy("key", "content").agg(F.collect_list(F.struct("a", "b")).alias("spans")), ["key", "content"], "left")
+        judged = judged.where("n > 1 or spans is not null").select("key", "content", "n", "spans", F.struct("first.doc", "first.start").alias("head"))
+        out = written(judged, "repeats-judged")
+        discard(classes, rims)
+        return out
+
+    def parts(self):
+        """Spans of a piece, joined with what was judged of its class, in its own tokens."""
+        whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("size") + self.unit.window - 1).alias("b")))
+        if self.keep_first:
+            return F.when(F.struct("doc", "start") != F.col("head"), whole).otherwise(F.col("spans"))
+        return F.when(F.col("n") > 1, whole).otherwise(F.col("spans"))
+
+
 def repeated_spans(docs: DataFrame, unit: Unit, kernel: Callable, *, keep_first: bool) -> tuple[DataFrame, DataFrame]:
     """Returns (texts, spans): ``texts(doc, mark, text)`` and ``spans(doc, mark, spans)``.
 
@@ -213,49 +282,20 @@ def repeated_spans(docs: DataFrame, unit: Unit, kernel: Callable, *, keep_first:
     """
     spark = docs.sparkSession
     ship_package(spark)
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.coalesce("text", F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("mark", F.xxhash64("text"))
 
-    runs = texts.select("doc", "text").mapInArrow(_fingerprint(unit), "key long, doc long, run int")
+    runs = written(texts.select("doc", "text").mapInArrow(_fingerprint(unit), "key long, doc long, run int"), "repeats-runs")
     # Written sides make joins that AQE can split: both children are plain shuffles.
-    shared = written(runs.select("key").groupBy("key").count().where("count > 1").select("key"), "repeats-shared")
+    shared = written(runs.groupBy("key").count().where("count > 1").select("key"), "repeats-shared")
     wanted = runs.join(shared.hint("merge"), "key").groupBy("doc").agg(F.collect_list("run").alias("runs"))
-    pieces = written(
-        texts.join(wanted, "doc").select("doc", "mark", "text", "runs").mapInArrow(_cut(unit), "key long, content long, doc long, mark long, start int, size int"),
-        "repeats-pieces",
-    )
+    pieces = written(texts.join(wanted, "doc").select("doc", "mark", "text", "runs").mapInArrow(_cut(unit), _PIECES), "repeats-pieces")
+    discard(runs, shared)
 
-    classes = pieces.groupBy("key", "content").agg(F.min(F.struct("doc", "start", "mark", "size")).alias("first"), F.count("*").alias("n"))
-    classes = written(classes, "repeats-classes")
-    crowd = classes.groupBy("key").agg(F.count("*").alias("crowd")).where("crowd > 1")
-    rims = classes.join(crowd.hint("merge"), "key").select("key", "content", "crowd", "first.doc", "first.mark", "first.start", "first.size")
-    by_doc = rims.groupBy("doc", "mark").agg(F.collect_list(F.struct("key", "content", "crowd", "start", "size")).alias("runs"))
-    cut = texts.join(by_doc, ["doc", "mark"])
-    bodies = "key long, content long, doc long, start int, body binary"
-
-    few = cut.withColumn("runs", F.filter("runs", lambda r: r["crowd"] <= unit.hot)).where(F.size("runs") > 0)
-    shards = few.select("doc", "text", "runs").mapInArrow(_slices(unit), bodies).repartition("key").sortWithinPartitions("key", "doc", "start")
-    verdicts = shards.select("key", "content", "body").mapInArrow(by_shard(kernel, unit.window), "key long, content long, a int, b int")
-
-    many = cut.withColumn("runs", F.filter("runs", lambda r: r["crowd"] > unit.hot)).where(F.size("runs") > 0)
-    if classes.groupBy("key").count().where(F.col("count") > unit.hot).limit(1).count():
-        every = written(many.select("doc", "text", "runs").mapInArrow(_slices(unit), bodies).mapInArrow(_windows(unit), "key long, content long, doc long, at int, no int, h1 long, h2 long"), "repeats-windows")
-        seen = every.groupBy("key", "h1", "h2").agg(F.min(F.struct("doc", "at")).alias("head"), F.count("*").alias("m")).where("m > 1").drop("m")
-        again = every.join(seen.hint("merge"), ["key", "h1", "h2"])
-        if keep_first:
-            again = again.where(F.struct("doc", "at") != F.col("head"))
-        verdicts = verdicts.unionByName(again.select("key", "content", F.col("no").alias("a"), (F.col("no") + unit.window).alias("b")))
-
-    judged = classes.join(verdicts.groupBy("key", "content").agg(F.collect_list(F.struct("a", "b")).alias("parts")), ["key", "content"], "left")
-    judged = judged.where("n > 1 or parts is not null").select("key", "content", "n", "parts", F.struct("first.doc", "first.start").alias("head"))
-    judged = written(judged, "repeats-judged")
-    whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("size") + unit.window - 1).alias("b")))
-    if keep_first:
-        parts = F.when(F.struct("doc", "start") != F.col("head"), whole).otherwise(F.col("parts"))
-    else:
-        parts = F.when(F.col("n") > 1, whole).otherwise(F.col("parts"))
+    judge = _Judge(texts, unit, kernel, keep_first)
+    judged = judge.judged(pieces.withColumn("weight", F.lit(1).cast("long")), max(1, (unit.window - unit.gram + 1) // 4))
     found = (
         pieces.join(judged.hint("merge"), ["key", "content"])
-        .select("doc", "mark", F.transform(parts, lambda p: F.struct((F.col("start") + p["a"]).alias("a"), (F.col("start") + p["b"]).alias("b"))).alias("parts"))
+        .select("doc", "mark", F.transform(judge.parts(), lambda p: F.struct((F.col("start") + p["a"]).alias("a"), (F.col("start") + p["b"]).alias("b"))).alias("parts"))
         .where("parts is not null")
         .groupBy("doc", "mark")
         .agg(F.flatten(F.collect_list("parts")).alias("spans"))
