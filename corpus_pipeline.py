@@ -16,7 +16,7 @@ from webloom.llm.names import free_name
 from webloom.llm.rules import keep_quality
 from webloom.llm.secrets import redacted, scan_secrets
 from webloom.llm.winnowing import decontaminate
-from webloom.shared import written
+from webloom.shared import discard, written
 
 
 def _digest() -> Column:
@@ -98,7 +98,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

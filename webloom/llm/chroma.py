@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from webloom.llm import kernels as K
-from webloom.shared import ship_package, written
+from webloom.shared import discard, ship_package, written
 
 SPAN = 8  # frames under one fingerprint integer
 
@@ -143,15 +143,16 @@ def align(prints: DataFrame, every: int = 50, least_overlap: int = 8, error_rate
     classes = known.groupBy("mark").agg(F.min("doc").alias("class"), F.first("print").alias("print"), F.max(F.coalesce(F.col("doc") % every == 0, F.lit(False))).alias("asked"))
     classes = written(classes.where("class is not null"), "chroma-classes")
     long = classes.where(F.size("print") >= least_overlap).withColumn("size", F.size("print"))
-    postings = written(long.select("class", "size", F.posexplode("print").alias("at", "value")), "chroma-postings")
-    shared = written(postings.groupBy("value").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("value"), "chroma-shared")
-    postings = written(postings.join(shared.hint("merge"), "value"), "chroma-shared-postings")
+    places = written(long.select("class", "size", F.posexplode("print").alias("at", "value")), "chroma-postings")
+    shared = written(places.groupBy("value").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("value"), "chroma-shared")
+    postings = written(places.join(shared.hint("merge"), "value"), "chroma-shared-postings")
     lookups = postings.join(long.where("asked").select("class").hint("merge"), "class", "left_semi")
     lookups = written(lookups.select(F.col("class").alias("query"), F.col("size").alias("query_size"), F.col("at").alias("query_at"), "value"), "chroma-lookups")
     # A place counts where the overlap that it stands for is long enough.
     enough = F.expr(f"least(query_size - query_at, size - at) + least(query_at, at) >= {least_overlap}")
     met = lookups.join(postings.hint("merge"), "value").where((F.col("query") != F.col("class")) & enough)
     met = written(met.groupBy("query", "class", (F.col("at") - F.col("query_at")).alias("offset")).agg(F.count("*").alias("votes")), "chroma-votes")
+    discard(shared, postings, lookups, places)
     met = met.join(classes.select(F.col("class").alias("query"), F.col("print").alias("a")).hint("merge"), "query").join(classes.select("class", F.col("print").alias("b")).hint("merge"), "class")
     a, b = _overlap("a", "b", "offset")
     matches = met.withColumn("overlap", F.size(a)).withColumn("bit_errors", F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x))
