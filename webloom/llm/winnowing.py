@@ -2,12 +2,11 @@
 
 Every ``window``-word passage holds ``window - gram + 1`` k-grams; both sides keep the
 minimum k-gram hash of every such group, so a document and a benchmark item that share a
-passage share a kept fingerprint at the same place in it.  Consecutive windows of a document
-that keep the same minimum are one entry, with just the words that these windows need; entries
-stream past the benchmark's fingerprints, hits are extended to all windows of the entry, and only
-windows whose words are equal count.  The benchmark's side is broadcast below a checked size in
-bytes and shuffled beyond it, by the same plan.  The texts of documents are read once and never
-shuffled.
+passage share a kept fingerprint at the same place in it.  Document fingerprints stream past
+the benchmark's, hits are extended to the whole windows around them, and only windows whose
+words are equal count.  A text is worked on in blocks of words, so time and memory are linear in
+its length.  The benchmark's side is broadcast below a checked size in bytes and shuffled beyond
+it, by the same plan.  The texts of documents are read once and never shuffled.
 """
 
 from __future__ import annotations
@@ -42,19 +41,26 @@ def _fingerprinted(frame: DataFrame, words: str, gram: int, group: int) -> DataF
     return frame.drop("_hash", "_grams")
 
 
-def _entries(window: int, short: bool) -> tuple[Column, Column]:
-    """Where the runs of windows with one minimum in ``least`` start, and (at, print, part) of each run.
+#: Words of a text that are worked on together; a longer text is several blocks.
+_BLOCK = 128
 
-    With ``short`` every word has an entry too.  Entry 0 stands for the document, which so stays in the stream without hits; its print and
-    part are as good as random, so that none of the joins gathers these rows in one task.
+
+def _blocks(words: str, window: int) -> Column:
+    """(base, part) for every _BLOCK words: the words and those that windows which start in it go on to."""
+    last = F.greatest(F.lit(0), F.floor((F.size(words) - 1) / _BLOCK).cast("int"))
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.struct((b * _BLOCK).alias("base"), F.slice(words, b * _BLOCK + 1, _BLOCK + window - 1).alias("part")))
+
+
+def _entries(short: bool) -> Column:
+    """(at, print) of each window of a block; with ``short`` also of each word.
+
+    Entry 0 of the first block stands for the document, which so stays in the stream without
+    hits; its print is as good as random, so that no join gathers these rows in one task.
     """
-    same = lambda i: F.get("least", i - 1).eqNullSafe(F.get("least", i - 2))
-    starts = F.when(F.size("least") > 0, F.filter(F.sequence(F.lit(1), F.size("least")), lambda i: ~same(i))).otherwise(F.array().cast("array<int>"))
-    end = lambda j: F.coalesce(F.get("_starts", j + 1), F.size("least") + 1)
-    runs = F.transform("_starts", lambda s, j: F.struct(s.alias("at"), F.get("least", s - 1).alias("print"), F.slice("words", s, end(j) - s + window - 1).alias("part")))
-    head = F.array(F.struct(F.lit(0).alias("at"), F.col("k1").alias("print"), F.array(F.col("k2").cast("string")).alias("part")))
-    each = F.transform("words", lambda w, i: F.struct((i + 1).alias("at"), F.xxhash64(F.lit("first"), w).alias("print"), F.slice("words", i + 1, window - 1).alias("part")))
-    return starts, (F.concat(head, runs, each) if short else F.concat(head, runs))
+    head = F.when(F.col("base") == 0, F.array(F.struct(F.lit(0).alias("at"), F.col("k1").alias("print")))).otherwise(F.array().cast("array<struct<at:int,print:long>>"))
+    runs = F.transform("least", lambda h, i: F.struct((i + 1).alias("at"), h.alias("print")))
+    each = F.transform(F.slice("part", 1, _BLOCK), lambda w, i: F.struct((i + 1).alias("at"), F.xxhash64(F.lit("first"), w).alias("print")))
+    return F.concat(head, runs, each) if short else F.concat(head, runs)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram: int = 7, percent: int = 5, broadcast_bytes: int = 64 << 20) -> DataFrame:
@@ -89,19 +95,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram:
     # Rows are named by their content, which no repeated task changes.
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = docs.select(F.col("doc_id"), F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"), word_array(text).alias("words"))
-    rows = _fingerprinted(base, "words", gram, group)
-    starts, entries = _entries(window, short)
-    rows = rows.withColumn("_starts", starts)
+    base = base.withColumn("n_words", F.size("words"))
     key = ["doc_id", "k1", "k2", "n_words"]
-    stream = rows.select("doc_id", "k1", "k2", F.size("words").alias("n_words"), F.inline(entries))
+    rows = _fingerprinted(base.select(*key, F.inline(_blocks("words", window))), "part", gram, group)
+    stream = rows.select(*key, "base", "part", F.inline(_entries(short)))
+    passage = lambda size: F.when(F.col("at") == 0, F.array(F.col("k2").cast("string"))).otherwise(F.slice("part", F.col("at"), size)).alias("passage")
+    if total > broadcast_bytes:  # a shuffled join moves a window's words and not the block's
+        stream = stream.select(*key, "base", "at", "print", passage(window).alias("part"))
+        passage = lambda size: F.when(F.col("at") == 0, F.array(F.col("k2").cast("string"))).otherwise(F.slice("part", 1, size)).alias("passage")
     met = stream.join(fit(prints.distinct()), "print", "left").where("size is not null or at = 0")
-    spots = (
-        F.when(F.col("at") == 0, F.array(F.struct(F.col("at"), F.col("part").alias("passage"))))
-        .when(F.size("part") < F.col("size"), F.array().cast("array<struct<at:int,passage:array<string>>>"))
-        .when(F.col("size") == window, F.transform(F.sequence(F.lit(1), F.size("part") - window + 1), lambda i: F.struct((F.col("at") + i - 1).alias("at"), F.slice("part", i, window).alias("passage"))))
-        .otherwise(F.array(F.struct(F.col("at"), F.slice("part", 1, F.col("size")).alias("passage"))))
-    )
-    hits = met.select(*key, F.inline(spots)).join(fit(windows), "passage", "left").where("owners is not null or at = 0")
+    met = met.select(*key, F.when(F.col("at") > 0, F.col("base") + F.col("at")).otherwise(0).alias("at"), passage(F.coalesce("size", F.lit(1))))
+    hits = met.join(fit(windows), "passage", "left").where("owners is not null or at = 0")
 
     spans = F.array_sort(F.filter(F.collect_set(F.struct("at", F.col("size").alias("len"))), lambda s: s["at"] > 0))
     owners = F.when(F.col("at") > 0, F.col("owners"))
