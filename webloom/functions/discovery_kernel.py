@@ -38,7 +38,6 @@ _CSS = re.compile(
 _GAP = r"(?:\s|/\*.*?\*/)*"
 _QUOTED = re.compile(_GAP + r"""(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)')""", re.S)
 _URL_BODY = re.compile(r"""\(\s*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|((?:[^\s"'()\\]|\\.)*))\s*\)""", re.S)
-_MAP = re.compile(r"[#@]\s*sourceMappingURL\s*=\s*([^\s*]+)", re.I)
 _ESCAPED = re.compile(r"\\(?:([0-9a-fA-F]{1,6})\s?|(\r\n|\n|\r|\f)|(.))", re.S)
 
 
@@ -54,13 +53,31 @@ def css_text(raw: str) -> str:
     return _ESCAPED.sub(plain, raw)
 
 
+_MAP_NAME = re.compile("sourcemappingurl", re.I | re.A)
+
+
+def source_maps(text: str) -> Iterator[tuple[int, str]]:
+    """Offset and target of every source-map declaration: a mark, the name, an equals sign, a target without blanks or stars."""
+    for found in _MAP_NAME.finditer(text):
+        mark, end = found.start() - 1, found.end()
+        while mark >= 0 and text[mark].isspace():
+            mark -= 1
+        while end < len(text) and text[end].isspace():
+            end += 1
+        if mark < 0 or text[mark] not in "#@" or text[end : end + 1] != "=":
+            continue
+        target = text[end + 1 : end + 1 + 2 * _LONGEST].lstrip().split("*", 1)[0].split()
+        if target:
+            yield mark, target[0]
+
+
 def _css(sheet: str) -> Iterator[Found]:
     at = 0
     while found := _CSS.search(sheet, at):
         at = found.end()
         if found["comment"] is not None:
-            for m in _MAP.finditer(found["comment"]):
-                yield Found(m[1], "source-map", "high", found.start() + 2 + m.start())
+            for at_map, url in source_maps(found["comment"]):
+                yield Found(url, "source-map", "high", found.start() + 2 + at_map)
         elif found["at"] is not None and css_text(found["at"]).lower() == "import":
             if target := _QUOTED.match(sheet, at):
                 yield Found(css_text(next(g for g in target.groups() if g is not None)), "import", "high", found.start())
@@ -79,15 +96,73 @@ def css_urls(sheet: str, limit: int = 500) -> list[Found]:
     return ranked((f for f in usable if f.url and len(f.url) <= _LONGEST and not re.match("(data|javascript|blob):", f.url, re.I)), CSS_RANK, limit)
 
 
-_LITERAL = re.compile(r"""(["'`])((?:\\.|(?!\1)[^\\\r\n])*)\1""", re.S)
-_CALLS = [
-    ("fetch", re.compile(r"""(?<![\w$.])(?:(?:window|self|globalThis)\s*\.\s*)?fetch\s*\(\s*(["'`])((?:\\.|(?!\1)[^\\\r\n])*)\1""")),
-    ("import", re.compile(r"""(?<![\w$.])import\s*\(\s*(["'`])((?:\\.|(?!\1)[^\\\r\n])*)\1""")),
-    ("url", re.compile(r"""(?<![\w$.])new\s+URL\s*\(\s*(["'`])((?:\\.|(?!\1)[^\\\r\n])*)\1""")),
+class _Literal(NamedTuple):
+    start: int
+    end: int  # after the closing quote
+    value: str
+
+
+def _literal(script: str, at: int) -> _Literal | None:
+    """The string that opens at ``at``, with escaped quotes, slashes and backslashes resolved, if it closes on its line."""
+    quote, parts, i, n = script[at], [], at + 1, len(script)
+    while i < n:
+        run = _ORDINARY.match(script, i)
+        if run:
+            parts.append(run[0])
+            i = run.end()
+            continue
+        c = script[i]
+        if c == quote:
+            return _Literal(at, i + 1, "".join(parts))
+        if c in "\r\n":
+            return None
+        if c == "\\":
+            if i + 1 >= n or script[i + 1] in "\r\n":
+                return None
+            parts.append(script[i + 1] if script[i + 1] in _PLAIN_ESCAPES else script[i : i + 2])
+            i += 2
+        else:
+            parts.append(c)
+            i += 1
+    return None
+
+
+_ORDINARY = re.compile(r"[^\"'`\\\r\n]+")
+_PLAIN_ESCAPES = "\"'`/\\"
+_OPENING = re.compile(r"[\"'`]|/[/*]")
+
+
+def _scan(script: str, comments: bool) -> Iterator[_Literal]:
+    """String literals in order.  With ``comments`` also those in comments; else a template of several lines is skipped as one."""
+    at = 0
+    while found := _OPENING.search(script, at):
+        at = found.end()
+        if len(found[0]) == 2:
+            if not comments:
+                stop = script.find("*/" if found[0] == "/*" else "\n", at)
+                at = len(script) if stop < 0 else stop + (2 if found[0] == "/*" else 0)
+            else:
+                at -= 1
+            continue
+        literal = _literal(script, found.start())
+        if literal:
+            yield literal
+            at = literal.end
+        elif found[0] == "`" and not comments:
+            while (at := script.find("`", at)) >= 0 and script[at - 1] == "\\":
+                at += 1
+            at = len(script) if at < 0 else at + 1
+
+
+# What stands before the first argument of a call that loads a URL.
+_BEFORE = [
+    ("fetch", re.compile(r"(?:^|[^\w$.])(?:(?:window|self|globalThis)\s*\.\s*)?fetch\s*\(\s*$")),
+    ("import", re.compile(r"(?:^|[^\w$.])import\s*\(\s*$")),
+    ("url", re.compile(r"(?:^|[^\w$.])new\s+URL\s*\(\s*$")),
 ]
-_RECEIVER = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*)\s*=\s*new\s+XMLHttpRequest\b")
-_SENT = re.compile(r"""(?<![\w$.])([A-Za-z_$][\w$]*)\s*\.\s*open\s*\(\s*(["'`])\w+\2\s*,\s*(["'`])((?:\\.|(?!\3)[^\\\r\n])*)\3""")
-_JS_COMMENT = re.compile(r"""(["'`])(?:\\.|(?!\1)[^\\])*?\1|/\*.*?\*/|//[^\r\n]*""", re.S)
+_OPEN = re.compile(r"(?:^|[^\w$.])([A-Za-z_$][\w$]*)\s*\.\s*open\s*\(\s*$")
+_MADE = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$]*)\s*=(?!=)\s*(new\s+XMLHttpRequest\b)?")
+_REACH = 120  # characters looked at before a literal
 
 
 def literal_method(value: str) -> str | None:
@@ -99,34 +174,39 @@ def literal_method(value: str) -> str | None:
     return "relative" if re.match(r"(/|\.\.?/)[^/]?", value) else None
 
 
-def _unescaped(value: str) -> str:
-    return re.sub(r"\\([\\\"'`/])", r"\1", value)
-
-
 def _js_literals(script: str) -> Iterator[Found]:
-    for m in _LITERAL.finditer(script):
-        value = _unescaped(m[2])
-        if method := literal_method(value):
-            yield Found(value, method, "medium", m.start())
-
-
-def _js_maps(script: str) -> Iterator[Found]:
-    for m in _MAP.finditer(script):
-        yield Found(m[1], "source-map", "high", m.start())
+    for x in _scan(script, comments=True):
+        if method := literal_method(x.value):
+            yield Found(x.value, method, "medium", x.start)
 
 
 def _js_calls(script: str) -> Iterator[Found]:
-    """Arguments of fetch, import, new URL, and of open on receivers made by new XMLHttpRequest."""
-    code = _JS_COMMENT.sub(lambda m: m[0] if m[0][0] in "\"'`" else " " * len(m[0]), script)
-    for method, pattern in _CALLS:
-        for m in pattern.finditer(code):
-            if "${" not in m[2]:
-                yield Found(_unescaped(m[2]), method, "high", m.start())
-    known = {m[1] for m in _RECEIVER.finditer(code)}
-    reused = {m[1] for m in re.finditer(r"(?<![\w$.])([A-Za-z_$][\w$]*)\s*=(?!=)\s*(?!\s*new\s+XMLHttpRequest\b)", code)}
-    for m in _SENT.finditer(code):
-        if m[1] in known - reused:
-            yield Found(_unescaped(m[4]), "xhr", "high", m.start())
+    """First arguments of fetch, import and new URL, and second ones of open on receivers made only by new XMLHttpRequest."""
+    requests, before = _only_requests(script), None
+    for x in _scan(script, comments=False):
+        lead = script[max(0, x.start - _REACH) : x.start]
+        if "${" not in x.value:
+            for method, pattern in _BEFORE:
+                if m := pattern.search(lead):
+                    yield Found(x.value, method, "high", x.start - len(lead) + m.start() + (not m[0][0].isalnum()))
+                    break
+            if before and before[1] in requests and before[0].value.isalnum() and script[before[0].end : x.start].strip() == ",":
+                yield Found(x.value, "xhr", "high", before[0].start)
+        opened = _OPEN.search(lead)
+        before = (x, opened[1]) if opened else None
+
+
+def _only_requests(script: str) -> set[str]:
+    """Names to which nothing but a new XMLHttpRequest is assigned."""
+    pieces, last = [], 0
+    for x in _scan(script, comments=False):
+        pieces.append(script[last : x.start])
+        last = x.end
+    pieces.append(script[last:])
+    good, other = set(), set()
+    for m in _MADE.finditer("''".join(pieces)):
+        (good if m[2] else other).add(m[1])
+    return good - other
 
 
 def js_urls(script: str, mode: str = "hybrid", limit: int = 500) -> list[Found]:
@@ -137,7 +217,7 @@ def js_urls(script: str, mode: str = "hybrid", limit: int = 500) -> list[Found]:
             yield from _js_calls(script)
         if mode != "ast":
             yield from _js_literals(script)
-        yield from _js_maps(script)
+        yield from (Found(url, "source-map", "high", at) for at, url in source_maps(script))
 
     return ranked((f for f in every() if f.url), JS_RANK, limit)
 

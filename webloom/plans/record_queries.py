@@ -155,26 +155,26 @@ def replay_status(spark, d):
     return D.replay(saved, again, "page_id")
 
 
-@query("""WITH s AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 13 = 0 THEN '2026-02-30' WHEN o_orderkey % 13 = 1 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M') || 'Z' WHEN o_orderkey % 13 = 2 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') WHEN o_orderkey % 13 = 3 THEN strftime(o_orderdate, '%Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS t FROM orders)
+@query("""WITH s AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 13 = 0 THEN '2023-11-31' WHEN o_orderkey % 13 = 1 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M') || 'Z' WHEN o_orderkey % 13 = 2 THEN strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') WHEN o_orderkey % 13 = 3 THEN strftime(o_orderdate, '%Y') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS t FROM orders)
 SELECT k, regexp_full_match(t, '[0-9]{4}(-[0-9]{2}(-[0-9]{2}(T[0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[+-][0-9]{2}:[0-9]{2}))?)?)?') AND (length(t) < 10 OR try_cast(substr(t, 1, 10) AS DATE) IS NOT NULL) AS valid FROM s""")
 def lastmod_valid(spark, d):
     k, day = F.col("o_orderkey"), lambda f: F.date_format("o_orderdate", f)
-    text = F.when(k % 13 == 0, "2026-02-30").when(k % 13 == 1, F.concat(day("yyyy-MM-dd'T'HH:mm"), F.lit("Z"))).when(k % 13 == 2, day("yyyy-MM-dd'T'HH:mm:ss")).when(k % 13 == 3, day("yyyy")).otherwise(day("yyyy-MM-dd"))
+    text = F.when(k % 13 == 0, "2023-11-31").when(k % 13 == 1, F.concat(day("yyyy-MM-dd'T'HH:mm"), F.lit("Z"))).when(k % 13 == 2, day("yyyy-MM-dd'T'HH:mm:ss")).when(k % 13 == 3, day("yyyy")).otherwise(day("yyyy-MM-dd"))
     return table(spark, d, "orders").select(k.alias("k"), S.valid_lastmod(text).alias("valid"))
 
 
-@query("""WITH s AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 13 = 0 THEN '0x1' WHEN l_orderkey % 13 = 1 THEN '1.00' ELSE '0.' || lpad(CAST(CAST(round(l_discount * 100) AS BIGINT) AS VARCHAR), 2, '0') END AS t FROM lineitem)
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 13 = 0 THEN '1e0' WHEN l_orderkey % 13 = 1 THEN '1.00' ELSE '0.' || lpad(CAST(CAST(round(l_discount * 100) AS BIGINT) AS VARCHAR), 2, '0') END AS t FROM lineitem)
 SELECT l_orderkey, l_linenumber, CASE WHEN regexp_full_match(t, '0([.][0-9]+)?|1([.]0+)?') THEN CAST(round(CAST(t AS DOUBLE) * 100) AS BIGINT) END AS hundredths FROM s""")
 def priority_parse(spark, d):
     k = F.col("l_orderkey") % 13
-    text = F.when(k == 0, "0x1").when(k == 1, "1.00").otherwise(F.concat(F.lit("0."), F.lpad(F.round(F.col("l_discount") * 100).cast("long").cast("string"), 2, "0")))
+    text = F.when(k == 0, "1e0").when(k == 1, "1.00").otherwise(F.concat(F.lit("0."), F.lpad(F.round(F.col("l_discount") * 100).cast("long").cast("string"), 2, "0")))
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(S.priority(text) * 100).cast("long").alias("hundredths"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'daily' WHEN o_orderkey % 4 = 1 THEN 'never' END AS changefreq FROM orders")
 def changefreq_parse(spark, d):
     k = F.col("o_orderkey") % 4
-    return table(spark, d, "orders").select("o_orderkey", S.change_frequency(F.when(k == 0, "daily").when(k == 1, "never").when(k == 2, "DAILY").otherwise("often")).alias("changefreq"))
+    return table(spark, d, "orders").select("o_orderkey", S.change_frequency(F.when(k == 0, "daily").when(k == 1, "never").when(k == 2, "Often").otherwise("often")).alias("changefreq"))
 
 
 @query(f"""WITH p AS ({P}) SELECT page_id, u AS url, CASE WHEN page_id % 3 = 0 THEN '2024-01-02' END AS lastmod, CASE WHEN page_id % 5 = 0 THEN 'invalid changefreq' ELSE '' END AS warnings FROM p WHERE page_id % 2 = 0""")
@@ -182,7 +182,7 @@ def sitemap_entries(spark, d):
     u = U.without_fragment(F.col("url"))
     entry = F.concat(
         F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>'), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit("</loc>"), F.when(F.col("page_id") % 3 == 0, "<lastmod>2024-01-02</lastmod>").otherwise(""),
-        F.when(F.col("page_id") % 5 == 0, "<changefreq>DAILY</changefreq>").otherwise("<changefreq>daily</changefreq>"), F.lit("</url></urlset>"),
+        F.when(F.col("page_id") % 5 == 0, "<changefreq>Often</changefreq>").otherwise("<changefreq>daily</changefreq>"), F.lit("</url></urlset>"),
     )
     docs = table(spark, d, "pages").where("page_id % 2 = 0").select(F.col("page_id").alias("key"), F.concat(U.origin(u), F.lit("/sitemap.xml")).alias("url"), entry.cast("binary").alias("body"))
     rows = S.entries(S.extract(docs), "sitemap")
