@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from webloom.llm.chroma import Audio, align, chroma, fingerprint, fingerprints
+from webloom.llm.chroma import DOUBT, Audio, align, chroma, fingerprint, fingerprints, neighbours
 
 DATA = "/root/testdata/sf0.001"
 
@@ -72,9 +72,9 @@ def test_kernel_basics():
     tone = np.sin(2 * np.pi * 440 * t).astype(np.float32)
     assert (chroma(tone, Audio(frame=2048, hop=512)).argmax(1) == 0).all()
     noise = np.random.default_rng(1).random(4000).astype(np.float32)
-    whole = fingerprint(chroma(noise, Audio()))
-    assert (fingerprint(chroma(noise[640:], Audio())) == whole[10:]).all()
-    assert len(fingerprint(chroma(noise[:100], Audio()))) == 0
+    whole = fingerprint(chroma(noise, Audio()))[0]
+    assert (fingerprint(chroma(noise[640:], Audio()))[0] == whole[10:]).all()
+    assert len(fingerprint(chroma(noise[:100], Audio()))[0]) == 0
 
 
 def test_empty_table(spark):
@@ -118,3 +118,18 @@ def test_real_documents_with_edits(spark):
     planted = {(10 * i, 10 * i + 1) for i in range(len(sounds))} & want
     assert len(planted) >= 5
     assert planted <= found <= want
+
+
+def test_neighbours_and_doubt():
+    r = np.random.default_rng(4)
+    sound = r.random(6000).astype(np.float32)
+    value, doubt = fingerprint(chroma(sound, Audio()))
+    assert (np.bitwise_count(doubt) == DOUBT).all()
+    near = neighbours(value, doubt)
+    assert near.shape == (len(value), 2**DOUBT)
+    for v, d, row in list(zip(value, doubt, near, strict=True))[:5]:
+        assert set(row.tolist()) == {int(v) ^ sum(1 << b for i, b in enumerate(b for b in range(32) if int(d) >> b & 1) if k >> i & 1) for k in range(2**DOUBT)}
+    # Slight noise turns bits; most of them are in doubt.
+    noisy = fingerprint(chroma(sound + r.normal(0, 0.004, len(sound)).astype(np.float32), Audio()))[0]
+    turned = value ^ noisy
+    assert np.bitwise_count(turned).sum() > 0 and np.bitwise_count(turned & doubt).sum() >= 0.8 * np.bitwise_count(turned).sum()

@@ -6,6 +6,10 @@ give two bits each: one 32-bit integer a frame.  Two recordings that share mater
 integers at one constant offset, so a histogram of offsets aligns them and the bit errors under
 the best offset decide.
 
+Noise turns the bits first whose filter value lies next to a threshold.  A query therefore looks
+up, besides each integer, all integers that differ from it in some of its ``DOUBT`` least certain
+bits; so two integers meet in spite of bit errors, as long as these fall on bits in doubt.
+
 The tables have no audio column; the query reads the UTF-8 bytes of ``documents.text`` as
 unsigned 8-bit samples.  ``fingerprints`` takes any binary or string column that way.
 """
@@ -19,12 +23,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from webloom.llm import kernels as K
 from webloom.shared import discard, ship_package, written
 
 SPAN = 8  # frames under one fingerprint integer
+DOUBT = 7  # bits of an integer that a lookup may turn
+_LEVELS = np.array([-0.1, 0.0, 0.1])  # thresholds of a filter's two bits (Gray code)
 
 
 @dataclass(frozen=True)
@@ -65,11 +70,11 @@ def chroma(samples: np.ndarray, audio: Audio) -> np.ndarray:
     return np.divide(out, size, out=np.zeros_like(out), where=size > 1e-9)
 
 
-def fingerprint(features: np.ndarray) -> np.ndarray:
-    """Packed 32-bit integers, one for every SPAN consecutive frames."""
+def fingerprint(features: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Packed 32-bit integers, one for every SPAN consecutive frames, and the mask of each one's bits in doubt."""
     n = len(features) - SPAN + 1
     if n <= 0:
-        return np.zeros(0, np.uint32)
+        return np.zeros(0, np.uint32), np.zeros(0, np.uint32)
     image = np.zeros((len(features) + 1, 13))
     image[1:, 1:] = features.cumsum(0).cumsum(1)
     at = np.arange(n)
@@ -78,7 +83,8 @@ def fingerprint(features: np.ndarray) -> np.ndarray:
         return image[at + x1, y1] - image[at + x0, y1] - image[at + x1, y0] + image[at + x0, y0]
 
     out = np.zeros(n, np.uint32)
-    for shape, y, h, w in _filters():
+    margin, bit = np.empty((n, 16), np.float32), np.empty((n, 16), np.uint32)
+    for f, (shape, y, h, w) in enumerate(_filters()):
         if shape == 0:  # earlier against later
             a, b = box(0, w // 2, y, min(y + h, 12)), box(w // 2, w, y, min(y + h, 12))
         elif shape == 1:  # lower against higher classes
@@ -90,31 +96,60 @@ def fingerprint(features: np.ndarray) -> np.ndarray:
             m, top = y + h // 2, min(y + h, 12)
             a, b = box(0, w // 2, y, m) + box(w // 2, w, m, top), box(0, w // 2, m, top) + box(w // 2, w, y, m)
         value = np.log((1 + a) / (1 + b))
-        level = (value > -0.1).astype(np.uint32) + (value > 0) + (value > 0.1)
+        level = (value > _LEVELS[0]).astype(np.uint32) + (value > _LEVELS[1]) + (value > _LEVELS[2])
         out = (out << np.uint32(2)) | (level ^ (level >> np.uint32(1))).astype(np.uint32)
-    return out
+        size = np.abs(value)
+        margin[:, f] = np.minimum(size, np.abs(size - _LEVELS[2]))
+        # Crossing zero turns the filter's high bit, crossing an outer threshold its low bit.
+        bit[:, f] = np.where(size < _LEVELS[2] / 2, np.uint32(2), np.uint32(1)) << np.uint32(2 * (15 - f))
+    least = np.argpartition(margin, DOUBT, 1)[:, :DOUBT]
+    return out, np.bitwise_or.reduce(np.take_along_axis(bit, least, 1), 1)
 
 
 def _print(audio: Audio) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r0, r1, data, at in K.chunks(batch.column("sound")):
-                prints = []
-                for a, b in zip(at[:-1], at[1:], strict=True):
-                    prints.append(fingerprint(chroma(data[a:b].astype(np.float32) / 128 - 1, audio)).view(np.int32))
-                offsets = np.concatenate(([0], np.cumsum([len(p) for p in prints]))).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(prints)))
-                yield pa.record_batch([batch.column("doc")[r0:r1], lists], ["doc", "print"])
+                both = [fingerprint(chroma(data[a:b].astype(np.float32) / 128 - 1, audio)) for a, b in zip(at[:-1], at[1:], strict=True)]
+                offsets = pa.array(np.concatenate(([0], np.cumsum([len(p) for p, _ in both]))).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).view(np.int32))) for x in zip(*both, strict=True)]
+                yield pa.record_batch([batch.column("doc")[r0:r1], *lists], ["doc", "print", "doubt"])
 
     return run
 
 
 def fingerprints(recordings: DataFrame, id_column: str = "doc_id", sound_column: str = "text", audio: Audio = Audio()) -> DataFrame:
-    """doc, print: the fingerprint of every recording; empty for null and for sound shorter than SPAN frames."""
+    """doc, print, doubt: the fingerprint of every recording and the masks of bits in doubt.
+
+    Both are empty for null and for sound shorter than SPAN frames.  A very long recording is
+    read whole, its spectra 4,096 frames at a time.
+    """
     ship_package(recordings.sparkSession)
     sound = F.coalesce(F.col(sound_column).cast("binary"), F.lit(b""))
     frame = recordings.select(F.col(id_column).cast("long").alias("doc"), sound.alias("sound"))
-    return frame.mapInArrow(_print(audio), T.StructType([T.StructField("doc", T.LongType()), T.StructField("print", T.ArrayType(T.IntegerType()))]))
+    return frame.mapInArrow(_print(audio), "doc long, print array<int>, doubt array<int>")
+
+
+def neighbours(value: np.ndarray, doubt: np.ndarray) -> np.ndarray:
+    """A row for each integer: itself with every subset of its DOUBT bits in doubt turned."""
+    out, rest = value[:, None], doubt.copy()
+    for _ in range(DOUBT):
+        lowest = rest & (~rest + np.uint32(1))
+        rest ^= lowest
+        out = np.concatenate((out, out ^ lowest[:, None]), 1)
+    return out
+
+
+def _lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """query, query_size, query_at, value: all neighbours of every integer of the queries."""
+    for batch in batches:
+        prints, doubts = (batch.column(c) for c in ("print", "doubt"))
+        for query, p, d in zip(batch.column("class").to_numpy(), prints, doubts, strict=True):
+            value, doubt = (np.array(x.values, np.int32).view(np.uint32) for x in (p, d))
+            for a in range(0, len(value), 512):
+                near = neighbours(value[a : a + 512], doubt[a : a + 512])
+                place = np.repeat(np.arange(a, a + len(near), dtype=np.int32), near.shape[1])
+                yield pa.record_batch([pa.array(np.full(near.size, query)), pa.array(np.full(near.size, len(value), np.int32)), pa.array(place), pa.array(near.ravel().view(np.int32))], ["query", "query_size", "query_at", "value"])
 
 
 def _overlap(a: str, b: str, offset: str) -> tuple:
@@ -126,33 +161,31 @@ def _overlap(a: str, b: str, offset: str) -> tuple:
 def align(prints: DataFrame, every: int = 50, least_overlap: int = 8, error_rate: float = 0.2) -> DataFrame:
     """Searches all recordings for material of the queries (ids divisible by ``every``).
 
-    ``prints``: doc, print (see ``fingerprints``).  Recordings with equal prints are one class.
-    A class with a query looks up every integer of it that another class holds too, at every
-    place.  The offsets at which a class meets it are counted, and the bit errors are taken under
-    each of them; of those that match, the one most shared integers agree on is returned.  So
-    each match whose overlap shares one integer is found, however many differ.  Returns
-    a row per recording (doc_id, class_id, n_frames, and nulls), and for each match of a query
-    class a row of its first recording with match_class, offset, overlap and bit_errors; a match
-    has at least ``least_overlap`` common frames and at most ``error_rate`` wrong bits.  Copies
-    of a match are the members of its class.  Recordings without integers match nothing; null
-    ids are returned but never queries; repeated rows are copies; an empty table gives none.
+    ``prints``: doc, print, doubt (see ``fingerprints``).  Recordings with equal prints are one
+    class.  A class with a query looks up every integer of it and the neighbours that its bits in
+    doubt allow.  The offsets at which a class meets it are counted, and the bit errors are taken
+    under each of them; of those that match, the one that most integers agree on is returned (ties:
+    the offset nearest to zero, then the larger).  So a match is found if at one place of its
+    overlap the two integers differ in bits in doubt only.  Returns a row per recording (doc_id,
+    class_id, n_frames, and nulls), and for each match of a query class a row of its first
+    recording with match_class, offset, overlap and bit_errors; a match has at least
+    ``least_overlap`` common frames and at most ``error_rate`` wrong bits.  Copies of a match are
+    the members of its class.  Recordings without integers match nothing; null ids are returned
+    but never queries; repeated rows are copies; an empty table gives none.
     """
     prints = written(prints, "chroma-prints")
     # An overlap has ``least_overlap`` integers at least, so shorter prints meet nothing: each is its own class.
     known = prints.where(F.size("print") > 0).withColumn("mark", F.sha2(F.array_join("print", ",").cast("binary"), 256))
-    classes = known.groupBy("mark").agg(F.min("doc").alias("class"), F.first("print").alias("print"), F.max(F.coalesce(F.col("doc") % every == 0, F.lit(False))).alias("asked"))
+    classes = known.groupBy("mark").agg(F.min("doc").alias("class"), F.first("print").alias("print"), F.min("doubt").alias("doubt"), F.max(F.coalesce(F.col("doc") % every == 0, F.lit(False))).alias("asked"))
     classes = written(classes.where("class is not null"), "chroma-classes")
     long = classes.where(F.size("print") >= least_overlap).withColumn("size", F.size("print"))
-    places = written(long.select("class", "size", F.posexplode("print").alias("at", "value")), "chroma-postings")
-    shared = written(places.groupBy("value").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("value"), "chroma-shared")
-    postings = written(places.join(shared.hint("merge"), "value"), "chroma-shared-postings")
-    lookups = postings.join(long.where("asked").select("class").hint("merge"), "class", "left_semi")
-    lookups = written(lookups.select(F.col("class").alias("query"), F.col("size").alias("query_size"), F.col("at").alias("query_at"), "value"), "chroma-lookups")
+    postings = written(long.select("class", "size", F.posexplode("print").alias("at", "value")), "chroma-postings")
+    lookups = written(long.where("asked").select("class", "print", "doubt").mapInArrow(_lookups, "query long, query_size int, query_at int, value int"), "chroma-lookups")
     # A place counts where the overlap that it stands for is long enough.
     enough = F.expr(f"least(query_size - query_at, size - at) + least(query_at, at) >= {least_overlap}")
     met = lookups.join(postings.hint("merge"), "value").where((F.col("query") != F.col("class")) & enough)
     met = written(met.groupBy("query", "class", (F.col("at") - F.col("query_at")).alias("offset")).agg(F.count("*").alias("votes")), "chroma-votes")
-    discard(shared, postings, lookups, places)
+    discard(postings, lookups)
     met = met.join(classes.select(F.col("class").alias("query"), F.col("print").alias("a")).hint("merge"), "query").join(classes.select("class", F.col("print").alias("b")).hint("merge"), "class")
     a, b = _overlap("a", "b", "offset")
     matches = met.withColumn("overlap", F.size(a)).withColumn("bit_errors", F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x))
