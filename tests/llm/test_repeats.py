@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from webloom.llm.substring import SuffixAutomaton, dedup_words
+from webloom.llm.substring import SuffixAutomaton, dedup_words, match_reference
 from webloom.llm.suffix_array import dedup_bytes, radix_repeats
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -122,3 +122,29 @@ def test_kept_digest(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: hashlib.sha256(bytes(r.kept)).hexdigest() for r in dedup_bytes(df).collect()}
     assert got == {d: hashlib.sha256(k).hexdigest() for d, _, _, _, k in brute_bytes(rows, 200)}
+
+
+def test_broadcast_reference_against_brute_force(spark):
+    r = random.Random(8)
+    vocab = [f"w{i}" for i in range(12)]
+    reference = [" ".join(r.choices(vocab, k=40)) for _ in range(6)] + [""]
+    grams = {tuple(t.split()[i : i + 4]) for t in reference for i in range(len(t.split()) - 3)}
+    rows = [(i, " ".join(r.choices(vocab, k=r.randint(0, 60)))) for i in range(40)] + [(50, None), (51, reference[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for row, (_, text) in zip(match_reference(df, reference, 4).orderBy("doc_id").collect(), rows, strict=True):
+        w = (text or "").split()
+        want = {j for i in range(len(w) - 3) if tuple(w[i : i + 4]) in grams for j in range(i, i + 4)}
+        assert {j for s in row.spans for j in range(s.start, s.end)} == want
+    with pytest.raises(ValueError):
+        match_reference(df, reference, 4, max_words=10)
+
+
+def test_very_long_texts(spark):
+    r = random.Random(9)
+    words = [f"x{i}" for i in range(3000)]
+    passage = " ".join(r.choices(words, k=400))
+    long = " ".join(r.choices(words, k=60_000)) + " " + passage + " " + " ".join(r.choices(words, k=60_000))
+    df = spark.createDataFrame([(1, passage), (2, long)], "doc_id long, text string")
+    assert {x.doc_id: x.n_removed for x in dedup_words(df).collect()} == {1: 0, 2: 400}
+    got = {x.doc_id: x for x in dedup_bytes(df).collect()}
+    assert got[1].n_removed == len(passage) and len(passage) <= got[2].n_removed <= len(passage) + 2 and len(got[2].spans) == 1

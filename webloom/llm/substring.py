@@ -13,6 +13,7 @@ broadcast form for a reference of bounded size.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,9 @@ from webloom.llm.repeats import Unit, apply_spans, repeated_spans
 from webloom.shared import ship_package
 
 
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
 class SuffixAutomaton:
     """Online suffix automaton over hashable symbols; ``None`` separates texts."""
 
@@ -108,7 +112,7 @@ def dedup_words(docs: DataFrame, window: int = 20, gram: int = 8, hot: int = 819
     ``docs``: doc_id, text; more columns are ignored.  Words lie between ASCII white space.
     Earlier is a smaller doc_id (null first) or an earlier start.  Returns doc_id, n (words),
     n_removed, spans (maximal removed runs of words), kept (binary: the other words joined by
-    one space).  Null text has no words; texts shorter than the window are kept; rows that
+    one space).  A very long text is handled whole.  Null text has no words; texts shorter than the window are kept; rows that
     repeat id and text are the same document, none earlier than the other; an empty table
     gives an empty result.
     """
@@ -119,18 +123,21 @@ def dedup_words(docs: DataFrame, window: int = 20, gram: int = 8, hot: int = 819
     return apply_spans(texts, spans, unit)
 
 
-def match_reference(docs: DataFrame, reference: list[str], window: int = 20, max_words: int = 2_000_000) -> DataFrame:
+def match_reference(docs: DataFrame, reference: list[str], window: int = 20, max_words: int = 200_000) -> DataFrame:
     """Spans of ``docs`` that repeat ``window`` words of a small reference, by broadcast automata.
 
-    The reference's size is checked against ``max_words``.  Returns doc_id, spans of words.
+    The reference's size is checked against ``max_words`` (its automaton takes about half a
+    kilobyte a word).  Returns a row per row of docs: doc_id, spans of words.  Null texts have
+    none; an empty reference matches nothing.
     """
-    if sum(len(t.split()) for t in reference) > max_words:
+    words = [_WORD.findall((t or "").encode()) for t in reference]
+    if sum(map(len, words)) > max_words:
         raise ValueError("the reference exceeds max_words; add it to the corpus and use dedup_words")
     spark = docs.sparkSession
     ship_package(spark)
     automaton = SuffixAutomaton()
-    for text in reference:
-        for w in text.encode().split():
+    for text in words:
+        for w in text:
             automaton.add(w)
         automaton.end_text()
     shared = spark.sparkContext.broadcast((automaton.next, automaton.link, automaton.length))
@@ -139,7 +146,7 @@ def match_reference(docs: DataFrame, reference: list[str], window: int = 20, max
         own = SuffixAutomaton()
         own.next, own.link, own.length = shared.value
         for batch in batches:
-            spans = [[{"start": int(a), "end": int(b)} for a, b in _cover(own.statistics((t or "").encode().split()), window)] for t in batch.column("text").to_pylist()]
+            spans = [[{"start": int(a), "end": int(b)} for a, b in _cover(own.statistics(_WORD.findall((t or "").encode())), window)] for t in batch.column("text").to_pylist()]
             yield pa.record_batch([batch.column("doc_id"), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], ["doc_id", "spans"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, spans array<struct<start:int,end:int>>")

@@ -61,7 +61,7 @@ def dedup_bytes(docs: DataFrame, window: int = 200, gram: int = 64, hot: int = 8
 
     ``docs``: doc_id, text; more columns are ignored.  Returns doc_id, n (bytes), n_removed,
     spans (maximal removed runs of bytes) and kept (the other bytes, binary).
-    Null text is empty; texts shorter than the window are kept whole; a null doc_id stays
+    A very long text is handled whole.  Null text is empty; texts shorter than the window are kept whole; a null doc_id stays
     null; repeated rows are copies of each other and lose their windows; an empty table gives
     an empty result.
     """
