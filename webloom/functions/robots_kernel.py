@@ -92,15 +92,19 @@ def _regex(pattern: str) -> re.Pattern:
     return re.compile(body + ("$" if anchored else ""), re.S)
 
 
-def allowed(robots: Robots, token: str, path: str) -> bool:
-    """Longest match wins, allow wins ties, empty disallow says nothing."""
+def rules_for(robots: Robots, token: str) -> list[tuple[bool, str]]:
+    """The rules that bind a product token; an empty pattern says nothing."""
+    return [(allow, pattern) for group in matching(robots, token) for allow, pattern in group.rules if pattern]
+
+
+def decide(rules: list[tuple[bool, str]], path: str) -> bool:
+    """Longest match wins, allow wins ties."""
     path = normalise(path)
-    best = (-1, True)
-    for group in matching(robots, token):
-        for allow, pattern in group.rules:
-            if pattern and _regex(pattern).match(path):
-                best = max(best, (specificity(pattern), allow))
-    return best[1]
+    return max(((specificity(pattern), allow) for allow, pattern in rules if _regex(pattern).match(path)), default=(-1, True))[1]
+
+
+def allowed(robots: Robots, token: str, path: str) -> bool:
+    return decide(rules_for(robots, token), path)
 
 
 def crawl_delay(robots: Robots, token: str) -> float | None:

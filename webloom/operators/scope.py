@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ipaddress
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -83,29 +84,50 @@ def public_address(address: Column) -> Column:
     return run(address)
 
 
+def robots_rules(robots: DataFrame, token: str) -> DataFrame:
+    """What robots files say to a product token: origin, failed, missing, patterns, allows, crawl_delay.
+
+    ``robots``: origin, status, text, error; one row per origin.  Each text is parsed once here.
+    A network error or 5xx disallows everything (failed); 4xx or no text allows it (missing).
+    """
+    ship_package(robots.sparkSession)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for origin, failed, missing, text in frame.itertuples(index=False, name=None):
+                policy = robots_kernel.parse("" if failed or missing else text)
+                rules = robots_kernel.rules_for(policy, token)
+                out.append((origin, failed, missing, [p for _, p in rules], [a for a, _ in rules], robots_kernel.crawl_delay(policy, token)))
+            yield pd.DataFrame(out, columns=["origin", "failed", "missing", "patterns", "allows", "crawl_delay"])
+
+    failed = F.col("error").isNotNull() | F.coalesce(F.col("status") >= 500, F.lit(False))
+    missing = F.coalesce(F.col("status").between(400, 499), F.lit(False)) | F.col("text").isNull()
+    rows = robots.select("origin", failed.alias("failed"), missing.alias("missing"), "text")
+    return rows.mapInPandas(run, "origin string, failed boolean, missing boolean, patterns array<string>, allows array<boolean>, crawl_delay double")
+
+
 def robots_decisions(urls: DataFrame, robots: DataFrame, token: str = "robot") -> DataFrame:
-    """Adds allowed and crawl_delay.  ``robots``: origin, status, text, error; one row per origin.
+    """Adds allowed and crawl_delay to URLs, by the rules of their origins (see ``robots_rules``); no row allows.
 
-    Fallbacks: a network error or 5xx disallows, 4xx allows, no row allows.
+    Only the rules that bind the token meet the URLs, never the texts.
     """
-    ship_package(urls.sparkSession)
-    joined = urls.withColumn("_origin", U.origin(F.col("url"))).join(robots.select(F.col("origin").alias("_origin"), F.col("status").alias("_status"), F.col("text").alias("_text"), F.col("error").alias("_error")), "_origin", "left")
-
-    @F.pandas_udf("allowed boolean, crawl_delay double")
-    def run(url: pd.Series, text: pd.Series) -> pd.DataFrame:
-        out = []
-        for u, t in zip(url, text, strict=True):
-            policy = robots_kernel.parse(t or "")
+    rules = written(robots_rules(robots, token), "robots-rules")
+    rules = rules.select(F.col("origin").alias("_origin"), *(F.col(c).alias(f"_{c}") for c in rules.columns[1:]))
+    joined = urls.withColumn("_origin", U.origin(F.col("url"))).join(rules, "_origin", "left")
+
+    @F.pandas_udf("boolean")
+    def run(url: pd.Series, patterns: pd.Series, allows: pd.Series) -> pd.Series:
+        def one(u: str | None, p: list | None, a: list | None) -> bool:
             rest = u.split("://", 1)[1] if u and "://" in u else ""
-            path = "/" + rest.partition("/")[2]
-            out.append((robots_kernel.allowed(policy, token, path), robots_kernel.crawl_delay(policy, token)))
-        return pd.DataFrame(out, columns=["allowed", "crawl_delay"])
-
-    failed = F.col("_error").isNotNull() | (F.col("_status") >= 500)
-    missing = F.col("_status").between(400, 499) | F.col("_text").isNull()
-    joined = joined.withColumn("_robots", run("url", "_text"))
-    allowed = F.when(failed, False).when(missing, True).otherwise(F.col("_robots.allowed"))
-    return joined.select(*urls.columns, allowed.alias("allowed"), F.when(~failed & ~missing, F.col("_robots.crawl_delay")).alias("crawl_delay"))
+            return robots_kernel.decide([] if p is None else list(zip(a, p, strict=True)), "/" + rest.partition("/")[2])
+
+        return pd.Series([one(*r) for r in zip(url, patterns, allows, strict=True)], dtype=object)
+
+    ruled = F.coalesce(F.size("_patterns") > 0, F.lit(False))
+    joined = joined.withColumn("_asked", run("url", "_patterns", "_allows"))
+    allowed = F.when(F.col("_failed"), False).when(F.col("_missing") | ~ruled, True).otherwise(F.col("_asked"))
+    return joined.select(*urls.columns, allowed.alias("allowed"), F.when(~F.col("_failed") & ~F.col("_missing"), F.col("_crawl_delay")).alias("crawl_delay"))
 
 
 #: Sources of requests for sitemap files.
