@@ -133,3 +133,12 @@ def test_neighbours_and_doubt():
     noisy = fingerprint(chroma(sound + r.normal(0, 0.004, len(sound)).astype(np.float32), Audio()))[0]
     turned = value ^ noisy
     assert np.bitwise_count(turned).sum() > 0 and np.bitwise_count(turned & doubt).sum() >= 0.8 * np.bitwise_count(turned).sum()
+
+
+def test_repeated_rows_long_sound_and_clashing_names(spark):
+    r = np.random.default_rng(7)
+    whole = r.integers(0, 256, 600_000, np.uint8).tobytes()
+    rows = [(50, whole, 1, 2), (50, whole, 1, 2), (7, whole[64 * 3000 :], 1, 2), (8, b"", 1, 2)]
+    out = align(fingerprints(spark.createDataFrame(rows, "doc_id long, sound binary, class int, print int"), sound_column="sound")).collect()
+    assert sorted((x.doc_id, x.class_id) for x in out if x.match_class is None) == [(7, 7), (8, 8), (50, 50), (50, 50)]
+    assert [(x.doc_id, x.match_class, x.offset, x.bit_errors) for x in out if x.match_class is not None] == [(50, 7, -3000, 0)]

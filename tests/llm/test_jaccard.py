@@ -4,7 +4,7 @@ import re
 import pytest
 
 from webloom.llm.components import components
-from webloom.llm.jaccard import similar_documents
+from webloom.llm.jaccard import _Join, similar_documents
 
 
 def brute(rows, percent=85, k=4):
@@ -58,6 +58,34 @@ def test_against_brute_force(spark, seed):
     assert got == brute(rows)
 
 
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """2,000 near copies with a line in common: candidates grow with the group, not with its square."""
+    r = random.Random(11)
+    vocab = [f"v{i}" for i in range(5000)]
+    base, line = r.choices(vocab, k=60), " ".join(r.choices(vocab, k=12))
+    rows = [(0, " ".join(base) + " " + line)]
+    for i in range(1, 2000):
+        words = list(base)
+        for _ in range(r.choice([1, 1, 2, 3, 4])):
+            words[r.randrange(60)] = r.choice(vocab)
+        rows.append((i, " ".join(words) + " " + line))
+    rows += [(5000 + i, " ".join(r.choices(vocab, k=70)) + " " + line) for i in range(300)]
+    asked = []
+    plain = _Join.links
+    monkeypatch.setattr(_Join, "links", lambda self, pairs, alive: (asked.append(pairs.count()), plain(self, pairs, alive))[1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in similar_documents(df).collect()), key=str)
+    assert got == brute(rows)
+    assert sum(asked) < 5 * len(rows)
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    r = random.Random(12)
+    words = [f"w{r.randrange(10**6)}" for _ in range(80_000)]
+    df = spark.createDataFrame([(3, " ".join(words), 1, 2, 3), (2, " ".join(words[:-5000]), 1, 2, 3), (1, " ".join(words[:40_000]), 1, 2, 3)], "doc_id long, text string, n long, doc long, node long")
+    assert sorted((x.doc_id, x.component_id) for x in similar_documents(df).collect()) == [(1, 1), (2, 2), (3, 2)]
+
+
 def test_empty_table(spark):
     assert similar_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 

@@ -40,3 +40,12 @@ def test_sections_add_up(spark):
     own = [r for r in both if r.doc_id == 3]
     assert [r.field for r in own] == ["title", "text"] and sum(r.n_tokens for r in own) == len(encoding.encode_ordinary("T\n\n" + texts[3]))
     assert count_tokens(df.limit(0), path, P.PATTERN, ["text"]).count() == 0
+
+
+def test_characters_long_texts_and_clashing_names(spark):
+    text = "é😀 word\n" * 40_000 + "end"
+    df = spark.createDataFrame([(1, text, "x", "y")], "doc_id long, text string, _id string, _f0 string")
+    rows = sorted(count_tokens(df, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, ["text"]).collect(), key=lambda r: r.section)
+    encoding, _ = _encoding(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert sum(r.n_tokens for r in rows) == len(encoding.encode_ordinary(text)) and len(rows) == 40_001
+    assert all(text[r.start_char : r.end_char] == "é😀 word\n" for r in rows[:-1]) and text[rows[-1].start_char : rows[-1].end_char] == "end"

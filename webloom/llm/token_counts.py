@@ -83,7 +83,9 @@ def _count(path: str, pattern: str, fields: list[str], separator: str, lines: bo
                 tokens = np.asarray(encoding.encode_to_numpy(raw.decode(), disallowed_special=()), np.int64)
                 bounds = np.asarray(bounds)
                 counts, crossing = attribute(np.cumsum(sizes[tokens]), bounds)
-                out.append((np.full(len(names), -1 if doc is None else doc), np.full(len(names), doc is None), np.asarray(names), np.asarray(numbers), bounds[:-1], bounds[1:], counts, crossing))
+                # Characters before each bound: bytes that don't continue one.
+                chars = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))[bounds]
+                out.append((np.full(len(names), -1 if doc is None else doc), np.full(len(names), doc is None), np.asarray(names), np.asarray(numbers), bounds[:-1], bounds[1:], chars[:-1], chars[1:], counts, crossing))
                 n_out += len(names)
                 if n_out > 20_000:
                     yield _rows(out, fields)
@@ -95,11 +97,11 @@ def _count(path: str, pattern: str, fields: list[str], separator: str, lines: bo
 
 
 def _rows(out: list[tuple], fields: list[str]) -> pa.RecordBatch:
-    doc, null, name, number, start, end, count, crossing = (np.concatenate(c) for c in zip(*out, strict=True))
+    doc, null, name, number, start, end, first, last, count, crossing = (np.concatenate(c) for c in zip(*out, strict=True))
     names = pa.array(fields).take(pa.array(name))
     return pa.record_batch(
-        [pa.array(doc, mask=null), names, pa.array(number.astype(np.int32)), pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64)), pa.array(count.astype(np.int64)), pa.array(crossing.astype(np.int64))],
-        ["doc_id", "field", "section", "start_byte", "end_byte", "n_tokens", "n_crossing"],
+        [pa.array(doc, mask=null), names, pa.array(number.astype(np.int32)), pa.array(start.astype(np.int64)), pa.array(end.astype(np.int64)), pa.array(first.astype(np.int64)), pa.array(last.astype(np.int64)), pa.array(count.astype(np.int64)), pa.array(crossing.astype(np.int64))],
+        ["doc_id", "field", "section", "start_byte", "end_byte", "start_char", "end_char", "n_tokens", "n_crossing"],
     )
 
 
@@ -108,13 +110,14 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, fields: list[str], *,
 
     ``path``: a rank file; ``pattern``: how texts are split before merges.  Returns doc_id,
     field, section (line number in the field from 0; 0 alone without ``lines``), start_byte,
-    end_byte (in the joined document), n_tokens, n_crossing (of these, tokens that cross a
-    boundary).  Null fields are empty; a document without any text has no sections and so no
+    end_byte, start_char, end_char (in the joined document), n_tokens, n_crossing (of these,
+    tokens that cross a boundary).  A crossing token goes to the section with most of its bytes,
+    the first of several.  A very long document is encoded whole.  Null fields are empty; a document without any text has no sections and so no
     rows; repeated rows each give their rows; an empty table gives an empty result.
     """
     ship_package(docs.sparkSession)
     frame = docs.select(F.col(id_column).cast("long").alias("_id"), *(F.col(f).cast("string").alias(f"_f{i}") for i, f in enumerate(fields)))
-    return frame.mapInArrow(_count(path, pattern, fields, separator, lines), "doc_id long, field string, section int, start_byte long, end_byte long, n_tokens long, n_crossing long")
+    return frame.mapInArrow(_count(path, pattern, fields, separator, lines), "doc_id long, field string, section int, start_byte long, end_byte long, start_char long, end_char long, n_tokens long, n_crossing long")
 
 
 def op10_token_counts(spark, sf_dir: str) -> DataFrame:
