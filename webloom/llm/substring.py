@@ -106,7 +106,7 @@ def automaton_repeats(bodies: list[bytes], shards: list[int], window: int) -> li
     return found
 
 
-def dedup_words(docs: DataFrame, window: int = 20, gram: int = 8, hot: int = 8192) -> DataFrame:
+def dedup_words(docs: DataFrame, window: int = 20, gram: int = 8, hot: int = 1024) -> DataFrame:
     """Removes every word covered by a ``window``-word sequence that also starts earlier.
 
     ``docs``: doc_id, text; more columns are ignored.  Words lie between ASCII white space.
@@ -115,6 +115,7 @@ def dedup_words(docs: DataFrame, window: int = 20, gram: int = 8, hot: int = 819
     one space).  A very long text is handled whole.  Null text has no words; texts shorter than the window are kept; rows that
     repeat id and text are the same document, none earlier than the other; an empty table
     gives an empty result.
+    ``hot`` bounds the classes, and so the automaton, of one shard; it changes no result.
     """
     if not 1 <= gram <= window:
         raise ValueError("gram must lie between 1 and window")

@@ -64,6 +64,7 @@ def dedup_bytes(docs: DataFrame, window: int = 200, gram: int = 64, hot: int = 8
     A very long text is handled whole.  Null text is empty; texts shorter than the window are kept whole; a null doc_id stays
     null; repeated rows are copies of each other and lose their windows; an empty table gives
     an empty result.
+    ``hot`` bounds the classes that are sorted together; it changes no result.
     """
     if not 1 <= gram <= window:
         raise ValueError("gram must lie between 1 and window")
