@@ -5,6 +5,7 @@ import sqlite3
 import pytest
 
 from webloom import cli, config, ops
+from webloom.operators import scope
 from webloom.extensions import Extensions, decide
 from webloom.operators.records import CrawlIndex, envelope
 from webloom.operators.scope import SITEMAP_FILES, Scope, admit
@@ -41,12 +42,12 @@ def test_robots_and_extensions(spark):
 
 def one_by_one(rows, known, caps, max_depth=3):
     """Decisions taken in order, with counts of what was enqueued."""
-    seen = [u for u, _ in known]
+    seen = {u for u, _ in known}
     counts = {}
 
     def keys(url, seed):
         path = url[len("http://h") :]
-        return {"seed": seed, "place": (seed, path.rsplit("/", 1)[0]), "shape": (seed, "".join("n" if p.isdigit() else p for p in path.split("/")))}
+        return {"seed": seed, "place": (seed, path.rsplit("/", 1)[0]), "shape": (seed, "/".join("\n" if p.isdigit() else p for p in path.split("/")))}
 
     def add(url, seed):
         for k in keys(url, seed).items():
@@ -64,7 +65,7 @@ def one_by_one(rows, known, caps, max_depth=3):
         )
         out[seq] = status
         if status == "enqueued":
-            seen.append(url)
+            seen.add(url)
             add(url, seed)
             files += file
     return out
@@ -86,6 +87,36 @@ def test_admission_one_by_one(spark, seed):
     assert {x.seq: x.status for x in got.collect()} == one_by_one(rows, known, caps)
 
 
+def test_admission_of_chains(spark, monkeypatch):
+    """Each row of a chain waits for the one before it; the number of written tables doesn't grow with its length."""
+    names = []
+    keep = scope.written
+    monkeypatch.setattr(scope, "written", lambda df, name: names.append(name) or keep(df, name))
+    chain = [(i, f"http://h/{i // 2}/n{(i + 1) // 2}", 1, "http://h/", "html-link") for i in range(2000)]
+    r = random.Random(5)
+    mixed = [(5000 + i, f"http://h/{r.randrange(40)}/n{r.randrange(60)}", r.choice([1, 1, 1, 9]), r.choice(["http://h/", "http://h/s", "http://h/t"]), r.choice(["html-link", "html-link", "sitemap-index"])) for i in range(1500)]
+    schema = "seq long, url string, depth int, seed_url string, source string"
+    known = [("http://h/3/n9", "http://h/"), ("http://h/1999/n1999", "http://h/t"), ("http://h/5/n5", "http://h/s")]
+    frame, old = spark.createDataFrame(chain + mixed, schema), spark.createDataFrame(known, "url string, seed_url string")
+    for caps in ({"place": 1, "shape": 1, "seed": 10**6, "files": 10**6, "run": 10**6, "queue": 10**6}, {"place": 2, "shape": 3, "seed": 700, "files": 40, "run": 1900, "queue": 1100}):
+        names.clear()
+        limits = {"seed_cap": caps["seed"], "sitemap_cap": caps["files"], "run_cap": caps["run"], "queue_cap": caps["queue"]}
+        got = admit(frame, Scope(max_per_directory=caps["place"], max_per_pattern=caps["shape"]), known=old, max_depth=3, **limits)
+        assert {x.seq: x.status for x in got.collect()} == one_by_one(chain + mixed, known, caps)
+        assert len(names) <= 10 and "admission-settled" in names
+
+
+def test_admission_without_room(spark):
+    rows = spark.createDataFrame([(0, "http://h/a", 1, "http://h/", "sitemap-index"), (1, "http://h/b", 1, "http://h/", "x")], "seq long, url string, depth int, seed_url string, source string")
+    status = lambda scope=Scope(), **caps: [x.status for x in admit(rows, scope, **caps).orderBy("seq").collect()]  # noqa: B008, E731
+    assert status(run_cap=0) == ["queue_limit"] * 2
+    assert status(queue_cap=0) == ["queue_limit"] * 2
+    assert status(seed_cap=0) == ["queue_limit"] * 2
+    assert status(sitemap_cap=0) == ["trap_guard", "enqueued"]
+    assert status(Scope(max_per_directory=0)) == ["trap_guard"] * 2
+    assert admit(rows.limit(0), Scope()).count() == 0
+
+
 def records(spark):
     rows = spark.createDataFrame([(1, "http://a/", 200, "html"), (2, "http://b/", 404, "feed")], "id long, url string, status int, resource_type string")
     return envelope(rows, "resource", F.col("id"), url=F.col("url"), status_code=F.col("status"), created_at=F.timestamp_seconds("id"))

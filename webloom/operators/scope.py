@@ -136,20 +136,101 @@ SITEMAP_FILES = ("robots-sitemap", "sitemap-index")
 _OPEN = (1 << 63) - 1
 
 
-def _last_place(members: DataFrame, key: str | None, cap: int) -> DataFrame | int:
-    """The ``seq`` of the cap-th member (of each key, or of all): later rows find the cap reached.
+def _ranked_until(members: DataFrame, keys: list[str], cap: int) -> DataFrame:
+    """``end``: the ``seq`` of the cap-th member of each key; later rows find the cap reached.
 
     Ranking stops at the cap in every task before the shuffle, so one key with very many rows
     sends ``cap`` of them at most; keys below their cap have no row.
     """
-    if key is None:
-        if cap <= 0:
-            return -1
-        if members.limit(cap).count() < cap:
-            return _OPEN
-        return members.select("seq").orderBy("seq").limit(cap).agg(F.max("seq")).first()[0]
-    nth = F.row_number().over(Window.partitionBy(key).orderBy("seq"))
-    return members.select(key, "seq").withColumn("_n", nth).where(F.col("_n") <= max(cap, 1)).where(F.col("_n") == max(cap, 1)).select(key, (F.col("seq") if cap > 0 else F.lit(-1)).alias(f"_{key}"))
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("seq"))
+    top = max(cap, 1)
+    return members.withColumn("_n", nth).where(F.col("_n") <= top).where(F.col("_n") == top).select(*keys, (F.col("seq") if cap > 0 else F.lit(-1)).alias("end"))
+
+
+def _ends(members: DataFrame, keys: list[str], caps: dict[str, int]) -> DataFrame:
+    """``_ranked_until`` of every kind of key by its own cap; ``members``: kind, key, seq."""
+    out = None
+    for kind, cap in caps.items():
+        part = _ranked_until(members.where(F.col("kind") == kind), keys, cap)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _cut(members: DataFrame, cap: int) -> int:
+    """The ``seq`` of the cap-th member of all, or beyond every one where they are fewer."""
+    if cap <= 0:
+        return -1
+    found = members.select("seq").orderBy("seq").limit(cap).agg(F.count("*"), F.max("seq")).first()
+    return found[1] if found[0] == cap else _OPEN
+
+
+def _settled(events: DataFrame, caps: dict[str, int]) -> DataFrame:
+    """seq of the rows that are enqueued when each is decided in order of seq.
+
+    ``events``: part, seq, sure, keys (array of kind and key; no key occurs in two parts).  Rows
+    stream through the task of their part, which holds one counter a key and no rows; a sure row
+    is counted without being asked.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: dict[tuple[str, str], int] = {}
+        for frame in frames:
+            taken = []
+            for seq, sure, keys in frame.itertuples(index=False, name=None):
+                mine = [(k["kind"], k["key"]) for k in keys]
+                if sure or all(counts.get(k, 0) < caps[k[0]] for k in mine):
+                    for k in mine:
+                        counts[k] = counts.get(k, 0) + 1
+                    if not sure:
+                        taken.append(seq)
+            yield pd.DataFrame({"seq": taken}, dtype="int64")
+
+    return events.repartition("part").sortWithinPartitions("seq", "sure").select("seq", "sure", "keys").mapInPandas(run, "seq long")
+
+
+def _members(firsts: DataFrame, known: DataFrame | None, caps: dict[str, int], room: int) -> tuple[DataFrame, list[DataFrame]]:
+    """The rows of ``firsts`` that are enqueued if the run has no cap, as far as ``room`` of them, and the tables they read.
+
+    ``firsts``: seq, seed_url, keys (array of kind and key); ``known``: key arrays of what was
+    enqueued before.  Three steps: rows whose keys all stay within their caps need no decision.
+    Of the others, those are sure that find room even if every earlier row is enqueued, and
+    those are out that find a cap reached by sure rows alone.  What is left waits for other rows
+    and is decided in order, a part at a time (see ``_settled``).
+    """
+    flat = firsts.select("seq", "seed_url", F.inline("keys"))
+    if known is not None:
+        flat = flat.unionByName(known.select(F.lit(-1).cast("long").alias("seq"), F.lit(None).cast("string").alias("seed_url"), F.inline("keys")))
+    cap = F.create_map(*(F.lit(x) for kv in caps.items() for x in kv))[F.col("kind")]
+    tight = flat.groupBy("kind", "key").agg(F.count("*").alias("n")).where(F.col("n") > cap).select("kind", "key")
+    bound = written(flat.join(tight, ["kind", "key"], "left_semi"), "admission-bound")
+    if bound.isEmpty():
+        discard(bound)
+        return firsts.select("seq"), []
+    key = ["kind", "key"]
+    late = lambda ends: bound.where("seq >= 0").join(ends, key).where("seq > end").select("seq").distinct()
+    unsure = written(late(_ends(bound, key, caps)), "admission-unsure")
+    sure = bound.join(unsure, "seq", "left_anti")
+    out = late(_ends(sure, key, caps))
+    stop = _cut(firsts.join(unsure, "seq", "left_anti"), room)
+    open_ = written(unsure.where(F.col("seq") <= stop).join(out, "seq", "left_anti"), "admission-open")
+    within = firsts.where(F.col("seq") <= stop)
+    if open_.isEmpty():
+        discard(open_)
+        return within.join(unsure, "seq", "left_anti").select("seq"), [bound, unsure]
+    waiting = bound.join(open_, "seq", "left_semi")
+    live = waiting.select("kind", "key").distinct()
+    rows = waiting.select("*", F.lit(False).alias("sure")).unionByName(sure.where(F.col("seq") <= stop).join(live, key, "left_semi").withColumn("sure", F.lit(True)))
+    # Keys belong to one seed but for URLs and the sitemap files: seeds that share such a key make one part.
+    shared = waiting.groupBy(*key).agg(F.min("seed_url").alias("a"), F.max("seed_url").alias("b")).where("a <> b").select(*key)
+    joined = waiting.join(shared, key, "left_semi").select(F.col("seed_url").alias("seed")).distinct()
+    keyed = rows.join(waiting.select(*key, "seed_url").groupBy(*key).agg(F.min("seed_url").alias("seed")), key).join(joined.withColumn("shared", F.lit(True)), "seed", "left")
+    part = F.when(F.coalesce("shared", F.lit(False)), F.lit("*")).otherwise(F.concat(F.lit("-"), "seed"))
+    # Rows that were enqueued before have no number of their own: each is counted once a key.
+    old = keyed.where("seq < 0").select(part.alias("part"), "seq", "sure", F.array(F.struct(*key)).alias("keys"))
+    events = keyed.where("seq >= 0").groupBy("seq", "sure").agg(F.min(part).alias("part"), F.collect_list(F.struct(*key)).alias("keys")).select("part", "seq", "sure", "keys").unionByName(old)
+    taken = written(_settled(events, caps), "admission-settled")
+    rejected = unsure.join(taken, "seq", "left_anti")
+    return within.join(rejected, "seq", "left_anti").select("seq"), [bound, unsure, open_, taken]
 
 
 def admit(
@@ -164,55 +245,53 @@ def admit(
     (max_depth), queue size (queue_limit), else enqueued.  Every cap counts enqueued rows only,
     ``known`` (url, seed_url) among them.  ``seq`` is unique and not negative.
 
-    Whether a row is enqueued depends on earlier rows through these counts.  Counting all open
-    rows gives a set that is too large or too small; counting that set's members again gives the
-    opposite, and the rows settle in order of seq, so this is repeated until nothing changes
-    (two or three times, unless caps of several kinds interlock).
+    Whether a row is enqueued depends on earlier rows through these counts, but only where caps
+    bind: of the sightings of a URL by a seed only the first can be enqueued, keys with no more
+    rows than their cap bind nobody, and nearly all other rows are settled by two bounds on the
+    counts.  The number of tables written is fixed, however long the chains are in which rows
+    wait for each other (deciding such a chain in parallel is not possible in general; it
+    streams through one task a seed with a counter a key).
     """
     url, seed = F.col("url"), F.col("seed_url")
     place = F.concat_ws("\x00", "seed_url", U.origin(url), U.directory(url))
     shape = F.concat_ws("\x00", "seed_url", U.origin(url), U.path_pattern(url), U.query_pattern(url))
     reason = F.coalesce(scope_reason(url, F.col("depth"), seed, scope), F.when(F.col("depth") > seed_max_depth, "seed-depth") if seed_max_depth is not None else F.lit(None))
-    sitemap = F.col("source").isin(*SITEMAP_FILES) if sitemap_cap is not None else F.lit(False)
-    rows = candidates.select("*", reason.alias("_reason"), place.alias("place"), shape.alias("shape"), sitemap.alias("_sitemap"))
-    rows = written(rows, "admission-rows")
-    before = None
-    if known is not None:
-        before = known.select(F.lit(-1).cast("long").alias("seq"), "url", "seed_url", place.alias("place"), shape.alias("shape"), F.lit(False).alias("_sitemap"))
+    sitemap = F.coalesce(F.col("source").isin(*SITEMAP_FILES), F.lit(False)) if sitemap_cap is not None else F.lit(False)
+    rows = written(candidates.select("*", reason.alias("_reason"), place.alias("place"), shape.alias("shape"), sitemap.alias("_sitemap")), "admission-rows")
 
-    caps = {"url": 1, "seed_url": seed_cap, "place": scope.max_per_directory, "shape": scope.max_per_pattern}
+    caps = {"url": 1, "seed_url": seed_cap, "place": scope.max_per_directory, "shape": scope.max_per_pattern, "file": sitemap_cap}
     caps = {k: c for k, c in caps.items() if c is not None}
-    slim = ["seq", "url", "seed_url", "place", "shape", "_sitemap"]
-    able = rows.where(seed.isNotNull() & url.isNotNull() & F.col("_reason").isNull() & (F.col("depth") <= max_depth)).select(*slim)
-    able = written(able.where("_sitemap = false") if sitemap_cap is not None and sitemap_cap <= 0 else able, "admission-able")
-    members = able
-    while True:
-        counted = members if before is None else members.unionByName(before)
-        ends = [_last_place(counted, k, c) for k, c in caps.items()]
-        run = _last_place(counted, None, run_cap)
-        whole = run if queue_cap is None else min(run, _last_place(counted, None, queue_cap))
-        files = _last_place(counted.where("_sitemap"), None, sitemap_cap) if sitemap_cap is not None else _OPEN
-        now = able
-        for (k, _), end in zip(caps.items(), ends, strict=True):
-            now = now.join(end, k, "left").where(F.col("seq") <= F.coalesce(F.col(f"_{k}"), F.lit(_OPEN))).drop(f"_{k}")
-        now = now.where((F.col("seq") <= whole) & (~F.col("_sitemap") | (F.col("seq") <= files)))
-        now = written(now.select(*slim), "admission-members")
-        same = now.count() == members.count() and now.join(members.select("seq"), "seq", "left_anti").limit(1).count() == 0
-        if same:  # ``ends`` read the members of the last round, which are these
-            discard(now)
-            break
-        if members is not able:
-            discard(members)
-        members = now
-
+    kinds = [k for k in caps if k != "file"]
+    pairs = [F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in kinds]
+    keys = F.array(*pairs)
+    if "file" in caps:
+        keys = F.when(F.col("_sitemap"), F.array(*pairs, F.struct(F.lit("file").alias("kind"), F.lit("file").alias("key")))).otherwise(keys)
+    able = rows.where(seed.isNotNull() & url.isNotNull() & F.col("_reason").isNull() & (F.col("depth") <= max_depth))
+    firsts = able.groupBy("url", "seed_url", "place", "shape", "_sitemap").agg(F.min("seq").alias("seq"))
+    firsts = written(firsts.select("seq", *kinds, *(() if "seed_url" in kinds else ("seed_url",)), "_sitemap", keys.alias("keys")), "admission-firsts")
+    before, n_before = None, 0
+    if known is not None:
+        before = written(known.select("url", "seed_url", place.alias("place"), shape.alias("shape"), F.lit(False).alias("_sitemap")), "admission-known")
+        n_before = before.count()
+    whole = run_cap if queue_cap is None else min(run_cap, queue_cap)
+    member_seqs, tables = _members(firsts, None if before is None else before.select(keys.alias("keys")), caps, whole - n_before)
+    end = _cut(member_seqs, whole - n_before)
+    members = written(firsts.join(member_seqs, "seq", "left_semi").where(F.col("seq") <= end).select("seq", *kinds, "_sitemap"), "admission-members")
+    discard(firsts, *tables)
+    run = end if run_cap == whole else _OPEN
+    files = _cut(members.where("_sitemap"), sitemap_cap) if sitemap_cap is not None else _OPEN
+
+    counted = members.select("seq", *kinds)
+    if before is not None:
+        counted = counted.unionByName(before.select(F.lit(-1).cast("long").alias("seq"), *kinds))
     status = F.when(seed.isNull(), "rejected_scope").when(url.isNull(), "invalid_url")
-    for k, end in zip(caps, ends, strict=True):
-        rows = rows.join(end, k, "left")
-    over = lambda k: F.col("seq") > F.coalesce(F.col(f"_{k}"), F.lit(_OPEN))
+    for k in kinds:
+        rows = rows.join(_ranked_until(counted.select(k, "seq"), [k], caps[k]).withColumnRenamed("end", f"_{k}"), k, "left")
+    over = lambda k: F.col("seq") > (F.coalesce(F.col(f"_{k}"), F.lit(_OPEN)) if caps[k] > 0 else -1)
     status = status.when(over("url"), "already_seen").when(F.col("_sitemap") & (F.col("seq") > files), "trap_guard").when(F.col("seq") > run, "queue_limit").when(F.col("_reason").isNotNull(), "rejected_scope")
     if seed_cap is not None:
         status = status.when(over("seed_url"), "queue_limit")
     status = status.when(over("place") | over("shape"), "trap_guard").when(F.col("depth") > max_depth, "max_depth")
     if queue_cap is not None:
-        status = status.when(F.col("seq") > whole, "queue_limit")
+        status = status.when(F.col("seq") > end, "queue_limit")
     return rows.withColumn("status", status.otherwise("enqueued")).select(*candidates.columns, "status")
