@@ -15,7 +15,7 @@ from webloom.functions.url_kernel import UrlError, parse
 from webloom.operators import classify as C
 from webloom.operators.links import decision
 from webloom.operators.scope import Scope, admit, scope_reason
-from webloom.shared import ship_package, written
+from webloom.shared import ship_package
 
 XML = ["xml", "sitemap", "sitemap-index", "feed"]
 
@@ -142,11 +142,12 @@ def decide_links(edges: DataFrame, requests: DataFrame, scope: Scope, *, known:
     """
     rows = edges.where("to_url is not null").join(requests.select("page_id", "depth", "seed_url"), "page_id", "left")
     from webloom.operators.links import capped
+    from webloom.operators.resource_graph import numbered
 
-    rows = capped(rows, limit).withColumn("depth", F.coalesce("depth", F.lit(0)) + 1).withColumn("seq", F.col("page_id") * 1_000_000 + F.col("position"))
+    rows = capped(rows, limit).withColumn("depth", F.coalesce("depth", F.lit(0)) + 1)
     inside = scope_reason(F.col("to_url"), F.col("depth"), F.col("seed_url"), scope).isNull() & F.col("seed_url").isNotNull()
     what = decision(F.col("to_url"), F.col("kind"), F.col("in_scope"), scripts, styles)
-    rows = written(rows.withColumn("in_scope", F.coalesce(inside, F.lit(False))).withColumn("_what", what), "links-decided")
+    rows = numbered(rows.withColumn("in_scope", F.coalesce(inside, F.lit(False))).withColumn("_what", what), ["page_id", "position"], "links-decided")
     asked = rows.where(~F.col("_what").isin("asset_skipped", "rejected_scope")).select("seq", F.col("to_url").alias("url"), "depth", "seed_url", F.col("_what").alias("source"))
     admitted = admit(asked, scope, known=known, **caps).select("seq", "status", F.col("source").alias("enqueue_source"))
     return rows.join(admitted, "seq", "left").withColumn("status", F.coalesce("status", "_what")).drop("_what")

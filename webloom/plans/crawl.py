@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from webloom.functions import urls as U
 from webloom.operators.links import capped, extract_pages, link_edges
 from webloom.extensions import Extensions
+from webloom.operators.resource_graph import numbered
 from webloom.operators.scope import Scope, admit, resolve_seeds, robots_decisions
 from webloom.shared import written
 
@@ -65,7 +66,8 @@ def crawl(
         if depth == max_depth or left <= 0:
             break
         links = capped(found.where("kind = 'navigation'"), links_per_page).where(U.is_navigation(F.col("to_url")))
-        candidates = resolve_seeds(links.select((F.col("page_id") * 100_000 + F.col("position")).alias("seq"), F.col("to_url").alias("url"), F.lit(depth + 1).alias("depth")), seeds)
+        links = numbered(links.select("page_id", "position", "to_url"), ["page_id", "position"], "crawl-links")
+        candidates = resolve_seeds(links.select("seq", F.col("to_url").alias("url"), F.lit(depth + 1).alias("depth")), seeds)
         decided = written(admit(candidates, scope, known=known, max_depth=max_depth, run_cap=run_cap), "crawl-round")
         decisions = decided if decisions is None else decisions.unionByName(decided)
         new = decided.where("status = 'enqueued'").select("url", "depth", "seed_url")
