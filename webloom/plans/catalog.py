@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from webloom.plans import crawl_queries, graph_queries, page_queries, record_queries, run_queries  # noqa: F401  they register themselves
+from webloom.plans import crawl_queries, evidence_queries, graph_queries, page_queries, record_queries, run_queries  # noqa: F401  they register themselves
 from webloom.plans.registry import ORACLES, QUERIES
 
 FLAGSHIP = "link_edges"

@@ -1,15 +1,15 @@
-"""Run folders: typed Parquet tables per record kind, NDJSON in and out, SQLite import."""
+"""Run folders: typed Parquet tables per record kind, NDJSON in and out, SQLite read by ranges."""
 
 from __future__ import annotations
 
 import json
-import sqlite3
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.operators.records import KINDS
+from webloom.sources.run_source import read_sqlite
 
 # File names of record kinds in NDJSON run folders.
 FILES = {"request": "requests", "request-state": "request-states", "discovery": "discoveries", "resource": "resources", "html-page": "pages", "xml-resource": "xml", "link": "links", "skipped": "skipped", "error": "errors", "robots": "robots", "sitemap-entry": "sitemaps", "feed-entry": "feeds"}
@@ -47,17 +47,9 @@ def read_ndjson(spark: SparkSession, folder: str, kind: str, schema: str | None
     return spark.read.schema(fields).option("columnNameOfCorruptRecord", "_malformed").json(path)
 
 
-def import_sqlite(spark: SparkSession, path: str, batch: int = 10_000) -> DataFrame:
-    """Index rows of a run's SQLite file, ordered by time and id.  The file is read once, on the driver, in batches."""
-    frames = []
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
-        cursor = db.execute("SELECT kind, record_id, request_id, url, status_code, from_url, to_url, created_at, json FROM crawl_records ORDER BY created_at, record_id")
-        while rows := cursor.fetchmany(batch):
-            frames.append(spark.createDataFrame(rows, INDEX.replace("created_at timestamp", "created_at string")))
-    out = spark.createDataFrame([], INDEX.replace("created_at timestamp", "created_at string"))
-    for f in frames:
-        out = out.unionByName(f)
-    return out.withColumn("created_at", F.to_timestamp("created_at"))
+def import_sqlite(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:
+    """Index rows of a run's SQLite file, read on the executors in ranges of row numbers (see ``run_source``)."""
+    return read_sqlite(spark, path, kind)
 
 
 def open_run(spark: SparkSession, folder: str, kind: str) -> DataFrame:
@@ -65,7 +57,7 @@ def open_run(spark: SparkSession, folder: str, kind: str) -> DataFrame:
     if (Path(folder) / "records").exists():
         return read_records(spark, folder, kind)
     if (Path(folder) / "crawl.sqlite").exists():
-        return import_sqlite(spark, f"{folder}/crawl.sqlite").where(F.col("kind") == kind)
+        return import_sqlite(spark, str(Path(folder, "crawl.sqlite").resolve()), kind)
     return read_ndjson(spark, folder, kind)
 
 
