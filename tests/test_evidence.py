@@ -9,6 +9,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from webloom import contracts
 from webloom.operators.canonical import canonical_hash, canonical_json
 from webloom.operators.replay import project, replay_run, replay_summary
 from webloom.sources import run_source as S
@@ -126,3 +127,37 @@ def test_canonical_json(spark):
     assert got[0] == got[1] and got[0][0] == '{"a":[1,2,0,0,100,1.05,{"y":"1.50,\\" 2.0]","z":null}],"b":1.5}'
     assert [g[0] for g in got[2:7]] == ["[]", "1", None, None, None] and got[7][0] == texts[7]
     assert got[4][1] == hashlib.sha256(b"null").hexdigest()
+
+
+def test_contracts_as_columns_and_one_by_one(spark):
+    r = random.Random(6)
+    known = contracts.record_contracts("t")
+    values = ["x", "", 1, 1.5, 10**20, True, False, None, {}, {"a": "b"}, {"a": 1}, {"a": None}, [], ["a"], ["a", 1], [None], [[]]]
+    good = {"string": "s", "number": 1.5, "boolean": True, "object": {"a": []}, "array": [1], "strings": ["a"], "texts": {"a": "b"}}
+    texts = ["x", "[]", "3", "null", '"s"', "{}", '{"schemaId": 1}', '{"schemaId": "none"}', None]
+    want = [["not JSON"], *[["unknown schema"]] * 7, ["not JSON"]]
+    for kind in known:
+        for n in range(30):
+            c = known[kind]
+            value = {"schemaId": f"t.{kind}", "schemaVersion": 1} | {k: good[t.rstrip("?~")] for k, t in c.fields.items() if not t.endswith("~") or r.random() < 0.5}
+            for _ in range(r.randint(0, 3) if n else 0):
+                k = r.choice(list(value))
+                if k == "schemaId":
+                    value["odd é"] = 1
+                elif r.random() < 0.4:
+                    value.pop(k)
+                else:
+                    value[k] = r.choice(values)
+            texts.append(json.dumps(value))
+            want.append(sorted(c.faults(value)))
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, json string")
+    got = {x.i: list(x.faults) for x in contracts.checked(df, "json", known.values()).collect()}
+    assert got == dict(enumerate(want)) and sum(not w for w in want) > 60 and len({str(w) for w in want}) > 100
+
+
+def test_schema_of_every_contract():
+    for kind, c in contracts.record_contracts().items():
+        schema = c.json_schema()
+        assert schema["$id"] == f"webloom.{kind}.v1" and set(schema["required"]) <= set(schema["properties"])
+    assert contracts.record_contracts()["request"].json_schema()["properties"]["sitemapAncestors"] == {"type": "array", "items": {"type": "string"}}
+    assert len(contracts.record_contracts()["request"].fields) == 21

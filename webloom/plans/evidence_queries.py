@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from webloom import contracts as Ct
 from webloom.functions import urls as U
 from webloom.operators import canonical as Ca
 from webloom.operators import replay as Rp
@@ -65,3 +66,39 @@ def replay_run(spark, d):
     saved = stored.select("key", "kind", "url", "digest").join(facts, "key")
     evidence = stored.where("k <> 0").select("digest", F.when(F.col("k") == 1, F.concat("now", F.lit(b"!"))).otherwise(F.col("now")).alias("content"))
     return Rp.replay_run(saved, evidence)
+
+
+_KINDS = ["request", "request-state", "discovery", "resource", "html-page", "xml-resource", "link", "skipped", "error", "robots", "sitemap-entry", "feed-entry", "manifest", "stats", "journal"]
+_VALUES = {"string": '"@"', "number": "@", "integer": "@", "boolean": "true", "object": '{"k":@}', "array": "[@,null]", "strings": '["@"]', "texts": '{"k":"@"}', "any": "[]"}
+
+
+@query(f"""WITH k AS (SELECT o_orderkey, o_orderkey % 15 AS i, o_orderkey // 15 % 8 AS m FROM orders), n AS (SELECT *, list_extract({_KINDS}, (i + 1)::BIGINT) AS kind FROM k)
+SELECT o_orderkey, kind, CASE m WHEN 0 THEN [] WHEN 1 THEN ['missing schemaVersion', 'wrong schema'] WHEN 2 THEN ['unknown more'] WHEN 3 THEN ['wrong schema'] WHEN 4 THEN ['not JSON'] WHEN 5 THEN ['unknown schema']
+ WHEN 6 THEN ['missing ' || CASE kind WHEN 'request' THEN 'id' WHEN 'link' THEN 'id' WHEN 'error' THEN 'code' WHEN 'journal' THEN 'type' ELSE 'runId' END] ELSE ['wrong type of ' || CASE kind WHEN 'request' THEN 'id' WHEN 'link' THEN 'id' WHEN 'error' THEN 'code' WHEN 'journal' THEN 'type' ELSE 'runId' END] END AS faults FROM n""")
+def kind_contracts(spark, d):
+    """Records of every kind, built from the contracts and altered in eight ways, checked as columns."""
+    known = Ct.record_contracts()
+    key = F.col("o_orderkey").cast("string")
+    way = F.floor(F.col("o_orderkey") / 15) % 8
+
+    def record(kind):
+        fields = known[kind].fields
+        first = next(iter(fields))
+
+        def value(name, spec):
+            before, found, after = _VALUES[spec.rstrip("?~")].partition("@")
+            whole = F.concat(F.lit(f',"{name}":{before}'), key if found else F.lit(""), F.lit(after))
+            whole = F.when(F.col("o_orderkey") % 2 == 0, F.lit(f',"{name}":null')).otherwise(whole) if "?" in spec else whole
+            whole = F.when(F.col("o_orderkey") % 3 == 0, F.lit("")).otherwise(whole) if "~" in spec else whole
+            return F.when(way == 6, F.lit("")).when(way == 7, F.lit(f',"{name}":7')).otherwise(whole) if name == first else whole
+
+        version = F.when(way == 1, F.lit("")).when(way == 3, F.lit(',"schemaVersion":2')).otherwise(F.lit(',"schemaVersion":1'))
+        schema = F.when(way == 5, F.lit('{"schemaId":"other"')).otherwise(F.lit(f'{{"schemaId":"webloom.{kind}"'))
+        return F.concat(schema, version, *(value(k, t) for k, t in fields.items()), F.when(way == 2, F.lit(',"more":1')).otherwise(F.lit("")), F.when(way == 4, F.lit("")).otherwise(F.lit("}")))
+
+    i = F.col("o_orderkey") % 15
+    text, kinds = F.lit(None), F.lit(None)
+    for n, kind in enumerate(_KINDS):
+        text, kinds = F.when(i == n, record(kind)).otherwise(text), F.when(i == n, F.lit(kind)).otherwise(kinds)
+    rows = table(spark, d, "orders").select("o_orderkey", kinds.alias("kind"), text.alias("json"))
+    return Ct.checked(rows, "json", known.values()).select("o_orderkey", "kind", "faults")
