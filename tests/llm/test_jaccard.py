@@ -105,3 +105,11 @@ def test_components(spark):
         parent[max(a, b)] = min(a, b)
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: find(i) for i in parent if find(i) != i}
+
+
+def test_words_that_polynomials_confuse(spark):
+    a = "".join("ab"[i.bit_count() % 2] for i in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{a} x y z"), (2, f"{b} x y z"), (3, f"{b.upper()} x y z")]
+    got = sorted(tuple(r) for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), percent=85, shingle=4).select("doc_id", "n_shingles", "component_id").collect())
+    assert got == brute(rows) == [(1, 1, 1), (2, 1, 2), (3, 1, 2)]

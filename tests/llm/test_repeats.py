@@ -148,3 +148,21 @@ def test_very_long_texts(spark):
     assert {x.doc_id: x.n_removed for x in dedup_words(df).collect()} == {1: 0, 2: 400}
     got = {x.doc_id: x for x in dedup_bytes(df).collect()}
     assert got[1].n_removed == len(passage) and len(passage) <= got[2].n_removed <= len(passage) + 2 and len(got[2].spans) == 1
+
+
+def thue_morse(n):
+    """A word of letters and its complement, which every polynomial hash modulo 2^64 takes for one from 1,024 letters on."""
+    word = "".join("ab"[i.bit_count() % 2] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_polynomials_confuse(spark, n):
+    a, b = thue_morse(n)
+    rest = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{b} {rest} end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in dedup_words(df).collect()} == {1: 0, 2: 0, 3: 20}
+    rows = [(1, a), (2, b)]
+    got = sorted(((r.doc_id, r.n, r.n_removed, len(r.spans), bytes(r.kept)) for r in dedup_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    assert got == sorted(brute_bytes(rows, 200), key=str)

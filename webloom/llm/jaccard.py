@@ -49,7 +49,7 @@ def _sets(data: np.ndarray, at: np.ndarray, shingle: int) -> tuple[np.ndarray, n
     """Distinct shingle hashes of each row in ascending order, and row offsets in them."""
     data = K.fold_ascii(data)
     starts, ends, rows_at = K.words(data, at, K.SPACED)
-    prefix = K.Prefix(K.Prefix(K.byte_symbols(data)).spans(starts, ends))
+    prefix = K.Prefix(K.word_symbols(data, starts, ends))
     lengths = np.diff(rows_at)
     count = np.where(lengths >= shingle, lengths - shingle + 1, np.minimum(lengths, 1))
     rows = np.repeat(np.arange(len(count)), count)

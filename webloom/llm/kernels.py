@@ -8,6 +8,7 @@ memory follows the longest document and never the batch.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,6 +85,18 @@ def byte_symbols(data: np.ndarray) -> np.ndarray:
     return _BYTE_CODES[data]
 
 
+#: Words this long are named by a cryptographic hash: from 1,024 letters on, pairs exist that any polynomial modulo 2^64 takes for one.
+LONG_WORD = 256
+
+
+def word_symbols(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit symbol for each word."""
+    out = Prefix(byte_symbols(data)).spans(starts, ends)
+    for i in np.flatnonzero(ends - starts >= LONG_WORD):
+        out[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string or binary column and the offsets of its rows; null is empty."""
     if column.null_count:

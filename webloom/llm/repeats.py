@@ -55,7 +55,7 @@ class Unit:
         if self.kind == "bytes":
             return K.byte_symbols(data), at, None, None
         starts, ends, rows = K.words(data, at, K.SPACED)
-        return K.Prefix(K.byte_symbols(data)).spans(starts, ends), rows, starts, ends
+        return K.word_symbols(data, starts, ends), rows, starts, ends
 
 
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
