@@ -88,10 +88,13 @@ def adjacent(edges: DataFrame, url: str, side: str = "from_url", limit: int = 10
     return edges.where(F.col(side) == url).limit(max(1, min(10_000, limit)))
 
 
-def two_hops(edges: DataFrame) -> DataFrame:
-    """Pairs of pages joined through a middle page: distinct sources and targets."""
-    first = edges.select("from_url", F.col("to_url").alias("via"))
-    second = edges.select(F.col("from_url").alias("via"), "to_url")
+def two_hops(edges: DataFrame, then: DataFrame | None = None) -> DataFrame:
+    """Pairs of pages joined through a middle page: distinct sources and targets.
+
+    ``then`` holds the second edges where they aren't the same.  Repeated edges meet once.
+    """
+    first = edges.select("from_url", F.col("to_url").alias("via")).distinct()
+    second = (edges if then is None else then).select(F.col("from_url").alias("via"), "to_url").distinct()
     return first.join(second, "via").select("from_url", "to_url").distinct()
 
 

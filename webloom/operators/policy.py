@@ -109,7 +109,7 @@ def follow_redirects(starts: DataFrame, responses: DataFrame, *, max_hops: int =
         error = F.when(F.col("_loop"), "REDIRECT_LOOP").when(~F.col("_allowed"), "REDIRECT_TARGET_REJECTED")
         ends.append(moved.where(error.isNotNull()).select("request_id", F.col("location").alias("final_url"), "status", (F.col("hop_index") + 1).alias("hops"), error.alias("error")))
         now = moved.where(error.isNull()).select("request_id", F.col("location").alias("url"), F.concat("visited", F.array("location")).alias("visited"), (F.col("hop_index") + 1).alias("hop_index"))
-        if not now.limit(1).count():
+        if now.isEmpty():
             break
     union = lambda frames: reduce(DataFrame.unionByName, frames)
     return union(hops) if hops else starts.sparkSession.createDataFrame([], "request_id long, hop_index int, from_url string, to_url string, status int, valid_target boolean, allowed boolean"), union(ends)

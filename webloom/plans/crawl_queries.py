@@ -11,11 +11,12 @@ from webloom.plans.page_queries import PATHQ, A, P
 from webloom.plans.registry import query
 from webloom.sources.tables import journal, outcomes, root_relative_links, table
 
-SEEDS = f"""{A}, o AS (SELECT regexp_extract(u, '^(https?://[^/?#]+)', 1) AS origin, min(page_id) AS ordinal, min_by(u, page_id) AS seed_url FROM p WHERE page_id < 20 GROUP BY 1)"""
+SEEDS = f"""{A}, o AS (SELECT regexp_extract(u, '^(https?://[^/?#]+)', 1) AS origin, min(page_id) AS ordinal, min_by(u, page_id) AS seed_url FROM p WHERE u LIKE 'https:%' GROUP BY 1)"""
 
 
 def _seeds(pages):
-    p = pages.where("page_id < 20").select("page_id", U.without_fragment(F.col("url")).alias("u"))
+    """The first page of every origin that is reached by https; other origins have no seed."""
+    p = pages.where("url LIKE 'https:%'").select("page_id", U.without_fragment(F.col("url")).alias("u"))
     return p.groupBy(U.origin(F.col("u")).alias("origin")).agg(F.min("page_id").alias("ordinal"), F.min_by("u", "page_id").alias("seed_url"))
 
 

@@ -72,15 +72,15 @@ def link_two_hops(spark, d):
     """Hosts joined through an equal last path part (in and out edges composed)."""
     links = root_relative_links(table(spark, d, "pages")).select(U.host(F.col("from_url")).alias("h"), F.regexp_extract("to_url", "[^/]*$", 0).alias("w")).distinct()
     out, back = links.select(F.col("h").alias("from_url"), F.col("w").alias("to_url")), links.select(F.col("w").alias("from_url"), F.col("h").alias("to_url"))
-    first = out.select("from_url", F.col("to_url").alias("via"))
-    return first.join(back.select(F.col("from_url").alias("via"), "to_url"), "via").select("from_url", "to_url").distinct()
+    return L.two_hops(out, back)
 
 
-@query(f"WITH {A} SELECT page_id, position, to_url FROM e WHERE from_url IN (SELECT u FROM p WHERE page_id < 10) ORDER BY from_url, position LIMIT 100")
+@query(f"WITH {A} SELECT page_id, position, to_url FROM e")
 def link_adjacency(spark, d):
+    """Links of every page that was captured, found by their source."""
     pages = table(spark, d, "pages")
-    first = pages.where("page_id < 10").select(U.without_fragment(F.col("url")).alias("from_url")).distinct()
-    return root_relative_links(pages).join(first, "from_url", "left_semi").orderBy("from_url", "position").limit(100).select("page_id", F.col("position").cast("long").alias("position"), "to_url")
+    captured = pages.select(U.without_fragment(F.col("url")).alias("from_url")).distinct()
+    return root_relative_links(pages).join(captured, "from_url", "left_semi").select("page_id", F.col("position").cast("long").alias("position"), "to_url")
 
 
 @query(f"WITH {A} SELECT page_id, position, to_url FROM e ORDER BY from_url, position, page_id")

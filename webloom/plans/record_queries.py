@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from webloom.functions import urls as U
-from webloom.functions import xml_kernel
 from webloom.operators import classify as C
 from webloom.operators import diff as D
 from webloom.operators import records as R
+from webloom.operators import resources as Re
 from webloom.operators import sitemaps as S
 from webloom.plans.page_queries import A, P
 from webloom.plans.registry import query
@@ -76,18 +76,16 @@ def evidence_totals(spark, d):
     return R.bundle_totals(R.evidence_store(table(spark, d, "documents"), "text"))
 
 
-@query("SELECT doc_id AS request_id, sha256(text) AS digest, CASE WHEN doc_id % 10 = 3 THEN 'missing' WHEN doc_id % 10 = 4 THEN 'digest' ELSE 'length' END AS fault FROM documents WHERE doc_id % 10 IN (3, 4, 5) AND text IS NOT NULL")
+@query("SELECT doc_id AS request_id, CASE WHEN doc_id % 10 = 6 THEN 'X' ELSE '' END || sha256(text || '@' || doc_id) AS digest, CASE WHEN doc_id % 10 = 3 THEN 'missing' WHEN doc_id % 10 = 4 THEN 'digest' WHEN doc_id % 10 = 6 THEN 'malformed-digest' ELSE 'length' END AS fault FROM documents WHERE doc_id % 10 IN (3, 4, 5, 6) AND text IS NOT NULL")
 def evidence_faults(spark, d):
-    docs = table(spark, d, "documents").where("text is not null").select("doc_id", "text", F.col("doc_id").alias("request_id"))
+    """Associations whose object is gone, altered, of another length or badly named; each has a body of its own."""
+    body = F.concat("text", F.lit("@"), F.col("doc_id").cast("string"))
     k = F.col("doc_id") % 10
-    # Each association has an object of its own here, so that one fault stays with one request.
-    marked = docs.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
-    associations = marked.select("request_id", "digest", (F.octet_length("text") + F.when(k == 5, 1).otherwise(0)).cast("long").alias("byte_length"))
-    objects = marked.where(k != 3).select(F.col("request_id").alias("owner"), "digest", F.when(k == 4, F.concat("text", F.lit("!"))).otherwise(F.col("text")).cast("binary").alias("content"))
-    own = associations.select("request_id", F.concat_ws("@", "digest", "request_id").alias("key"), "digest", "byte_length")
-    stored = objects.select(F.concat_ws("@", "digest", "owner").alias("key"), F.sha2("content", 256).alias("actual"), F.octet_length("content").cast("long").alias("size"))
-    fault = F.when(F.col("actual").isNull(), "missing").when(F.col("actual") != F.col("digest"), "digest").when(F.col("size") != F.col("byte_length"), "length")
-    return own.join(stored, "key", "left").withColumn("fault", fault).where("fault is not null").select("request_id", "digest", "fault")
+    docs = table(spark, d, "documents").where("text is not null").select("doc_id", body.alias("body"))
+    digest = F.sha2(F.col("body").cast("binary"), 256)
+    associations = docs.select(F.col("doc_id").alias("request_id"), F.concat(F.when(k == 6, "X").otherwise(""), digest).alias("digest"), (F.octet_length("body") + F.when(k == 5, 1).otherwise(0)).cast("long").alias("byte_length"))
+    objects = docs.where(k != 3).select(digest.alias("digest"), F.when(k == 4, F.concat("body", F.lit("!"))).otherwise(F.col("body")).cast("binary").alias("content"))
+    return R.evidence_faults(associations, objects)
 
 
 @query("WITH o AS (SELECT DISTINCT sha256(text) AS digest FROM documents WHERE text IS NOT NULL) SELECT 'evidence/sha256/' || substr(digest, 1, 2) || '/' || digest AS path FROM o WHERE substr(digest, 1, 1) = 'a'")
@@ -177,14 +175,14 @@ def changefreq_parse(spark, d):
     return table(spark, d, "orders").select("o_orderkey", S.change_frequency(F.when(k == 0, "daily").when(k == 1, "never").when(k == 2, "Often").otherwise("often")).alias("changefreq"))
 
 
-@query(f"""WITH p AS ({P}) SELECT page_id, u AS url, CASE WHEN page_id % 3 = 0 THEN '2024-01-02' END AS lastmod, CASE WHEN page_id % 5 = 0 THEN 'invalid changefreq' ELSE '' END AS warnings FROM p WHERE page_id % 2 = 0""")
+@query(f"""WITH p AS ({P}) SELECT page_id, u AS url, CASE WHEN page_id % 3 = 0 THEN '2024-01-02' END AS lastmod, CASE WHEN page_id % 5 = 0 THEN 'invalid changefreq' ELSE '' END AS warnings FROM p""")
 def sitemap_entries(spark, d):
     u = U.without_fragment(F.col("url"))
     entry = F.concat(
         F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"><url><loc>'), F.replace(u, F.lit("&"), F.lit("&amp;")), F.lit("</loc>"), F.when(F.col("page_id") % 3 == 0, "<lastmod>2024-01-02</lastmod>").otherwise(""),
         F.when(F.col("page_id") % 5 == 0, "<changefreq>Often</changefreq>").otherwise("<changefreq>daily</changefreq>"), F.lit("</url></urlset>"),
     )
-    docs = table(spark, d, "pages").where("page_id % 2 = 0").select(F.col("page_id").alias("key"), F.concat(U.origin(u), F.lit("/sitemap.xml")).alias("url"), entry.cast("binary").alias("body"))
+    docs = table(spark, d, "pages").select(F.col("page_id").alias("key"), F.concat(U.origin(u), F.lit("/sitemap.xml")).alias("url"), entry.cast("binary").alias("body"))
     rows = S.entries(S.extract(docs), "sitemap")
     return rows.select(F.col("key").alias("page_id"), "url", "lastmod", F.array_join("warnings", ",").alias("warnings"))
 
@@ -203,11 +201,11 @@ def xml_resources(spark, d):
     return out.select(F.col("key").alias("page_id"), "kind", "status", (F.size("sitemap") + F.size("feed")).cast("long").alias("entries"))
 
 
-@query(f"""WITH p AS ({P}), s AS (SELECT DISTINCT regexp_extract(u, '^(https?://[^/?#]+)', 1) AS o FROM p) SELECT o || '/sitemap.xml' AS url FROM s UNION SELECT o || '/robots-map.xml' FROM s UNION SELECT u FROM p WHERE page_id < 5""")
+@query(f"""WITH p AS ({P}), s AS (SELECT DISTINCT regexp_extract(u, '^(https?://[^/?#]+)', 1) AS o FROM p) SELECT o || '/sitemap.xml' AS url FROM s UNION SELECT o || '/robots-map.xml' FROM s UNION SELECT u FROM p WHERE u LIKE '%?%'""")
 def sitemap_sources(spark, d):
     u = U.without_fragment(F.col("url"))
     pages = table(spark, d, "pages").select("page_id", u.alias("u"), U.origin(u).alias("o"))
-    return S.sources(pages.select(F.concat("o", F.lit("/robots-map.xml")).alias("url")), pages.select("o"), pages.where("page_id < 5").select(F.col("u").alias("url")))
+    return S.sources(pages.select(F.concat("o", F.lit("/robots-map.xml")).alias("url")), pages.select("o"), pages.where("u LIKE '%?%'").select(F.col("u").alias("url")))
 
 
 @query("SELECT doc_id, sha256(text) AS text_hash, CASE WHEN doc_id % 3 = 0 THEN 'bom' WHEN doc_id % 3 = 1 THEN 'http' ELSE 'default' END AS encoding_source, CASE WHEN doc_id % 3 = 1 THEN 'utf-16le' ELSE 'utf-8' END AS encoding FROM documents")
@@ -242,22 +240,29 @@ def network_safety(spark, d):
 
 
 def _gzip_bodies(orders):
-    @F.udf("string")
-    def pack_and_inflate(text):
-        import gzip
+    """Sitemap bodies packed by one stage and inflated by preparation."""
+    import gzip
 
-        return xml_kernel.inflate(gzip.compress(text.encode()), 100).decode()
+    @F.pandas_udf("binary")
+    def packed(text):
+        return text.map(lambda t: gzip.compress(t.encode(), 1, mtime=0))
 
-    return orders.select("o_orderkey", pack_and_inflate(F.when(F.col("o_orderkey") % 2 == 0, "a b").otherwise("é")).alias("text"))
+    text = F.concat(F.lit("<urlset>"), F.when(F.col("o_orderkey") % 2 == 0, "a b").otherwise("é"), F.col("o_orderkey").cast("string"), F.lit("</urlset>"))
+    url = F.lit("http://h/s.xml.gz")
+    rows = orders.select(F.col("o_orderkey").alias("request_id"), url.alias("requested_url"), url.alias("final_url"), F.lit(200).alias("status"), F.lit(None).cast("string").alias("content_type"), packed(text).alias("body"))
+    return Re.prepare(rows, max_bytes=100).select(F.col("request_id").alias("o_orderkey"), "text")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'a b' ELSE 'é' END AS text FROM orders WHERE o_orderkey < 500")
+_INFLATED = "SELECT o_orderkey, '<urlset>' || CASE WHEN o_orderkey % 2 = 0 THEN 'a b' ELSE 'é' END || o_orderkey || '</urlset>' AS text FROM orders"
+
+
+@query(_INFLATED)
 def gzip_bodies(spark, d):
     """Inflation of gzip bodies within a budget."""
-    return _gzip_bodies(table(spark, d, "orders").where("o_orderkey < 500"))
+    return _gzip_bodies(table(spark, d, "orders"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'a b' ELSE 'é' END AS text FROM orders")
+@query(_INFLATED)
 def gzip_bodies_all(spark, d):
-    """Inflation of the gzip bodies of all orders."""
+    """The same under its other name."""
     return _gzip_bodies(table(spark, d, "orders"))
