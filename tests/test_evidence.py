@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from webloom import contracts
 from webloom.operators.canonical import canonical_hash, canonical_json
 from webloom.operators.replay import project, replay_run, replay_summary
+from webloom.sources import compaction
 from webloom.sources import run_source as S
-from webloom.sources.runs import open_run
+from webloom.sources.runs import open_run, read_records
 
 
 def test_sqlite_in_ranges(spark, tmp_path):
@@ -161,3 +162,45 @@ def test_schema_of_every_contract():
         assert schema["$id"] == f"webloom.{kind}.v1" and set(schema["required"]) <= set(schema["properties"])
     assert contracts.record_contracts()["request"].json_schema()["properties"]["sitemapAncestors"] == {"type": "array", "items": {"type": "string"}}
     assert len(contracts.record_contracts()["request"].fields) == 21
+
+
+def test_compaction_of_small_files(spark, tmp_path):
+    folder = str(tmp_path / "run")
+    row = lambda kind, i, pad=0: (kind, f"{kind}{i}", None, f"http://h/{i * 7919 % 5000:05}", i, None, None, None, "x" * pad)
+    noise = random.Random(1)
+    small = [row(k, i) for k in ("link", "resource") for i in range(500)]
+    spark.createDataFrame(small, compaction.INDEX).repartition(250, "record_id").write.partitionBy("kind").parquet(f"{folder}/records")
+    big = [("link", f"big{i}", None, "http://h/b", i, None, None, None, noise.randbytes(40_000).hex()) for i in range(3)]
+    for b in big:
+        spark.createDataFrame([b], compaction.INDEX).coalesce(1).write.mode("append").partitionBy("kind").parquet(f"{folder}/records")
+    spark.createDataFrame([row("robots", 1)], compaction.INDEX).coalesce(1).write.mode("append").partitionBy("kind").parquet(f"{folder}/records")
+    before = {r.path: r.bytes for r in compaction.files(spark, folder).collect()}
+    assert len(before) > 400
+    all_rows = lambda df: sorted(map(str, df.collect()))
+    old = read_records(spark, folder)
+    want = all_rows(old)
+    done = compaction.compact(spark, folder, target_bytes=60_000)
+    after = {r.path: r.bytes for r in compaction.files(spark, folder).collect()}
+    kept = set(before) & set(after)
+    assert {before[p] > 30_000 or "kind=robots" in p for p in kept} == {True} and len(kept) == 4
+    assert done == {"files": len(before) - 4, "bytes": sum(v for p, v in before.items() if p not in kept), "written": len(after) - 4} and len(after) < 40
+    # A reader of the state before still finds all its files, the new one has the same rows, and kinds read their own files.
+    assert all_rows(old) == want == all_rows(read_records(spark, folder))
+    assert read_records(spark, folder, "robots").count() == 1 and all("kind=link" in f for f in read_records(spark, folder, "link").inputFiles())
+    ranges = read_records(spark, folder, "link").where("record_id like 'link%'").groupBy(F.input_file_name()).agg(F.min("url").alias("a"), F.max("url").alias("b")).orderBy("a").collect()
+    assert all(x.b <= y.a for x, y in zip(ranges, ranges[1:]))  # noqa: B905
+    assert compaction.vacuum(spark, folder) == len(before) - 4 and all_rows(read_records(spark, folder)) == want
+    again = compaction.compact(spark, folder, target_bytes=60_000)
+    assert all_rows(read_records(spark, folder)) == want and again["files"] <= done["written"]
+
+
+def test_failed_compaction_changes_nothing(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "run")
+    for i in range(3):
+        spark.createDataFrame([("link", str(i), None, "u", i, None, None, None, "{}")], compaction.INDEX).write.mode("append").partitionBy("kind").parquet(f"{folder}/records")
+    with monkeypatch.context() as m:
+        m.setattr(compaction, "_swap", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            compaction.compact(spark, folder)
+    assert read_records(spark, folder).count() == 3 and compaction.files(spark, folder).count() >= 3
+    assert compaction.compact(spark, folder)["written"] == 1 and read_records(spark, folder).count() == 3

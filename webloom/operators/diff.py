@@ -83,9 +83,24 @@ def report_summary(changes: DataFrame) -> DataFrame:
     return changes.agg(*(F.count_if(kind == v).alias(k) for k, v in names.items()), F.count_if(~kind.isin(*names.values())).alias("modified"))
 
 
+def collated(changes: DataFrame) -> list[Column]:
+    """The order of a report: entity, key and kind as readers sort them, by the root collation of Unicode (case and accents last)."""
+    return [F.collate(F.col(c), "UNICODE") for c in ("entity", "key", "kind")]
+
+
+def first_changes(changes: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` changes of each entity in the report's order: adds place (from 1).
+
+    Ranking is limited in every task before the shuffle, so an entity with very many changes
+    sends few of them.
+    """
+    place = F.row_number().over(Window.partitionBy("entity").orderBy(*collated(changes)[1:], "id"))
+    return changes.withColumn("place", place).where(F.col("place") <= limit)
+
+
 def write_report(changes: DataFrame, folder: str) -> None:
-    """Writes the changes as JSON lines ordered by entity, key and kind, and the summary beside them."""
-    changes.orderBy("entity", "key", "kind").write.mode("overwrite").json(f"{folder}/changes")
+    """Writes the changes as JSON lines in the report's order (a range-partitioned sort), and the summary beside them."""
+    changes.orderBy(*collated(changes)).write.mode("overwrite").json(f"{folder}/changes")
     report_summary(changes).coalesce(1).write.mode("overwrite").json(f"{folder}/summary")
 
 

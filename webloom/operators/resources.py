@@ -189,3 +189,25 @@ def entry_requests(extracted: DataFrame, requests: DataFrame, *, max_index_depth
         F.lit("enqueue" if feed_entries else "unused").alias("status"),
     )
     return sitemaps.unionByName(feeds)
+
+
+def decide_entries(asked: DataFrame, scope: Scope, *, known: DataFrame | None = None, **caps) -> DataFrame:
+    """What becomes of the requests that entries ask for (see ``entry_requests``): status is admission's, or why nothing was asked.
+
+    Entries go through admission in order of their document (``key``) and place.
+    """
+    from webloom.operators.resource_graph import numbered
+
+    rows = numbered(asked.withColumnRenamed("status", "_asked"), ["key", "place", "source", "url"], "entries-asked")
+    admitted = admit(rows.where("_asked = 'enqueue'").select("seq", "url", "depth", "seed_url", "source"), scope, known=known, **caps).select("seq", "status")
+    return rows.join(admitted, "seq", "left").withColumn("status", F.coalesce("status", "_asked")).drop("_asked")
+
+
+def admit_feeds(alternates: DataFrame, requests: DataFrame, scope: Scope, *, known: DataFrame | None = None, **caps) -> DataFrame:
+    """Feeds that pages name (see ``feed_alternates``) through admission, in order of page and URL, a level below their page."""
+    from webloom.operators.resource_graph import numbered
+
+    rows = alternates.join(requests.select("page_id", "depth", "seed_url"), "page_id").withColumn("depth", F.col("depth") + 1)
+    rows = numbered(rows, ["page_id", "to_url"], "feeds-asked")
+    admitted = admit(rows.select("seq", F.col("to_url").alias("url"), "depth", "seed_url", F.lit("feed").alias("source")), scope, known=known, **caps).select("seq", "status")
+    return rows.join(admitted, "seq")

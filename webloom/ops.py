@@ -49,9 +49,9 @@ def abort_requested(folder: str) -> bool:
 
 
 def compact(spark: SparkSession, folder: str, target: str, rows_per_file: int = 1_000_000) -> None:
-    """Rewrites a run's records in few files per kind, first inserted id kept."""
+    """Rewrites a run's records into another folder, in ranges of kind and URL, one row an id (see ``sources.compaction`` for a run's own folder)."""
     rows = read_records(spark, folder).dropDuplicates(["kind", "record_id"])
-    rows.repartition("kind").sortWithinPartitions("kind", "url").write.option("maxRecordsPerFile", rows_per_file).partitionBy("kind").mode("overwrite").parquet(f"{target}/records")
+    rows.orderBy("kind", "url").write.option("maxRecordsPerFile", rows_per_file).partitionBy("kind").mode("overwrite").parquet(f"{target}/records")
 
 
 def audit(folder: str) -> list[dict]:

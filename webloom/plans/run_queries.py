@@ -112,20 +112,39 @@ UNION ALL SELECT key, o || '/c' || key || '.xml', 'sitemap-index', depth + 1, 1
 UNION ALL SELECT key, o || '/a' || key, 'sitemap', 1, 0, 'enqueue', 0 FROM f WHERE k = 1
 UNION ALL SELECT key, o || '/f' || key, 'feed', depth + 1, 0, 'enqueue', 0 FROM f WHERE k = 2""")
 def entry_requests(spark, d):
-    page = F.col("page_id").cast("string")
+    docs, requests = _xml_documents(spark, d, F.col("page_id"))
+    out = Re.entry_requests(docs, requests, max_index_depth=3)
+    return out.select("key", "url", "source", F.col("depth").cast("long").alias("depth"), F.col("index_depth").cast("long").alias("index_depth"), "status", F.size("ancestors").alias("ancestors"))
+
+
+def _xml_documents(spark, d, number):
+    """Of every page a sitemap index, a sitemap or a feed of its origin, extracted, and the request of each."""
+    page, number = F.col("page_id").cast("string"), number.cast("string")
     own = F.concat("o", F.lit("/s"), page, F.lit(".xml"))
-    loc = lambda letter, end="": F.concat(F.lit("<loc>"), F.col("o"), F.lit(f"/{letter}"), page, F.lit(f"{end}</loc>"))
+    loc = lambda letter, end="": F.concat(F.lit("<loc>"), F.col("o"), F.lit(f"/{letter}"), number, F.lit(f"{end}</loc>"))
     space = 'xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"'
     body = (
         F.when(F.col("page_id") % 3 == 0, F.concat(F.lit(f"<sitemapindex {space}><sitemap><loc>"), own, F.lit("</loc></sitemap><sitemap>"), loc("c", ".xml"), F.lit("</sitemap></sitemapindex>")))
         .when(F.col("page_id") % 3 == 1, F.concat(F.lit(f"<urlset {space}><url>"), loc("a"), F.lit("</url></urlset>")))
-        .otherwise(F.concat(F.lit('<rss version="2.0"><channel><item><title>t</title><link>'), F.col("o"), F.lit("/f"), page, F.lit("</link></item></channel></rss>")))
+        .otherwise(F.concat(F.lit('<rss version="2.0"><channel><item><title>t</title><link>'), F.col("o"), F.lit("/f"), number, F.lit("</link></item></channel></rss>")))
     )
     pages = table(spark, d, "pages").withColumn("o", U.origin(F.col("url")))
     docs = S.extract(pages.select(F.col("page_id").alias("key"), own.alias("url"), body.cast("binary").alias("body")))
     requests = pages.select(F.col("page_id").alias("key"), (F.col("page_id") % 4).alias("depth"), F.lit("http://any/").alias("seed_url"), (F.col("page_id") % 4).alias("index_depth"), F.array().cast("array<string>").alias("ancestors"))
-    out = Re.entry_requests(docs, requests, max_index_depth=3)
-    return out.select("key", "url", "source", F.col("depth").cast("long").alias("depth"), F.col("index_depth").cast("long").alias("index_depth"), "status", F.size("ancestors").alias("ancestors"))
+    return docs, requests
+
+
+@query(f"""WITH p AS ({P}), s AS (SELECT page_id, regexp_extract(u, '^(https?://[^/?#]+)', 1) AS o FROM p), f AS (SELECT page_id AS key, o, page_id % 4 AS depth, page_id % 3 AS k FROM s),
+r AS (SELECT key, 0 AS place, o || '/s' || key || '.xml' AS url, 'sitemap-index' AS source, depth + 1 AS depth, 'recursive' AS status FROM f WHERE k = 0
+ UNION ALL SELECT key, 1, o || '/c' || key % 5 || '.xml', 'sitemap-index', depth + 1, CASE WHEN key % 4 >= 3 THEN 'index_depth' ELSE 'enqueue' END FROM f WHERE k = 0
+ UNION ALL SELECT key, 0, o || '/a' || key % 5, 'sitemap', 1, 'enqueue' FROM f WHERE k = 1 UNION ALL SELECT key, 0, o || '/f' || key % 5, 'feed', depth + 1, 'enqueue' FROM f WHERE k = 2),
+g AS (SELECT *, row_number() OVER (PARTITION BY status = 'enqueue', url, depth <= 3 ORDER BY key, place) AS n, min(CASE WHEN status = 'enqueue' AND depth <= 3 THEN key END) OVER (PARTITION BY url) AS first FROM r)
+SELECT key, url, source, CASE WHEN status <> 'enqueue' THEN status WHEN first < key THEN 'already_seen' WHEN depth > 3 THEN 'max_depth' ELSE 'enqueued' END AS status FROM g""")
+def entry_admission(spark, d):
+    """What becomes of the entries of sitemaps, their indexes and feeds: asked for in order of document and place, then admitted."""
+    docs, requests = _xml_documents(spark, d, F.col("page_id") % 5)
+    out = Re.decide_entries(Re.entry_requests(docs, requests, max_index_depth=3), Scope(mode="custom"), max_depth=3, run_cap=1_000_000)
+    return out.select("key", "url", "source", "status")
 
 
 def _own(url, key):
@@ -173,6 +192,19 @@ def diff_report(spark, d):
     return D.report_summary(_whole_runs(spark, d))
 
 
+@query(f"""WITH p AS ({P}), k AS (SELECT page_id, u, CASE page_id % 4 WHEN 0 THEN upper(u) WHEN 1 THEN replace(u, 'e', 'é') WHEN 2 THEN replace(u, '/', '_') ELSE u END || '#' || page_id AS key, CASE WHEN page_id % 3 = 0 THEN 'link' ELSE 'resource' END AS entity FROM p)
+SELECT entity, key, place FROM (SELECT entity, key, CAST(row_number() OVER (PARTITION BY entity ORDER BY key COLLATE en) AS BIGINT) AS place FROM k) WHERE place <= 500""")
+def diff_order(spark, d):
+    """The head of a comparison's report, in the order of Unicode's collation: keys differ in case, accents and signs."""
+    u = U.without_fragment(F.col("url"))
+    k = F.col("page_id") % 4
+    key = F.when(k == 0, F.upper(u)).when(k == 1, F.replace(u, F.lit("e"), F.lit("é"))).when(k == 2, F.replace(u, F.lit("/"), F.lit("_"))).otherwise(u)
+    changes = table(spark, d, "pages").select(
+        F.col("page_id").cast("string").alias("id"), F.when(F.col("page_id") % 3 == 0, "link").otherwise("resource").alias("entity"), F.lit("added").alias("kind"), F.concat(key, F.lit("#"), F.col("page_id").cast("string")).alias("key")
+    )
+    return D.first_changes(changes, 500).select("entity", "key", F.col("place").cast("long").alias("place"))
+
+
 @query("SELECT count(*) FILTER (page_id % 9 > 2) AS matched, count(*) FILTER (page_id % 9 = 2) AS changed, count(*) FILTER (page_id % 9 = 0) AS missing_evidence, count(*) FILTER (page_id % 9 = 1) AS failed FROM pages")
 def replay_xml(spark, d):
     """Sitemaps extracted again from stored bodies: some bodies are gone, broken or altered."""

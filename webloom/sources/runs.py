@@ -9,11 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.operators.records import KINDS
+from webloom.sources import compaction
 from webloom.sources.run_source import read_sqlite
 
 # File names of record kinds in NDJSON run folders.
 FILES = {"request": "requests", "request-state": "request-states", "discovery": "discoveries", "resource": "resources", "html-page": "pages", "xml-resource": "xml", "link": "links", "skipped": "skipped", "error": "errors", "robots": "robots", "sitemap-entry": "sitemaps", "feed-entry": "feeds"}
-INDEX = "kind string, record_id string, request_id string, url string, status_code int, from_url string, to_url string, created_at timestamp, json string"
 
 
 def write_records(records: DataFrame, folder: str) -> None:
@@ -23,8 +23,7 @@ def write_records(records: DataFrame, folder: str) -> None:
 
 def read_records(spark: SparkSession, folder: str, kind: str | None = None) -> DataFrame:
     """Index rows; a kind prunes to its own partition."""
-    rows = spark.read.schema(INDEX).parquet(f"{folder}/records")
-    return rows if kind is None else rows.where(F.col("kind") == kind)
+    return compaction.read(spark, folder, kind)
 
 
 def write_ndjson(records: DataFrame, folder: str, kinds: list[str] | None = None) -> dict[str, int]:
