@@ -139,12 +139,16 @@ _OPEN = (1 << 63) - 1
 def _ranked_until(members: DataFrame, keys: list[str], cap: int) -> DataFrame:
     """``end``: the ``seq`` of the cap-th member of each key; later rows find the cap reached.
 
-    Ranking stops at the cap in every task before the shuffle, so one key with very many rows
-    sends ``cap`` of them at most; keys below their cap have no row.
+    Members are counted first, and only keys that have as many are ranked; ranking stops at the
+    cap in every task before the shuffle, so one key with very many rows sends ``cap`` of them
+    at most.  Keys below their cap have no row.
     """
+    if cap <= 1:  # the first member; without room at all every row comes too late
+        return members.groupBy(*keys).agg((F.min("seq") if cap == 1 else F.min(F.lit(-1))).alias("end"))
+    full = members.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= cap).select(*keys)
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy("seq"))
-    top = max(cap, 1)
-    return members.withColumn("_n", nth).where(F.col("_n") <= top).where(F.col("_n") == top).select(*keys, (F.col("seq") if cap > 0 else F.lit(-1)).alias("end"))
+    ranked = members.join(full, keys, "left_semi").withColumn("_n", nth).where(F.col("_n") <= cap)
+    return ranked.where(F.col("_n") == cap).select(*keys, F.col("seq").alias("end"))
 
 
 def _ends(members: DataFrame, keys: list[str], caps: dict[str, int]) -> DataFrame:
