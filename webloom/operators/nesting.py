@@ -35,24 +35,27 @@ def nested(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", U.without_fragment(F.col("url")).alias("url"), "html").mapInPandas(run, f"page_id long, {_FIELDS}")
 
 
-def enclosed(elements: DataFrame, scope: Column, name: str) -> DataFrame:
+def enclosed(elements: DataFrame, scope: Column, name: str, carry: dict[str, str] | None = None) -> DataFrame:
     """Adds ``name``: the start of the innermost element with ``scope`` true that holds the element, null if none does.
 
-    ``elements``: page_id, start, end; more columns are kept.  One shuffle by page.
+    ``elements``: page_id, start, end; more columns are kept.  ``carry``: columns to add, each
+    with the column of the holding element that it takes.  The elements are read once, and one
+    shuffle by page serves both windows.
     """
-    kept = [c for c in elements.columns]
+    kept, carry = elements.columns, carry or {}
     rows = elements.withColumn("_scope", F.coalesce(scope, F.lit(False)))
-    opened = rows.select(*kept, "_scope", F.col("start").alias("_at"), F.col("_scope").cast("int").alias("_step"))
-    closed = rows.where("_scope").select(*(F.lit(None).cast(rows.schema[c].dataType).alias(c) if c != "page_id" else F.col(c) for c in kept), F.lit(False).alias("_scope"), F.col("end").alias("_at"), F.lit(-1).alias("_step"))
+    event = lambda at, step: F.struct(F.col(at).alias("_at"), F.lit(step).alias("_step"))
+    events = rows.select(*kept, "_scope", F.inline(F.when(F.col("_scope"), F.array(event("start", 1), event("end", -1))).otherwise(F.array(event("start", 0)))))
     # A page's events in order; what closes at a place does so before anything opens there.
     order = Window.partitionBy("page_id").orderBy("_at", "_step")
     depth = F.coalesce(F.sum("_step").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    events = opened.unionByName(closed).withColumn("_depth", depth).where("_step >= 0")
+    opened = events.withColumn("_depth", depth).where("_step >= 0")
     # A scope that opens at depth k - 1 holds elements of depth k.
-    last = F.last(F.when(F.col("_scope") & F.col("_opens"), F.col("start")), ignorenulls=True)
-    both = events.select(*kept, "_scope", "_at", F.explode(F.when(F.col("_scope"), F.array(F.col("_depth"), F.col("_depth") + 1)).otherwise(F.array("_depth"))).alias("_level"), "_depth").withColumn("_opens", F.col("_level") > F.col("_depth"))
+    levels = F.when(F.col("_scope"), F.array(F.col("_depth"), F.col("_depth") + 1)).otherwise(F.array("_depth"))
+    both = opened.select(*kept, "_scope", "_at", "_depth", F.explode(levels).alias("_level")).withColumn("_opens", F.col("_level") > F.col("_depth"))
+    last = F.last(F.when(F.col("_opens"), F.struct(F.col("start").alias(name), *(F.col(c).alias(n) for n, c in carry.items()))), ignorenulls=True)
     inside = last.over(Window.partitionBy("page_id", "_level").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
-    return both.withColumn(name, F.when(F.col("_level") > 0, inside)).where("not _opens").select(*kept, name)
+    return both.withColumn("_in", F.when(F.col("_level") > 0, inside)).where("not _opens").select(*kept, *(F.col("_in")[c].alias(c) for c in (name, *carry)))
 
 
 def microdata(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -64,10 +67,9 @@ def microdata(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
     each name of an element, in order of ``position``.  ``itemref`` isn't followed.
     """
     rows = elements.where(F.col("itemscope") | (F.size("itemprop") > 0))
-    rows = enclosed(rows, F.col("itemscope"), "parent")
+    rows = enclosed(rows, F.col("itemscope"), "parent", {"parent_type": "itemtype"})
     items = rows.where("itemscope").select("page_id", F.col("start").alias("item"), "itemtype", "itemid", "parent")
-    types = items.select("page_id", F.col("item").alias("parent"), F.col("itemtype").alias("parent_type"))
-    named = rows.where(F.size("itemprop") > 0).select("page_id", "parent", "start", "value", "itemscope", F.explode("itemprop").alias("name")).join(types, ["page_id", "parent"], "left")
+    named = rows.select("page_id", "parent", "parent_type", "start", "value", "itemscope", F.explode("itemprop").alias("name"))
     return items, named.select("page_id", F.col("parent").alias("item"), "parent_type", "name", "value", F.when(F.col("itemscope"), F.col("start")).alias("value_item"), F.col("start").alias("position"))
 
 
