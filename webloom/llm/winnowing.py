@@ -2,9 +2,10 @@
 
 Every ``window``-word passage holds ``window - gram + 1`` k-grams; both sides keep the
 minimum k-gram hash of every such group, so a document and a benchmark item that share a
-passage share a kept fingerprint at the same place in it.  Document fingerprints stream past
-the benchmark's, hits are extended to the whole windows around them, and only windows whose
-words are equal count.  A text is worked on in blocks of words, so time and memory are linear in
+passage share a kept fingerprint at the same place in it.  Neighbouring windows with one minimum
+are one fingerprint, which keeps the range of windows it stands for.  Document fingerprints stream
+past the benchmark's, a hit is extended to the windows of its range, and only windows whose words
+are equal count.  A text is worked on in blocks of words, so time and memory are linear in
 its length.  The benchmark's side is broadcast below a checked size in bytes and shuffled beyond
 it, by the same plan.  The texts of documents are read once and never shuffled.
 """
@@ -26,7 +27,8 @@ def word_array(text: Column) -> Column:
 
 
 def _fingerprinted(frame: DataFrame, words: str, gram: int, group: int) -> DataFrame:
-    """Adds ``least``: for each window, the least hash of its ``group`` consecutive k-grams.
+    """Adds ``least``: for each window, the least hash of its ``group`` consecutive k-grams, and
+    ``changes``: the windows (from 1) whose minimum is not that of the window before.
 
     Every step is a column of its own.  Inside a lambda a column is a reference, while a nested
     expression would be evaluated again for each element.
@@ -38,7 +40,8 @@ def _fingerprinted(frame: DataFrame, words: str, gram: int, group: int) -> DataF
     frame = frame.withColumn("_hash", F.transform(words, lambda w: F.xxhash64(w)))
     frame = frame.withColumn("_grams", F.transform(starts("_hash", gram), lambda i: F.xxhash64(*(F.element_at("_hash", i + j) for j in range(gram)))))
     frame = frame.withColumn("least", F.transform(starts("_grams", group), lambda i: F.array_min(F.slice("_grams", i, group))))
-    return frame.drop("_hash", "_grams")
+    changes = F.filter(starts("least", 1), lambda i: (i == 1) | (F.get("least", i - 1) != F.get("least", i - 2)))
+    return frame.withColumn("changes", changes).drop("_hash", "_grams")
 
 
 #: Words of a text that are worked on together; a longer text is several blocks.
@@ -52,14 +55,19 @@ def _blocks(words: str, window: int) -> Column:
 
 
 def _entries(short: bool) -> Column:
-    """(at, print) of each window of a block; with ``short`` also of each word.
+    """(at, upto, print) of each fingerprint of a block, for windows at to upto; with ``short`` also of each word.
 
     Entry 0 of the first block stands for the document, which so stays in the stream without
     hits; its print is as good as random, so that no join gathers these rows in one task.
     """
-    head = F.when(F.col("base") == 0, F.array(F.struct(F.lit(0).alias("at"), F.col("k1").alias("print")))).otherwise(F.array().cast("array<struct<at:int,print:long>>"))
-    runs = F.transform("least", lambda h, i: F.struct((i + 1).alias("at"), h.alias("print")))
-    each = F.transform(F.slice("part", 1, _BLOCK), lambda w, i: F.struct((i + 1).alias("at"), F.xxhash64(F.lit("first"), w).alias("print")))
+    kind = "array<struct<at:int,upto:int,print:long>>"
+
+    def entry(at: Column, upto: Column, mark: Column) -> Column:
+        return F.struct(at.alias("at"), upto.alias("upto"), mark.alias("print"))
+
+    head = F.when(F.col("base") == 0, F.array(entry(F.lit(0), F.lit(0), F.col("k1")))).otherwise(F.array().cast(kind))
+    runs = F.transform("changes", lambda at, i: entry(at, F.coalesce(F.get("changes", i + 1) - 1, F.size("least")), F.get("least", at - 1)))
+    each = F.transform(F.slice("part", 1, _BLOCK), lambda w, i: entry(i + 1, i + 1, F.xxhash64(F.lit("first"), w)))
     return F.concat(head, runs, each) if short else F.concat(head, runs)
 
 
@@ -99,12 +107,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 13, gram:
     key = ["doc_id", "k1", "k2", "n_words"]
     rows = _fingerprinted(base.select(*key, F.inline(_blocks("words", window))), "part", gram, group)
     stream = rows.select(*key, "base", "part", F.inline(_entries(short)))
-    passage = lambda size: F.when(F.col("at") == 0, F.array(F.col("k2").cast("string"))).otherwise(F.slice("part", F.col("at"), size)).alias("passage")
-    if total > broadcast_bytes:  # a shuffled join moves a window's words and not the block's
-        stream = stream.select(*key, "base", "at", "print", passage(window).alias("part"))
-        passage = lambda size: F.when(F.col("at") == 0, F.array(F.col("k2").cast("string"))).otherwise(F.slice("part", 1, size)).alias("passage")
+    skipped = F.col("at") - 1
+    if total > broadcast_bytes:  # a shuffled join moves the words of a range and not the block's
+        stream = stream.withColumn("part", F.slice("part", F.greatest(F.col("at"), F.lit(1)), F.col("upto") - F.col("at") + window))
+        skipped = F.lit(0)
     met = stream.join(fit(prints.distinct()), "print", "left").where("size is not null or at = 0")
-    met = met.select(*key, F.when(F.col("at") > 0, F.col("base") + F.col("at")).otherwise(0).alias("at"), passage(F.coalesce("size", F.lit(1))))
+    # A hit is extended to every window of its range; ``nth`` counts them from 0.
+    met = met.select(*key, "base", "at", "part", "size", skipped.alias("skipped"), F.explode(F.sequence(F.lit(0), F.col("upto") - F.col("at"))).alias("nth"))
+    passage = F.when(F.col("at") == 0, F.array(F.col("k2").cast("string"))).otherwise(F.slice("part", F.col("skipped") + F.col("nth") + 1, F.coalesce("size", F.lit(1))))
+    met = met.select(*key, F.when(F.col("at") > 0, F.col("base") + F.col("at") + F.col("nth")).otherwise(0).alias("at"), passage.alias("passage"))
     hits = met.join(fit(windows), "passage", "left").where("owners is not null or at = 0")
 
     spans = F.array_sort(F.filter(F.collect_set(F.struct("at", F.col("size").alias("len"))), lambda s: s["at"] > 0))
