@@ -14,9 +14,8 @@ import re
 import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import islice, pairwise
+from itertools import pairwise
 
-import numpy as np
 import pyarrow as pa
 import regex
 import tokenizers
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 from webloom.shared import ship_package
 
 # Bounds of what a worker keeps between batches; reaching one only costs time.
-_CACHED_WORDS = 100_000
+_CACHED_WORDS = 100_000  # in each of two generations
 _CACHED_PAIRS = 150_000
 _BATCH_CHARS = 1_000_000
 
@@ -55,6 +54,14 @@ def _settled() -> re.Pattern:
     return re.compile("[" + "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" for a, b in spans) + "]*")
 
 
+def _reach(tokens: set[str]) -> dict[str, int]:
+    """The length of the longest token by its last three characters."""
+    out: dict[str, int] = {}
+    for t in tokens:
+        out[t[-3:]] = max(out.get(t[-3:], 2), len(t))
+    return out
+
+
 class WordBpe:
     """Encoder for word-level BPE files: normalisation, word pattern, merges and word ends as the file states them."""
 
@@ -73,7 +80,9 @@ class WordBpe:
         single = set(alphabet) | {c + self.end for c in alphabet}
         self.inner = {t for t in made if not t.endswith(self.end)} | set(alphabet)
         self.final = {t[: -len(self.end)] for t in made | single if t.endswith(self.end)} if self.end else self.inner
-        self.longest = max(map(len, self.inner | self.final))
+        # The longest token that ends in these three characters.
+        self.inner_reach, self.final_reach = _reach(self.inner), _reach(self.final)
+        self.packed = {t: i.to_bytes(4, "little") for t, i in self.ids.items()}
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pattern = regex.compile(split["pattern"]["Regex"])
         # The library's own normaliser and splitter, for texts that the tables here may read otherwise.
@@ -81,7 +90,8 @@ class WordBpe:
         self.splitter = tokenizers.pre_tokenizers.Split(tokenizers.Regex(split["pattern"]["Regex"]), split["behavior"].lower(), split["invert"])
         self.specials = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)")
         self.apart = lru_cache(maxsize=_CACHED_PAIRS)(self._apart)
-        self.cache: dict[str, tuple[bytes, str]] = {t: (np.array([i], "<u4").tobytes(), t) for t, i in self.special.items()}
+        self.always: dict[str, tuple[bytes, str]] = {t: (i.to_bytes(4, "little"), t) for t, i in self.special.items()}
+        self.cache, self.older = dict(self.always), {}
 
     def merged(self, symbols: list[str]) -> list[str]:
         """Plain BPE: the merge of least rank, leftmost first, until none is left."""
@@ -112,9 +122,9 @@ class WordBpe:
                 common += 1
             del stack[common:]
             for n in range(len(stack) + 1, len(word)):
-                stack.append(self._last(word, n, stack, self.inner, False))
+                stack.append(self._last(word, n, stack, self.inner, self.inner_reach, False))
             before = word[: len(stack)]
-            tail = self._last(word, len(word), stack, self.final, True)
+            tail = self._last(word, len(word), stack, self.final, self.final_reach, True)
             tokens, n = [tail + self.end], len(word) - len(tail)
             while n:
                 tokens.append(stack[n - 1])
@@ -122,8 +132,8 @@ class WordBpe:
             out.append(tokens[::-1])
         return out
 
-    def _last(self, word: str, n: int, stack: list[str], known: set[str], last: bool) -> str:
-        for size in range(min(n, self.longest), 0, -1):
+    def _last(self, word: str, n: int, stack: list[str], known: set[str], reach: dict[str, int], last: bool) -> str:
+        for size in range(min(n, reach.get(word[max(0, n - 3) : n], 2)), 0, -1):
             token = word[n - size : n]
             if token in known and (self.apart(stack[n - size - 1], token, last) if size < n else self.whole(token, last)):
                 return token
@@ -154,20 +164,23 @@ class WordBpe:
     def encode(self, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
         """Token ids (little-endian 32 bits) and decoded text of each text."""
         split = [self.words(t or "") for t in texts]
-        missing = {w for words in split for w in words if w not in self.cache}
-        if len(self.cache) + len(missing) > _CACHED_WORDS:
-            # The older half goes; what the batch needs of it is encoded again.
-            for w in list(islice(self.cache, len(self.cache) // 2)):
-                if w not in self.special:
-                    del self.cache[w]
-            missing = {w for words in split for w in words if w not in self.cache}
-        shown = sorted(("".join([self.alphabet[b] for b in w.encode()]), w) for w in missing)
-        for tokens, (_, word) in zip(self.encode_words([s for s, _ in shown]), shown, strict=True):
-            self.cache[word] = (np.array([self.ids[t] for t in tokens], "<u4").tobytes(), " ".join(tokens))
+        missing = set().union(*split) - self.cache.keys()
+        for w in missing & self.older.keys():
+            self.cache[w] = self.older[w]
+        shown = {self._shown(w): w for w in missing - self.older.keys()}
+        order = sorted(shown)
+        for s, tokens in zip(order, self.encode_words(order), strict=True):
+            self.cache[shown[s]] = (b"".join(map(self.packed.__getitem__, tokens)), " ".join(tokens))
         cache = self.cache
+        if len(cache) > _CACHED_WORDS:  # what two generations of words don't use is forgotten
+            self.cache, self.older = dict(self.always), cache
         for words in split:
-            found = [cache[w] for w in words]
-            yield b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
+            ids, decoded = zip(*map(cache.__getitem__, words), strict=True) if words else ((), ())
+            yield b"".join(ids), " ".join(decoded)
+
+    def _shown(self, word: str) -> str:
+        """The word in the byte alphabet, which leaves ASCII letters and digits as they are."""
+        return word if word.isascii() and word.isalnum() else "".join([self.alphabet[b] for b in word.encode()])
 
 
 @lru_cache(maxsize=2)
