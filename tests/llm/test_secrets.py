@@ -1,12 +1,14 @@
+import math
 import random
 import re
 import string
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from webloom.llm.secrets import ALPHABETS, CELLS, battery, made_of_words, redacted, scan_secrets
+from webloom.llm.secrets import ALPHABETS, CELLS, battery, decoy_texts, made_of_words, redacted, scan_secrets
 
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
@@ -104,7 +106,7 @@ def test_identifiers_are_not_secrets(spark):
     names = ["loadConfigFromDisk42", "docs/UserGuide2024/Chapter07Intro", "src/main/java/ReportBuilder", "MAX_RETRY_COUNT_PER_HOST", "getUserProfileById2Async", "2024-01-01-2024-12-31"]
     r = random.Random(8)
     random_one = lambda: "".join(r.choices(ALPHABETS["base64"][:62], k=40))
-    # Few rows: no decoys, so nothing is discovered; many: the names are still left alone.
+    # The names are left alone, with few rows and with many.
     for more in ([], [(100 + i, "use " + "".join(r.choice(["Read", "Write", "Open", "Close", "Table", "Index", "Value"]) for _ in range(9)) + " or " + random_one()) for i in range(120)]):
         rows = [(i, f"call {n} here") for i, n in enumerate(names)] + more
         got = {x.doc_id: x.spans for x in scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -130,3 +132,77 @@ def test_clashing_names_long_texts_and_repeats(spark):
         assert (r.spans, r.row, r.more) == ("a", "b", "c") and [tuple(s) for s in r._spans] == [("assign", 200_000, 200_016)]
     with pytest.raises(ValueError):
         scan_secrets(df, keep=["spans"])
+
+
+def tail(z):
+    z = max(-20.0, min(20.0, z))
+    return 1 / (1 + math.exp(1.5976 * z + 0.07056 * z**3))
+
+
+def p_value(token, encoding):
+    """The least of the three tests' p-values, times three, counted one character at a time."""
+    alphabet = ALPHABETS[encoding]
+    m, clean = len(alphabet), token.rstrip("=")
+    clean = {16: clean.lower(), 64: clean.replace("-", "+").replace("_", "/")}.get(m, clean)
+    own = [alphabet.index(c) - (m - 1) / 2 for c in clean]
+    n = len(own)
+    groups = list(alphabet) if n >= 5 * m else CELLS[encoding]
+    chi = sum((sum(c in g for c in clean) - len(g) / m * n) ** 2 / (len(g) / m * n) for g in groups)
+    df = len(groups) - 1
+    p_chi = tail(((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df)))
+    high = sum(v > 0 for v in own)
+    runs = 1 + sum((a > 0) != (b > 0) for a, b in zip(own, own[1:], strict=False))
+    mean = 2 * high * (n - high) / n + 1
+    spread = (mean - 1) * (mean - 2) / (n - 1)
+    p_runs = 2 * tail(max(0, abs(runs - mean) - 0.5) / math.sqrt(spread) if spread > 0 else 20)
+    cross, power = sum(a * b for a, b in zip(own, own[1:], strict=False)), sum(v * v for v in own)
+    p_serial = 2 * tail(abs(cross / power) * math.sqrt(n))
+    return min(1, 3 * min(p_chi, p_runs, p_serial))
+
+
+def candidates(text, taken):
+    """(start, end, stratum, bin, decoy) of the tokens that meet no base span."""
+    for m in re.finditer("[A-Za-z0-9+/_=-]{20,}", text):
+        t = m[0]
+        if any(a < m.end() and m.start() < b for _, a, b in taken):
+            continue
+        encoding = "hex" if re.fullmatch("[0-9a-f]+|[0-9A-F]+", t) else "base32" if re.fullmatch("[A-Z2-7]+=*", t) else "base64"
+        place = min(23, math.floor(-math.log2(max(p_value(t, encoding), 1e-12))))
+        words = any(not re.sub(p, "", t) for p in (r"[A-Z]?[a-z]{2,}[0-9]{0,4}[-_/=+]*", "[A-Z]{2,}[-_/=+]*", "[-_=+/]", "[0-9]"))
+        yield m.start(), m.end(), (encoding, sum(len(t) >= x for x in (32, 48, 80))), place, words
+
+
+def test_added_spans_against_brute_force(spark):
+    """Random tokens of every encoding, names and odd strings: all spans, by definition."""
+    r = random.Random(12)
+    draw = lambda a, k: "".join(r.choices(a, k=k))
+    texts = [None, "", "é😀 " + draw(ALPHABETS["base64"], 64), "token: " + draw(ALPHABETS["base64"], 50)]
+    for _ in range(150):
+        n = r.choice([20, 31, 32, 47, 48, 79, 80, 330])
+        texts.append(" ".join(["é", draw(r.choice([*ALPHABETS.values(), "0123456789ABCDEF", "abc1", "ETAOIN", "ab/Xy"]), n), "readTheFileNameOfIt" + draw("abcdefgh", 5), draw("ABCDEFGHI", 24)]))
+    docs = list(enumerate(texts))
+    taken = {d: base(t) for d, t in docs}
+    found = {d: list(candidates(t or "", taken[d])) for d, t in docs}
+    built_in = [x for row in decoy_texts(spark, 200).collect() for x in candidates(row.text, []) if x[4]]
+    seen = Counter((x[2], x[4], x[3]) for one in found.values() for x in one) + Counter((x[2], True, x[3]) for x in built_in)
+    bars = {}
+    for stratum in {x[2] for one in found.values() for x in one}:
+        known, others = (sum(n for (s, d, _), n in seen.items() if s == stratum and d == flag) for flag in (True, False))
+        for b in range(7):  # the last bin that a p-value above 0.01 can lie in
+            wrong, right = (sum(n for (s, d, i), n in seen.items() if s == stratum and d == flag and i <= b) for flag in (True, False))
+            if right and (1 + wrong) / known * others <= 0.05 * right:
+                bars[stratum] = b
+    order = ["assign", "access", "hex", "random"].index
+    want = {d: sorted(taken[d] + [("random", x[0], x[1]) for x in found[d] if not x[4] and x[3] <= bars.get(x[2], -1)], key=lambda s: (s[1], order(s[0]))) for d, _ in docs}
+    got = {x.doc_id: [tuple(s) for s in x.spans] for x in scan_secrets(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want
+    assert sum(s[0] == "random" for one in want.values() for s in one) > 40
+
+
+def test_a_single_secret_is_found_at_any_size(spark):
+    """Built-in decoys stand for those that a small table lacks; a clean table stays clean."""
+    token = "q7Zt0Vb3+XnR5kLw8/Ys1HdJ6mCgP2fU9aEoT4iB"
+    one = scan_secrets(spark.createDataFrame([(1, f"see {token} here")], "doc_id long, text string")).collect()
+    assert [tuple(s) for s in one[0].spans] == [("random", 4, 44)]
+    clean = [(i, t) for i, t in enumerate(["loadConfigFromDisk42", "INTERNATIONALIZATIONLIBRARY", "20240131120000123456789", "a" * 40, "x86_64-unknown-linux-gnu-v2"])]
+    assert not any(r.spans for r in scan_secrets(spark.createDataFrame(clean, "doc_id long, text string")).where("doc_id <> 3").collect())

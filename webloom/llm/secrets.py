@@ -9,20 +9,22 @@ chosen where text departs from chance (common letters, other letters, capitals,
 each character may be expected five times.  The p-values are combined by Bonferroni's rule.
 
 False discoveries are controlled by length: candidates made of words (of letters in one case, or
-identifiers and paths of words and short numbers) serve as decoys.  Within each stratum of
-encoding and length, the least p-value bar is taken at which the decoys' pass rate, carried over
-to the other candidates, explains at most ``fdr`` of those that pass.  A stratum of few decoys
-uses those of all lengths of its encoding; without enough decoys nothing is discovered.  All rows
-are counted; the table of counts has a fixed size (strata x bins), so it alone goes to the driver.
+identifiers and paths of words and short numbers) serve as decoys, together with built-in ones
+(``decoy_texts``), so that every stratum of encoding and length has decoys at any size of the
+table.  Within each stratum the least p-value bar is taken at which the decoys' pass rate, carried
+over to the other candidates, explains at most ``fdr`` of those that pass.  All rows are counted;
+the table of counts has a fixed size (strata x bins), so it alone goes to the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm.names import free_name
-from webloom.shared import written
+from webloom.shared import discard, written
 
 # The patterns of the base kinds.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -45,8 +47,21 @@ KINDS = ["assign", "access", "hex", "random"]
 _BLOCK = 256
 _BINS = 24
 _LENGTHS = [32, 48, 80]
-#: Decoys without which a stratum has no rate of its own.
-_DECOYS = 20
+# The words of built-in decoys, and those that are hexadecimal as well.
+DECOY_WORDS = (
+    "account action address amount archive array batch bucket buffer builder cache channel client column config content context counter "
+    "customer database default delete detail device document element event export factory field file filter folder format function group "
+    "handler header helper history image import index input invoice item language layout library limit list loader location manager market "
+    "member message method module monitor name network number object option order output package page parent parser password path payment "
+    "pending period plugin point policy process product profile project query queue reader record region report request response result "
+    "sample schedule search section select server service session setting source status storage store string summary supplier system table "
+    "target template ticket total transfer update user value vendor version view window worker writer"
+).split()
+HEX_WORDS = "accede added babe bead bed cab cafe dad dead deaf decade deed ebb efface fab facade face fad fade fed feed".split()
+#: (words, form, separator) of built-in decoys; None is digits.
+_STYLES = [(DECOY_WORDS, "lower", "_"), (DECOY_WORDS, "camel", ""), (DECOY_WORDS, "numbered", "-"), (DECOY_WORDS, "numbered", "/"), (DECOY_WORDS, "upper", "_"), (DECOY_WORDS, "upper", ""), (HEX_WORDS, "numbered", ""), (None, "", "")]
+_DECOY_LENGTHS = [20, *_LENGTHS, 160]
+_DECOY_PARTS = 60
 _SPAN = "array<struct<start:int,end:int>>"
 
 
@@ -74,10 +89,14 @@ def match_spans(text: Column, pattern: str) -> Column:
     return F.flatten(F.zip_with(blocks, F.slice(heads, 1, F.size(blocks)), block))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _tail(z: Column) -> Column:
     """Upper tail of the standard normal, by its logistic approximation."""
-    z = F.greatest(F.lit(-20.0), F.least(F.lit(20.0), z))
-    return 1 / (1 + F.exp(z * 1.5976 + F.pow(z, F.lit(3.0)) * 0.07056))
+    return _let(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), z)), lambda z: 1 / (1 + F.exp(z * 1.5976 + F.pow(z, F.lit(3.0)) * 0.07056)))
 
 
 def _chi_tail(chi: Column, df: int) -> Column:
@@ -87,14 +106,19 @@ def _chi_tail(chi: Column, df: int) -> Column:
 
 def battery(token: Column, encoding: str) -> Column:
     """p_chi, p_runs, p_serial and the combined p of a token; padding '=' doesn't count."""
+    m = len(ALPHABETS[encoding])
+    clean = F.translate(F.rtrim(token, F.lit("=")), "-_", "+/") if m == 64 else F.rtrim(F.lower(token) if m == 16 else token, F.lit("="))
+    tests = _let(F.struct(clean.alias("clean"), F.length(clean).cast("double").alias("size")), lambda t: _three_tests(t["clean"], t["size"], encoding))
+    return _let(tests, lambda t: F.struct(t["p_chi"].alias("p_chi"), t["p_runs"].alias("p_runs"), t["p_serial"].alias("p_serial"), F.least(F.lit(1.0), 3 * F.least(t["p_chi"], t["p_runs"], t["p_serial"])).alias("p")))
+
+
+def _three_tests(clean: Column, size: Column, encoding: str) -> Column:
     alphabet = ALPHABETS[encoding]
     m = len(alphabet)
-    clean = F.translate(F.rtrim(token, F.lit("=")), "-_", "+/") if m == 64 else F.rtrim(F.lower(token) if m == 16 else token, F.lit("="))
     values = F.transform(F.filter(F.split(clean, ""), lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
-    size = F.length(clean).cast("double")
 
-    cells = [(len(c) / m, F.length(clean) - F.length(F.translate(clean, c, ""))) for c in CELLS[encoding]]
-    p_cells = _chi_tail(sum(((n - share * size) * (n - share * size) / (share * size) for share, n in cells), F.lit(0.0)), len(cells) - 1)
+    cells = [_let(F.length(clean) - F.length(F.translate(clean, c, "")) - len(c) / m * size, lambda d: d * d) / (len(c) / m * size) for c in CELLS[encoding]]
+    p_cells = _chi_tail(sum(cells, F.lit(0.0)), len(cells) - 1)
     same = F.aggregate(
         F.array_sort(values),
         F.struct(F.lit(-2).alias("last"), F.lit(0.0).alias("run"), F.lit(0.0).alias("squares")),
@@ -115,13 +139,18 @@ def battery(token: Column, encoding: str) -> Column:
             (a["power"] + (v - middle) * (v - middle)).alias("power"),
         ),
     )
-    mean = walk["high"] * 2 * (size - walk["high"]) / size + 1
-    spread = (mean - 1) * (mean - 2) / (size - 1)
-    # Runs are whole numbers: the correction by a half keeps short tokens' p-values honest.
-    z_runs = F.when(spread > 0, F.greatest(F.lit(0.0), F.abs(walk["runs"] - mean) - 0.5) / F.sqrt(spread)).otherwise(20.0)
-    z_serial = F.when(walk["power"] > 0, F.abs(walk["cross"] / walk["power"]) * F.sqrt(size)).otherwise(20.0)
-    p_runs, p_serial = F.least(F.lit(1.0), 2 * _tail(z_runs)), F.least(F.lit(1.0), 2 * _tail(z_serial))
-    return F.struct(p_chi.alias("p_chi"), p_runs.alias("p_runs"), p_serial.alias("p_serial"), F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial)).alias("p"))
+
+    def along(w: Column) -> Column:
+        def scored(mean: Column) -> Column:
+            spread = (mean - 1) * (mean - 2) / (size - 1)
+            # Runs are whole numbers: the correction by a half keeps short tokens' p-values honest.
+            z_runs = F.when(spread > 0, F.greatest(F.lit(0.0), F.abs(w["runs"] - mean) - 0.5) / F.sqrt(spread)).otherwise(20.0)
+            z_serial = F.when(w["power"] > 0, F.abs(w["cross"] / w["power"]) * F.sqrt(size)).otherwise(20.0)
+            return F.struct(p_chi.alias("p_chi"), F.least(F.lit(1.0), 2 * _tail(z_runs)).alias("p_runs"), F.least(F.lit(1.0), 2 * _tail(z_serial)).alias("p_serial"))
+
+        return _let(w["high"] * 2 * (size - w["high"]) / size + 1, scored)
+
+    return _let(walk, along)
 
 
 def made_of_words(token: Column) -> Column:
@@ -149,25 +178,51 @@ def _judged(text: Column, base: Column) -> Column:
     return F.transform(free, judge)
 
 
+def decoy_texts(spark: SparkSession, each: int) -> DataFrame:
+    """text: built-in decoys, ``each`` for every style and range of lengths.
+
+    Identifiers, paths, capitals, hexadecimal words and digits are put together from listed words
+    by a hash of the row's number, so they are the same in every run.  A token is cut at its
+    length, so that a single letter may be left at its end; such tokens aren't made of words and
+    don't count.
+    """
+    rows = spark.range(len(_STYLES) * len(_LENGTHS + [0]) * each)
+    style, length = F.col("id") % len(_STYLES), F.floor(F.col("id") / len(_STYLES)) % (len(_LENGTHS) + 1)
+
+    def joined(words: list[str] | None, form: str, separator: str) -> Column:
+        def part(j: Column) -> Column:
+            drawn = F.pmod(F.xxhash64("id", j), F.lit(1 << 20))
+            number = F.pmod(F.xxhash64(j, "id"), F.lit(10_000)).cast("string")
+            if words is None:
+                return number
+            word = F.element_at(F.array(*map(F.lit, words)), (drawn % len(words) + 1).cast("int"))
+            if form == "camel":
+                return F.when(j > 0, F.initcap(word)).otherwise(word)
+            return F.upper(word) if form == "upper" else F.concat(word, F.when(j % 3 == 2, number).otherwise("")) if form == "numbered" else word
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(_DECOY_PARTS - 1)), part), separator)
+
+    text, size = F.lit(None).cast("string"), F.lit(0)
+    for i, one in enumerate(_STYLES):
+        text = F.when(style == i, joined(*one)).otherwise(text)
+    for i, (low, high) in enumerate(zip(_DECOY_LENGTHS, _DECOY_LENGTHS[1:])):
+        size = F.when(length == i, low + F.pmod(F.xxhash64("id"), F.lit(high - low))).otherwise(size)
+    return rows.select(F.substring(text, F.lit(1), size.cast("int")).alias("text"))
+
+
 def _bars(counts: list, fdr: float, level_bin: int) -> dict[int, int]:
     """For each stratum the highest bin (least p-value) that still counts as random, -1 for none."""
     by: dict[int, dict[tuple[bool, int], int]] = {}
     for r in counts:
-        for stratum in (r["stratum"], -1 - r["stratum"] // 10):  # negative: all lengths of an encoding
-            have = by.setdefault(stratum, {})
-            have[r["decoy"], r["bin"]] = have.get((r["decoy"], r["bin"]), 0) + r["n"]
+        have = by.setdefault(r["stratum"], {})
+        have[r["decoy"], r["bin"]] = have.get((r["decoy"], r["bin"]), 0) + r["n"]
     bars = {}
     for stratum, have in by.items():
-        if stratum < 0:
-            continue
-        decoys = have
-        if sum(n for (d, _), n in have.items() if d) < _DECOYS:
-            decoys = by[-1 - stratum // 10]
-        known = sum(n for (d, _), n in decoys.items() if d)
+        known = sum(n for (d, _), n in have.items() if d)
         others = sum(n for (d, _), n in have.items() if not d)
         bar = -1
-        for b in range(level_bin + 1 if known >= _DECOYS else 0):
-            wrong = (1 + sum(decoys.get((True, i), 0) for i in range(b + 1))) / known * others
+        for b in range(level_bin + 1 if known else 0):
+            wrong = (1 + sum(have.get((True, i), 0) for i in range(b + 1))) / known * others
             right = sum(have.get((False, i), 0) for i in range(b + 1))
             if right and wrong <= fdr * right:
                 bar = b
@@ -175,7 +230,7 @@ def _bars(counts: list, fdr: float, level_bin: int) -> dict[int, int]:
     return bars
 
 
-def scan_secrets(docs: DataFrame, fdr: float = 0.05, level: float = 0.01, keep: list[str] | None = None, spans_as: str = "spans") -> DataFrame:
+def scan_secrets(docs: DataFrame, fdr: float = 0.05, level: float = 0.01, decoys: int = 200, keep: list[str] | None = None, spans_as: str = "spans") -> DataFrame:
     """Finds secrets in every text.
 
     ``docs``: doc_id, text; more columns are ignored unless named in ``keep``.  Returns a row
@@ -183,7 +238,8 @@ def scan_secrets(docs: DataFrame, fdr: float = 0.05, level: float = 0.01, keep:
     code points, end exclusive, by start and then kind (assign, access, hex, random).  Null
     texts are empty and have no spans; repeated rows each give a row with the same spans; an
     empty table gives an empty result.  Very long texts are scanned whole.  Spans with the same
-    start are ordered by kind.  Kept columns may have any names but that of ``spans_as``.
+    start are ordered by kind.  ``decoys`` built-in ones are made for each style and range of
+    lengths, whatever the table holds (see ``decoy_texts``).  Kept columns may have any names but that of ``spans_as``.
     """
     kept = ["doc_id", *(c for c in (keep or []) if c != "doc_id")]
     if free_name(kept, spans_as) != spans_as:
@@ -207,7 +263,11 @@ def scan_secrets(docs: DataFrame, fdr: float = 0.05, level: float = 0.01, keep:
         F.when(text.rlike(CANDIDATE), _judged(text, joined)).otherwise(F.array().cast("array<struct<start:int,end:int,stratum:int,bin:int,decoy:boolean>>")).alias("more"),
     )
     found = written(found, "secrets-found")
-    counts = found.select(F.inline("more")).groupBy("stratum", "decoy", "bin").agg(F.count("*").alias("n")).collect()
+    # Written first: else the making of a text would be repeated wherever its judgement names it.
+    made = written(decoy_texts(docs.sparkSession, decoys), "secrets-decoys")
+    judged = found.select(F.inline("more")).unionByName(made.select(F.inline(_judged(F.col("text"), none))).where("decoy"))
+    counts = judged.groupBy("stratum", "decoy", "bin").agg(F.count("*").alias("n")).collect()
+    discard(made)
     level_bin = next(b for b in range(_BINS) if 2.0 ** -(b + 1) < level)
     bars = _bars(counts, fdr, level_bin)
 
