@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 
+from webloom.llm import chroma as module
 from webloom.llm.chroma import DOUBT, Audio, align, chroma, fingerprint, fingerprints, neighbours
 
 DATA = "/root/testdata/sf0.001"
@@ -142,3 +143,71 @@ def test_repeated_rows_long_sound_and_clashing_names(spark):
     out = align(fingerprints(spark.createDataFrame(rows, "doc_id long, sound binary, class int, print int"), sound_column="sound")).collect()
     assert sorted((x.doc_id, x.class_id) for x in out if x.match_class is None) == [(7, 7), (8, 8), (50, 50), (50, 50)]
     assert [(x.doc_id, x.match_class, x.offset, x.bit_errors) for x in out if x.match_class is not None] == [(50, 7, -3000, 0)]
+
+
+def alignments(prints, query, other, offset):
+    """Overlap, bit errors and neighbours met when integer i of ``query`` stands beside i + offset of ``other``."""
+    (a, doubt), (b, _) = prints[query], prints[other]
+    x, y = a[max(0, -offset) :], b[max(0, offset) :]
+    n = min(len(x), len(y))
+    wrong = x[:n] ^ y[:n]
+    return n, int(np.bitwise_count(wrong).sum()), int(((wrong & ~doubt[max(0, -offset) :][:n]) == 0).sum())
+
+
+def test_bit_errors_count_32_bits_and_the_best_offset_wins(spark):
+    df = spark.createDataFrame([(d, s) for d, s in sounds(5) if d is not None], "doc_id long, sound binary")
+    prints = fingerprints(df, sound_column="sound")
+    by = {r.doc: tuple(np.array(x, np.int32).view(np.uint32) for x in (r.print, r.doubt)) for r in prints.collect()}
+    out = align(prints, every=5).collect()
+    classes = {r.class_id for r in out if len(by[r.class_id][0]) >= 8}
+    want = {}
+    for q in {r.class_id for r in out if r.match_class is None and r.doc_id % 5 == 0} & classes:
+        for c in classes - {q}:
+            for offset in range(-len(by[q][0]) + 8, len(by[c][0]) - 7):
+                n, wrong, votes = alignments(by, q, c, offset)
+                if n >= 8 and votes and wrong <= 0.2 * 32 * n:
+                    want[q, c] = max(want.get((q, c), (0,)), (votes, -abs(offset), offset, n, wrong))
+    assert {(r.class_id, r.match_class): (r.offset, r.overlap, r.bit_errors) for r in out if r.match_class is not None} == {k: v[2:] for k, v in want.items()}
+    # The highest bit is wrong somewhere: as a sign it would count 33 times.
+    tops = [by[q][0][max(0, -o) :][:n] ^ by[c][0][max(0, o) :][:n] for (q, c), (_, _, o, n, _) in want.items()]
+    assert any((x >> 31).any() for x in tops)
+
+
+def test_search_writes_rows_of_recordings_and_matches_only(spark, monkeypatch):
+    r = np.random.default_rng(9)
+    whole = r.integers(0, 256, 704 + 64 * 60, np.uint8).tobytes()
+    rows = [(i, edited(whole, [50 * i])) for i in range(60)]
+    counts = []
+
+    def counted(df, name, written=module.written):
+        out = written(df, name)
+        counts.append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "written", counted)
+    prints = fingerprints(spark.createDataFrame(rows, "doc_id long, sound binary"), sound_column="sound")
+    matches = align(prints, every=2).where("match_class is not null").count()
+    assert matches > 1500
+    assert max(counts) <= max(len(rows), matches)
+
+
+@pytest.mark.parametrize("meetings", [1, 40, 1 << 20])
+def test_search_in_pieces(monkeypatch, meetings):
+    r = np.random.default_rng(11)
+    prints = [r.integers(0, 4, n).astype(np.uint32) << np.uint32(30) for n in (8, 9, 40, 3, 25)] + [np.zeros(30, np.uint32), np.zeros(50, np.uint32)]
+    doubt = [np.full(len(p), 0b1111111, np.uint32) for p in prints]
+    by = dict(enumerate(zip(prints, doubt, strict=True)))
+    want = {}
+    for q in by:
+        for c in by:
+            for offset in range(-len(prints[q]) + 8, len(prints[c]) - 7) if q != c else []:
+                n, wrong, votes = alignments(by, q, c, offset)
+                if n >= 8 and votes and wrong <= 1.0 * n:
+                    want[q, c] = max(want.get((q, c), (0,)), (votes, -abs(offset), offset, n, wrong))
+    monkeypatch.setattr(module, "MEETINGS", meetings)
+    monkeypatch.setattr(module, "BLOCK", 16)
+    pack = module._Pack(np.arange(len(by)).tobytes(), np.array([len(p) for p in prints]).tobytes(), np.concatenate(prints).tobytes())
+    got = {}
+    for found in module.search(pack, np.concatenate(doubt), pack, 8, 1.0):
+        got |= {(q, c): (v, -abs(o), o, n, w) for q, c, v, o, n, w in zip(*(x.tolist() for x in found), strict=True)}
+    assert got == want and len(want) > 10

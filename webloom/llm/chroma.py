@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from webloom.llm import kernels as K
-from webloom.shared import discard, ship_package, written
+from webloom.shared import batches_of, discard, ship_package, written
 
 SPAN = 8  # frames under one fingerprint integer
 DOUBT = 7  # bits of an integer that a lookup may turn
+BLOCK = 1 << 16  # integers of queries under one table of neighbours
+MEETINGS = 1 << 20  # pairs of integers that are held at once
 _LEVELS = np.array([-0.1, 0.0, 0.1])  # thresholds of a filter's two bits (Gray code)
 
 
@@ -140,22 +143,132 @@ def neighbours(value: np.ndarray, doubt: np.ndarray) -> np.ndarray:
     return out
 
 
-def _lookups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """query, query_size, query_at, value: all neighbours of every integer of the queries."""
-    for batch in batches:
-        prints, doubts = (batch.column(c) for c in ("print", "doubt"))
-        for query, p, d in zip(batch.column("class").to_numpy(), prints, doubts, strict=True):
-            value, doubt = (np.array(x.values, np.int32).view(np.uint32) for x in (p, d))
-            for a in range(0, len(value), 512):
-                near = neighbours(value[a : a + 512], doubt[a : a + 512])
-                place = np.repeat(np.arange(a, a + len(near), dtype=np.int32), near.shape[1])
-                yield pa.record_batch([pa.array(np.full(near.size, query)), pa.array(np.full(near.size, len(value), np.int32)), pa.array(place), pa.array(near.ravel().view(np.int32))], ["query", "query_size", "query_at", "value"])
+@lru_cache(maxsize=1)
+def _table(value: bytes, doubt: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """All neighbours of some integers, ascending, and the place of the integer that each belongs to."""
+    near = neighbours(np.frombuffer(value, np.uint32), np.frombuffer(doubt, np.uint32)).astype(np.uint64)
+    near <<= np.uint64(32)
+    near |= np.arange(len(near), dtype=np.uint64)[:, None]
+    near = near.ravel()
+    near.sort()
+    return (near >> np.uint64(32)).astype(np.uint32), near.astype(np.uint32)
 
 
-def _overlap(a: str, b: str, offset: str) -> tuple:
-    """Both prints cut to where they overlap when integer i of a meets integer i + offset of b."""
-    size = f"greatest(0, least(size({a}), size({b}) - {offset}) - greatest(0, -{offset}))"
-    return F.expr(f"slice({a}, greatest(0, -{offset}) + 1, {size})"), F.expr(f"slice({b}, greatest(0, {offset}) + 1, {size})")
+def _packed(most: int, columns: tuple[str, ...]) -> Callable:
+    """Whole recordings in rows of ``most`` integers or a recording more: ids, sizes and the named columns, end to end."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, sizes, parts, held = [], [], [[] for _ in columns], 0
+
+        def row() -> pa.RecordBatch:
+            whole = [np.array(ids, np.int64), np.array(sizes, np.int64), *(np.concatenate(p) for p in parts)]
+            return pa.record_batch([pa.array([x.tobytes()], pa.binary()) for x in whole], ["ids", "sizes", *columns])
+
+        for batch in batches:
+            for doc, *lists in zip(batch.column("class").to_numpy(), *(batch.column(c) for c in columns), strict=True):
+                ids.append(doc)
+                sizes.append(len(lists[0]))
+                for p, x in zip(parts, lists, strict=True):
+                    p.append(x.values.to_numpy())
+                held += sizes[-1]
+                if held >= most:
+                    yield row()
+                    ids, sizes, parts, held = [], [], [[] for _ in columns], 0
+        if ids:
+            yield row()
+
+    return run
+
+
+class _Pack:
+    """Recordings end to end, as ``_packed`` has them."""
+
+    def __init__(self, ids: bytes, sizes: bytes, value: bytes):
+        self.ids, self.size, self.value = np.frombuffer(ids, np.int64), np.frombuffer(sizes, np.int64), np.frombuffer(value, np.uint32)
+        self.end = self.size.cumsum()
+        self.at = self.end - self.size
+        self.owner = np.repeat(np.arange(len(self.ids)), self.size)
+
+
+def _upto(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of items that reach ``most`` together, one item at least; ``ends`` are the sums of their sizes."""
+    i = 0
+    while i < len(ends):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        yield i, j
+        i = j
+
+
+def _met(asked: _Pack, doubt: np.ndarray, others: _Pack) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All (query, recording, offset) at which an integer of the recording is a neighbour of one of the query, once each."""
+    b, order = others.value, np.argsort(others.value)
+    found = []
+    for p in range(0, len(asked.value), BLOCK):
+        value, place = _table(asked.value[p : p + BLOCK].tobytes(), doubt[p : p + BLOCK].tobytes())
+        low, count = np.empty(len(b), np.int64), np.empty(len(b), np.int64)
+        low[order] = np.searchsorted(value, b[order], "left")
+        count[order] = np.searchsorted(value, b[order], "right") - low[order]
+        found.append((p, place, low, count))
+    span = int(asked.size.max() + others.size.max())
+    total = np.sum([x[3] for x in found], 0).cumsum()
+    for i, j in _upto(total[others.end - 1], MEETINGS):
+        keys = []
+        for p, place, low, count in found:
+            begin, own = others.at[i], count[others.at[i] : others.end[j - 1]]
+            for s, e in _upto(own.cumsum(), MEETINGS):
+                n = own[s:e]
+                at = np.repeat(np.arange(begin + s, begin + e), n)
+                q_at = p + place[np.repeat(low[begin + s : begin + e] - (n.cumsum() - n), n) + np.arange(n.sum())].astype(np.int64)
+                q, c = asked.owner[q_at], others.owner[at]
+                offset = (at - others.at[c]) - (q_at - asked.at[q])
+                keys.append(np.unique((q * len(others.ids) + c) * span + offset + asked.size.max()))
+        key = keys[0] if len(keys) == 1 else np.unique(np.concatenate(keys))
+        pair, offset = np.divmod(key, span)
+        yield pair // len(others.ids), pair % len(others.ids), offset - asked.size.max()
+
+
+def search(asked: _Pack, doubt: np.ndarray, others: _Pack, least: int, most_wrong: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """query, recording (places), votes, offset, overlap, bit_errors: the best alignment of each pair that matches."""
+    for q, c, offset in _met(asked, doubt, others):
+        overlap = np.minimum(asked.size[q], others.size[c] - offset) - np.maximum(0, -offset)
+        fits = np.flatnonzero((overlap >= max(1, least)) & (asked.ids[q] != others.ids[c]))
+        q, c, offset, overlap = (x[fits] for x in (q, c, offset, overlap))
+        a_at, b_at = asked.at[q] + np.maximum(0, -offset), others.at[c] + np.maximum(0, offset)
+
+        def compared(some: np.ndarray, judge: Callable) -> np.ndarray:
+            """The sum of ``judge(differing bits, place in the queries)`` over each overlap."""
+            out = np.empty(len(some), np.int64)
+            for i, j in _upto(overlap[some].cumsum(), MEETINGS):
+                n = overlap[some[i:j]]
+                heads = n.cumsum() - n
+                step = np.arange(n.sum()) - np.repeat(heads, n)
+                at = np.repeat(a_at[some[i:j]], n) + step
+                out[i:j] = np.add.reduceat(judge(asked.value[at] ^ others.value[np.repeat(b_at[some[i:j]], n) + step], at), heads, dtype=np.int64)
+            return out
+
+        wrong = compared(np.arange(len(q)), lambda x, at: np.bitwise_count(x))
+        good = np.flatnonzero(wrong <= most_wrong * overlap)
+        votes = compared(good, lambda x, at: (x & ~doubt[at]) == 0)
+        q, c, offset, overlap, wrong = (x[good] for x in (q, c, offset, overlap, wrong))
+        order = np.lexsort((offset, -np.abs(offset), votes, c, q))
+        q, c = q[order], c[order]
+        last = np.ones(len(order), bool)
+        last[:-1] = (q[1:] != q[:-1]) | (c[1:] != c[:-1])
+        order = order[last]
+        if len(order):
+            yield q[last], c[last], votes[order], offset[order], overlap[order], wrong[order]
+
+
+def _searched(least: int, error_rate: float) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for q_ids, q_sizes, value, doubt, c_ids, c_sizes, other in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                asked, others = _Pack(q_ids, q_sizes, value), _Pack(c_ids, c_sizes, other)
+                for q, c, _, *found in search(asked, np.frombuffer(doubt, np.uint32), others, least, error_rate * 32):
+                    columns = [pa.array(asked.ids[q]), pa.array(others.ids[c]), *(pa.array(x.astype(np.int32)) for x in (asked.size[q], *found))]
+                    yield pa.record_batch(columns, ["query", "class", "n_frames", "offset", "overlap", "bit_errors"])
+
+    return run
 
 
 def align(prints: DataFrame, every: int = 50, least_overlap: int = 8, error_rate: float = 0.2) -> DataFrame:
@@ -172,29 +285,34 @@ def align(prints: DataFrame, every: int = 50, least_overlap: int = 8, error_rate
     ``least_overlap`` common frames and at most ``error_rate`` wrong bits.  Copies of a match are
     the members of its class.  Recordings without integers match nothing; null ids are returned
     but never queries; repeated rows are copies; an empty table gives none.
+
+    The queries are dealt into blocks and the classes into packs of bounded size, and each block
+    meets each pack once, in one task, where a sorted table of the block's neighbours finds the
+    offsets and both prints are at hand to judge them.  Only matches leave it.
     """
-    prints = written(prints, "chroma-prints")
+    spark = prints.sparkSession
+    ship_package(spark)
+    mark = F.when(F.size("print") > 0, F.sha2(F.array_join("print", ",").cast("binary"), 256))
+    prints = written(prints.withColumn("mark", mark), "chroma-prints")
     # An overlap has ``least_overlap`` integers at least, so shorter prints meet nothing: each is its own class.
-    known = prints.where(F.size("print") > 0).withColumn("mark", F.sha2(F.array_join("print", ",").cast("binary"), 256))
+    known = prints.where("mark is not null")
     classes = known.groupBy("mark").agg(F.min("doc").alias("class"), F.first("print").alias("print"), F.min("doubt").alias("doubt"), F.max(F.coalesce(F.col("doc") % every == 0, F.lit(False))).alias("asked"))
     classes = written(classes.where("class is not null"), "chroma-classes")
-    long = classes.where(F.size("print") >= least_overlap).withColumn("size", F.size("print"))
-    postings = written(long.select("class", "size", F.posexplode("print").alias("at", "value")), "chroma-postings")
-    lookups = written(long.where("asked").select("class", "print", "doubt").mapInArrow(_lookups, "query long, query_size int, query_at int, value int"), "chroma-lookups")
-    # A place counts where the overlap that it stands for is long enough.
-    enough = F.expr(f"least(query_size - query_at, size - at) + least(query_at, at) >= {least_overlap}")
-    met = lookups.join(postings.hint("merge"), "value").where((F.col("query") != F.col("class")) & enough)
-    met = written(met.groupBy("query", "class", (F.col("at") - F.col("query_at")).alias("offset")).agg(F.count("*").alias("votes")), "chroma-votes")
-    discard(postings, lookups)
-    met = met.join(classes.select(F.col("class").alias("query"), F.col("print").alias("a")).hint("merge"), "query").join(classes.select("class", F.col("print").alias("b")).hint("merge"), "class")
-    a, b = _overlap("a", "b", "offset")
-    matches = met.withColumn("overlap", F.size(a)).withColumn("bit_errors", F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x))
-    matches = matches.where((F.col("overlap") >= least_overlap) & (F.col("bit_errors") <= error_rate * 32 * F.col("overlap")))
-    best = F.max(F.struct("votes", (-F.abs("offset")).alias("near"), "offset", "overlap", "bit_errors", F.size("a").alias("n_frames"))).alias("best")
-    matches = matches.groupBy("query", "class").agg(best).select("query", "class", "best.*")
-    members = prints.withColumn("mark", F.when(F.size("print") > 0, F.sha2(F.array_join("print", ",").cast("binary"), 256))).join(classes.select("mark", "class").hint("merge"), "mark", "left")
+    long = classes.where(F.size("print") >= least_overlap)
+    asked = long.where("asked").select("class", "print", "doubt")
+    integers = asked.agg(F.sum(F.size("print"))).first()[0] or 0
+    blocks = asked.repartition(1 + 2 * integers // BLOCK).mapInArrow(_packed(BLOCK, ("print", "doubt")), "ids binary, sizes binary, print binary, doubt binary")
+    packs = long.select("class", "print").mapInArrow(_packed(4 * BLOCK, ("print",)), "ids binary, sizes binary, print binary")
+    blocks, packs = written(blocks, "chroma-blocks"), written(packs, "chroma-packs")
+    # The rows of one block follow each other, so its table is made once in a task, or kept from the last.
+    met = blocks.hint("shuffle_replicate_nl").crossJoin(packs.toDF("other_ids", "other_sizes", "other_print"))
+    found = met.mapInArrow(_searched(least_overlap, error_rate), "query long, class long, n_frames int, offset int, overlap int, bit_errors int")
+    with batches_of(spark, 8):
+        matches = written(found, "chroma-matches")
+    discard(blocks, packs)
     none = F.lit(None)
-    rows = members.select(F.col("doc").alias("doc_id"), F.coalesce("class", "doc").alias("class_id"), F.size("print").alias("n_frames"), none.cast("long").alias("match_class"), none.cast("int").alias("offset"), none.cast("int").alias("overlap"), none.cast("int").alias("bit_errors"))
+    members = prints.select("doc", "mark", F.size("print").alias("n_frames")).join(classes.select("mark", "class").hint("merge"), "mark", "left")
+    rows = members.select(F.col("doc").alias("doc_id"), F.coalesce("class", "doc").alias("class_id"), "n_frames", none.cast("long").alias("match_class"), none.cast("int").alias("offset"), none.cast("int").alias("overlap"), none.cast("int").alias("bit_errors"))
     return rows.unionByName(matches.select(F.col("query").alias("doc_id"), F.col("query").alias("class_id"), "n_frames", F.col("class").alias("match_class"), "offset", "overlap", "bit_errors"))
 
 

@@ -74,6 +74,17 @@ def discard(*tables: DataFrame) -> None:
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+@contextlib.contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of ``rows`` rows for what is written meanwhile, where a row is large."""
+    before = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH, before)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Makes this package importable on executors, whatever their PYTHONPATH is.
 
