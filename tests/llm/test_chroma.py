@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from webloom.llm import chroma as module
-from webloom.llm.chroma import DOUBT, Audio, align, chroma, fingerprint, fingerprints, neighbours
+from webloom.llm.chroma import DOUBT, SHORT, Audio, align, chroma, fingerprint, fingerprints, neighbours
 
 DATA = "/root/testdata/sf0.001"
 
@@ -165,7 +165,7 @@ def test_bit_errors_count_32_bits_and_the_best_offset_wins(spark):
         for c in classes - {q}:
             for offset in range(-len(by[q][0]) + 8, len(by[c][0]) - 7):
                 n, wrong, votes = alignments(by, q, c, offset)
-                if n >= 8 and votes and wrong <= 0.2 * 32 * n:
+                if n >= 8 and (votes or n <= SHORT) and wrong <= 0.2 * 32 * n:
                     want[q, c] = max(want.get((q, c), (0,)), (votes, -abs(offset), offset, n, wrong))
     assert {(r.class_id, r.match_class): (r.offset, r.overlap, r.bit_errors) for r in out if r.match_class is not None} == {k: v[2:] for k, v in want.items()}
     # The highest bit is wrong somewhere: as a sign it would count 33 times.
@@ -202,7 +202,7 @@ def test_search_in_pieces(monkeypatch, meetings):
         for c in by:
             for offset in range(-len(prints[q]) + 8, len(prints[c]) - 7) if q != c else []:
                 n, wrong, votes = alignments(by, q, c, offset)
-                if n >= 8 and votes and wrong <= 1.0 * n:
+                if n >= 8 and (votes or n <= SHORT) and wrong <= 1.0 * n:
                     want[q, c] = max(want.get((q, c), (0,)), (votes, -abs(offset), offset, n, wrong))
     monkeypatch.setattr(module, "MEETINGS", meetings)
     monkeypatch.setattr(module, "BLOCK", 16)
@@ -211,3 +211,26 @@ def test_search_in_pieces(monkeypatch, meetings):
     for found in module.search(pack, np.concatenate(doubt), pack, 8, 1.0):
         got |= {(q, c): (v, -abs(o), o, n, w) for q, c, v, o, n, w in zip(*(x.tolist() for x in found), strict=True)}
     assert got == want and len(want) > 10
+
+
+def test_short_overlaps_are_found_without_a_neighbour(spark):
+    r = np.random.default_rng(13)
+    whole = r.integers(0, 2**32, 60, np.uint32)
+
+    def noisy(print_):
+        """Six bits of every integer are wrong, none in doubt."""
+        return print_ ^ np.array([sum(1 << int(b) for b in r.choice(np.arange(8, 32), 6, False)) for _ in print_], np.uint32)
+
+    cases = {0: whole, 1: np.concatenate((noisy(whole[-8:]), r.integers(0, 2**32, 30, np.uint32))), 2: np.concatenate((r.integers(0, 2**32, 30, np.uint32), noisy(whole[:12]))), 3: noisy(whole[20:31]), 4: whole[40:], 50: noisy(whole[5:14])}
+    rows = [(d, p.view(np.int32).tolist(), [0b1111111] * len(p)) for d, p in cases.items()]
+    out = align(spark.createDataFrame(rows, "doc long, print array<int>, doubt array<int>")).collect()
+    got = {(x.doc_id, x.match_class): (x.offset, x.overlap) for x in out if x.match_class is not None}
+    assert got == {(0, 1): (-52, 8), (0, 2): (30, 12), (0, 3): (-20, 11), (0, 4): (-40, 20), (0, 50): (-5, 9), (50, 0): (5, 9)}
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+def test_whole_table_against_brute_force(spark):
+    rows = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    found, want = found_and_wanted(spark, rows, 5)
+    assert found <= want
+    assert len(found) >= 0.9 * len(want) > 0

@@ -9,6 +9,7 @@ the best offset decide.
 Noise turns the bits first whose filter value lies next to a threshold.  A query therefore looks
 up, besides each integer, all integers that differ from it in some of its ``DOUBT`` least certain
 bits; so two integers meet in spite of bit errors, as long as these fall on bits in doubt.
+A short overlap may have no such place, so these are compared one by one.
 
 The tables have no audio column; the query reads the UTF-8 bytes of ``documents.text`` as
 unsigned 8-bit samples.  ``fingerprints`` takes any binary or string column that way.
@@ -32,6 +33,7 @@ SPAN = 8  # frames under one fingerprint integer
 DOUBT = 7  # bits of an integer that a lookup may turn
 BLOCK = 1 << 16  # integers of queries under one table of neighbours
 MEETINGS = 1 << 20  # pairs of integers that are held at once
+SHORT = 12  # integers of an overlap up to which every alignment is compared, met or not
 _LEVELS = np.array([-0.1, 0.0, 0.1])  # thresholds of a filter's two bits (Gray code)
 
 
@@ -199,8 +201,46 @@ def _upto(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         i = j
 
 
-def _met(asked: _Pack, doubt: np.ndarray, others: _Pack) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """All (query, recording, offset) at which an integer of the recording is a neighbour of one of the query, once each."""
+def _alike(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, n: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``a_at`` and ``b_at`` of all pairs of windows of ``n`` integers with ``most`` wrong bits at most."""
+
+    def words(value: np.ndarray, at: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(at), n + n % 2), np.uint32)
+        out[:, :n] = value[at[:, None] + np.arange(n)]
+        return np.ascontiguousarray(out.view(np.uint64).T)
+
+    x, found = words(a, a_at), [np.zeros((2, 0), np.int64)]
+    first = min(len(x), 3 if n < 10 else 4)  # words that rule out nearly all pairs
+    for j in range(0, len(b_at), 4096):
+        y = words(b, b_at[j : j + 4096])
+        for i in range(0, len(a_at), 64):
+            wrong = np.bitwise_count(x[0, i : i + 64, None] ^ y[0])
+            for k in range(1, first):
+                wrong += np.bitwise_count(x[k, i : i + 64, None] ^ y[k])  # 256 would be 0, which the whole count corrects
+            if len(near := np.flatnonzero(wrong <= most)):
+                p, q = np.divmod(near, y.shape[1])
+                good = np.bitwise_count(x[:, i + p] ^ y[:, q]).sum(0, dtype=np.int64) <= most
+                found.append(np.stack((i + p[good], j + q[good])))
+    return tuple(np.concatenate(found, 1))
+
+
+def _short(asked: _Pack, others: _Pack, i: int, j: int, least: int, most_wrong: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(query, recording, offset) of all matches with recordings i .. j - 1 whose overlap has SHORT integers at most."""
+    for n in range(least, SHORT + 1):
+        q, c = np.flatnonzero(asked.size >= n), i + np.flatnonzero(others.size[i:j] >= n)
+        q_all = np.flatnonzero(np.arange(len(asked.value)) + n <= asked.end[asked.owner])
+        c_all = np.arange(others.at[i], others.end[j - 1])
+        c_all = c_all[c_all + n <= others.end[others.owner[c_all]]]
+        # An overlap ends with both recordings' ends, or is the whole of one of them.
+        for a_at, b_at in ((asked.end[q] - n, others.at[c]), (asked.at[q], others.end[c] - n), (asked.at[asked.size == n], c_all), (q_all, others.at[c[others.size[c] == n]])):
+            p, r = _alike(asked.value, a_at, others.value, b_at, n, int(most_wrong * n)) if len(a_at) and len(b_at) else (q[:0], c[:0])
+            p, r = a_at[p], b_at[r]
+            q_of, c_of = asked.owner[p], others.owner[r]
+            yield q_of, c_of, (r - others.at[c_of]) - (p - asked.at[q_of])
+
+
+def _met(asked: _Pack, doubt: np.ndarray, others: _Pack, least: int, most_wrong: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All (query, recording, offset) at which an integer of the recording is a neighbour of one of the query, and short matches, once each."""
     b, order = others.value, np.argsort(others.value)
     found = []
     for p in range(0, len(asked.value), BLOCK):
@@ -210,9 +250,13 @@ def _met(asked: _Pack, doubt: np.ndarray, others: _Pack) -> Iterator[tuple[np.nd
         count[order] = np.searchsorted(value, b[order], "right") - low[order]
         found.append((p, place, low, count))
     span = int(asked.size.max() + others.size.max())
+
+    def key(q: np.ndarray, c: np.ndarray, offset: np.ndarray) -> np.ndarray:
+        return (q * len(others.ids) + c) * span + offset + asked.size.max()
+
     total = np.sum([x[3] for x in found], 0).cumsum()
     for i, j in _upto(total[others.end - 1], MEETINGS):
-        keys = []
+        keys = [key(*x) for x in _short(asked, others, i, j, least, most_wrong)]
         for p, place, low, count in found:
             begin, own = others.at[i], count[others.at[i] : others.end[j - 1]]
             for s, e in _upto(own.cumsum(), MEETINGS):
@@ -221,15 +265,14 @@ def _met(asked: _Pack, doubt: np.ndarray, others: _Pack) -> Iterator[tuple[np.nd
                 q_at = p + place[np.repeat(low[begin + s : begin + e] - (n.cumsum() - n), n) + np.arange(n.sum())].astype(np.int64)
                 q, c = asked.owner[q_at], others.owner[at]
                 offset = (at - others.at[c]) - (q_at - asked.at[q])
-                keys.append(np.unique((q * len(others.ids) + c) * span + offset + asked.size.max()))
-        key = keys[0] if len(keys) == 1 else np.unique(np.concatenate(keys))
-        pair, offset = np.divmod(key, span)
+                keys.append(np.unique(key(q, c, offset)))
+        pair, offset = np.divmod(np.unique(np.concatenate(keys)), span)
         yield pair // len(others.ids), pair % len(others.ids), offset - asked.size.max()
 
 
 def search(asked: _Pack, doubt: np.ndarray, others: _Pack, least: int, most_wrong: float) -> Iterator[tuple[np.ndarray, ...]]:
     """query, recording (places), votes, offset, overlap, bit_errors: the best alignment of each pair that matches."""
-    for q, c, offset in _met(asked, doubt, others):
+    for q, c, offset in _met(asked, doubt, others, max(1, least), most_wrong):
         overlap = np.minimum(asked.size[q], others.size[c] - offset) - np.maximum(0, -offset)
         fits = np.flatnonzero((overlap >= max(1, least)) & (asked.ids[q] != others.ids[c]))
         q, c, offset, overlap = (x[fits] for x in (q, c, offset, overlap))
@@ -279,7 +322,8 @@ def align(prints: DataFrame, every: int = 50, least_overlap: int = 8, error_rate
     doubt allow.  The offsets at which a class meets it are counted, and the bit errors are taken
     under each of them; of those that match, the one that most integers agree on is returned (ties:
     the offset nearest to zero, then the larger).  So a match is found if at one place of its
-    overlap the two integers differ in bits in doubt only.  Returns a row per recording (doc_id,
+    overlap the two integers differ in bits in doubt only; a short one, of SHORT common frames or
+    fewer, is found in any case, as all such alignments are compared.  Returns a row per recording (doc_id,
     class_id, n_frames, and nulls), and for each match of a query class a row of its first
     recording with match_class, offset, overlap and bit_errors; a match has at least
     ``least_overlap`` common frames and at most ``error_rate`` wrong bits.  Copies of a match are
